@@ -1,6 +1,519 @@
-"""Named queries over the tables of a data folder, and the SQL that says the same."""
+"""Named queries over the tables of a data folder, and the SQL that says the same.
+
+Every query runs over its whole tables. Doubles are rounded on both sides, as sums are taken in different orders.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parsewright.functions import lengths, text
+from parsewright.operators import corpus, em, params, reports, transforms, trees, vocab
+from parsewright.sources import formats
+
+from .inputs import BASE, conversations, pairs, words
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+LOW, HIGH = lengths.DEFAULT_BAND.sql("x")
+
+
+def query(sql: str | None = None, base: bool = True):
+    """Register a query under its function's name, with its SQL (after the common derivations unless ``base`` is off)."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = BASE.replace("{low}", LOW).replace("{high}", HIGH) + sql if base else sql
+        return f
+
+    return add
+
+
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return trees.nodes(pairs(spark, sf))
+
+
+def _cooc(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.cooccurrence(pairs(spark, sf))
+
+
+def _rules(spark: SparkSession, sf: str) -> DataFrame:
+    return trees.rules(trees.with_nodes(pairs(spark, sf)).select("pair_id", "nodes"))
+
+
+# Text
+
+@query("SELECT conv_id, turn, n - 1 AS n, " + text.duckdb_ptb("line") + " AS tokens FROM (SELECT conv_id, turn, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS n FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations))", base=False)
+def tokenize_ptb(spark, sf):
+    lines = conversations(spark, sf).select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return lines.select("conv_id", "turn", "n", text.ptb_tokenize(F.col("line")).alias("tokens"))
+
+
+@query("SELECT pair_id, len(e_words) || ' ' || array_to_string(list_transform(e_words, lambda w: w || ' NN' || length(w)), ' ') AS line FROM wp")
+def pos_format(spark, sf):
+    tagged = F.array_join(F.transform("e_words", lambda w: F.concat(w, F.lit("_NN"), F.length(w).cast("string"))), " ")
+    return words(spark, sf).select("pair_id", text.pos_format(tagged).alias("line"))
+
+
+@query("SELECT pair_id, CASE WHEN length(line) <= 40 AND len(e_words) <= 4 THEN line ELSE '1 SentenceTooLong NN' END AS line FROM (SELECT *, len(e_words) || ' ' || array_to_string(e_words, ' NN ') || ' NN' AS line FROM wp)")
+def length_gate(spark, sf):
+    line = F.concat_ws(" ", F.size("e_words").cast("string"), F.array_join("e_words", " NN "), F.lit("NN"))
+    return words(spark, sf).select("pair_id", text.length_gate(line, max_words=4, max_chars=40).alias("line"))
+
+
+@query("SELECT pair_id, '(TOP ' || e_tree || ')' AS line FROM pairs WHERE pair_id % 5 <> 0 AND pair_id % 7 <> 0")
+def parse_filter(spark, sf):
+    tree = F.when(F.col("pair_id") % 7 == 0, F.lit("(TOP SentenceNotParsed)")).otherwise(F.concat(F.lit("(TOP "), F.col("e_tree"), F.lit(")")))
+    score = F.when(F.col("pair_id") % 5 == 0, F.lit("PROB 0 0 0")).otherwise(F.lit("PROB 12 -3.5 0"))
+    lines = pairs(spark, sf).select("pair_id", F.posexplode(F.array(score, tree, F.lit("TIME 0"))).alias("n", "line"))
+    return text.parse_filter(text.parser_lines(lines), within="pair_id").select("pair_id", "line")
+
+
+@query("SELECT pair_id, '<s> ' || upper(array_to_string(e_words, ' ')) || ' </s>' AS line FROM wp")
+def lm_text(spark, sf):
+    return words(spark, sf).select("pair_id", text.lm_text(F.concat(F.array_join("e_words", " "), F.lit(" ."))).alias("line"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_filter(string_split(regexp_replace(text, '[ \\n]+', ' ', 'g'), ' '), lambda w: w <> '' AND NOT regexp_matches(w, '^[!-/:-@\\[-`{-~]+$')), ' ') AS line FROM conversations", base=False)
+def drop_punctuation(spark, sf):
+    parts = F.filter(F.split(F.regexp_replace("text", "[ \n]+", " "), " "), lambda w: w != "")
+    return conversations(spark, sf).select("conv_id", "turn", F.array_join(text.drop_punctuation(parts), " ").alias("line"))
+
+
+# Vocabularies and n-grams
+
+@query("SELECT * FROM ve")
+def vocab_freq(spark, sf):
+    return vocab.vocabulary(words(spark, sf), "e_words")
+
+
+@query("SELECT word, freq FROM ve ORDER BY freq DESC, word LIMIT 100")
+def vocab_top_k(spark, sf):
+    return vocab.top_vocabulary(vocab.vocabulary(words(spark, sf), "e_words"), 100)
+
+
+@query("SELECT pair_id, array_to_string(list(CASE WHEN id <= 50 THEN id ELSE 1 END ORDER BY j), ' ') AS ids FROM tokf GROUP BY pair_id")
+def integerize_unk(spark, sf):
+    w = words(spark, sf)
+    out = vocab.integerize(w, "pair_id", "f_words", vocab.vocabulary(w, "f_words"), "f", max_id=50)
+    return out.select("pair_id", F.array_join(F.col("f").cast("array<string>"), " ").alias("ids"))
+
+
+@query("SELECT least(min(id) FILTER (freq = 1), 65500) AS max_id FROM ve")
+def singleton_cutoff(spark, sf):
+    return vocab.singleton_cutoff(vocab.vocabulary(words(spark, sf), "e_words"))
+
+
+@query("SELECT row_number() OVER (ORDER BY freq DESC, sym) AS id, sym, freq FROM (SELECT CAST(symbol AS VARCHAR) AS sym, count(*) AS freq FROM nodes GROUP BY 1)")
+def symbol_table(spark, sf):
+    return vocab.symbol_table(_nodes(spark, sf).select(F.col("symbol").cast("string").alias("symbol")))
+
+
+@query("SELECT pair_id, node_id, CASE symbol WHEN 4 THEN 'C' WHEN 5 THEN 'B' ELSE CAST(symbol AS VARCHAR) END AS symbol FROM nodes")
+def symbol_convert(spark, sf):
+    table = spark.createDataFrame([(1, "4", "A"), (2, "5", "B"), (3, "A", "C"), (4, "4", "Z")], "n int, source string, target string")
+    rows = _nodes(spark, sf).select("pair_id", "node_id", F.col("symbol").cast("string").alias("symbol"))
+    return vocab.convert(rows, "symbol", F.broadcast(table), order="n")
+
+
+@query("SELECT word AS w1, count(*) AS cnt FROM (SELECT word FROM we UNION ALL SELECT unnest(['<s>', '</s>']) FROM wp) GROUP BY 1")
+def unigram_freq(spark, sf):
+    return vocab.ngrams(words(spark, sf), "e_words", 1)
+
+
+NGRAMS = "SELECT {cols}, count(*) AS cnt FROM (SELECT s, unnest(range(1, len(s) - {n} + 2)) AS i FROM (SELECT list_concat(['<s>'], e_words, ['</s>']) AS s FROM wp)) GROUP BY ALL"
+BIGRAMS = NGRAMS.format(cols="s[i] AS w1, s[i + 1] AS w2", n=2)
+TRIGRAMS = NGRAMS.format(cols="s[i] AS w1, s[i + 1] AS w2, s[i + 2] AS w3", n=3)
+
+
+@query(BIGRAMS)
+def bigram_counts(spark, sf):
+    return vocab.ngrams(words(spark, sf), "e_words", 2)
+
+
+@query(TRIGRAMS)
+def trigram_counts(spark, sf):
+    return vocab.ngrams(words(spark, sf), "e_words", 3)
+
+
+@query(f"SELECT w1, w2, w3, cnt, round(cnt / sum(cnt) OVER (PARTITION BY w1, w2), 9) AS p FROM ({TRIGRAMS})")
+def trigram_mle(spark, sf):
+    return vocab.mle(vocab.ngrams(words(spark, sf), "e_words", 3), 3).withColumn("p", F.round("p", 9))
+
+
+# Trees and corpora
+
+@query("SELECT * FROM nodes")
+def tree_nodes(spark, sf):
+    return _nodes(spark, sf)
+
+
+@query("SELECT pair_id, node_id, epos, elen, array_to_string(e[epos + 1:epos + elen], ' ') AS e FROM nodes JOIN pairs USING (pair_id)")
+def tree_spans(spark, sf):
+    rows = trees.with_nodes(pairs(spark, sf)).select("pair_id", trees.words_of(F.col("nodes")).alias("w"), F.inline("nodes"))
+    return rows.select("pair_id", "node_id", "epos", "elen", F.array_join(F.slice("w", F.col("epos") + 1, F.col("elen")).cast("array<string>"), " ").alias("e"))
+
+
+@query("SELECT pair_id, node_id, numc, rule FROM rules")
+def tree_rules(spark, sf):
+    return _rules(spark, sf)
+
+
+@query("SELECT rule, numc, count(*) AS freq FROM rules GROUP BY ALL")
+def rule_freq(spark, sf):
+    return corpus.rule_frequencies(pairs(spark, sf))
+
+
+@query("SELECT numc, count(DISTINCT rule) AS rules FROM rules GROUP BY numc")
+def distinct_rules_by_arity(spark, sf):
+    return _rules(spark, sf).groupBy("numc").agg(F.count_distinct("rule").alias("rules"))
+
+
+@query("SELECT max_children, count(*) AS sentences FROM (SELECT greatest(max(numc), 1) AS max_children FROM nodes GROUP BY pair_id) GROUP BY 1")
+def max_children_hist(spark, sf):
+    return corpus.children_histogram(pairs(spark, sf))
+
+
+@query("SELECT numc, count(*) AS n FROM nodes WHERE NOT is_leaf GROUP BY numc")
+def children_per_node(spark, sf):
+    return _nodes(spark, sf).filter("NOT is_leaf").groupBy("numc").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT pair_id, e_tree FROM (SELECT pair_id, max(numc) AS m FROM nodes GROUP BY pair_id) JOIN pairs USING (pair_id) WHERE m <= 2")
+def limit_children(spark, sf):
+    rows = trees.with_nodes(pairs(spark, sf)).filter(trees.max_children(F.col("nodes"), leaf=0) <= 2)
+    return rows.select("pair_id", "e_tree")
+
+
+@query("""SELECT pair_id, n_unk, array_to_string(list_transform(f, lambda x: CASE WHEN x > 200 THEN 1 ELSE x END), ' ') AS f
+          FROM pairs JOIN (SELECT pair_id, count(*) FILTER (id > 200 OR id = 1) AS n_unk FROM tok GROUP BY pair_id) USING (pair_id) WHERE len(f) < 7
+          AND pair_id IN (SELECT pair_id FROM nodes GROUP BY pair_id HAVING max(numc) <= 2)""")
+def corpus_filter(spark, sf):
+    out = corpus.corpus_filter(pairs(spark, sf), max_children=2, max_id=200, max_f=7)
+    heads = trees.words_of(trees.node_array(F.col("e_tree")))
+    return out.select("pair_id", F.size(F.filter(heads, lambda h: h == 1)).alias("n_unk"), F.array_join(F.col("f").cast("array<string>"), " ").alias("f"))
+
+
+@query("SELECT pair_id, CASE WHEN (row_number() OVER (ORDER BY pair_id) - 1) % 100 = 0 THEN 'test' ELSE 'train' END AS split FROM pairs")
+def train_test_split(spark, sf):
+    return corpus.split(pairs(spark, sf).select("pair_id"))
+
+
+@query("SELECT pair_id, e_tree FROM pairs ORDER BY pair_id LIMIT 100")
+def align_sample(spark, sf):
+    return corpus.align_sample(pairs(spark, sf)).select("pair_id", "e_tree")
+
+
+@query(f"SELECT x AS elen, {LOW} AS min_f, {HIGH} AS max_f, {lengths.CHINESE_BAND.sql('x')[0]} AS min_zh, {lengths.CHINESE_BAND.sql('x')[1]} AS max_zh FROM range(1, 41) t(x)", base=False)
+def length_band(spark, sf):
+    rows = spark.range(1, 41).select(F.col("id").alias("elen"))
+    (a, b), (c, d) = lengths.DEFAULT_BAND.columns(F.col("elen")), lengths.CHINESE_BAND.columns(F.col("elen"))
+    return rows.select("elen", a.alias("min_f"), b.alias("max_f"), c.alias("min_zh"), d.alias("max_zh"))
+
+
+@query("SELECT * FROM cooc")
+def cooccurrence(spark, sf):
+    return _cooc(spark, sf)
+
+
+@query("SELECT * FROM cut")
+def phrase_cutoff(spark, sf):
+    return corpus.phrase_cutoff(_cooc(spark, sf))
+
+
+@query("SELECT CAST(string_split(e, ' ')[1] AS INT) % 20 AS shard, count(*) AS entries, sum(cnt) AS cnt FROM cooc GROUP BY 1")
+def shard_balance(spark, sf):
+    return _cooc(spark, sf).groupBy(corpus.shard().alias("shard")).agg(F.count(F.lit(1)).alias("entries"), F.sum("cnt").alias("cnt"))
+
+
+@query("SELECT pair_id, e_tree, array_to_string(f, ' ') AS f FROM pairs")
+def bxi_lines(spark, sf):
+    """Records written as three lines and read back from numbered lines."""
+    f = F.array_join(F.col("f").cast("array<string>"), " ")
+    lines = pairs(spark, sf).select("pair_id", F.posexplode(F.array(F.col("e_tree"), f, F.lit(""))).alias("n", "line"))
+    return formats.bxi_from_lines(lines, file="pair_id").select("pair_id", "e_tree", F.array_join(F.col("f").cast("array<string>"), " ").alias("f"))
+
+
+@query("SELECT pair_id, e_tree, f_words[1] AS first FROM pairs JOIN wp USING (pair_id) WHERE pair_id % 3 <> 0")
+def join_parses(spark, sf):
+    w = words(spark, sf)
+    parses = corpus.bxi(w).select(F.col("pair_id").alias("sent_id"), "e_tree", (F.col("pair_id") % 3 != 0).alias("parse_ok"))
+    foreign = w.select(F.col("pair_id").alias("sent_id"), F.col("f_words").alias("f"))
+    return corpus.join_parses(parses, foreign).select(F.col("sent_id").alias("pair_id"), "e_tree", F.get("f", F.lit(0)).alias("first"))
+
+
+# Parameters
+
+@query("SELECT e, f, round(1.0::DOUBLE / count(*) OVER (PARTITION BY e), 9) AS prob FROM (SELECT e, f FROM cut UNION ALL SELECT DISTINCT e, '0' FROM cut)")
+def t_init_uniform(spark, sf):
+    return params.t_uniform(corpus.phrase_cutoff(_cooc(spark, sf))).withColumn("prob", F.round("prob", 9))
+
+
+@query("""SELECT cooc.e, cooc.f, CASE WHEN (contains(cooc.e, ' ') OR contains(cooc.f, ' ')) AND cut.e IS NULL THEN 0.0::DOUBLE
+          ELSE round(power(0.1::DOUBLE, 1 + len(string_split(cooc.f, ' '))), 9) END AS prob FROM cooc LEFT JOIN cut ON cut.e = cooc.e AND cut.f = cooc.f""")
+def t_lookup_equal_prob(spark, sf):
+    keys = _cooc(spark, sf).select("e", "f")
+    out = params.t_lookup_equal(keys, corpus.phrase_cutoff(_cooc(spark, sf)), cutoff=True, fertility=True)
+    return out.withColumn("prob", F.round("prob", 9))
+
+
+@query("SELECT e, f, round(cnt / sum(cnt) OVER (PARTITION BY e), 9) AS prob FROM cooc")
+def t_normalize(spark, sf):
+    return params.normalize(_cooc(spark, sf), ["e"]).withColumn("prob", F.round("prob", 9))
+
+
+def _fert(spark, sf) -> DataFrame:
+    counts = _cooc(spark, sf).groupBy("e", params.words_in(F.col("f")).alias("n")).agg(F.sum("cnt").cast("double").alias("cnt"))
+    return params.normalize(counts, ["e"])
+
+
+def _t_words(spark, sf) -> DataFrame:
+    counts = _cooc(spark, sf).select("e", F.explode(F.split("f", " ")).alias("f"), "cnt").groupBy("e", "f").agg(F.sum("cnt").cast("double").alias("cnt"))
+    return params.normalize(counts, ["e"])
+
+
+FERT = "fert AS (SELECT e, n, cnt / sum(cnt) OVER (PARTITION BY e) AS prob FROM (SELECT e, len(string_split(f, ' ')) AS n, sum(cnt)::DOUBLE AS cnt FROM cooc GROUP BY 1, 2))"
+T_WORDS = "tw AS (SELECT e, w, cnt / sum(cnt) OVER (PARTITION BY e) AS prob FROM (SELECT e, w, sum(cnt)::DOUBLE AS cnt FROM (SELECT e, unnest(string_split(f, ' ')) AS w, cnt FROM cooc) GROUP BY 1, 2))"
+
+
+@query(f", {FERT} SELECT e, n, round(prob, 9) AS prob FROM fert")
+def fertility_normalize(spark, sf):
+    return _fert(spark, sf).withColumn("prob", F.round("prob", 9))
+
+
+@query(f""", {FERT}, {T_WORDS},
+x AS (SELECT e, f, unnest(string_split(f, ' ')) AS w, len(string_split(f, ' ')) AS n FROM cooc),
+p AS (SELECT e, f, any_value(n) AS n, product(tw.prob) AS p FROM x JOIN tw USING (e, w) GROUP BY e, f)
+SELECT p.e, p.f, round(p.p * fert.prob, 9) AS prob FROM p JOIN fert ON fert.e = p.e AND fert.n = p.n""")
+def fertility_prob(spark, sf):
+    keys = _cooc(spark, sf).select("e", "f")
+    return params.fertility_prob(keys, _t_words(spark, sf), _fert(spark, sf), ["e", "f"]).withColumn("prob", F.round("prob", 9))
+
+
+@query("SELECT e, round(sum(cnt) FILTER (cnt > 1) / sum(cnt), 9) AS prob FROM cooc WHERE contains(e, ' ') GROUP BY e HAVING sum(cnt) FILTER (cnt > 1) IS NOT NULL UNION ALL SELECT e, 0.0::DOUBLE FROM cooc WHERE contains(e, ' ') GROUP BY e HAVING sum(cnt) FILTER (cnt > 1) IS NULL")
+def lambda1_normalize(spark, sf):
+    counts = _cooc(spark, sf).filter(F.col("e").contains(" "))
+    both = counts.groupBy("e").agg(F.sum(F.when(F.col("cnt") > 1, F.col("cnt")).otherwise(0)).cast("double").alias("cnt"), F.sum(F.when(F.col("cnt") <= 1, F.col("cnt")).otherwise(0)).cast("double").alias("ncnt"))
+    return params.lambda1_update(None, both).select("e", F.round("prob", 9).alias("prob"))
+
+
+@query("""SELECT rule, perm, round(1 / 24.0::DOUBLE, 9) AS prob FROM (SELECT DISTINCT rule, numc FROM rules UNION SELECT DISTINCT '0 ' || string_split(rule, ' ')[1], 1 FROM rules),
+          LATERAL (SELECT unnest(range(0, [1, 2, 6, 24][numc])) AS perm)""")
+def r_uniform(spark, sf):
+    return params.r_uniform(_rules(spark, sf).select("rule", "numc").distinct()).withColumn("prob", F.round("prob", 9))
+
+
+@query("SELECT rule, perm, round(cnt / sum(cnt) OVER (PARTITION BY rule), 9) AS prob FROM (SELECT rule, node_id % [1, 2, 6, 24][numc] AS perm, count(*)::DOUBLE AS cnt FROM rules GROUP BY ALL)")
+def r_normalize(spark, sf):
+    size = F.element_at(F.array(F.lit(1), F.lit(2), F.lit(6), F.lit(24)), F.col("numc"))
+    counts = _rules(spark, sf).groupBy("rule", (F.col("node_id") % size).alias("perm")).agg(F.count(F.lit(1)).cast("double").alias("cnt"))
+    return params.normalize(counts, ["rule"]).withColumn("prob", F.round("prob", 9))
+
+
+def _insertions(spark, sf) -> DataFrame:
+    """Pseudo counts (ctx, ins, word, cnt): the words of a pair at each of its rules."""
+    f = pairs(spark, sf).select("pair_id", F.posexplode("f").alias("j", "w"))
+    rows = _rules(spark, sf).join(f, "pair_id").select(F.concat("rule", F.lit("|0")).alias("ctx"), (F.col("j") % 3).alias("ins"), F.when(F.col("j") % 3 == 0, F.lit("0")).otherwise(F.col("w").cast("string")).alias("word"))
+    return rows.groupBy("ctx", "ins", "word").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
+
+
+INS = "ins AS (SELECT rule || '|0' AS ctx, j % 3 AS ins, CASE WHEN j % 3 = 0 THEN '0' ELSE CAST(id AS VARCHAR) END AS word, count(*)::DOUBLE AS cnt FROM rules JOIN tokf USING (pair_id) GROUP BY ALL)"
+
+
+@query(f", {INS} SELECT ctx, ins, word, round(cnt / sum(cnt) OVER (PARTITION BY ctx), 9) AS prob FROM ins")
+def n_full_normalize(spark, sf):
+    return params.normalize(_insertions(spark, sf), ["ctx"]).withColumn("prob", F.round("prob", 9))
+
+
+@query(f""", {INS}, side AS (SELECT ctx, ins, cnt / sum(cnt) OVER (PARTITION BY ctx) AS s FROM (SELECT ctx, ins, sum(cnt) AS cnt FROM ins GROUP BY ALL)),
+w AS (SELECT word, cnt / sum(cnt) OVER () AS p FROM (SELECT word, sum(cnt) AS cnt FROM ins WHERE ins > 0 GROUP BY ALL))
+SELECT ctx, ins, word, round(s * CASE WHEN ins = 0 THEN 1 ELSE coalesce(p, 0) END, 9) AS prob FROM ins JOIN side USING (ctx, ins) LEFT JOIN w USING (word)""")
+def n_shared_prob(spark, sf):
+    ins = _insertions(spark, sf)
+    sides = params.normalize(ins.groupBy("ctx", "ins").agg(F.sum("cnt").alias("cnt")), ["ctx"])
+    counts = ins.filter("ins > 0").groupBy("word").agg(F.sum("cnt").alias("cnt"))
+    total = F.broadcast(counts.agg(F.sum("cnt").alias("total")))  # one row
+    insword = counts.join(total, F.col("total") >= F.col("cnt")).select("word", (F.col("cnt") / F.col("total")).alias("prob"))
+    return params.n_lookup_shared(ins.select("ctx", "ins", "word"), sides, insword).withColumn("prob", F.round("prob", 9))
+
+
+@query("SELECT pair_id, node_id, '9999' || substr(rule, strpos(rule, ' ')) AS old_rule, string_split(rule, ' ')[1] || ' ' || string_split(rule, ' ')[2] AS old_ctx FROM rules")
+def rule_key_oldmode(spark, sf):
+    r = F.col("rule")
+    return _rules(spark, sf).select("pair_id", "node_id", params.rule_key_old(r).alias("old_rule"), params.n_context_old(r, F.lit(0)).alias("old_ctx"))
+
+
+@query(f"SELECT pair_id, n <= 40 AND len(f) <= 29 AND len(f) > 0 AND len(e) <= 19 AND len(f) <= (SELECT high FROM band WHERE elen = len(e)) AS ok FROM pairs JOIN (SELECT pair_id, count(*) AS n FROM nodes GROUP BY pair_id) USING (pair_id)")
+def sentence_ok(spark, sf):
+    rows = trees.with_nodes(pairs(spark, sf))
+    n_e = F.size(trees.words_of(F.col("nodes")))
+    return rows.select("pair_id", lengths.sentence_ok(F.size("nodes"), n_e, F.size("f"), lengths.DEFAULT_BAND.columns(n_e)[1]).alias("ok"))
+
+
+@query("SELECT count(*) AS pairs, 0 AS zero, sum(n_e) AS e_words, round(sum(log2(p)), 6) AS log2, round(power(2, -sum(log2(p)) / sum(n_e)), 6) AS perplexity FROM (SELECT power(0.1::DOUBLE, len(f)) AS p, len(e) AS n_e FROM pairs)")
+def perplexity(spark, sf):
+    probs = pairs(spark, sf).select("pair_id", F.size("e").alias("n_e"), F.pow(F.lit(0.1), F.size("f")).alias("prob"))
+    out = em.perplexity(probs)
+    return out.select("pairs", F.col("zero").cast("int").alias("zero"), "e_words", F.round("log2", 6).alias("log2"), F.round("perplexity", 6).alias("perplexity"))
+
+
+EQUAL = em.Config(iterations=2, chinese=False, cutoff=False, fertility=False, lambda1=0.0, shared_words=True, old_rules=False)
+
+
+def _inside(rows: DataFrame, config: em.Config) -> DataFrame:
+    model = em.Model(config)
+    data, keys = em.prepare(rows, config)
+    found = em.events(em.gathered(data, keys, model), config, True, 0.0, False)
+    return found.select("pair_id", F.round(F.col("cnt") * 1e6, 9).alias("p"))
+
+
+@query("""SELECT pair_id, round(1e6 * CASE least(len(f), 1 + pair_id % 3) WHEN 1 THEN 0.1 * 0.1 WHEN 2 THEN 3 * 0.1 * 0.1 ELSE 3 * 0.1 * 0.1 END::DOUBLE, 9) AS p
+          FROM pairs WHERE len(e) = 1""")
+def inside_leaf_closed_form(spark, sf):
+    """One-leaf trees at equal probabilities: no insertion, or one on either side."""
+    return _inside(pairs(spark, sf).filter("size(e) = 1").selectExpr("pair_id", "e_tree", "slice(f, 1, int(1 + pair_id % 3)) AS f"), EQUAL)
+
+
+# What a leaf b(x) with one insertion at most is at 0.1 everywhere, by foreign length (band 1..3); then all ways to deal
+# the root's stretch to two leaves, both orders.
+BIN2 = """, b(l, p) AS (VALUES (0, 0.01::DOUBLE), (1, 0.01), (2, 0.03), (3, 0.03)),
+x AS (SELECT b1.l + b2.l AS l, sum(b1.p * b2.p) AS p FROM b b1, b b2 GROUP BY 1),
+c AS (SELECT m.l, 0.1 * 0.1 * 2 * coalesce(x0.p, 0) + CASE WHEN m.l > 0 THEN 2 * 0.1 * 0.1 * 2 * coalesce(x1.p, 0) ELSE 0 END AS p FROM range(0, 7) m(l) LEFT JOIN x x0 ON x0.l = m.l LEFT JOIN x x1 ON x1.l = m.l - 1),
+u AS (SELECT m.l, 0.1 * 0.1 * CASE WHEN m.l <= 4 THEN coalesce(c0.p, 0) ELSE 0 END + CASE WHEN m.l > 0 THEN 2 * 0.1 * 0.1 * CASE WHEN m.l - 1 <= 4 THEN coalesce(c1.p, 0) ELSE 0 END ELSE 0 END AS p
+      FROM range(0, 7) m(l) LEFT JOIN c c0 ON c0.l = m.l LEFT JOIN c c1 ON c1.l = m.l - 1)
+SELECT pair_id, round(u.p * 1e6, 9) AS p FROM pairs JOIN u ON u.l = least(len(f), 1 + pair_id % 4) WHERE len(e) = 2"""
+
+
+@query(BIN2)
+def inside_bin2_closed_form(spark, sf):
+    """Two leaves under a node under a unary root."""
+    return _inside(pairs(spark, sf).filter("size(e) = 2").selectExpr("pair_id", "e_tree", "slice(f, 1, int(1 + pair_id % 4)) AS f"), EQUAL)
+
+
+# Reports
+
+@query("SELECT e, f, cnt AS n FROM cooc WHERE cnt > 1")
+def report_uniq_count(spark, sf):
+    return reports.uniq_count(corpus.spans(pairs(spark, sf)), ["e", "f"]).filter("n > 1")
+
+
+@query("SELECT line, n FROM (SELECT rule AS line, count(*) AS n FROM rules WHERE numc = 2 GROUP BY rule) ORDER BY n DESC, line LIMIT 10")
+def report_top_rules(spark, sf):
+    return reports.top_lines(_rules(spark, sf).filter("numc = 2").select(F.col("rule").alias("line")))
+
+
+@query("SELECT pair_id, node_id, CASE symbol WHEN 2 THEN '.TOP.' WHEN 3 THEN '.X.' WHEN 4 THEN 'NP.A' WHEN 5 THEN 'V^P' ELSE CAST(symbol AS VARCHAR) END AS symbol FROM nodes")
+def decoder_symbols(spark, sf):
+    name = F.when(F.col("symbol") == 2, "TOP").when(F.col("symbol") == 3, "X").when(F.col("symbol") == 4, "NP-A").when(F.col("symbol") == 5, "V_P").otherwise(F.col("symbol").cast("string"))
+    return _nodes(spark, sf).select("pair_id", "node_id", reports.decoder_symbol(name).alias("symbol"))
+
+
+@query("SELECT pair_id, 'E' AS side, array_to_string(e_words, ' ') AS line FROM wp UNION ALL SELECT pair_id, 'F', array_to_string(f_words, ' ') FROM wp")
+def report_sentences(spark, sf):
+    w = words(spark, sf)
+    return reports.sentences(corpus.bxi(w), vocab.vocabulary(w, "e_words"), vocab.vocabulary(w, "f_words"))
+
+
+# Tree edits on string labels. The trees have one shape for each length, so SQL can say what an edit leaves.
+
+def _labelled(spark, sf) -> DataFrame:
+    """(TOP~w1~1~1 (VP~w1~1~1 w1/VB w2/VB-A ... ./PUNC)): head first, a closing mark last."""
+    w = F.col("e_words")
+    first = F.get(w, F.lit(0))
+    leaves = F.array_join(F.transform(w, lambda x: F.concat(x, F.lit("/NN"))), " ")
+    return words(spark, sf).select("pair_id", F.concat(F.lit("(TOP~"), first, F.lit("~1~1 (VP~"), first, F.lit("~2~1 "), leaves, F.lit(" ./PUNC.)) ")).alias("tree"))
+
+
+PUNCT = (("PUNC.", "PUNC"), ("PUNC,", "PUNC"), ("PUNC:", "PUNC"))
+
+
+@query("SELECT pair_id, '(' || e_words[1] || '/TOP (' || e_words[1] || '/VP ' || array_to_string(e_words, '/NN ') || '/NN))' AS tree FROM wp")
+def tree_rmpunc(spark, sf):
+    return _labelled(spark, sf).select("pair_id", transforms.edit(F.col("tree"), transforms.Edits(("conv", "rmpunc"), PUNCT)).alias("tree"))
+
+
+@query("SELECT pair_id, '(' || e_words[1] || '/TOP ' || array_to_string(e_words, '/NN ') || '/NN ./PUNC)' AS tree FROM wp")
+def tree_flatten(spark, sf):
+    return _labelled(spark, sf).select("pair_id", transforms.edit(F.col("tree"), transforms.Edits(("conv", "flat"), PUNCT)).alias("tree"))
+
+
+@query("SELECT pair_id, '(TOP (VP ' || array_to_string(list_transform(e_words, lambda w: '(NN ' || upper(w) || ')'), ' ') || ' (PUNC .)))' AS tree FROM wp")
+def tree_rmhead_lf(spark, sf):
+    upper = _labelled(spark, sf).select("pair_id", F.upper("tree").alias("tree"))
+    return upper.select("pair_id", transforms.edit(F.col("tree"), transforms.Edits(("conv", "rmhead", "lf"), PUNCT)).alias("tree"))
+
+
+@query("SELECT pair_id, '(' || e_words[1] || '/TOP (' || e_words[1] || '/VP ' || array_to_string(e_words, '/NN ') || '/NN ./PUNC.))' AS tree FROM wp")
+def tree_lower(spark, sf):
+    upper = _labelled(spark, sf).select("pair_id", F.upper("tree").alias("tree"))
+    return upper.select("pair_id", transforms.edit(F.col("tree"), transforms.Edits(("lower",))).alias("tree"))
+
+
+@query("SELECT pair_id, unnest(['TOP <= VP ', 'VP <= ' || repeat('NN ', len(e_words)) || 'PUNC ']) AS line FROM wp")
+def tree_rule_list(spark, sf):
+    return _labelled(spark, sf).select("pair_id", F.explode(transforms.rule_lines(F.col("tree"), transforms.Edits(("conv",), PUNCT))).alias("line"))
+
+
+@query("SELECT pair_id, '(seen/VB (he/NPB he/NN) ' || CASE WHEN len(e_words) > 1 THEN array_to_string(e_words[2:], '/NN ') || '/NN ' ELSE '' END || 'seen/VBN)' AS tree FROM wp")
+def tree_passive_aux(spark, sf):
+    """(VP was (NPB he) (VP-A/VB seen ... )): the passive's inner verb takes over."""
+    rest = F.concat_ws(" ", F.transform(F.slice("e_words", F.lit(2), F.size("e_words")), lambda x: F.concat(x, F.lit("/NN"))))
+    inner = F.concat(F.lit("(VB~seen~1~1 "), F.when(F.size("e_words") > 1, F.concat(rest, F.lit(" "))).otherwise(""), F.lit("seen/VBN)"))
+    tree = F.concat(F.lit("(VP~was~1~1 (NPB~he~1~1 he/NN) "), inner, F.lit(")"))
+    return words(spark, sf).select("pair_id", transforms.edit(tree, transforms.Edits(("pas", "aux"))).alias("tree"))
+
+
+# Training: iterative, so without SQL.
+
+def _fit(spark, sf, iterations: int = 2) -> em.Fit:
+    rows = pairs(spark, sf).select("pair_id", "e_tree", "f")
+    parts = corpus.split(rows)
+    config = em.Config(iterations=iterations)
+    train = parts.filter("split = 'train'").drop("split")
+    allowed = corpus.phrase_cutoff(corpus.cooccurrence(train, config.band), 1, 0)
+    return em.train(train, allowed, parts.filter("split = 'test'").drop("split"), config)
+
+
+@query()
+def em_perplexity_curve(spark, sf):
+    return _fit(spark, sf).history
+
+
+@query()
+def em_t_table(spark, sf):
+    return params.t_dump(_fit(spark, sf).model.t)
+
+
+def _sample(spark, sf) -> tuple[DataFrame, em.Model]:
+    rows = pairs(spark, sf).select("pair_id", "e_tree", "f")
+    return corpus.align_sample(rows), _fit(spark, sf).model
+
+
+@query()
+def viterbi_alignment(spark, sf):
+    return reports.alignment(*_sample(spark, sf))
+
+
+@query()
+def viterbi_trees(spark, sf):
+    return reports.best_trees(*_sample(spark, sf))
+
+
+@query()
+def viterbi_used_probs(spark, sf):
+    return reports.used_probs(*_sample(spark, sf))
+
+
+@query()
+def phrase_report(spark, sf):
+    return reports.phrases(*_sample(spark, sf))
+
+
+@query()
+def fert_zero_report(spark, sf):
+    return reports.zero_fertility(*_sample(spark, sf))

@@ -1 +1 @@
-"""Preparation of parsed parallel corpora and tree-to-string model training on Spark."""
+"""No operator here works on streams: corpora are files that are read to their end."""
