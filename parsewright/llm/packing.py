@@ -19,7 +19,9 @@ places; a null doc_id stays null; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,14 @@ from pyspark.sql import Window as W
 
 from . import common, pretokens
 
-CACHE = 200_000
+CACHE = 400_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level BPE writes each byte: printable Latin-1 as itself, the others from U+0100 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 def fillings(counts: np.ndarray, room: int, most: int = 64, steps: int = 4000) -> list[tuple[int, dict[int, int]]]:
@@ -98,7 +107,7 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def solve(counts: np.ndarray, capacity: int, nodes: int = 60) -> list[tuple[int, dict[int, int]]]:
+def solve(counts: np.ndarray, capacity: int, nodes: int = 12) -> list[tuple[int, dict[int, int]]]:
     """Patterns (times, {length: pieces}) that pack all counts, within few sequences more than the lower bound at most."""
     counts = counts.astype(np.int64).copy()
     bound, total = lower_bound(counts, capacity), int((np.arange(capacity + 1) * counts).sum())
@@ -177,6 +186,14 @@ def place(lengths: np.ndarray, ranks: np.ndarray, table: dict[int, np.ndarray])
     return sequence, offset
 
 
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32. Ids are made per distinct pre-token of a task and joined as bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -184,11 +201,18 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, tokenizer = pretokens.cutter(path), pretokens.load_tokenizer(path)
-        cache: dict[str, bytes] = {}
+        model, of_byte = tokenizer.model, byte_letters()
+        specials = {t.content: k for k, t in tokenizer.get_added_tokens_decoder().items()}
 
         class Ids(dict):
+            """Ids of a pre-token as bytes, by the library's BPE model itself: its merges need no second look at the text."""
+
             def __missing__(self, word: str) -> bytes:
-                ids = np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+                if word in specials:
+                    found = [specials[word]]
+                else:
+                    found = [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(of_byte))]
+                ids = little(found)
                 if len(self) >= CACHE:
                     self.clear()
                 self[word] = ids
@@ -217,7 +241,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
     return docs.mapInArrow(run, T._parse_datatype_string(f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"))
 
 
-def pack(pieces: DataFrame, capacity: int, nodes: int = 60) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, nodes: int = 12) -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces with a ``length`` from 1 to ``capacity``."""
     spark = pieces.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -255,7 +279,7 @@ def pack(pieces: DataFrame, capacity: int, nodes: int = 60) -> DataFrame:
     return ranked.select(*names, "bucket", "rank").mapInArrow(run, out)
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, nodes: int = 60) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, nodes: int = 12) -> DataFrame:
     """Tokenizes, cuts what is longer than a sequence, and packs all pieces."""
     shared = common.Shared(docs.sparkSession)
     docs = common.columns(docs, "doc_id", "text")
