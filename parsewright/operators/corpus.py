@@ -119,3 +119,30 @@ def rule_frequencies(pairs: DataFrame) -> DataFrame:
 def join_parses(parses: DataFrame, foreign: DataFrame, key: str = "sent_id") -> DataFrame:
     """Trees that parsed with their foreign lines, by sentence key."""
     return parses.filter("parse_ok").select(key, "e_tree").join(foreign.select(key, "f"), key)
+
+
+TOO_LONG_HEAD = "SentenceTooLong"
+
+
+def btx(pairs: DataFrame, edits, most: int, tree: str = "tree") -> DataFrame:
+    """Pairs of a string-labelled tree and a sentence whose edited tree has at most ``most`` children a node.
+
+    Trees of over-long sentences leave; a lone leaf prints in parentheses; the other columns stay.
+    """
+    from . import transforms
+
+    root = F.regexp_extract(tree, r"^\s*[(\[]?([^\s()\[\]]+)", 1)
+    edited = pairs.withColumn("_edited", transforms.edit(F.col(tree), edits)).withColumn("_most", F.coalesce(F.array_max(transforms.child_counts(F.col(tree), edits)), F.lit(0)))
+    kept = edited.filter(F.col("_edited").isNotNull() & (F.col("_most") <= most) & ~root.rlike(rf"(^|~){TOO_LONG_HEAD}(~|/|$)"))
+    shown = F.when(F.col("_edited").startswith("("), F.col("_edited")).otherwise(F.concat(F.lit("("), F.col("_edited"), F.lit(")")))
+    return kept.withColumn(tree, shown).drop("_edited", "_most")
+
+
+def concat_files(spark, paths: list[str]) -> DataFrame:
+    """(file, n, line) of several text files as one corpus."""
+    from parsewright.sources.formats import numbered_lines
+
+    out = numbered_lines(spark, paths[0])
+    for path in paths[1:]:
+        out = out.unionByName(numbered_lines(spark, path))
+    return out

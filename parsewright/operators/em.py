@@ -33,7 +33,9 @@ class Config:
     train_floor: float = 0.0
     test_floor: float = 1e-5
     align_floor: float = 0.0
-    reset_lambda: bool = False  # the reference behaviour lets lambda1 counts add up over iterations
+    reset_lambda: bool = False  # by default lambda1 counts add up over iterations
+
+    frozen: tuple[str, ...] = ()  # tables that training leaves as they are: t, lambda1, r, n
 
     @property
     def band(self) -> Band:
@@ -276,7 +278,34 @@ def update(model: Model, sums: DataFrame) -> Model:
         insword = words.join(F.broadcast(total), F.col("_total") > 0).select("word", (F.col("cnt") / F.col("_total")).alias("prob"))  # one row
     else:
         n, insword = params.normalize(ins, ["ctx"]), None
-    return Model(c, model.allowed, t, fert, l1, r, n, insword, False)
+    made = Model(c, model.allowed, t, fert, l1, r, n, insword, False)
+    for name in c.frozen:
+        for table in {"t": ("t", "fert"), "n": ("n", "insword")}.get(name, (name,)):
+            setattr(made, table, getattr(model, table))
+    return made
+
+
+def from_dumps(config: Config, t_rows: DataFrame, rn_rows: DataFrame) -> Model:
+    """A model from rows of the ``ttable`` and ``rntable`` sources."""
+    t = t_rows.filter("kind = 't'").select("e", "f", "prob")
+    fert = t_rows.filter("kind = 'fert'").select("e", "n", "prob")
+    l1 = t_rows.filter("kind = 'lambda1'").select("e", "prob", F.lit(0.0).alias("cnt"), F.lit(0.0).alias("ncnt"))
+    r = rn_rows.filter("kind = 'r'").select("rule", F.col("i").alias("perm"), "prob")
+    sides = rn_rows.filter("kind = 'n'").select(F.concat_ws("|", "rule", F.col("i").cast("string")).alias("ctx"), "ins", "word", "prob")
+    words = rn_rows.filter("kind = 'insword'").select("word", "prob") if config.shared_words else None
+    return Model(config, None, t, fert, l1, r, sides.drop("word") if config.shared_words else sides, words, False)
+
+
+def read_config(*texts: str) -> dict[str, str]:
+    """``Name="value"`` lines of several configuration texts; later ones override; # starts a comment."""
+    out: dict[str, str] = {}
+    for text in texts:
+        for line in text.splitlines():
+            line = line.split("#", 1)[0].strip()
+            if "=" in line:
+                name, _, value = line.partition("=")
+                out[name.strip()] = value.strip().strip("\"'")
+    return out
 
 
 def perplexity(probs: DataFrame) -> DataFrame:

@@ -85,7 +85,8 @@ def n_uniform(rules: DataFrame) -> DataFrame:
     """(ctx, ins, prob): a third for no, right and left insertion at every child of every rule and under TOP."""
     top = rules.select(F.concat(F.lit("0 "), F.get(F.split("rule", " "), F.lit(0))).alias("rule"), F.lit(1).alias("numc"))
     rows = rules.select("rule", F.col("numc").cast("int").alias("numc")).unionByName(top).distinct()
-    at = rows.select(F.concat_ws("|", "rule", F.explode(F.sequence(F.lit(0), F.col("numc") - 1)).cast("string")).alias("ctx"))
+    at = rows.select("rule", F.explode(F.sequence(F.lit(0), F.col("numc") - 1)).alias("pos"))
+    at = at.select(F.concat_ws("|", "rule", F.col("pos").cast("string")).alias("ctx"))
     return at.select("ctx", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("ins"), F.lit(1.0 / 3).alias("prob"))
 
 
@@ -120,3 +121,31 @@ def fert_dump(fert: DataFrame) -> DataFrame:
 
 def ratio_window(counts: DataFrame, by: list[str], value: str = "cnt") -> Column:
     return F.col(value) / F.sum(value).over(W.partitionBy(*by))
+
+
+def t_lookup(keys: DataFrame, table: DataFrame | None, single_words: bool = False) -> DataFrame:
+    """Adds the stored prob, 0 where there is none. ``single_words``: only one E word with at most one F word has one.
+
+    Without a table every prob is 0.
+    """
+    if table is None:
+        return keys.withColumn("prob", F.lit(0.0))
+    rows = keys.join(table.select("e", "f", F.col("prob").alias("_p")), ["e", "f"], "left")
+    prob = F.coalesce("_p", F.lit(0.0))
+    if single_words:
+        prob = F.when((words_in(F.col("e")) == 1) & (words_in(F.col("f")) <= 1), prob).otherwise(F.lit(0.0))
+    return rows.withColumn("prob", prob).drop("_p")
+
+
+def r_lookup(keys: DataFrame, r: DataFrame | None) -> DataFrame:
+    """Adds prob to (rule, perm, is_leaf): 1 at a leaf; EQUAL without a table (the equal-probability start); else what is stored."""
+    if r is None:
+        return keys.withColumn("prob", F.when(F.col("is_leaf"), F.lit(1.0)).otherwise(F.lit(EQUAL)))
+    rows = keys.join(r.select("rule", "perm", F.col("prob").alias("_p")), ["rule", "perm"], "left")
+    return rows.withColumn("prob", F.when(F.col("is_leaf"), F.lit(1.0)).otherwise(F.coalesce("_p", F.lit(0.0)))).drop("_p")
+
+
+def insword_uniform(vocab_f: DataFrame) -> DataFrame:
+    """(word, prob): equal shares over the ids of a vocabulary."""
+    total = F.broadcast(vocab_f.agg(F.count(F.lit(1)).alias("_n")))  # one row
+    return vocab_f.join(total, F.col("_n") > 0).select(F.col("id").cast("string").alias("word"), (F.lit(1.0) / F.col("_n")).alias("prob"))

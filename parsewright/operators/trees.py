@@ -109,3 +109,18 @@ def replace_heads(nodes_col: Column, tree: Column, max_id: int, unk: int = 1) ->
     tokens = F.regexp_extract_all(tree, F.lit(r"[() ]|[^() ]+"), F.lit(0))
     fixed = F.transform(tokens, lambda t: F.when(t.rlike(r"^\d+/") & (F.get(F.split(t, "/"), F.lit(0)).cast("int") > max_id), F.concat(F.lit(f"{unk}/"), F.get(F.split(t, "/"), F.lit(1)))).otherwise(t))
     return F.array_join(fixed, "")
+
+
+def to_text(nodes_col: Column) -> Column:
+    """An array of node structs (as ``node_array`` makes it) back to its s-expression.
+
+    A node opens at its place in preorder; as many parentheses close after a node as inner nodes end with it.
+    """
+    n = F.col(nodes_col) if isinstance(nodes_col, str) else nodes_col
+
+    def one(x: Column) -> Column:
+        open_ = F.when(x["is_leaf"], F.lit("")).otherwise(F.lit("("))
+        ends = F.size(F.filter(n, lambda y: ~y["is_leaf"] & (y["last"] == x["node_id"] + 1)))
+        return F.concat(open_, x["label"], F.repeat(F.lit(")"), ends))
+
+    return F.array_join(F.transform(n, one), " ")

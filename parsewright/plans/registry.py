@@ -247,8 +247,40 @@ def join_parses(spark, sf):
     return corpus.join_parses(parses, foreign).select(F.col("sent_id").alias("pair_id"), "e_tree", F.get("f", F.lit(0)).alias("first"))
 
 
+@query("SELECT pair_id, e_tree FROM pairs")
+def tree_serialize(spark, sf):
+    """Trees read to nodes and written back."""
+    return trees.with_nodes(pairs(spark, sf)).select("pair_id", trees.to_text(F.col("nodes")).alias("e_tree"))
+
+
 # Parameters
 
+@query("SELECT CAST(id AS VARCHAR) AS word, round(1.0::DOUBLE / count(*) OVER (), 9) AS prob FROM vf")
+def insword_uniform(spark, sf):
+    return params.insword_uniform(vocab.vocabulary(words(spark, sf), "f_words")).withColumn("prob", F.round("prob", 9))
+
+
+@query("""SELECT rule || '|' || pos AS ctx, ins, round(1 / 3.0::DOUBLE, 9) AS prob FROM (SELECT DISTINCT rule, numc FROM rules UNION SELECT DISTINCT '0 ' || string_split(rule, ' ')[1], 1 FROM rules),
+          LATERAL (SELECT unnest(range(0, numc)) AS pos), LATERAL (SELECT unnest([0, 1, 2]) AS ins)""")
+def n_uniform(spark, sf):
+    return params.n_uniform(_rules(spark, sf).select("rule", "numc").distinct()).withColumn("prob", F.round("prob", 9))
+
+
+@query("SELECT cooc.e, cooc.f, CASE WHEN NOT contains(cooc.e, ' ') AND NOT contains(cooc.f, ' ') AND cut.e IS NOT NULL THEN round(1.0::DOUBLE / n, 9) ELSE 0 END AS prob FROM cooc LEFT JOIN (SELECT e, f, 1 + count(*) OVER (PARTITION BY e) AS n FROM cut) cut ON cut.e = cooc.e AND cut.f = cooc.f")
+def t_lookup_single_words(spark, sf):
+    counts = _cooc(spark, sf)
+    return params.t_lookup(counts.select("e", "f"), params.t_uniform(corpus.phrase_cutoff(counts)), single_words=True).withColumn("prob", F.round("prob", 9))
+
+
+@query("SELECT pair_id, node_id, perm, CASE WHEN perm = 0 THEN round(1 / 24.0::DOUBLE, 9) ELSE 0 END AS prob FROM (SELECT pair_id, node_id, rule, unnest([0, 9]) AS perm FROM rules) UNION ALL SELECT pair_id, node_id, 0, 1 FROM nodes WHERE is_leaf")
+def r_lookup(spark, sf):
+    rules = _rules(spark, sf)
+    keys = rules.select("pair_id", "node_id", "rule", F.explode(F.array(F.lit(0), F.lit(9))).alias("perm"), F.lit(False).alias("is_leaf"))
+    leaves = _nodes(spark, sf).filter("is_leaf").select("pair_id", "node_id", F.lit("").alias("rule"), F.lit(0).alias("perm"), "is_leaf")
+    table = params.r_uniform(rules.select("rule", "numc").distinct())
+    return params.r_lookup(keys.unionByName(leaves), table).select("pair_id", "node_id", "perm", F.round("prob", 9).alias("prob"))
+
+
 @query("SELECT e, f, round(1.0::DOUBLE / count(*) OVER (PARTITION BY e), 9) AS prob FROM (SELECT e, f FROM cut UNION ALL SELECT DISTINCT e, '0' FROM cut)")
 def t_init_uniform(spark, sf):
     return params.t_uniform(corpus.phrase_cutoff(_cooc(spark, sf))).withColumn("prob", F.round("prob", 9))
@@ -459,6 +491,13 @@ def tree_rule_list(spark, sf):
     return _labelled(spark, sf).select("pair_id", F.explode(transforms.rule_lines(F.col("tree"), transforms.Edits(("conv",), PUNCT))).alias("line"))
 
 
+@query("SELECT pair_id, '(' || e_words[1] || '/TOP (' || e_words[1] || '/VP ' || array_to_string(e_words, '/NN ') || '/NN ./PUNC))' AS tree, f_words[1] AS first FROM wp WHERE len(e_words) <= 3")
+def tree_sentence_filter(spark, sf):
+    """Trees with at most four children a node, with their sentences."""
+    rows = _labelled(spark, sf).join(words(spark, sf).select("pair_id", F.get("f_words", F.lit(0)).alias("first")), "pair_id")
+    return corpus.btx(rows, transforms.Edits(("conv",), PUNCT), 4)
+
+
 @query("SELECT pair_id, '(seen/VB (he/NPB he/NN) ' || CASE WHEN len(e_words) > 1 THEN array_to_string(e_words[2:], '/NN ') || '/NN ' ELSE '' END || 'seen/VBN)' AS tree FROM wp")
 def tree_passive_aux(spark, sf):
     """(VP was (NPB he) (VP-A/VB seen ... )): the passive's inner verb takes over."""

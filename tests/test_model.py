@@ -127,3 +127,32 @@ def test_bad_record(spark, tmp_path):
     (tmp_path / "x").write_text("1/2\n3\nnot blank\n")
     with pytest.raises(Exception, match="blank"):
         spark.read.format("bxi").load(str(tmp_path / "x")).collect()
+
+
+def test_frozen_tables_stay(spark, pairs):
+    first = em.train(pairs, config=plain(iterations=1)).model
+    again = em.train(pairs, config=plain(iterations=1, frozen=("t", "n")), start=em.Model(plain(iterations=1, frozen=("t", "n")), t=first.t, r=first.r, n=first.n, insword=first.insword, equal=False)).model
+    key = lambda m: sorted(map(tuple, m.t.collect()))
+    assert key(again) == key(first)
+
+
+def test_model_from_dumps(spark, pairs, tmp_path):
+    formats.register(spark)
+    model = em.train(pairs, config=plain(iterations=2)).model
+    formats.write_ttable(model.t, None, None, str(tmp_path / "t"))
+    formats.write_rntable(model.r, model.n, model.insword, str(tmp_path / "rn"))
+    back = em.from_dumps(plain(), spark.read.format("ttable").load(str(tmp_path / "t")), spark.read.format("rntable").load(str(tmp_path / "rn")))
+    key = lambda m: sorted(map(tuple, reports.alignment(pairs, m).collect()))
+    assert key(back) == key(model)
+
+
+def test_config_files():
+    assert em.read_config('A="1" # note\nB=2\n# C=3', "B='4'") == {"A": "1", "B": "4"}
+
+
+def test_sentence_filter(spark):
+    from parsewright.operators import transforms
+
+    rows = [(1, "(S~a~1~1 a/A b/B c/C)", "x"), (2, "(S~a~1~1 a/A b/B)", "y"), (3, "(TOP~SentenceTooLong~1~1 SentenceTooLong/NN)", "z"), (4, "a/A", "w"), (5, None, "v")]
+    out = corpus.btx(spark.createDataFrame(rows, "n int, tree string, f string"), transforms.Edits(()), 2)
+    assert sorted(map(tuple, out.collect())) == [(2, "(a/S a/A b/B)", "y"), (4, "(a/A)", "w")]
