@@ -77,7 +77,7 @@ def spans(pairs: DataFrame, band: Band = DEFAULT_BAND, with_null: bool = False)
 
     ``with_null``: one-word nodes also meet the empty word ``0`` (fpos 0, flen 0).
     """
-    rows = trees.with_nodes(pairs)
+    rows = pairs if "nodes" in pairs.columns else trees.with_nodes(pairs)
     words = trees.words_of(F.col("nodes"))
     rows = rows.select("pair_id", "f", words.alias("_e"), F.explode(F.filter("nodes", lambda n: n["numc"] != 1)).alias("n"))
     rows = rows.select("pair_id", "f", F.col("n.epos").alias("epos"), F.col("n.elen").alias("elen"), F.array_join(F.slice("_e", F.col("n.epos") + 1, F.col("n.elen")).cast("array<string>"), " ").alias("e"))

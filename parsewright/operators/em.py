@@ -60,39 +60,68 @@ class Model:
     equal: bool = True
 
 
-STATIC = "pair_id long, ok boolean, n_e int"
-
-
-def prepare(pairs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """(pairs with nodes and whether they fit, lookup keys of all their stretches). Made once, used in every iteration."""
+def fitting(pairs: DataFrame, config: Config) -> DataFrame:
+    """(pair_id, f, nodes, n_e, ok): trees read, and whether the pair fits the limits."""
     rows = trees.with_nodes(pairs.select("pair_id", "e_tree", "f"))
     leaves = F.size(trees.words_of(F.col("nodes")))
     ok = sentence_ok(F.size("nodes"), leaves, F.size("f"), config.band.columns(leaves)[1], config.lambda1 is None or config.lambda1 != 0, config.lambda2 != 0)
     rows = rows.withColumn("n_e", leaves).withColumn("ok", ok & (F.coalesce(F.get("f", F.lit(0)), F.lit(1)) != 0))  # F led by a 0 is a manual skip
-    keys = corpus.spans(rows.filter("ok").select("pair_id", "e_tree", "f"), config.band, with_null=True)
-    return rows.select("pair_id", "f", "nodes", "n_e", "ok"), keys
+    return rows.select("pair_id", "f", "nodes", "n_e", "ok")
+
+
+def stretches(rows: DataFrame, config: Config) -> DataFrame:
+    """The lookup keys of all fitting pairs. They stay the same over iterations."""
+    return corpus.spans(rows.filter("ok").select("pair_id", "f", "nodes"), config.band, with_null=True)
+
+
+def prepare(pairs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    rows = fitting(pairs, config)
+    return rows, stretches(rows, config)
+
+
+def written(pairs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """As ``prepare``, each written once: trees are read once for all iterations."""
+    rows = checkpointed(fitting(pairs, config))
+    # fertility tables need stretches in the first phase alone
+    return rows, checkpointed(stretches(rows, config))
 
 
 def lookup(keys: DataFrame, model: Model) -> DataFrame:
-    """Adds prob to the stretches; those of probability 0 leave."""
+    """Adds prob to the stretches; those of probability 0 leave. Not for fertility tables, whose products the chart takes."""
     c = model.config
     if model.equal:
         rows = params.t_lookup_equal(keys, model.allowed, c.cutoff, c.fertility) if model.allowed is not None else params.t_lookup_equal(keys, keys.select("e", "f").limit(0), False, c.fertility)
-    elif c.fertility:
-        rows = params.fertility_prob(keys, model.t, model.fert, ["pair_id", "epos", "elen", "fpos", "flen"])
     else:
         rows = keys.join(model.t.select("e", "f", "prob"), ["e", "f"])
     return rows.filter("prob > 0")
 
 
+def phrases(rows: DataFrame) -> DataFrame:
+    """(pair_id, f, epos, elen, e) of the non-unary nodes of fitting pairs, whose spans are distinct; made inside each row."""
+    made = rows.filter("ok").select("pair_id", "f", trees.words_of(F.col("nodes")).alias("_e"), F.explode(F.filter("nodes", lambda n: n["numc"] != 1)).alias("n"))
+    e = F.array_join(F.slice("_e", F.col("n.epos") + 1, F.col("n.elen")).cast("array<string>"), " ")
+    return made.select("pair_id", "f", F.col("n.epos").alias("epos"), F.col("n.elen").alias("elen"), e.alias("e"))
+
+
 def gathered(rows: DataFrame, keys: DataFrame, model: Model) -> DataFrame:
-    """A row for each fitting pair with all parameters that its chart needs. Gathering is bounded by the pair limits."""
+    """A row for each fitting pair with all parameters that its chart needs. Gathering is bounded by the pair limits.
+
+    Under fertility the single-word entries and the fertilities of a pair's phrases are gathered, not its stretches.
+    """
     c = model.config
-    t = lookup(keys, model).groupBy("pair_id").agg(F.collect_list(F.struct("epos", "elen", "fpos", "flen", "prob")).alias("t"))
-    out = rows.filter("ok").join(t, "pair_id", "left")
+    by_word = c.fertility and not model.equal
+    out = rows.filter("ok")
+    if by_word:
+        words = phrases(rows).select("pair_id", "epos", "elen", "e", F.explode(F.array_distinct("f").cast("array<string>")).alias("f"))
+        t = words.join(model.t.select("e", "f", "prob"), ["e", "f"]).groupBy("pair_id").agg(F.collect_list(F.struct("epos", "elen", "f", "prob")).alias("tw"))
+        fert = phrases(rows).select("pair_id", "epos", "elen", "e").join(model.fert.select("e", "n", "prob"), "e").groupBy("pair_id").agg(F.collect_list(F.struct("epos", "elen", "n", "prob")).alias("fert"))
+        out = out.join(t, "pair_id", "left").join(fert, "pair_id", "left").withColumn("t", F.lit(None).cast("array<struct<epos:int,elen:int,fpos:int,flen:int,prob:double>>"))
+    else:
+        t = lookup(keys, model).groupBy("pair_id").agg(F.collect_list(F.struct("epos", "elen", "fpos", "flen", "prob")).alias("t"))
+        out = out.join(t, "pair_id", "left").withColumn("tw", F.lit(None).cast("array<struct<epos:int,elen:int,f:string,prob:double>>")).withColumn("fert", F.lit(None).cast("array<struct<epos:int,elen:int,n:int,prob:double>>"))
     if c.lambda1 is None:
-        phrases = keys.filter("elen > 1").select("pair_id", "epos", "elen", "e").distinct()
-        l1 = params.lambda1_lookup(phrases, model.lambda1 if model.lambda1 is not None else model.allowed.select("e", F.lit(0.0).alias("prob")).distinct(), model.equal, c.cutoff and model.allowed is not None)
+        longer = phrases(rows).filter("elen > 1").select("pair_id", "epos", "elen", "e")
+        l1 = params.lambda1_lookup(longer, model.lambda1 if model.lambda1 is not None else model.allowed.select("e", F.lit(0.0).alias("prob")).distinct(), model.equal, c.cutoff and model.allowed is not None)
         out = out.join(l1.groupBy("pair_id").agg(F.collect_list(F.struct("epos", "elen", "l1")).alias("l1")), "pair_id", "left")
     else:
         out = out.withColumn("l1", F.lit(None).cast("array<struct<epos:int,elen:int,l1:double>>"))
@@ -105,7 +134,6 @@ def gathered(rows: DataFrame, keys: DataFrame, model: Model) -> DataFrame:
     r = model.r.groupBy("rule").agg(F.transform(F.sort_array(F.collect_list(F.struct("perm", "prob"))), lambda x: x["prob"]).alias("p"))
     out = out.join(used.join(r, "rule").groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct("rule", "p"))).alias("r")), "pair_id", "left")
     ctx = contexts(rows, c).select("pair_id", "ctx").distinct()
-    sides = model.n.groupBy("ctx").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "ins", "word").alias("k"), F.col("prob").alias("v")))).alias("p")) if not c.shared_words else None
     if c.shared_words:
         side = model.n.groupBy("ctx").agg(*[F.sum(F.when(F.col("ins") == k, F.col("prob")).otherwise(0.0)).alias(f"s{k}") for k in range(3)])
         n = ctx.join(side, "ctx").groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct("ctx", F.array("s0", "s1", "s2").alias("p")))).alias("n"))
@@ -114,7 +142,6 @@ def gathered(rows: DataFrame, keys: DataFrame, model: Model) -> DataFrame:
         return out.join(words.groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "prob"))).alias("words")), "pair_id", "left")
     # full tables: only the words of the pair itself
     words = rows.filter("ok").select("pair_id", F.explode(F.array_distinct(F.concat(F.array(F.lit(0)), F.col("f"))).cast("array<string>")).alias("word"))
-    del sides
     full = ctx.join(words, "pair_id").join(model.n, ["ctx", "word"])
     keyed = full.groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("#", "ctx", "ins", "word").alias("k"), F.array("prob").alias("v")))).alias("n"))
     return out.join(keyed, "pair_id", "left").withColumn("words", F.lit(None).cast("map<string,double>"))
@@ -136,6 +163,41 @@ def contexts(rows: DataFrame, c: Config) -> DataFrame:
     return rows.filter("ok").select("pair_id", F.inline(made))
 
 
+GATHERED = ("pair_id", "f", "nodes", "n_e", "t", "tw", "fert", "l1", "r", "n", "words")
+
+
+def translations(row, config: Config) -> dict[tuple[int, int], np.ndarray]:
+    """[first, length] of every phrase's stretches, by (epos, elen); [0, 0] is the empty word."""
+    f = [str(int(x)) for x in row.f]
+    n = len(f)
+    out: dict[tuple[int, int], np.ndarray] = {}
+    for x in row.t if row.t is not None else ():
+        key = (x["epos"], x["elen"])
+        if key not in out:
+            out[key] = np.zeros((n + 1, n + 1))
+        out[key][x["fpos"], x["flen"]] = x["prob"]
+    if row.fert is None:
+        return out
+    words: dict[tuple[int, int], dict[str, float]] = {}
+    for x in row.tw if row.tw is not None else ():
+        words.setdefault((x["epos"], x["elen"]), {})[x["f"]] = x["prob"]
+    for x in row.fert:
+        key, m = (x["epos"], x["elen"]), x["n"]
+        low, high = config.band.of(key[1])
+        if m > n or not (low <= m <= high or (m == 0 and key[1] == 1)):
+            continue
+        t = out.setdefault(key, np.zeros((n + 1, n + 1)))
+        if m == 0:
+            t[0, 0] = x["prob"]
+            continue
+        one = np.array([words.get(key, {}).get(w, 0.0) for w in f])
+        product = np.ones(n - m + 1)
+        for k in range(m):
+            product = product * one[k : n - m + 1 + k]
+        t[: n - m + 1, m] = x["prob"] * product
+    return out
+
+
 def as_map(value) -> dict:
     return {} if value is None else dict(value)
 
@@ -152,12 +214,7 @@ def build(row, config: Config, equal: bool, floor: float) -> tuple[Chart, list[s
     symbol = [x["symbol"] for x in listed]
     r, nn, words = as_map(row.r), as_map(row.n), as_map(row.words)
     l1 = {(x["epos"], x["elen"]): x["l1"] for x in row.l1} if row.l1 is not None else {}
-    t_of: dict[tuple[int, int], np.ndarray] = {}
-    for x in row.t if row.t is not None else ():
-        key = (x["epos"], x["elen"])
-        if key not in t_of:
-            t_of[key] = np.zeros((n + 1, n + 1))
-        t_of[key][x["fpos"], x["flen"]] = x["prob"]
+    t_of = translations(row, config)
     nodes, t, rules, ctxs = [], [], [], []
     for k, x in enumerate(listed):
         parent = x["parent_id"]
@@ -217,21 +274,20 @@ def events(data: DataFrame, config: Config, equal: bool, floor: float, count: bo
                     out += [(*e, row.pair_id) for e in row_counts(chart, rules, ctxs, row, config)]
             yield pd.DataFrame(out, columns=["kind", "a", "b", "i", "cnt", "pair_id"])
 
-    return data.select("pair_id", "f", "nodes", "n_e", "t", "l1", "r", "n", "words").mapInPandas(run, EVENTS)
+    return data.select(*GATHERED).mapInPandas(run, EVENTS)
 
 
 def row_counts(chart: Chart, rules: list, ctxs: list, row, config: Config) -> Iterator[tuple]:
     c = chart.counts()
     f = [str(int(x)) for x in row.f]
     heads = [str(int(x["head"])) for x in row.nodes if x["is_leaf"]]
-    sent = {(x["epos"], x["elen"], x["fpos"], x["flen"]) for x in row.t} if row.t is not None else set()
+    sent = translations(row, config)
     l1 = {(x["epos"], x["elen"]) for x in row.l1 if x["l1"] > 0} if row.l1 is not None else set()
     for v, node in enumerate(chart.nodes):
         e = " ".join(heads[node.epos : node.epos + node.elen])
-        if v in c.t:
-            for p, m in zip(*np.nonzero(c.t[v]), strict=True):
-                if m == 0 and (node.epos, 1, 0, 0) not in sent or m > 0 and (node.epos, node.elen, p, m) not in sent:
-                    continue  # what the tables did not send gets no count
+        if v in c.t and (node.epos, node.elen) in sent:
+            # what the tables did not hold, and only the floor made possible, gets no count
+            for p, m in zip(*np.nonzero((c.t[v] > 0) & (sent[node.epos, node.elen] > 0)), strict=True):
                 cnt = float(c.t[v][p, m])
                 stretch = f[p : p + m]
                 if config.fertility:
@@ -341,10 +397,9 @@ def train(pairs: DataFrame, allowed: DataFrame | None = None, test: DataFrame |
     """
     spark = pairs.sparkSession
     model = start or Model(config, allowed=allowed if allowed is None else checkpointed(allowed))
-    parts = {"train": prepare(pairs, config)}
+    parts = {"train": written(pairs, config)}
     if test is not None:
-        parts["test"] = prepare(test, config)
-    parts = {k: (checkpointed(a), checkpointed(b)) for k, (a, b) in parts.items()}
+        parts["test"] = written(test, config)
     bad = {k: a.filter("NOT ok").count() for k, (a, _) in parts.items()}
     history = []
 
@@ -375,7 +430,7 @@ def derivations(pairs: DataFrame, model: Model, make, schema: str, floor: float
     """Rows that ``make(row, viterbi, total)`` yields for the best derivation of every fitting pair."""
     config = model.config
     rows, keys = prepare(pairs, config)
-    data = gathered(rows, keys, model).select("pair_id", "f", "nodes", "n_e", "t", "l1", "r", "n", "words")
+    data = gathered(rows, keys, model).select(*GATHERED)
     low, equal = config.align_floor if floor is None else floor, model.equal
     from pyspark.sql import types as T
 

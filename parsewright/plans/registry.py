@@ -510,7 +510,7 @@ def tree_passive_aux(spark, sf):
 # Training: iterative, so without SQL.
 
 def _fit(spark, sf, iterations: int = 2) -> em.Fit:
-    rows = pairs(spark, sf).select("pair_id", "e_tree", "f")
+    rows = em.checkpointed(pairs(spark, sf).select("pair_id", "e_tree", "f"))  # the corpus is read again and again
     parts = corpus.split(rows)
     config = em.Config(iterations=iterations)
     train = parts.filter("split = 'train'").drop("split")
