@@ -33,7 +33,8 @@ from pyspark.sql import Window as W
 
 from . import common, pretokens
 
-CACHE = 400_000
+CACHE = 400_000  # pre-tokens whose ids a task keeps at hand
+MOST_BUCKETS = 1024  # so that the driver sees a million counts at most, whatever the cluster
 
 
 def byte_letters() -> dict[int, str]:
@@ -244,12 +245,12 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
 def pack(pieces: DataFrame, capacity: int, nodes: int = 12) -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces with a ``length`` from 1 to ``capacity``."""
     spark = pieces.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(MOST_BUCKETS, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     # Within a bucket rows are told apart by all they carry, so a lost task counts the same ranks again.
     order = [F.col(c) for c in pieces.columns]
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(*[F.col(c) for c in pieces.columns]), F.lit(buckets)).cast("int"))
     counted = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).groupBy("length").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"))
-    found = counted.collect()  # a row for each length: capacity rows at most, each of `buckets` pairs
+    found = counted.collect()  # a row for each length: capacity rows at most, each of MOST_BUCKETS pairs at most
     counts = np.zeros(capacity + 1, np.int64)
     starts = {}
     for r in found:
