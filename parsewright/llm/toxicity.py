@@ -64,7 +64,7 @@ class ToxicModel:
         if s is None:
             known = [self.scores[t] for t in word_tokens(word) if t in self.scores]
             s = max(known) if known else -self.drift
-            if len(self.cache) > 500_000:
+            if len(self.cache) > 150_000:
                 self.cache.clear()
             self.cache[word] = s
         return s
@@ -200,7 +200,7 @@ def count_labelled(docs: DataFrame, chosen: dict) -> DataFrame:
                         tokens[t] += n
                 (a if label[doc_id] else b).update(tokens)
                 (da if label[doc_id] else db).update(tokens.keys())
-            if len(a) + len(b) > 300_000:
+            if len(a) + len(b) > 100_000:
                 yield out()
         if a or b:
             yield out()
