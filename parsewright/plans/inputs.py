@@ -28,10 +28,10 @@ wp AS (
            regexp_extract_all(lower(f_text), '[a-z]+')[1:6] AS f_words
     FROM raw WHERE f_text IS NOT NULL)
   WHERE len(e_words) > 0 AND len(f_words) > 0),
-we AS (SELECT pair_id, unnest(e_words) AS word, unnest(range(len(e_words))) AS j, len(e_words) AS n FROM wp),
-wf AS (SELECT pair_id, unnest(f_words) AS word, unnest(range(len(f_words))) AS j, len(f_words) AS n FROM wp),
-ve AS (SELECT row_number() OVER (ORDER BY freq DESC, word) + 1 AS id, word, freq FROM (SELECT word, count(*) AS freq FROM we GROUP BY word)),
-vf AS (SELECT row_number() OVER (ORDER BY freq DESC, word) + 1 AS id, word, freq FROM (SELECT word, count(*) AS freq FROM wf GROUP BY word)),
+we AS (SELECT pair_id, unnest(e_words) AS word, CAST(unnest(range(len(e_words))) AS INT) AS j, CAST(len(e_words) AS INT) AS n FROM wp),
+wf AS (SELECT pair_id, unnest(f_words) AS word, CAST(unnest(range(len(f_words))) AS INT) AS j, CAST(len(f_words) AS INT) AS n FROM wp),
+ve AS (SELECT CAST(row_number() OVER (ORDER BY freq DESC, word) + 1 AS INT) AS id, word, freq FROM (SELECT word, count(*) AS freq FROM we GROUP BY word)),
+vf AS (SELECT CAST(row_number() OVER (ORDER BY freq DESC, word) + 1 AS INT) AS id, word, freq FROM (SELECT word, count(*) AS freq FROM wf GROUP BY word)),
 tok AS (SELECT pair_id, j, n, id, 4 + id % 3 AS sym FROM we JOIN ve USING (word)),
 tokf AS (SELECT pair_id, j, n, id FROM wf JOIN vf USING (word)),
 f AS (SELECT pair_id, list(id ORDER BY j) AS f FROM tokf GROUP BY pair_id),

@@ -48,7 +48,7 @@ def _rules(spark: SparkSession, sf: str) -> DataFrame:
 
 # Text
 
-@query("SELECT conv_id, turn, n - 1 AS n, " + text.duckdb_ptb("line") + " AS tokens FROM (SELECT conv_id, turn, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS n FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations))", base=False)
+@query("SELECT conv_id, turn, CAST(n - 1 AS INT) AS n, " + text.duckdb_ptb("line") + " AS tokens FROM (SELECT conv_id, turn, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS n FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations))", base=False)
 def tokenize_ptb(spark, sf):
     lines = conversations(spark, sf).select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     return lines.select("conv_id", "turn", "n", text.ptb_tokenize(F.col("line")).alias("tokens"))
@@ -109,7 +109,7 @@ def singleton_cutoff(spark, sf):
     return vocab.singleton_cutoff(vocab.vocabulary(words(spark, sf), "e_words"))
 
 
-@query("SELECT row_number() OVER (ORDER BY freq DESC, sym) AS id, sym, freq FROM (SELECT CAST(symbol AS VARCHAR) AS sym, count(*) AS freq FROM nodes GROUP BY 1)")
+@query("SELECT CAST(row_number() OVER (ORDER BY freq DESC, sym) AS INT) AS id, sym, freq FROM (SELECT CAST(symbol AS VARCHAR) AS sym, count(*) AS freq FROM nodes GROUP BY 1)")
 def symbol_table(spark, sf):
     return vocab.symbol_table(_nodes(spark, sf).select(F.col("symbol").cast("string").alias("symbol")))
 
@@ -191,7 +191,7 @@ def limit_children(spark, sf):
 
 
 @query("""SELECT pair_id, n_unk, array_to_string(list_transform(f, lambda x: CASE WHEN x > 200 THEN 1 ELSE x END), ' ') AS f
-          FROM pairs JOIN (SELECT pair_id, count(*) FILTER (id > 200 OR id = 1) AS n_unk FROM tok GROUP BY pair_id) USING (pair_id) WHERE len(f) < 7
+          FROM pairs JOIN (SELECT pair_id, CAST(count(*) FILTER (id > 200 OR id = 1) AS INT) AS n_unk FROM tok GROUP BY pair_id) USING (pair_id) WHERE len(f) < 7
           AND pair_id IN (SELECT pair_id FROM nodes GROUP BY pair_id HAVING max(numc) <= 2)""")
 def corpus_filter(spark, sf):
     out = corpus.corpus_filter(pairs(spark, sf), max_children=2, max_id=200, max_f=7)
@@ -226,7 +226,7 @@ def phrase_cutoff(spark, sf):
     return corpus.phrase_cutoff(_cooc(spark, sf))
 
 
-@query("SELECT CAST(string_split(e, ' ')[1] AS INT) % 20 AS shard, count(*) AS entries, sum(cnt) AS cnt FROM cooc GROUP BY 1")
+@query("SELECT CAST(string_split(e, ' ')[1] AS INT) % 20 AS shard, count(*) AS entries, CAST(sum(cnt) AS BIGINT) AS cnt FROM cooc GROUP BY 1")
 def shard_balance(spark, sf):
     return _cooc(spark, sf).groupBy(corpus.shard().alias("shard")).agg(F.count(F.lit(1)).alias("entries"), F.sum("cnt").alias("cnt"))
 
@@ -309,7 +309,7 @@ def _t_words(spark, sf) -> DataFrame:
     return params.normalize(counts, ["e"])
 
 
-FERT = "fert AS (SELECT e, n, cnt / sum(cnt) OVER (PARTITION BY e) AS prob FROM (SELECT e, len(string_split(f, ' ')) AS n, sum(cnt)::DOUBLE AS cnt FROM cooc GROUP BY 1, 2))"
+FERT = "fert AS (SELECT e, n, cnt / sum(cnt) OVER (PARTITION BY e) AS prob FROM (SELECT e, CAST(len(string_split(f, ' ')) AS INT) AS n, sum(cnt)::DOUBLE AS cnt FROM cooc GROUP BY 1, 2))"
 T_WORDS = "tw AS (SELECT e, w, cnt / sum(cnt) OVER (PARTITION BY e) AS prob FROM (SELECT e, w, sum(cnt)::DOUBLE AS cnt FROM (SELECT e, unnest(string_split(f, ' ')) AS w, cnt FROM cooc) GROUP BY 1, 2))"
 
 
@@ -335,7 +335,7 @@ def lambda1_normalize(spark, sf):
 
 
 @query("""SELECT rule, perm, round(1 / 24.0::DOUBLE, 9) AS prob FROM (SELECT DISTINCT rule, numc FROM rules UNION SELECT DISTINCT '0 ' || string_split(rule, ' ')[1], 1 FROM rules),
-          LATERAL (SELECT unnest(range(0, [1, 2, 6, 24][numc])) AS perm)""")
+          LATERAL (SELECT CAST(unnest(range(0, [1, 2, 6, 24][numc])) AS INT) AS perm)""")
 def r_uniform(spark, sf):
     return params.r_uniform(_rules(spark, sf).select("rule", "numc").distinct()).withColumn("prob", F.round("prob", 9))
 
@@ -387,7 +387,7 @@ def sentence_ok(spark, sf):
     return rows.select("pair_id", lengths.sentence_ok(F.size("nodes"), n_e, F.size("f"), lengths.DEFAULT_BAND.columns(n_e)[1]).alias("ok"))
 
 
-@query("SELECT count(*) AS pairs, 0 AS zero, sum(n_e) AS e_words, round(sum(log2(p)), 6) AS log2, round(power(2, -sum(log2(p)) / sum(n_e)), 6) AS perplexity FROM (SELECT power(0.1::DOUBLE, len(f)) AS p, len(e) AS n_e FROM pairs)")
+@query("SELECT count(*) AS pairs, 0 AS zero, CAST(sum(n_e) AS BIGINT) AS e_words, round(sum(log2(p)), 6) AS log2, round(power(2, -sum(log2(p)) / sum(n_e)), 6) AS perplexity FROM (SELECT power(0.1::DOUBLE, len(f)) AS p, len(e) AS n_e FROM pairs)")
 def perplexity(spark, sf):
     probs = pairs(spark, sf).select("pair_id", F.size("e").alias("n_e"), F.pow(F.lit(0.1), F.size("f")).alias("prob"))
     out = em.perplexity(probs)
