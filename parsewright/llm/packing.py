@@ -226,7 +226,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
             for part in common.slices(batch):
                 ids, piece, start, length, crc = [], [], [], [], []
                 for row, text in enumerate(common.texts_of(part)):
-                    data = b"".join(map(cache.__getitem__, cut(text))) + end
+                    data = b"".join(b"".join(map(cache.__getitem__, cut(t))) for t in pretokens.text_blocks(text)) + end
                     n = len(data)
                     at, k = 0, 0
                     stop = n % step or min(step, n)

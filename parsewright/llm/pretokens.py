@@ -11,7 +11,7 @@ import os
 import re
 import sys
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import regex
 
@@ -112,6 +112,26 @@ def cutter(path: str) -> Callable[[str], list[str]]:
     return cut_all
 
 
+BLOCK = 1 << 20
+_word_end = regex.compile(r"(?<=\S)\s").search
+
+
+def text_blocks(text: str, size: int = BLOCK) -> Iterator[str]:
+    """The text in parts of about ``size`` characters, so that a very long text's pre-tokens are never held all at once.
+
+    Parts end before white space that follows other characters. A pre-token starts there in any case, and nothing that
+    comes before looks further, so the parts' pre-tokens are the text's.
+    """
+    at, n = 0, len(text)
+    while n - at > size:
+        m = _word_end(text, at + size)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
 def default_path(name: str) -> str:
     import public_tokenizers
 

@@ -30,6 +30,7 @@ from . import common, graphs
 
 BITS = 64
 NO_ID = 1 << 62
+SHINGLES = 1 << 15  # hashed at a time, so that a very long text needs no more
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -37,20 +38,20 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     words = text.encode().lower().split()
     if not words:
         return 0
+    digest, data = xxhash.xxh64_intdigest, b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        data = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(data[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    n = len(hashes)
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(n, 8), axis=1)
-    lanes = bits.view(np.uint64)  # eight one-byte counters side by side; 255 rows can't overflow one
+        return digest(data, 42)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1]
+    ends = ends[shingle - 1 :]
+    n = len(starts)
     votes = np.zeros(BITS, np.int64)
-    for k in range(0, n, 255):
-        votes += lanes[k : k + 255].sum(axis=0, dtype=np.uint64).view(np.uint8)
+    for k in range(0, n, SHINGLES):
+        hashes = [digest(data[a:b], 42) for a, b in zip(starts[k : k + SHINGLES].tolist(), ends[k : k + SHINGLES].tolist(), strict=True)]
+        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(len(hashes), 8), axis=1)
+        lanes = bits.view(np.uint64)  # eight one-byte counters side by side; 255 rows can't overflow one
+        for j in range(0, len(hashes), 255):
+            votes += lanes[j : j + 255].sum(axis=0, dtype=np.uint64).view(np.uint8)
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 

@@ -31,6 +31,9 @@ def vocabulary(docs: DataFrame, path: str, held: int = 300_000) -> DataFrame:
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, seen = pretokens.cutter(path), Counter()
 
+        def distinct_of(text: str) -> set[str]:
+            return set().union(*(cut(t) for t in pretokens.text_blocks(text)))
+
         def out() -> pa.RecordBatch:
             made = pa.RecordBatch.from_pydict({"pretoken": pa.array(seen.keys(), pa.string()), "df": pa.array(seen.values(), pa.int64())})
             seen.clear()
@@ -39,7 +42,7 @@ def vocabulary(docs: DataFrame, path: str, held: int = 300_000) -> DataFrame:
         for batch in batches:
             for part in common.slices(batch):
                 for text in common.texts_of(part):
-                    seen.update(set(cut(text)))
+                    seen.update(distinct_of(text))
                     if len(seen) > held:
                         yield out()
         if seen:
@@ -90,7 +93,10 @@ def count_tokens(docs: DataFrame, path: str, frequent: int = 400_000, id_col: st
                 for text in common.texts_of(part):
                     raw = text.encode()
                     sums, rest = 0, []
-                    for word, f in Counter(cut(text)).items():
+                    counts: Counter = Counter()
+                    for block in pretokens.text_blocks(text):
+                        counts.update(cut(block))
+                    for word, f in counts.items():
                         n = pieces.get(word)
                         if n is None:
                             rest.append({"pretoken": word, "freq": f})

@@ -51,6 +51,15 @@ def test_pretokens_are_the_librarys(text):
         assert [i for w in pretokens.cutter(p)(text) for i in t.encode(w, add_special_tokens=False).ids] == t.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab'sS 1.\n\t<|>́ é"), max_size=60), st.integers(1, 9))
+def test_blocks_have_the_texts_pretokens(text, size):
+    assert "".join(pretokens.text_blocks(text, size)) == text
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        cut = pretokens.cutter(public.path(name))
+        assert [w for t in pretokens.text_blocks(text, size) for w in cut(t)] == cut(text)
+
+
 def test_packing(docs):
     p = public.path("byte_bpe_50k.json")
     rows = packing.pack_documents(docs, p, capacity=64).collect()

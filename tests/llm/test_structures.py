@@ -42,6 +42,15 @@ def brute_components(prints):
     return [find(k) for k in range(len(prints))]
 
 
+def test_fingerprint_in_blocks(monkeypatch):
+    rng = random.Random(5)
+    for n in (0, 1, 2, 3, 4, 40, 700):
+        text = " ".join(rng.choice(["Ab", "c", "É", "dd"]) for _ in range(n))
+        for size in (1, 7, 300, 1 << 15):
+            monkeypatch.setattr(simhash, "SHINGLES", size)
+            assert simhash.fingerprint(text) == brute_print(text)
+
+
 def test_masks_cover_every_pair():
     masks = simhash.covering_masks(3)
     rng = random.Random(1)
