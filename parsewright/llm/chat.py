@@ -98,7 +98,7 @@ def turn_nodes(conversations: DataFrame, path: str) -> DataFrame:
             last[9] = keys
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(last, arrow, strict=True)], schema=arrow)
 
-    return rows.mapInArrow(run, ROWS)
+    return common.map_arrow(rows, run, ROWS)
 
 
 def running(df: DataFrame, order: list[str], value: str | None, out: str, shared: common.Shared) -> DataFrame:
@@ -164,7 +164,7 @@ def emit(nodes: DataFrame, members: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
-    return along(nodes, members, wanted).mapInArrow(run, STREAM)
+    return common.map_arrow(along(nodes, members, wanted), run, STREAM)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
@@ -208,7 +208,7 @@ def read_back(nodes: DataFrame, members: DataFrame, path: str) -> DataFrame:
         if state is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(done(), arrow, strict=True)], schema=arrow)
 
-    return along(nodes, members, ["tokens", "body_start", "body_end", "loss"]).mapInArrow(run, DIGEST)
+    return common.map_arrow(along(nodes, members, ["tokens", "body_start", "body_end", "loss"]), run, DIGEST)
 
 
 CONTROL = "</s>[INST] ok [/INST]"

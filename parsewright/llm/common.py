@@ -80,21 +80,16 @@ def columns(df: DataFrame, *names: str, text: str | None = "text") -> DataFrame:
     return df.select(*[F.col(f"`{n}`").cast("string").alias(n) if n == text else F.col(f"`{n}`") for n in names])
 
 
-def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | None], schema: str, flush: Callable[[], dict | None] | None = None) -> DataFrame:
-    """mapInArrow with a function from a batch to columns. Batches are cut so that one never carries more than ``BATCH_BYTES``."""
-    kind = to_arrow(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                made = rows(part)
-                if made is not None:
-                    yield pa.RecordBatch.from_pydict(made, schema=kind)
-        if flush is not None:
-            made = flush()
-            if made is not None:
-                yield pa.RecordBatch.from_pydict(made, schema=kind)
-
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow with Arrow batches of bounded bytes.
+
+    Spark fills a batch up to 64 MB by default, which every running task then holds in the JVM and in Python. Sessions
+    that ask for more than BATCH_BYTES get BATCH_BYTES; smaller settings stay.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = int(str(conf.get(key)).rstrip("b"))
+    if not 0 < held <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 

@@ -259,7 +259,7 @@ def with_rare_seeds(docs: DataFrame, block: Block) -> Block:
         if seen:
             yield pa.RecordBatch.from_pydict({"seed": pa.array(seen.keys(), pa.int64()), "n": pa.array(seen.values(), pa.int64())})
 
-    counted = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    counted = common.map_arrow(docs.select("text"), count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
     block.set_rare({r["seed"]: r["n"] for r in counted.collect()})  # a row for each seed of the block
     return block
 
@@ -299,7 +299,7 @@ def _block(spark: SparkSession, docs: DataFrame, block: Block, schema: str) -> D
                         part.column("doc_id").take(pa.array([f[0] for f in found], pa.int64())), pa.array([b.items[f[1]][0] for f in found], arrow.field("item_id").type),
                         pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())], schema=arrow)
 
-    return docs.mapInArrow(align, schema)
+    return common.map_arrow(docs, align, schema)
 
 
 def clean(docs: DataFrame, bench: DataFrame, n: int = 3, least: float = 0.6, most_bytes: int = 2 << 20) -> DataFrame:
@@ -318,7 +318,7 @@ def clean(docs: DataFrame, bench: DataFrame, n: int = 3, least: float = 0.6, mos
                     held = {f[0] for f in match(common.texts_of(part))}
                     yield part.filter(pa.array([k not in held for k in range(part.num_rows)], pa.bool_())) if held else part
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = common.map_arrow(docs, keep, docs.schema)
     return docs
 
 

@@ -404,7 +404,7 @@ def extract(pages: DataFrame, trees: boosting.Boosted | None = None) -> DataFram
                         counts.append(len(kept))
                     yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int32())], schema=arrow)
 
-    return pages.mapInArrow(run, schema)
+    return common.map_arrow(pages, run, schema)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

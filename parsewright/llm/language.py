@@ -132,7 +132,7 @@ def fit(docs: DataFrame, train: Column | None = None, label: str = "lang", max_f
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.binary())], names=["lang", "x"])
 
-    got = picked.mapInArrow(run, "lang string, x binary").collect()  # max_fit rows of DIM half floats at most, but for chance
+    got = common.map_arrow(picked, run, "lang string, x binary").collect()  # max_fit rows of DIM half floats at most, but for chance
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     got = [r for k, r in enumerate(got) if not k or bytes(r["x"]) != bytes(got[k - 1]["x"])]  # copies count once
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, DIM), np.float32)
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 more = [pa.array([r[k] for r in made], f.type) for k, f in enumerate(list(arrow)[-3:])]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)] + more, schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return common.map_arrow(docs, run, schema)
 
 
 def in_fit() -> Column:

@@ -239,7 +239,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> Data
                         at, stop, k = stop, stop + step, k + 1
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], schema=arrow)
 
-    return docs.mapInArrow(run, T._parse_datatype_string(f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"))
+    return common.map_arrow(docs, run, T._parse_datatype_string(f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"))
 
 
 def pack(pieces: DataFrame, capacity: int, nodes: int = 12) -> DataFrame:
@@ -277,7 +277,7 @@ def pack(pieces: DataFrame, capacity: int, nodes: int = 12) -> DataFrame:
             sequence, offset = place(length, rank, places)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "bucket", "rank").mapInArrow(run, out)
+    return common.map_arrow(ranked.select(*names, "bucket", "rank"), run, out)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, nodes: int = 12) -> DataFrame:

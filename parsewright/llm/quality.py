@@ -119,7 +119,7 @@ def judge(docs: DataFrame, bands: Bands | None = None) -> DataFrame:
                 made = list(zip(*(measure(t, bands, compressor) for t in common.texts_of(part)), strict=True))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(v, f.type) for v, f in zip(made, list(arrow)[1:], strict=True))], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return common.map_arrow(docs, run, schema)
 
 
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

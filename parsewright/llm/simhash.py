@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 made = np.array([fingerprint(t, shingle) for t in common.texts_of(part)], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made)], names=["doc_id", "fp"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, fp long")
+    return common.map_arrow(docs, run, f"doc_id {kind}, fp long")
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -129,7 +129,7 @@ def block_links(keyed: DataFrame, radius: int, kind: str) -> DataFrame:
             a, b = edges(held, 0, len(held["fp"]))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return keyed.mapInArrow(run, "a long, b long")
+    return common.map_arrow(keyed, run, "a long, b long")
 
 
 def near_pairs(nodes: DataFrame, radius: int, total: int, chunk: int = 1024) -> DataFrame:

@@ -56,8 +56,8 @@ def vocabulary(docs: DataFrame, path: str, held: int = 300_000) -> DataFrame:
                 n = [len(e) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
                 yield pa.RecordBatch.from_arrays([part.column("pretoken"), part.column("df"), pa.array(n, pa.int64())], names=["pretoken", "df", "n"])
 
-    found = docs.select("text").mapInArrow(distinct, "pretoken string, df long").groupBy("pretoken").agg(F.sum("df").alias("df"))
-    return found.mapInArrow(pieces, VOCABULARY)
+    found = common.map_arrow(docs.select("text"), distinct, "pretoken string, df long").groupBy("pretoken").agg(F.sum("df").alias("df"))
+    return common.map_arrow(found, pieces, VOCABULARY)
 
 
 def frequent_bound(vocab: DataFrame, frequent: int) -> int:
@@ -114,7 +114,7 @@ def count_tokens(docs: DataFrame, path: str, frequent: int = 400_000, id_col: st
     none = F.lit(None).cast("long")
     head = F.struct(F.concat(F.lit(" "), F.hex("text_hash")).alias("pretoken"), F.lit(0).cast("long").alias("freq"), F.col("n_bytes").alias("n_bytes"), F.col("n_known").alias("n_known"))
     tail = F.transform("rest", lambda x: F.struct(x["pretoken"].alias("pretoken"), x["freq"].alias("freq"), none.alias("n_bytes"), none.alias("n_known")))
-    lines = docs.mapInArrow(split, schema).select("doc_id", "text_hash", F.explode(F.concat(F.array(head), tail)).alias("x")).select("doc_id", "text_hash", "x.*")
+    lines = common.map_arrow(docs, split, schema).select("doc_id", "text_hash", F.explode(F.concat(F.array(head), tail)).alias("x")).select("doc_id", "text_hash", "x.*")
     rest = vocab.filter(F.col("df") < least).select("pretoken", "n")
     sums = lines.join(rest, "pretoken", "left").groupBy("doc_id", "text_hash").agg(
         F.sum(F.col("freq") * F.coalesce(F.col("n"), F.lit(0))).alias("n_rest"), F.max("n_bytes").alias("n_bytes"), F.max("n_known").alias("n_known"), F.count("n_known").alias("times"))

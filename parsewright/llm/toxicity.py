@@ -164,7 +164,7 @@ def without_copies(docs: DataFrame, chosen: dict) -> dict:
     kind = docs.schema["doc_id"].dataType.simpleString()
     seen: set = set()
     out = {}
-    for r in sorted(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, h array<long>").collect(), key=lambda r: r["doc_id"]):
+    for r in sorted(common.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, h array<long>").collect(), key=lambda r: r["doc_id"]):
         keys = {(k, h, chosen[r["doc_id"]]) for k, h in enumerate(r["h"])}
         if not keys & seen:
             out[r["doc_id"]] = chosen[r["doc_id"]]
@@ -205,7 +205,7 @@ def count_labelled(docs: DataFrame, chosen: dict) -> DataFrame:
         if a or b:
             yield out()
 
-    parts = docs.mapInArrow(run, "token string, a long, b long, da long, db long")
+    parts = common.map_arrow(docs, run, "token string, a long, b long, da long, db long")
     return parts.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("a", "b", "da", "db")])
 
 
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, ma
                 found.append([(k, s) for k, w in enumerate(words) if (s := m.word_score(w)) != -m.drift])
             yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int32()), "n": pa.array(n, pa.int64()), "at": pa.array([[k for k, _ in x] for x in found], pa.list_(pa.int64())), "s": pa.array([[s for _, s in x] for x in found], pa.list_(pa.float64()))})
 
-    seen = docs.mapInArrow(run, "y int, n long, at array<long>, s array<double>").collect()
+    seen = common.map_arrow(docs, run, "y int, n long, at array<long>, s array<double>").collect()
     calibrate(model, [(r["y"], r["n"], list(zip(r["at"], r["s"], strict=True))) for r in seen])
     sent.unpersist()
     shared.drop("tokens")
@@ -340,7 +340,7 @@ def score(docs: DataFrame, model: ToxicModel, passages: bool = False) -> DataFra
                 more = [pa.array(scores, pa.float64()), pa.array(counts, pa.int32()), *([pa.array(found, pa.list_(pa.string()))] if passages else [])]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)] + more, schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return common.map_arrow(docs, run, schema)
 
 
 def in_fit() -> Column:
