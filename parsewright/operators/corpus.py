@@ -19,22 +19,35 @@ def raw_pairs(conversations: DataFrame) -> DataFrame:
     return rows.filter("f_text IS NOT NULL").withColumn("pair_id", F.col("conv_id") * 1000 + F.col("turn"))
 
 
-def word_pairs(conversations: DataFrame) -> DataFrame:
-    """(pair_id, e_words, f_words): lower-case ASCII words, short sentences of all lengths from one to six."""
+def word_pairs(conversations: DataFrame, whole: bool = False) -> DataFrame:
+    """(pair_id, e_words, f_words): lower-case ASCII words; all of them if ``whole``, else short sentences of one to six."""
     rows = raw_pairs(conversations)
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
+    if whole:
+        return rows.select("pair_id", words("e_text").alias("e_words"), words("f_text").alias("f_words")).filter("size(e_words) > 0 AND size(f_words) > 0")
     e = F.slice(words("e_text"), F.lit(1), (F.lit(1) + F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))).cast("int"))
     rows = rows.select("pair_id", e.alias("e_words"), F.slice(words("f_text"), 1, 6).alias("f_words"))
     return rows.filter("size(e_words) > 0 AND size(f_words) > 0")
 
 
 def tree_text(ids: Column) -> Column:
-    """A tree over word ids: chunks of two under symbol 3, root symbol 2, leaves ``id/(4 + id mod 3)``; one word: a leaf."""
+    """A tree over word ids: chunks of two under symbol 3, root symbol 2, leaves ``id/(4 + id mod 3)``; one word: a leaf.
+
+    A node has four children at most: from more chunks, three stay and the rest goes under a further symbol 2.
+    """
     leaf = lambda x: F.concat_ws("/", x.cast("string"), (F.lit(4) + F.pmod(x, F.lit(3))).cast("string"))
     leaves = F.transform(ids, leaf)
     chunk = lambda k: F.when(2 * k + 1 < F.size(ids), F.concat(F.lit("(3 "), F.get(leaves, 2 * k), F.lit(" "), F.get(leaves, 2 * k + 1), F.lit(")"))).otherwise(F.get(leaves, 2 * k))
-    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(ids) / 2).cast("int") - 1), chunk)
-    return F.when(F.size(ids) == 1, F.get(leaves, F.lit(0))).otherwise(F.concat(F.lit("(2 "), F.array_join(chunks, " "), F.lit(")")))
+    n = F.ceil(F.size(ids) / 2).cast("int")
+    opened = lambda k: F.when((k > 0) & (k % 3 == 0) & (n - k > 1), F.concat(F.lit("(2 "), chunk(k))).otherwise(chunk(k))
+    chunks = F.transform(F.sequence(F.lit(0), n - 1), opened)
+    closed = F.repeat(F.lit(")"), F.greatest(F.floor((n - 2) / 3).cast("int"), F.lit(0)) + 1)
+    return F.when(F.size(ids) == 1, F.get(leaves, F.lit(0))).otherwise(F.concat(F.lit("(2 "), F.array_join(chunks, " "), closed))
+
+
+def gated(pairs: DataFrame, max_e: int = 20, max_f: int = 30) -> DataFrame:
+    """Pairs that the preparation lets through: parsed sentences of ``max_e`` words at most, fewer than ``max_f`` foreign words."""
+    return pairs.filter((F.size("e") <= max_e) & (F.size("f") < max_f))
 
 
 def bxi(words: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
 from parsewright.operators import corpus
@@ -11,14 +15,33 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/conversations.parquet")
 
 
+_whole: contextvars.ContextVar[bool] = contextvars.ContextVar("whole", default=False)
+
+
+@contextlib.contextmanager
+def whole_texts() -> Iterator[None]:
+    """Within, ``words`` and ``pairs`` have all words of every text, not the short sentences that SQL can follow."""
+    token = _whole.set(True)
+    try:
+        yield
+    finally:
+        _whole.reset(token)
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.word_pairs(conversations(spark, sf_dir))
+    return corpus.word_pairs(conversations(spark, sf_dir), _whole.get())
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.bxi(words(spark, sf_dir))
 
 
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs for co-occurrence and training. Short sentences are all within the preparation's limits."""
+    rows = pairs(spark, sf_dir)
+    return corpus.gated(rows) if _whole.get() else rows
+
+
 #: Word pairs, vocabularies, ids; ``pairs`` with the tree's text; ``nodes`` in closed form; ``tok`` one row an E word.
 BASE = """
 WITH raw AS (SELECT conv_id, turn, text AS e_text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS f_text FROM conversations),

@@ -1,10 +1,14 @@
 """Named queries over the tables of a data folder, and the SQL that says the same.
 
-Every query runs over its whole tables. Doubles are rounded on both sides, as sums are taken in different orders.
+Every query runs over all rows of its tables. Those built on ``words`` or ``pairs`` have SQL, which sees of each text one
+to six words (``inputs.BASE``); each has a twin ``whole_...`` without SQL that takes all words of every text. There the
+reference's own limits alone reject pairs: its preparation's before co-occurrence and training, the chart's in the chart.
+Doubles are rounded on both sides, as sums are taken in different orders.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +18,7 @@ from parsewright.functions import lengths, text
 from parsewright.operators import corpus, em, params, reports, transforms, trees, vocab
 from parsewright.sources import formats
 
-from .inputs import BASE, conversations, pairs, words
+from .inputs import BASE, conversations, pairs, prepared, whole_texts, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,11 +26,22 @@ ORACLES: dict[str, str] = {}
 LOW, HIGH = lengths.DEFAULT_BAND.sql("x")
 
 
+def _whole(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        with whole_texts():
+            return f(spark, sf)
+
+    return run
+
+
 def query(sql: str | None = None, base: bool = True):
     """Register a query under its function's name, with its SQL (after the common derivations unless ``base`` is off)."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
+        if base and not f.__name__.startswith("inside_"):
+            QUERIES[f"whole_{f.__name__}"] = _whole(f)
         if sql is not None:
             ORACLES[f.__name__] = BASE.replace("{low}", LOW).replace("{high}", HIGH) + sql if base else sql
         return f
@@ -39,7 +54,7 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cooc(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.cooccurrence(pairs(spark, sf))
+    return corpus.cooccurrence(prepared(spark, sf))
 
 
 def _rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -389,7 +404,7 @@ def sentence_ok(spark, sf):
 
 @query("SELECT count(*) AS pairs, 0 AS zero, CAST(sum(n_e) AS BIGINT) AS e_words, round(sum(log2(p)), 6) AS log2, round(power(2, -sum(log2(p)) / sum(n_e)), 6) AS perplexity FROM (SELECT power(0.1::DOUBLE, len(f)) AS p, len(e) AS n_e FROM pairs)")
 def perplexity(spark, sf):
-    probs = pairs(spark, sf).select("pair_id", F.size("e").alias("n_e"), F.pow(F.lit(0.1), F.size("f")).alias("prob"))
+    probs = prepared(spark, sf).select("pair_id", F.size("e").alias("n_e"), F.pow(F.lit(0.1), F.size("f")).alias("prob"))
     out = em.perplexity(probs)
     return out.select("pairs", F.col("zero").cast("int").alias("zero"), "e_words", F.round("log2", 6).alias("log2"), F.round("perplexity", 6).alias("perplexity"))
 
@@ -431,7 +446,7 @@ def inside_bin2_closed_form(spark, sf):
 
 @query("SELECT e, f, cnt AS n FROM cooc WHERE cnt > 1")
 def report_uniq_count(spark, sf):
-    return reports.uniq_count(corpus.spans(pairs(spark, sf)), ["e", "f"]).filter("n > 1")
+    return reports.uniq_count(corpus.spans(prepared(spark, sf)), ["e", "f"]).filter("n > 1")
 
 
 @query("SELECT line, n FROM (SELECT rule AS line, count(*) AS n FROM rules WHERE numc = 2 GROUP BY rule) ORDER BY n DESC, line LIMIT 10")
@@ -510,7 +525,7 @@ def tree_passive_aux(spark, sf):
 # Training: iterative, so without SQL.
 
 def _fit(spark, sf, iterations: int = 2) -> em.Fit:
-    rows = em.checkpointed(pairs(spark, sf).select("pair_id", "e_tree", "f"))  # the corpus is read again and again
+    rows = em.checkpointed(prepared(spark, sf).select("pair_id", "e_tree", "f"))  # the corpus is read again and again
     parts = corpus.split(rows)
     config = em.Config(iterations=iterations)
     train = parts.filter("split = 'train'").drop("split")
@@ -529,7 +544,7 @@ def em_t_table(spark, sf):
 
 
 def _sample(spark, sf) -> tuple[DataFrame, em.Model]:
-    rows = pairs(spark, sf).select("pair_id", "e_tree", "f")
+    rows = prepared(spark, sf).select("pair_id", "e_tree", "f")
     return corpus.align_sample(rows), _fit(spark, sf).model
 
 
