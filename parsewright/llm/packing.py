@@ -6,7 +6,9 @@ piece left. It enumerates the undominated fillings of the room beside that piece
 its pieces, or two together, could be exchanged for a larger one that is there and still fits), best fit first, uses
 a filling as often as the counts allow, and prunes every branch whose waste so far already exceeds what the best
 solution found (the incumbent, first best-fit decreasing) could waste. It stops at once when an incumbent meets the
-lower bound. The result is a short list of patterns with multiplicities; every piece then finds its place from its
+lower bound. While none does, ``exhaust`` goes on through the whole tree, every undominated filling any number of times;
+it ends with the least number of sequences proved, unless its ``steps`` run out first (packing is NP-hard, so a large
+instance can outlast any time; ``steps=None`` sets no end). README has the gaps left at several sizes. The result is a short list of patterns with multiplicities; every piece then finds its place from its
 rank among the pieces of its length, by arithmetic alone.
 
 Ranks are counted within (length, bucket) with the buckets' sums as offsets, so that a length that a third of all
@@ -19,10 +21,11 @@ places; a null doc_id stays null; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import math
 import sys
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,7 @@ from pyspark.sql import Window as W
 from . import common, pretokens
 
 CACHE = 400_000  # pre-tokens whose ids a task keeps at hand
+STEPS = 100_000  # of the search through the whole tree: some seconds on the driver, only if the bound isn't met before
 MOST_BUCKETS = 1024  # so that the driver sees a million counts at most, whatever the cluster
 
 
@@ -92,6 +96,104 @@ def fillings(counts: np.ndarray, room: int, most: int = 64, steps: int = 4000) -
     return sorted(found, key=lambda f: f[0]) or [(room, {})]
 
 
+def undominated(counts: np.ndarray, room: int, spend: Callable[[], bool]) -> Iterator[tuple[int, dict[int, int]]]:
+    """All undominated fillings of ``room``, one by one: (waste, {length: times}). Ends early when ``spend`` says no."""
+    there = [s for s in range(min(room, len(counts) - 1), 0, -1) if counts[s] > 0]
+
+    def free(low: int, high: int, used: dict[int, int]) -> bool:
+        """Whether a piece of a length from ``low`` to ``high`` is there beside those used."""
+        for s in there[bisect.bisect_left(there, -high, key=lambda s: -s) :]:
+            if s < low:
+                return False
+            if counts[s] > used.get(s, 0):
+                return True
+        return False
+
+    def dominated(waste: int, used: dict[int, int]) -> bool:
+        if free(1, waste, used) or any(free(s + 1, s + waste, used) for s in used):
+            return True
+        twos = ((a, b) for a in used for b in used if a < b or (a == b and used[a] > 1))
+        return any(free(a + b, a + b + waste, used) for a, b in twos)  # one piece for two
+
+    def go(k: int, rest: int, used: dict[int, int]) -> Iterator[tuple[int, dict[int, int]]]:
+        k = bisect.bisect_left(there, -rest, lo=k, key=lambda s: -s)
+        if k == len(there):
+            if not dominated(rest, used):
+                yield rest, dict(used)
+            return
+        for j in range(k, len(there)):
+            s = there[j]
+            for t in range(int(min(rest // s, counts[s])), 0, -1):
+                if not spend():
+                    return
+                used[s] = t
+                yield from go(j + 1, rest - t * s, used)
+                del used[s]
+
+    yield from go(0, room, {})
+
+
+def exhaust(counts: np.ndarray, capacity: int, best: list[tuple[int, dict[int, int]]], steps: int | None) -> list[tuple[int, dict[int, int]]]:
+    """The best patterns, from ``best`` on, of the whole tree: depth first, until the bound is met or nothing is left.
+
+    A node is the largest piece left; its branches are all its undominated fillings, each used as often as it can be,
+    then once less, down to once.
+    """
+    counts = counts.copy()
+    bound, best_bins = lower_bound(counts, capacity), sum(t for t, _ in best)
+    left = math.inf if steps is None else steps
+    seen: dict[bytes, int] = {}  # the fewest sequences with which a rest has been reached
+
+    def spend() -> bool:
+        nonlocal left
+        left -= 1
+        return left >= 0
+
+    def branches(bins: int) -> Iterator[tuple[int, dict[int, int]]]:
+        nonlocal best, best_bins
+        some = np.flatnonzero(counts)
+        if not len(some):
+            if bins < best_bins:
+                best, best_bins = [path for _, path in stack if path], bins
+            return
+        key = np.stack([some, counts[some]]).tobytes()
+        if seen.get(key, 1 << 62) <= bins or bins + lower_bound(counts, capacity) >= best_bins:
+            return
+        seen[key] = bins
+        top = int(some[-1])
+        rest = counts.copy()
+        rest[top] -= 1
+        for _, fill in undominated(rest, capacity - top, spend):
+            pattern = dict(fill)
+            pattern[top] = pattern.get(top, 0) + 1
+            for times in range(min(int(counts[s]) // t for s, t in pattern.items()), 0, -1):
+                if best_bins <= bound or not spend():
+                    return
+                yield times, pattern
+
+    # A list instead of recursion, as the tree can be as deep as there are sequences: (branches left, the one taken).
+    stack: list[tuple[Iterator, tuple | None]] = []
+    stack.append((branches(0), None))
+    used = [0]
+    while stack:
+        options, taken = stack[-1]
+        if taken:
+            for s, t in taken[1].items():
+                counts[s] += taken[0] * t
+        stack[-1] = (options, None)
+        step = next(options, None)
+        if step is None:
+            stack.pop()
+            used.pop()
+            continue
+        for s, t in step[1].items():
+            counts[s] -= step[0] * t
+        stack[-1] = (options, step)
+        used.append(used[-1] + step[0])
+        stack.append((branches(used[-1]), None))
+    return best
+
+
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
     """The larger of the volume bound and Martello and Toth's bound over every threshold."""
     sizes = np.arange(capacity + 1)
@@ -108,8 +210,11 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def solve(counts: np.ndarray, capacity: int, nodes: int = 12) -> list[tuple[int, dict[int, int]]]:
-    """Patterns (times, {length: pieces}) that pack all counts, within few sequences more than the lower bound at most."""
+def solve(counts: np.ndarray, capacity: int, nodes: int = 12, steps: int | None = STEPS) -> list[tuple[int, dict[int, int]]]:
+    """Patterns (times, {length: pieces}) that pack all counts, in the fewest sequences unless ``steps`` run out.
+
+    The first ``nodes`` alternatives to best fit are tried with a few fillings each; then the whole tree is searched.
+    """
     counts = counts.astype(np.int64).copy()
     bound, total = lower_bound(counts, capacity), int((np.arange(capacity + 1) * counts).sum())
     best: list[tuple[int, dict[int, int]]] = []
@@ -157,7 +262,7 @@ def solve(counts: np.ndarray, capacity: int, nodes: int = 12) -> list[tuple[int,
     for limit in (1, 2):
         if best_bins > bound and budget > 0:
             descend(counts, [], 0, 0, limit)
-    return best
+    return exhaust(counts, capacity, best, steps) if best_bins > bound else best
 
 
 def runs(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:

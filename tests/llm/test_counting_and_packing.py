@@ -131,3 +131,33 @@ def test_places_are_exact():
     taken = {(s, o + k) for s, o, n in zip(sequence, offset, lengths, strict=True) for k in range(n)}
     assert len(taken) == lengths.sum()
     assert max(o for _, o in taken) < 10
+
+
+TRIPLETS = [[25, 25, 26, 27, 27, 28, 31, 33, 42, 44, 45, 47], [25, 26, 26, 26, 27, 27, 28, 29, 29, 30, 33, 34, 39, 41, 42, 45, 46, 47], [25, 25, 26, 27, 27, 27, 27, 27, 28, 28, 28, 29, 29, 29, 31, 33, 39, 43, 43, 44, 44, 46, 47, 48]]
+
+
+@pytest.mark.parametrize("sizes", TRIPLETS)
+def test_solver_searches_on(sizes):
+    counts = np.bincount(sizes, minlength=101)
+    patterns = packing.solve(counts, 100)
+    assert sum(t for t, _ in patterns) == len(sizes) // 3 == packing.lower_bound(counts, 100)
+    used = sum(np.bincount(list(p), list(p.values()), 101) * t for t, p in patterns)
+    assert (used == counts).all()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_whole_tree_has_the_fewest(sizes):
+    counts = np.bincount(sizes, minlength=21)
+    one_each = [(1, {s: 1}) for s in sizes]
+    found = packing.exhaust(counts, 20, one_each, None)
+    assert sum(t for t, _ in found) == fewest(sizes, 20)
+    assert sum(t * s * n for t, p in found for s, n in p.items()) == sum(sizes)
+
+
+def test_two_pieces_are_exchanged_for_one():
+    counts = np.zeros(21, int)
+    counts[[3, 4, 7, 9]] = 1
+    found = [f for _, f in packing.undominated(counts, 10, lambda: True)]
+    assert {4: 1, 3: 1} not in found  # 7 could stand for both
+    assert {7: 1, 3: 1} in found
