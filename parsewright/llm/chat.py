@@ -170,17 +170,54 @@ def emit(nodes: DataFrame, members: DataFrame) -> DataFrame:
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
 
 
+BLOCK = 512  # stream places by which intervals meet the nodes that start in them
+
+
+def under_intervals(stream: DataFrame, members: DataFrame) -> DataFrame:
+    """(conv_id, rank, position, tokens, loss_start, loss_end, wanted): all of the stream to which a conversation's last node may attend, and itself.
+
+    Found by places alone: its intervals are cut at blocks, and each block has the nodes that start in it. ``wanted`` is
+    how many tokens the intervals have.
+    """
+    last = members.groupBy("rank").agg(F.max(F.struct("depth", "node", "conv_id")).alias("m")).select("rank", "m.node", "m.conv_id")
+    ends = stream.join(last.groupBy("node").agg(F.count(F.lit(1)).alias("uses")), "node")
+    total = members.count()
+    own = F.struct(F.col("at").alias("first"), (F.col("at") + F.col("n_tokens")).alias("end"))
+    ends = ends.select("node", "uses", F.concat("attends", F.array(own)).alias("spans"))
+    found = graphs.spread_join(last, ends, ["node"], "uses", ["spans"], total)
+    wanted = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    cut = found.select("conv_id", "rank", wanted.alias("wanted"), F.inline("spans"))
+    cut = cut.select("*", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))).alias("block"))
+    cut = common.Shared(stream.sparkSession).keep(cut, "cut")
+    node = F.struct("at", "position", "tokens", "loss_start", "loss_end")
+    blocks = stream.withColumn("block", F.floor(F.col("at") / BLOCK)).groupBy("block").agg(F.collect_list(node).alias("held"))
+    uses = cut.groupBy("block").agg(F.count(F.lit(1)).alias("uses"))
+    met = graphs.spread_join(cut, blocks.join(uses, "block"), ["block"], "uses", ["held"], cut.count())
+    inside = F.filter("held", lambda x: (x["at"] >= F.col("first")) & (x["at"] < F.col("end")))
+    return met.select("conv_id", "rank", "wanted", F.inline(inside))
+
+
 def read_back(nodes: DataFrame, members: DataFrame, path: str) -> DataFrame:
-    """Per conversation, from its nodes' tokens alone: digests of the turns and of all text under the loss mask."""
+    """Per conversation, from the emitted stream: digests of the turns and of all text under the loss mask."""
+    return rebuilt(common.Shared(nodes.sparkSession).keep(emit(nodes, members), "stream"), members, path)
+
+
+def rebuilt(stream: DataFrame, members: DataFrame, path: str) -> DataFrame:
+    """As ``read_back``: intervals say which tokens a conversation has, positions their order, loss spans what is learned.
+
+    Fails if the positions of a conversation's tokens leave a gap or overlap, or its intervals hold other than whole nodes.
+    """
     arrow = common.to_arrow(DIGEST)
     parse = re.compile(re.escape(TURN) + "(.*?)" + re.escape(TEXT) + "(.*)" + re.escape(END), re.S).fullmatch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, decode = codec(path)
-        rank, state = None, None
+        rank, state, wanted = None, None, 0
 
         def done() -> tuple:
             c, n, turns, loss_n, loss, chars, tokens = state
+            if tokens != wanted:
+                raise ValueError(f"the intervals of conversation {c} have {wanted} tokens, its nodes {tokens}")
             return c, n, turns.hexdigest(), loss_n, loss.hexdigest(), chars, tokens
 
         for batch in batches:
@@ -190,17 +227,17 @@ def read_back(nodes: DataFrame, members: DataFrame, path: str) -> DataFrame:
                     if r["rank"] != rank:
                         if state is not None:
                             out.append(done())
-                        rank, state = r["rank"], [r["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                        rank, state, wanted = r["rank"], [r["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0], r["wanted"]
                     ids = r["tokens"]
-                    a, b = r["body_start"], r["body_end"]
-                    text = decode(ids[:a]) + decode(ids[a:b]) + decode(ids[b:])
+                    if r["position"] != state[6]:
+                        raise ValueError(f"position {r['position']} after {state[6]} tokens of conversation {state[0]}")
+                    text = decode(ids)
                     role, body = map(unescape, parse(text).groups())
                     state[1] += 1
                     state[2].update(f"{role}\n{body}\n".encode())
-                    if r["loss"]:
-                        under = unescape(decode(ids[a:b]))
-                        state[3] += len(under)
-                        state[4].update(under.encode())
+                    under = unescape(decode(ids[r["loss_start"] : r["loss_end"]]))
+                    state[3] += len(under)
+                    state[4].update(under.encode())
                     state[5] += len(text)
                     state[6] += len(ids)
                 if out:
@@ -208,14 +245,15 @@ def read_back(nodes: DataFrame, members: DataFrame, path: str) -> DataFrame:
         if state is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(done(), arrow, strict=True)], schema=arrow)
 
-    return common.map_arrow(along(nodes, members, ["tokens", "body_start", "body_end", "loss"]), run, DIGEST)
+    rows = under_intervals(stream, members).repartition("rank").sortWithinPartitions("rank", "position")
+    return common.map_arrow(rows, run, DIGEST)
 
 
 CONTROL = "</s>[INST] ok [/INST]"
 
 
 def op6_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of all conversations and of conversation -1, read back from the tree's tokens."""
+    """Digests of all conversations and of conversation -1, read back from the emitted stream."""
     rows = common.load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
     path = pretokens.default_path("byte_bpe_50k.json")

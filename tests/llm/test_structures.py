@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from parsewright.llm import chat, graphs, html_text, simhash
 
@@ -172,6 +173,34 @@ def test_stream(tree):
         open_path.append(r["node"])
 
 
+def shifted(stream):
+    return stream.withColumn("position", F.expr("position + int(depth = 1)"))
+
+
+def shortened(stream):
+    return stream.withColumn("attends", F.expr("transform(attends, x -> struct(x.first AS first, x.end - 1 AS end))"))
+
+
+def unattended(stream):
+    return stream.withColumn("attends", F.expr("slice(attends, 1, 0)"))
+
+
+@pytest.mark.parametrize("wrong", [shifted, shortened, unattended])
+def test_read_back_sees_a_wrong_stream(tree, monkeypatch, wrong):
+    path, nodes, members = tree
+    emit = chat.emit
+    monkeypatch.setattr(chat, "emit", lambda *a: wrong(emit(*a)))
+    with pytest.raises(Exception, match="of conversation"):
+        chat.read_back(nodes, members, path).collect()
+
+
+def test_read_back_uses_the_loss_spans(tree, monkeypatch):
+    path, nodes, members = tree
+    emit = chat.emit
+    monkeypatch.setattr(chat, "emit", lambda *a: emit(*a).withColumn("loss_end", F.col("loss_start")))
+    assert {r["loss_chars"] for r in chat.read_back(nodes, members, path).collect()} == {0}
+
+
 def test_no_conversations(spark):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
     nodes, members = chat.prefix_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), path)
