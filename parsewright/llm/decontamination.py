@@ -4,8 +4,9 @@ Words are lower-cased runs of letters, digits and underscores. A seed is an n-gr
 all documents counts in how many each seed occurs. An alignment that reaches the least score keeps at least
 ``need`` of an item's seeds (each edit breaks at most n of them, and costs at least what the scores below say), so an
 item's ``need - 1`` most frequent seeds can be left out of the search without losing any match: every match still has a
-rarer seed, and passages that half the corpus shares start no work. The second pass joins each document's words to the
-rare seeds, takes the stretch around the seeds of an item where at least ``need`` seeds lie, and aligns it: +2 for
+rarer seed, and passages that half the corpus shares start no work. An item so short that its edits could break all
+its seeds of ``n`` words has shorter seeds, of two words or one, so that every match keeps one at least. The second pass joins each document's
+words to the rare seeds, takes the stretch around the seeds of an item where at least ``need`` seeds lie, and aligns it: +2 for
 equal words, -1 for a changed word, -2 for one left out or put in. A pair is a match if the best local score is at
 least ``least`` of the score of the whole item.
 
@@ -35,6 +36,19 @@ WORDS = re.compile(r"\w+")
 MATCH, CHANGE, GAP = 2, -1, -2
 
 
+def kept_seeds(m: int, width: int, least: float) -> int:
+    """How many of its seeds of ``width`` words an item of ``m`` words keeps in any match, at least; may be negative."""
+    cost = int((1 - least) * m * MATCH + 1e-9)  # what a match may lose of the full score
+    # Seeds broken for what is lost: by a changed word, by one put in, by one cut off an end.
+    most = max(width / (MATCH - CHANGE), (width - 1) / -GAP, 1 / MATCH)
+    return m - (width - 1) - int(most * cost + 1e-9)
+
+
+def seed_width(m: int, n: int, least: float) -> int:
+    """The widest seed, of ``n`` words at most, of which every match keeps one."""
+    return next((w for w in range(min(n, m), 1, -1) if kept_seeds(m, w, least) >= 1), 1)
+
+
 @dataclass
 class Block:
     """A block of test items, ready for the tasks."""
@@ -58,15 +72,13 @@ class Block:
             ids = np.array([b.words.setdefault(w, len(b.words) + 1) for w in words], np.int64)
             k = len(b.items)
             b.items.append((item_id, ids))
-            width = min(n, len(ids))
+            width = seed_width(len(ids), n, least)
             for at in range(len(ids) - width + 1):
                 s = b.seeds.setdefault(tuple(ids[at : at + width].tolist()), len(b.seeds))
                 if s == len(b.places):
                     b.places.append([])
                 b.places[s].append((k, at))
-            m = len(ids)
-            edits = (1 - least) * m * MATCH / (MATCH - CHANGE)
-            b.need.append(max(1, int(np.ceil(m - (n - 1) - n * edits - 1e-9))))
+            b.need.append(max(1, kept_seeds(len(ids), width, least)))
         return b
 
     def set_rare(self, counts: dict[int, int]) -> None:

@@ -184,6 +184,27 @@ def test_decontamination_finds_every_match(spark, most_bytes):
     assert collections.Counter((r["doc_id"], r["text"]) for r in kept) == collections.Counter(clean)
 
 
+def test_decontamination_finds_short_edited_items(spark):
+    rng = random.Random(9)
+    items, docs = [], []
+    for k in range(40):
+        item = [f"i{k}w{x}" for x in range(3 + k % 8)]
+        items.append((k, " ".join(item)))
+        for _ in range(8):
+            text = list(item)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(text))
+                text[at : at + 1] = rng.choice([["new"], ["new", text[at]], []] if len(text) > 1 else [["new"]])
+            docs.append((len(docs), " ".join(["before", *text, "after"])))
+    items += [(90, "w1 w2 w3 w4 w5"), (91, "a b c d e f g h")]
+    docs += [(900, "w1 w2 y w4 w5"), (901, "a b x d e y g h")]
+    want = {(i, j) for i, t in docs for j, x in items if brute_score(x.split(), t.split()) >= 0.6 * 2 * len(x.split()) - 1e-9}
+    assert {(900, 90), (901, 91)} <= want
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in D.contaminated(d, b).collect()} == want
+    assert {r["doc_id"] for r in D.clean(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
 def test_decontamination_of_nothing(spark):
     docs = spark.createDataFrame(ODD, "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
