@@ -11,7 +11,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parsewright.functions import lengths, text
@@ -412,11 +412,11 @@ def perplexity(spark, sf):
 EQUAL = em.Config(iterations=2, chinese=False, cutoff=False, fertility=False, lambda1=0.0, shared_words=True, old_rules=False)
 
 
-def _inside(rows: DataFrame, config: em.Config) -> DataFrame:
+def _inside(rows: DataFrame, config: em.Config, shown: Column | None = None) -> DataFrame:
     model = em.Model(config)
     data, keys = em.prepare(rows, config)
     found = em.events(em.gathered(data, keys, model), config, True, 0.0, False)
-    return found.select("pair_id", F.round(F.col("cnt") * 1e6, 9).alias("p"))
+    return found.select("pair_id", F.round(F.col("cnt") * 1e6, 9).alias("p") if shown is None else shown)
 
 
 @query("""SELECT pair_id, round(1e6 * CASE least(len(f), 1 + pair_id % 3) WHEN 1 THEN 0.1 * 0.1 WHEN 2 THEN 3 * 0.1 * 0.1 ELSE 3 * 0.1 * 0.1 END::DOUBLE, 9) AS p
@@ -442,6 +442,14 @@ def inside_bin2_closed_form(spark, sf):
     return _inside(pairs(spark, sf).filter("size(e) = 2").selectExpr("pair_id", "e_tree", "slice(f, 1, int(1 + pair_id % 4)) AS f"), EQUAL)
 
 
+@query()
+def inside_probabilities(spark, sf):
+    """Of every pair of whole texts that fits the chart's limits: log2 of its probability at equal probabilities."""
+    with whole_texts():
+        rows = pairs(spark, sf)
+    return _inside(rows, EQUAL, F.round(F.log2("cnt"), 9).alias("log2"))
+
+
 # Reports
 
 @query("SELECT e, f, cnt AS n FROM cooc WHERE cnt > 1")
