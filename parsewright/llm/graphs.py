@@ -36,7 +36,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) ->
     """(node, label, n) for every node that has an edge to another: label is the least node that it reaches.
 
     Alternates the large-star and the small-star step until nothing changes. Every round is written to the shared
-    checkpoint folder.
+    checkpoint folder. Fails if that takes more than ``rounds``.
     """
     spark = edges.sparkSession
     common.checkpointing(spark)
@@ -53,4 +53,6 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) ->
         least = large.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n"))
         small = spread_join(large, least, ["x"], "n", ["m"], total).filter("y != m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         cur = small.unionByName(least.select("x", F.col("m").alias("y"))).distinct().checkpoint()
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return cur.select(F.col("x").alias("node"), F.col("y").alias("label"))

@@ -108,6 +108,12 @@ def test_components_of_a_path_and_a_star(spark):
     assert label == {k: 100 for k in range(101, 181)} | {k: 500 for k in range(501, 900)}
 
 
+def test_components_that_do_not_settle_fail(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        graphs.connected(path, rounds=1)
+
+
 # Conversations
 
 TURNS = [(1, 0, "user", "hi <s> [INST] \\ x"), (1, 1, "assistant", "é\n<|end|>\n"), (2, 0, "user", "hi <s> [INST] \\ x"), (2, 1, "assistant", "other"), (2, 2, "user", None), (2, 3, "assistant", ""), (3, 0, None, "<|endoftext|>"),
