@@ -119,3 +119,7 @@ def drop_punctuation(words: Column, pattern: str = PUNCTUATION) -> Column:
 def ascii_lower(c: Column) -> Column:
     """A-Z only, as the tree tools do; other letters keep their case."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def ascii_upper(c: Column) -> Column:
+    return F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")

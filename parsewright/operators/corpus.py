@@ -12,22 +12,31 @@ from parsewright.functions.ranking import global_rank
 from . import trees, vocab
 
 
-def raw_pairs(conversations: DataFrame) -> DataFrame:
-    """Turns as sentences: each turn (E) with the next of its conversation (F)."""
-    after = F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))
-    rows = conversations.select("conv_id", "turn", F.col("text").alias("e_text"), after.alias("f_text"))
-    return rows.filter("f_text IS NOT NULL").withColumn("pair_id", F.col("conv_id") * 1000 + F.col("turn"))
-
-
-def word_pairs(conversations: DataFrame, whole: bool = False) -> DataFrame:
-    """(pair_id, e_words, f_words): lower-case ASCII words; all of them if ``whole``, else short sentences of one to six."""
-    rows = raw_pairs(conversations)
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
-    if whole:
-        return rows.select("pair_id", words("e_text").alias("e_words"), words("f_text").alias("f_words")).filter("size(e_words) > 0 AND size(f_words) > 0")
-    e = F.slice(words("e_text"), F.lit(1), (F.lit(1) + F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))).cast("int"))
-    rows = rows.select("pair_id", e.alias("e_words"), F.slice(words("f_text"), 1, 6).alias("f_words"))
-    return rows.filter("size(e_words) > 0 AND size(f_words) > 0")
+#: What ends a sentence, and what a word is, in texts that have no lines of their own.
+SENTENCE_END, WORD = r"[.!?\n]+", r"\p{L}+"
+#: Room of a turn's number and of a sentence's number in a pair_id.
+TURNS, SENTENCES = 10_000, 100_000
+
+
+def word_pairs(conversations: DataFrame) -> DataFrame:
+    """(pair_id, e_words, f_words): each turn's sentences, lower-cased (E), with the words of the next turn (F), case kept.
+
+    The last turn of a conversation goes with its first, so that every word of every text is once in E and once in F. F's
+    words are dealt to the sentences in order, as evenly as they go; a sentence may get none. Turns without words, without
+    a conversation or a number are no sentences. pair_id is ``conv_id``, turn and sentence side by side; numbers that
+    don't fit are an error.
+    """
+    cut = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
+    sentences = F.filter(F.transform(F.split(F.lower("text"), SENTENCE_END), cut), lambda w: F.size(w) > 0)
+    turns = conversations.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "text", sentences.alias("e"), cut(F.col("text")).alias("f")).filter("size(e) > 0")
+    at = W.partitionBy("conv_id").orderBy("turn", "text")
+    after = F.coalesce(F.lead("f").over(at), F.first("f").over(at.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    rows = turns.withColumn("f", after).select("conv_id", "turn", "f", F.size("e").alias("n"), F.posexplode("e").alias("k", "e_words"))
+    place = lambda k: F.floor(k * F.size("f") / F.col("n")).cast("int")
+    begin, end = place(F.col("k").cast("long")), place(F.col("k").cast("long") + 1)
+    fits = F.col("turn").between(0, TURNS - 1) & (F.col("k") < SENTENCES) & (F.abs("conv_id") < 2**63 // (TURNS * SENTENCES))
+    pair_id = F.when(fits, (F.col("conv_id") * TURNS + F.col("turn")) * SENTENCES + F.col("k")).otherwise(F.raise_error(F.lit("conv_id, turn or sentence beyond a pair_id's room")))
+    return rows.select(pair_id.alias("pair_id"), "e_words", F.slice("f", begin + 1, end - begin).alias("f_words"))
 
 
 def tree_text(ids: Column) -> Column:

@@ -61,12 +61,15 @@ class Model:
 
 
 def fitting(pairs: DataFrame, config: Config) -> DataFrame:
-    """(pair_id, f, nodes, n_e, ok): trees read, and whether the pair fits the limits."""
-    rows = trees.with_nodes(pairs.select("pair_id", "e_tree", "f"))
-    leaves = F.size(trees.words_of(F.col("nodes")))
-    ok = sentence_ok(F.size("nodes"), leaves, F.size("f"), config.band.columns(leaves)[1], config.lambda1 is None or config.lambda1 != 0, config.lambda2 != 0)
-    rows = rows.withColumn("n_e", leaves).withColumn("ok", ok & (F.coalesce(F.get("f", F.lit(0)), F.lit(1)) != 0))  # F led by a 0 is a manual skip
-    return rows.select("pair_id", "f", "nodes", "n_e", "ok")
+    """(pair_id, f, nodes, n_e, ok): trees read, and whether the pair fits the limits.
+
+    Sizes are counted in the tree's text, so that a filter on ``ok`` spares the trees that don't fit.
+    """
+    size = F.regexp_count("e_tree", F.lit(r"[^() ]+"))
+    leaves = size - (F.length("e_tree") - F.length(F.translate("e_tree", "(", "")))
+    ok = sentence_ok(size, leaves, F.size("f"), config.band.columns(leaves)[1], config.lambda1 is None or config.lambda1 != 0, config.lambda2 != 0)
+    rows = pairs.select("pair_id", "f", "e_tree", leaves.alias("n_e"), (ok & (F.coalesce(F.get("f", F.lit(0)), F.lit(1)) != 0)).alias("ok"))  # F led by a 0 is a manual skip
+    return trees.with_nodes(rows).select("pair_id", "f", "nodes", "n_e", "ok")
 
 
 def stretches(rows: DataFrame, config: Config) -> DataFrame:
@@ -86,11 +89,19 @@ def written(pairs: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     return rows, checkpointed(stretches(rows, config))
 
 
+def free(model: Model) -> bool:
+    """Whether any stretch may translate any phrase, so that no table needs to be asked."""
+    return model.equal and (model.allowed is None or not model.config.cutoff)
+
+
 def lookup(keys: DataFrame, model: Model) -> DataFrame:
-    """Adds prob to the stretches; those of probability 0 leave. Not for fertility tables, whose products the chart takes."""
+    """Adds prob to the stretches; those of probability 0 leave. Not for fertility tables, whose products the chart takes.
+
+    In the equal phase only phrases of several words are asked for: the chart knows what word to word is.
+    """
     c = model.config
     if model.equal:
-        rows = params.t_lookup_equal(keys, model.allowed, c.cutoff, c.fertility) if model.allowed is not None else params.t_lookup_equal(keys, keys.select("e", "f").limit(0), False, c.fertility)
+        rows = params.t_lookup_equal(keys.filter("elen > 1 OR flen > 1"), model.allowed, True, c.fertility)
     else:
         rows = keys.join(model.t.select("e", "f", "prob"), ["e", "f"])
     return rows.filter("prob > 0")
@@ -117,8 +128,12 @@ def gathered(rows: DataFrame, keys: DataFrame, model: Model) -> DataFrame:
         fert = phrases(rows).select("pair_id", "epos", "elen", "e").join(model.fert.select("e", "n", "prob"), "e").groupBy("pair_id").agg(F.collect_list(F.struct("epos", "elen", "n", "prob")).alias("fert"))
         out = out.join(t, "pair_id", "left").join(fert, "pair_id", "left").withColumn("t", F.lit(None).cast("array<struct<epos:int,elen:int,fpos:int,flen:int,prob:double>>"))
     else:
-        t = lookup(keys, model).groupBy("pair_id").agg(F.collect_list(F.struct("epos", "elen", "fpos", "flen", "prob")).alias("t"))
-        out = out.join(t, "pair_id", "left").withColumn("tw", F.lit(None).cast("array<struct<epos:int,elen:int,f:string,prob:double>>")).withColumn("fert", F.lit(None).cast("array<struct<epos:int,elen:int,n:int,prob:double>>"))
+        if free(model):
+            out = out.withColumn("t", F.lit(None).cast("array<struct<epos:int,elen:int,fpos:int,flen:int,prob:double>>"))
+        else:
+            t = lookup(keys, model).groupBy("pair_id").agg(F.collect_list(F.struct("epos", "elen", "fpos", "flen", "prob")).alias("t"))
+            out = out.join(t, "pair_id", "left")
+        out = out.withColumn("tw", F.lit(None).cast("array<struct<epos:int,elen:int,f:string,prob:double>>")).withColumn("fert", F.lit(None).cast("array<struct<epos:int,elen:int,n:int,prob:double>>"))
     if c.lambda1 is None:
         longer = phrases(rows).filter("elen > 1").select("pair_id", "epos", "elen", "e")
         l1 = params.lambda1_lookup(longer, model.lambda1 if model.lambda1 is not None else model.allowed.select("e", F.lit(0.0).alias("prob")).distinct(), model.equal, c.cutoff and model.allowed is not None)
@@ -163,38 +178,77 @@ def contexts(rows: DataFrame, c: Config) -> DataFrame:
     return rows.filter("ok").select("pair_id", F.inline(made))
 
 
-GATHERED = ("pair_id", "f", "nodes", "n_e", "t", "tw", "fert", "l1", "r", "n", "words")
+#: Columns of a gathered row; structs come as one array a field, which Arrow hands over without a Python object an entry.
+GATHERED = {
+    "pair_id": (), "f": (), "n_e": (), "r": (), "n": (), "words": (),
+    "nodes": ("node_id", "parent_id", "child_idx", "symbol", "head", "numc", "epos", "elen", "is_leaf"),
+    "t": ("epos", "elen", "fpos", "flen", "prob"), "tw": ("epos", "elen", "f", "prob"), "fert": ("epos", "elen", "n", "prob"), "l1": ("epos", "elen", "l1"),
+}
+
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Gathered rows over all cores: a chart takes milliseconds for a few kilobytes, which partitions by size would leave to few tasks."""
+    spark = rows.sparkSession
+    flat = rows.select(*[F.col(f"{c}.{x}").alias(f"{c}__{x}") if x else F.col(c) for c, xs in GATHERED.items() for x in xs or ("",)])
+    return flat.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
-def translations(row, config: Config) -> dict[tuple[int, int], np.ndarray]:
+
+class Row:
+    """A gathered row: ``nodes`` as dictionaries, the tables as tuples of arrays (None where nothing was found)."""
+
+    def __init__(self, row):
+        self.pair_id, self.f, self.n_e, self.r, self.n, self.words = row.pair_id, row.f, row.n_e, row.r, row.n, row.words
+        names = GATHERED["nodes"]
+        self.nodes = [dict(zip(names, x, strict=True)) for x in zip(*[getattr(row, f"nodes__{n}").tolist() for n in names], strict=True)]
+        for table in ("t", "tw", "fert", "l1"):
+            columns = tuple(getattr(row, f"{table}__{n}") for n in GATHERED[table])
+            setattr(self, table, None if columns[0] is None else columns)
+
+
+def translations(row, config: Config, model_free: bool, equal: bool) -> dict[tuple[int, int], np.ndarray]:
     """[first, length] of every phrase's stretches, by (epos, elen); [0, 0] is the empty word."""
     f = [str(int(x)) for x in row.f]
     n = len(f)
     out: dict[tuple[int, int], np.ndarray] = {}
-    for x in row.t if row.t is not None else ():
-        key = (x["epos"], x["elen"])
-        if key not in out:
-            out[key] = np.zeros((n + 1, n + 1))
-        out[key][x["fpos"], x["flen"]] = x["prob"]
+    if equal:
+        for x in row.nodes:
+            key = (x["epos"], x["elen"])
+            if x["numc"] == 1 or not (model_free or key[1] == 1):
+                continue
+            t = out[key] = np.zeros((n + 1, n + 1))
+            low, high = config.band.of(key[1]) if model_free else (1, 1)
+            for m in range(low, min(high, n) + 1):
+                t[: n - m + 1, m] = params.EQUAL ** (1 + m * config.fertility)
+            if key[1] == 1:
+                t[0, 0] = params.EQUAL
+    if row.t is not None:
+        epos, elen, fpos, flen, prob = row.t
+        code = epos.astype(np.int64) * 1024 + elen
+        by = np.argsort(code, kind="stable")
+        keys, begin = np.unique(code[by], return_index=True)
+        for key, at in zip(keys.tolist(), np.split(by, begin[1:]), strict=True):
+            t = out.setdefault((key // 1024, key % 1024), np.zeros((n + 1, n + 1)))
+            t[fpos[at], flen[at]] = prob[at]
     if row.fert is None:
         return out
     words: dict[tuple[int, int], dict[str, float]] = {}
-    for x in row.tw if row.tw is not None else ():
-        words.setdefault((x["epos"], x["elen"]), {})[x["f"]] = x["prob"]
-    for x in row.fert:
-        key, m = (x["epos"], x["elen"]), x["n"]
-        low, high = config.band.of(key[1])
-        if m > n or not (low <= m <= high or (m == 0 and key[1] == 1)):
+    if row.tw is not None:
+        for epos, elen, word, prob in zip(*[x.tolist() for x in row.tw], strict=True):
+            words.setdefault((epos, elen), {})[word] = prob
+    for epos, elen, m, prob in zip(*[x.tolist() for x in row.fert], strict=True):
+        key = (epos, elen)
+        low, high = config.band.of(elen)
+        if m > n or not (low <= m <= high or (m == 0 and elen == 1)):
             continue
         t = out.setdefault(key, np.zeros((n + 1, n + 1)))
         if m == 0:
-            t[0, 0] = x["prob"]
+            t[0, 0] = prob
             continue
         one = np.array([words.get(key, {}).get(w, 0.0) for w in f])
         product = np.ones(n - m + 1)
         for k in range(m):
             product = product * one[k : n - m + 1 + k]
-        t[: n - m + 1, m] = x["prob"] * product
+        t[: n - m + 1, m] = prob * product
     return out
 
 
@@ -202,8 +256,8 @@ def as_map(value) -> dict:
     return {} if value is None else dict(value)
 
 
-def build(row, config: Config, equal: bool, floor: float) -> tuple[Chart, list[str | None], list[str]]:
-    """The chart of a gathered row, with each node's rule and insertion context."""
+def build(row, config: Config, model_free: bool, equal: bool, floor: float) -> tuple[Chart, list[str | None], list[str], dict]:
+    """The chart of a gathered row, with each node's rule and insertion context, and the translations found."""
     f = [int(x) for x in row.f]
     n = len(f)
     listed = row.nodes
@@ -213,8 +267,8 @@ def build(row, config: Config, equal: bool, floor: float) -> tuple[Chart, list[s
             kids[x["parent_id"]].append(x["node_id"])
     symbol = [x["symbol"] for x in listed]
     r, nn, words = as_map(row.r), as_map(row.n), as_map(row.words)
-    l1 = {(x["epos"], x["elen"]): x["l1"] for x in row.l1} if row.l1 is not None else {}
-    t_of = translations(row, config)
+    l1 = phrase_weights(row)
+    t_of = translations(row, config, model_free, equal)
     nodes, t, rules, ctxs = [], [], [], []
     for k, x in enumerate(listed):
         parent = x["parent_id"]
@@ -252,37 +306,42 @@ def build(row, config: Config, equal: bool, floor: float) -> tuple[Chart, list[s
         t.append(t_of.get((x["epos"], x["elen"]), np.zeros((n + 1, n + 1))) + floor)
         rules.append(rule)
         ctxs.append(ctx)
-    return Chart(nodes, n, t, config.lambda2), rules, ctxs
+    return Chart(nodes, n, t, config.lambda2), rules, ctxs, t_of
+
+
+def phrase_weights(row) -> dict[tuple[int, int], float]:
+    return {} if row.l1 is None else {(a, b): p for a, b, p in zip(*[x.tolist() for x in row.l1], strict=True)}
 
 
 EVENTS = "kind string, a string, b string, i int, cnt double, pair_id long"
 
 
-def events(data: DataFrame, config: Config, equal: bool, floor: float, count: bool = True) -> DataFrame:
+def events(data: DataFrame, model: Model, floor: float, count: bool = True) -> DataFrame:
     """E-step: per pair a ``prob`` row (cnt: its probability, i: its E words) and, if asked, expected counts to be summed.
 
     Kinds: t (e, f), fert (e, i words), lambda1 and lambda1n (e), r (rule, order i), n (context, word, side i).
     """
 
+    config, equal, model_free = model.config, model.equal, free(model)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out: list[tuple] = []
-            for row in frame.itertuples(index=False):
-                chart, rules, ctxs = build(row, config, equal, floor)
+            for row in map(Row, frame.itertuples(index=False)):
+                chart, rules, ctxs, sent = build(row, config, model_free, equal, floor)
                 out.append(("prob", "", "", int(row.n_e), chart.total, row.pair_id))
                 if count:
-                    out += [(*e, row.pair_id) for e in row_counts(chart, rules, ctxs, row, config)]
+                    out += [(*e, row.pair_id) for e in row_counts(chart, rules, ctxs, sent, row, config)]
             yield pd.DataFrame(out, columns=["kind", "a", "b", "i", "cnt", "pair_id"])
 
-    return data.select(*GATHERED).mapInPandas(run, EVENTS)
+    return spread(data).mapInPandas(run, EVENTS)
 
 
-def row_counts(chart: Chart, rules: list, ctxs: list, row, config: Config) -> Iterator[tuple]:
+def row_counts(chart: Chart, rules: list, ctxs: list, sent: dict, row, config: Config) -> Iterator[tuple]:
     c = chart.counts()
     f = [str(int(x)) for x in row.f]
     heads = [str(int(x["head"])) for x in row.nodes if x["is_leaf"]]
-    sent = translations(row, config)
-    l1 = {(x["epos"], x["elen"]) for x in row.l1 if x["l1"] > 0} if row.l1 is not None else set()
+    l1 = {key for key, weight in phrase_weights(row).items() if weight > 0}
     for v, node in enumerate(chart.nodes):
         e = " ".join(heads[node.epos : node.epos + node.elen])
         if v in c.t and (node.epos, node.elen) in sent:
@@ -409,10 +468,10 @@ def train(pairs: DataFrame, allowed: DataFrame | None = None, test: DataFrame |
 
     for k in range(1, config.iterations + 1 + final_test):
         if test is not None:
-            measure(checkpointed(events(gathered(*parts["test"], model), config, model.equal, config.test_floor, False)), "test", k)
+            measure(checkpointed(events(gathered(*parts["test"], model), model, config.test_floor, False)), "test", k)
         if k > config.iterations:
             break
-        data = events(gathered(*parts["train"], model), config, model.equal, config.train_floor)
+        data = events(gathered(*parts["train"], model), model, config.train_floor)
         # counts are summed as they are made; a pair's probability stays a row of its own
         pair = F.when(F.col("kind") == "prob", F.col("pair_id"))
         sums = checkpointed(data.groupBy("kind", "a", "b", "i", pair.alias("pair_id")).agg(F.sum("cnt").alias("cnt")))
@@ -430,8 +489,8 @@ def derivations(pairs: DataFrame, model: Model, make, schema: str, floor: float
     """Rows that ``make(row, viterbi, total)`` yields for the best derivation of every fitting pair."""
     config = model.config
     rows, keys = prepare(pairs, config)
-    data = gathered(rows, keys, model).select(*GATHERED)
-    low, equal = config.align_floor if floor is None else floor, model.equal
+    data = spread(gathered(rows, keys, model))
+    low, equal, model_free = config.align_floor if floor is None else floor, model.equal, free(model)
     from pyspark.sql import types as T
 
     names = [f.name for f in T._parse_datatype_string(schema)]
@@ -439,8 +498,8 @@ def derivations(pairs: DataFrame, model: Model, make, schema: str, floor: float
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for row in frame.itertuples(index=False):
-                chart, _, _ = build(row, config, equal, low)
+            for row in map(Row, frame.itertuples(index=False)):
+                chart = build(row, config, model_free, equal, low)[0]
                 out += list(make(row, Viterbi(chart), chart.total))
             yield pd.DataFrame(out, columns=names)
 

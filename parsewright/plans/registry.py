@@ -1,14 +1,12 @@
 """Named queries over the tables of a data folder, and the SQL that says the same.
 
-Every query runs over all rows of its tables. Those built on ``words`` or ``pairs`` have SQL, which sees of each text one
-to six words (``inputs.BASE``); each has a twin ``whole_...`` without SQL that takes all words of every text. There the
-reference's own limits alone reject pairs: its preparation's before co-occurrence and training, the chart's in the chart.
+Every query runs over all rows and whole texts: pairs hold every word of every text (``corpus.word_pairs``). Only limits
+of the operators themselves leave pairs out: the preparation's before co-occurrence and training, the chart's in the chart.
 Doubles are rounded on both sides, as sums are taken in different orders.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +16,7 @@ from parsewright.functions import lengths, text
 from parsewright.operators import corpus, em, params, reports, transforms, trees, vocab
 from parsewright.sources import formats
 
-from .inputs import BASE, conversations, pairs, prepared, whole_texts, words
+from .inputs import BASE, conversations, pairs, prepared, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,22 +24,11 @@ ORACLES: dict[str, str] = {}
 LOW, HIGH = lengths.DEFAULT_BAND.sql("x")
 
 
-def _whole(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    @functools.wraps(f)
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        with whole_texts():
-            return f(spark, sf)
-
-    return run
-
-
 def query(sql: str | None = None, base: bool = True):
     """Register a query under its function's name, with its SQL (after the common derivations unless ``base`` is off)."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
-        if base and not f.__name__.startswith("inside_"):
-            QUERIES[f"whole_{f.__name__}"] = _whole(f)
         if sql is not None:
             ORACLES[f.__name__] = BASE.replace("{low}", LOW).replace("{high}", HIGH) + sql if base else sql
         return f
@@ -75,21 +62,22 @@ def pos_format(spark, sf):
     return words(spark, sf).select("pair_id", text.pos_format(tagged).alias("line"))
 
 
-@query("SELECT pair_id, CASE WHEN length(line) <= 40 AND len(e_words) <= 4 THEN line ELSE '1 SentenceTooLong NN' END AS line FROM (SELECT *, len(e_words) || ' ' || array_to_string(e_words, ' NN ') || ' NN' AS line FROM wp)")
+@query("SELECT pair_id, CASE WHEN length(line) <= 1000 AND len(e_words) <= 20 THEN line ELSE '1 SentenceTooLong NN' END AS line FROM (SELECT *, len(e_words) || ' ' || array_to_string(e_words, ' NN ') || ' NN' AS line FROM wp)")
 def length_gate(spark, sf):
     line = F.concat_ws(" ", F.size("e_words").cast("string"), F.array_join("e_words", " NN "), F.lit("NN"))
-    return words(spark, sf).select("pair_id", text.length_gate(line, max_words=4, max_chars=40).alias("line"))
+    return words(spark, sf).select("pair_id", text.length_gate(line).alias("line"))
 
 
-@query("SELECT pair_id, '(TOP ' || e_tree || ')' AS line FROM pairs WHERE pair_id % 5 <> 0 AND pair_id % 7 <> 0")
+@query("SELECT pair_id, '(TOP ' || e_tree || ')' AS line FROM pairs WHERE len(e) <= 20 AND len(f) > 0")
 def parse_filter(spark, sf):
-    tree = F.when(F.col("pair_id") % 7 == 0, F.lit("(TOP SentenceNotParsed)")).otherwise(F.concat(F.lit("(TOP "), F.col("e_tree"), F.lit(")")))
-    score = F.when(F.col("pair_id") % 5 == 0, F.lit("PROB 0 0 0")).otherwise(F.lit("PROB 12 -3.5 0"))
+    """Output of a parser that gives up on sentences over 20 words and scores those without a foreign word as failed."""
+    tree = F.when(F.size("e") > 20, F.lit("(TOP SentenceNotParsed)")).otherwise(F.concat(F.lit("(TOP "), F.col("e_tree"), F.lit(")")))
+    score = F.when(F.size("f") == 0, F.lit("PROB 0 0 0")).otherwise(F.lit("PROB 12 -3.5 0"))
     lines = pairs(spark, sf).select("pair_id", F.posexplode(F.array(score, tree, F.lit("TIME 0"))).alias("n", "line"))
     return text.parse_filter(text.parser_lines(lines), within="pair_id").select("pair_id", "line")
 
 
-@query("SELECT pair_id, '<s> ' || upper(array_to_string(e_words, ' ')) || ' </s>' AS line FROM wp")
+@query("SELECT pair_id, '<s> ' || upper(replace(array_to_string(e_words, ' '), 'ß', 'ss')) || ' </s>' AS line FROM wp")
 def lm_text(spark, sf):
     return words(spark, sf).select("pair_id", text.lm_text(F.concat(F.array_join("e_words", " "), F.lit(" ."))).alias("line"))
 
@@ -112,7 +100,7 @@ def vocab_top_k(spark, sf):
     return vocab.top_vocabulary(vocab.vocabulary(words(spark, sf), "e_words"), 100)
 
 
-@query("SELECT pair_id, array_to_string(list(CASE WHEN id <= 50 THEN id ELSE 1 END ORDER BY j), ' ') AS ids FROM tokf GROUP BY pair_id")
+@query("SELECT pair_id, array_to_string(list_transform(f, lambda x: CASE WHEN x <= 50 THEN x ELSE 1 END), ' ') AS ids FROM pairs")
 def integerize_unk(spark, sf):
     w = words(spark, sf)
     out = vocab.integerize(w, "pair_id", "f_words", vocab.vocabulary(w, "f_words"), "f", max_id=50)
@@ -133,7 +121,7 @@ def symbol_table(spark, sf):
 def symbol_convert(spark, sf):
     table = spark.createDataFrame([(1, "4", "A"), (2, "5", "B"), (3, "A", "C"), (4, "4", "Z")], "n int, source string, target string")
     rows = _nodes(spark, sf).select("pair_id", "node_id", F.col("symbol").cast("string").alias("symbol"))
-    return vocab.convert(rows, "symbol", F.broadcast(table), order="n")
+    return vocab.convert(rows, "symbol", table, order="n")
 
 
 @query("SELECT word AS w1, count(*) AS cnt FROM (SELECT word FROM we UNION ALL SELECT unnest(['<s>', '</s>']) FROM wp) GROUP BY 1")
@@ -206,10 +194,10 @@ def limit_children(spark, sf):
 
 
 @query("""SELECT pair_id, n_unk, array_to_string(list_transform(f, lambda x: CASE WHEN x > 200 THEN 1 ELSE x END), ' ') AS f
-          FROM pairs JOIN (SELECT pair_id, CAST(count(*) FILTER (id > 200 OR id = 1) AS INT) AS n_unk FROM tok GROUP BY pair_id) USING (pair_id) WHERE len(f) < 7
-          AND pair_id IN (SELECT pair_id FROM nodes GROUP BY pair_id HAVING max(numc) <= 2)""")
+          FROM pairs JOIN (SELECT pair_id, CAST(count(*) FILTER (id > 200 OR id = 1) AS INT) AS n_unk FROM tok GROUP BY pair_id) USING (pair_id) WHERE len(f) < 30
+          AND pair_id IN (SELECT pair_id FROM nodes GROUP BY pair_id HAVING max(numc) <= 3)""")
 def corpus_filter(spark, sf):
-    out = corpus.corpus_filter(pairs(spark, sf), max_children=2, max_id=200, max_f=7)
+    out = corpus.corpus_filter(pairs(spark, sf), max_children=3, max_id=200)
     heads = trees.words_of(trees.node_array(F.col("e_tree")))
     return out.select("pair_id", F.size(F.filter(heads, lambda h: h == 1)).alias("n_unk"), F.array_join(F.col("f").cast("array<string>"), " ").alias("f"))
 
@@ -254,10 +242,10 @@ def bxi_lines(spark, sf):
     return formats.bxi_from_lines(lines, file="pair_id").select("pair_id", "e_tree", F.array_join(F.col("f").cast("array<string>"), " ").alias("f"))
 
 
-@query("SELECT pair_id, e_tree, f_words[1] AS first FROM pairs JOIN wp USING (pair_id) WHERE pair_id % 3 <> 0")
+@query("SELECT pair_id, e_tree, f_words[1] AS first FROM pairs JOIN wp USING (pair_id) WHERE len(e) <= 20")
 def join_parses(spark, sf):
     w = words(spark, sf)
-    parses = corpus.bxi(w).select(F.col("pair_id").alias("sent_id"), "e_tree", (F.col("pair_id") % 3 != 0).alias("parse_ok"))
+    parses = corpus.bxi(w).select(F.col("pair_id").alias("sent_id"), "e_tree", (F.size("e") <= 20).alias("parse_ok"))
     foreign = w.select(F.col("pair_id").alias("sent_id"), F.col("f_words").alias("f"))
     return corpus.join_parses(parses, foreign).select(F.col("sent_id").alias("pair_id"), "e_tree", F.get("f", F.lit(0)).alias("first"))
 
@@ -287,7 +275,7 @@ def t_lookup_single_words(spark, sf):
     return params.t_lookup(counts.select("e", "f"), params.t_uniform(corpus.phrase_cutoff(counts)), single_words=True).withColumn("prob", F.round("prob", 9))
 
 
-@query("SELECT pair_id, node_id, perm, CASE WHEN perm = 0 THEN round(1 / 24.0::DOUBLE, 9) ELSE 0 END AS prob FROM (SELECT pair_id, node_id, rule, unnest([0, 9]) AS perm FROM rules) UNION ALL SELECT pair_id, node_id, 0, 1 FROM nodes WHERE is_leaf")
+@query("SELECT pair_id, node_id, perm, CASE WHEN perm = 0 OR numc = 4 THEN round(1 / 24.0::DOUBLE, 9) ELSE 0 END AS prob FROM (SELECT pair_id, node_id, numc, unnest([0, 9]) AS perm FROM rules) UNION ALL SELECT pair_id, node_id, 0, 1 FROM nodes WHERE is_leaf")
 def r_lookup(spark, sf):
     rules = _rules(spark, sf)
     keys = rules.select("pair_id", "node_id", "rule", F.explode(F.array(F.lit(0), F.lit(9))).alias("perm"), F.lit(False).alias("is_leaf"))
@@ -402,52 +390,51 @@ def sentence_ok(spark, sf):
     return rows.select("pair_id", lengths.sentence_ok(F.size("nodes"), n_e, F.size("f"), lengths.DEFAULT_BAND.columns(n_e)[1]).alias("ok"))
 
 
-@query("SELECT count(*) AS pairs, 0 AS zero, CAST(sum(n_e) AS BIGINT) AS e_words, round(sum(log2(p)), 6) AS log2, round(power(2, -sum(log2(p)) / sum(n_e)), 6) AS perplexity FROM (SELECT power(0.1::DOUBLE, len(f)) AS p, len(e) AS n_e FROM pairs)")
-def perplexity(spark, sf):
-    probs = prepared(spark, sf).select("pair_id", F.size("e").alias("n_e"), F.pow(F.lit(0.1), F.size("f")).alias("prob"))
-    out = em.perplexity(probs)
-    return out.select("pairs", F.col("zero").cast("int").alias("zero"), "e_words", F.round("log2", 6).alias("log2"), F.round("perplexity", 6).alias("perplexity"))
-
-
 EQUAL = em.Config(iterations=2, chinese=False, cutoff=False, fertility=False, lambda1=0.0, shared_words=True, old_rules=False)
 
 
-def _inside(rows: DataFrame, config: em.Config, shown: Column | None = None) -> DataFrame:
-    model = em.Model(config)
+def _inside(rows: DataFrame, config: em.Config) -> DataFrame:
+    """(pair_id, n_e, prob) of the pairs that fit the chart, at equal probabilities."""
     data, keys = em.prepare(rows, config)
-    found = em.events(em.gathered(data, keys, model), config, True, 0.0, False)
-    return found.select("pair_id", F.round(F.col("cnt") * 1e6, 9).alias("p") if shown is None else shown)
-
-
-@query("""SELECT pair_id, round(1e6 * CASE least(len(f), 1 + pair_id % 3) WHEN 1 THEN 0.1 * 0.1 WHEN 2 THEN 3 * 0.1 * 0.1 ELSE 3 * 0.1 * 0.1 END::DOUBLE, 9) AS p
-          FROM pairs WHERE len(e) = 1""")
-def inside_leaf_closed_form(spark, sf):
-    """One-leaf trees at equal probabilities: no insertion, or one on either side."""
-    return _inside(pairs(spark, sf).filter("size(e) = 1").selectExpr("pair_id", "e_tree", "slice(f, 1, int(1 + pair_id % 3)) AS f"), EQUAL)
-
-
-# What a leaf b(x) with one insertion at most is at 0.1 everywhere, by foreign length (band 1..3); then all ways to deal
-# the root's stretch to two leaves, both orders.
-BIN2 = """, b(l, p) AS (VALUES (0, 0.01::DOUBLE), (1, 0.01), (2, 0.03), (3, 0.03)),
-x AS (SELECT b1.l + b2.l AS l, sum(b1.p * b2.p) AS p FROM b b1, b b2 GROUP BY 1),
-c AS (SELECT m.l, 0.1 * 0.1 * 2 * coalesce(x0.p, 0) + CASE WHEN m.l > 0 THEN 2 * 0.1 * 0.1 * 2 * coalesce(x1.p, 0) ELSE 0 END AS p FROM range(0, 7) m(l) LEFT JOIN x x0 ON x0.l = m.l LEFT JOIN x x1 ON x1.l = m.l - 1),
-u AS (SELECT m.l, 0.1 * 0.1 * CASE WHEN m.l <= 4 THEN coalesce(c0.p, 0) ELSE 0 END + CASE WHEN m.l > 0 THEN 2 * 0.1 * 0.1 * CASE WHEN m.l - 1 <= 4 THEN coalesce(c1.p, 0) ELSE 0 END ELSE 0 END AS p
-      FROM range(0, 7) m(l) LEFT JOIN c c0 ON c0.l = m.l LEFT JOIN c c1 ON c1.l = m.l - 1)
-SELECT pair_id, round(u.p * 1e6, 9) AS p FROM pairs JOIN u ON u.l = least(len(f), 1 + pair_id % 4) WHERE len(e) = 2"""
+    model = em.Model(config)
+    found = em.events(em.gathered(data, keys, model), model, 0.0, False)
+    return found.select("pair_id", F.col("i").alias("n_e"), F.col("cnt").alias("prob"))
+
+
+# At 0.1 everywhere a pair's probability depends on its two lengths alone. b, c: a leaf's and a chunk's sums by foreign length;
+# cn: of several chunks; g1, g2, g3: of a run of chunks that holds no, one or two further runs; a sentence is the outermost.
+INSIDE = """, most AS (SELECT x AS w, CAST(trunc(1.4::DOUBLE * x + 2.001::DOUBLE) AS INT) AS most FROM range(1, 21) t(x)),
+l0 AS (SELECT x AS l FROM range(0, 61) t(x)),
+b(l, p) AS (VALUES (0, 0.01::DOUBLE), (1, 0.01), (2, 0.03), (3, 0.03)),
+bb AS (SELECT b1.l + b2.l AS l, sum(b1.p * b2.p) AS p FROM b b1, b b2 GROUP BY 1),
+c AS (SELECT m.l, 0.1 * 0.2 * coalesce(x.p, 0) + 0.2 * 0.2 * coalesce(y.p, 0) AS p FROM l0 m LEFT JOIN bb x ON x.l = m.l LEFT JOIN bb y ON y.l = m.l - 1 WHERE m.l <= 4),
+c2 AS (SELECT x.l + y.l AS l, sum(x.p * y.p) AS p FROM c x, c y GROUP BY 1),
+c3 AS (SELECT x.l + y.l AS l, sum(x.p * y.p) AS p FROM c2 x, c y GROUP BY 1),
+c4 AS (SELECT x.l + y.l AS l, sum(x.p * y.p) AS p FROM c3 x, c y GROUP BY 1),
+cn AS (SELECT 0 AS n, 0 AS l, 1.0::DOUBLE AS p UNION ALL SELECT 1, * FROM c UNION ALL SELECT 2, * FROM c2 UNION ALL SELECT 3, * FROM c3 UNION ALL SELECT 4, * FROM c4),
+bn AS (SELECT 0 AS n, 0 AS l, 1.0::DOUBLE AS p UNION ALL SELECT 1, * FROM b),
+k1 AS (SELECT w, cn.l + bn.l AS l, sum(cn.p * bn.p) * 0.1 * [1, 2, 6, 24][CAST((w + 1) // 2 AS INT)] AS p FROM most JOIN cn ON cn.n = w // 2 JOIN bn ON bn.n = w % 2 WHERE w BETWEEN 2 AND 8 GROUP BY w, 2),
+g1 AS (SELECT w, m.l, 0.1 * coalesce(x.p, 0) + 0.2 * coalesce(y.p, 0) AS p FROM most CROSS JOIN l0 m LEFT JOIN k1 x USING (w, l) LEFT JOIN k1 y ON y.w = most.w AND y.l = m.l - 1 WHERE w BETWEEN 2 AND 8 AND m.l <= most),
+k2 AS (SELECT g1.w + 6 AS w, c3.l + g1.l AS l, sum(c3.p * g1.p) * 0.1 * 24 AS p FROM g1, c3 WHERE g1.w >= 3 GROUP BY 1, 2),
+g2 AS (SELECT w, m.l, 0.1 * coalesce(x.p, 0) + 0.2 * coalesce(y.p, 0) AS p FROM most CROSS JOIN l0 m LEFT JOIN k2 x USING (w, l) LEFT JOIN k2 y ON y.w = most.w AND y.l = m.l - 1 WHERE w BETWEEN 9 AND 14 AND m.l <= most),
+k3 AS (SELECT g2.w + 6 AS w, c3.l + g2.l AS l, sum(c3.p * g2.p) * 0.1 * 24 AS p FROM g2, c3 GROUP BY 1, 2),
+g3 AS (SELECT w, m.l, 0.1 * coalesce(x.p, 0) + 0.2 * coalesce(y.p, 0) AS p FROM most CROSS JOIN l0 m LEFT JOIN k3 x USING (w, l) LEFT JOIN k3 y ON y.w = most.w AND y.l = m.l - 1 WHERE w BETWEEN 15 AND 19 AND m.l <= most),
+inside AS (SELECT 1 AS w, * FROM b UNION ALL SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3),
+probs AS (SELECT pair_id, CAST(len(e) AS INT) AS n_e, p FROM pairs JOIN most ON most.w = len(e) AND len(f) BETWEEN 1 AND least(most.most, 29) JOIN inside ON inside.w = len(e) AND inside.l = len(f) WHERE len(e) <= 19)
+"""
 
 
-@query(BIN2)
-def inside_bin2_closed_form(spark, sf):
-    """Two leaves under a node under a unary root."""
-    return _inside(pairs(spark, sf).filter("size(e) = 2").selectExpr("pair_id", "e_tree", "slice(f, 1, int(1 + pair_id % 4)) AS f"), EQUAL)
+@query(INSIDE + "SELECT pair_id, n_e, round(log2(p), 9) AS log2 FROM probs")
+def inside_probabilities(spark, sf):
+    """Of every pair that fits the chart's limits: log2 of its probability at equal probabilities."""
+    return _inside(pairs(spark, sf), EQUAL).select("pair_id", "n_e", F.round(F.log2("prob"), 9).alias("log2"))
 
 
-@query()
-def inside_probabilities(spark, sf):
-    """Of every pair of whole texts that fits the chart's limits: log2 of its probability at equal probabilities."""
-    with whole_texts():
-        rows = pairs(spark, sf)
-    return _inside(rows, EQUAL, F.round(F.log2("cnt"), 9).alias("log2"))
+@query(INSIDE + "SELECT count(*) AS pairs, 0 AS zero, CAST(sum(n_e) AS BIGINT) AS e_words, round(sum(log2(p)), 4) AS log2, round(power(2, -sum(log2(p)) / sum(n_e)), 4) AS perplexity FROM probs")
+def perplexity(spark, sf):
+    """Of the model at equal probabilities, over all pairs that fit."""
+    out = em.perplexity(_inside(pairs(spark, sf), EQUAL))
+    return out.select("pairs", F.col("zero").cast("int").alias("zero"), "e_words", F.round("log2", 4).alias("log2"), F.round("perplexity", 4).alias("perplexity"))
 
 
 # Reports
@@ -497,15 +484,15 @@ def tree_flatten(spark, sf):
     return _labelled(spark, sf).select("pair_id", transforms.edit(F.col("tree"), transforms.Edits(("conv", "flat"), PUNCT)).alias("tree"))
 
 
-@query("SELECT pair_id, '(TOP (VP ' || array_to_string(list_transform(e_words, lambda w: '(NN ' || upper(w) || ')'), ' ') || ' (PUNC .)))' AS tree FROM wp")
+@query("SELECT pair_id, '(TOP (VP ' || array_to_string(list_transform(e_words, lambda w: '(NN ' || translate(w, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || ')'), ' ') || ' (PUNC .)))' AS tree FROM wp")
 def tree_rmhead_lf(spark, sf):
-    upper = _labelled(spark, sf).select("pair_id", F.upper("tree").alias("tree"))
+    upper = _labelled(spark, sf).select("pair_id", text.ascii_upper(F.col("tree")).alias("tree"))
     return upper.select("pair_id", transforms.edit(F.col("tree"), transforms.Edits(("conv", "rmhead", "lf"), PUNCT)).alias("tree"))
 
 
 @query("SELECT pair_id, '(' || e_words[1] || '/TOP (' || e_words[1] || '/VP ' || array_to_string(e_words, '/NN ') || '/NN ./PUNC.))' AS tree FROM wp")
 def tree_lower(spark, sf):
-    upper = _labelled(spark, sf).select("pair_id", F.upper("tree").alias("tree"))
+    upper = _labelled(spark, sf).select("pair_id", text.ascii_upper(F.col("tree")).alias("tree"))
     return upper.select("pair_id", transforms.edit(F.col("tree"), transforms.Edits(("lower",))).alias("tree"))
 
 
@@ -532,13 +519,20 @@ def tree_passive_aux(spark, sf):
 
 # Training: iterative, so without SQL.
 
+_fits: dict[tuple[str, str], em.Fit] = {}
+
+
 def _fit(spark, sf, iterations: int = 2) -> em.Fit:
-    rows = em.checkpointed(prepared(spark, sf).select("pair_id", "e_tree", "f"))  # the corpus is read again and again
-    parts = corpus.split(rows)
-    config = em.Config(iterations=iterations)
-    train = parts.filter("split = 'train'").drop("split")
-    allowed = corpus.phrase_cutoff(corpus.cooccurrence(train, config.band), 1, 0)
-    return em.train(train, allowed, parts.filter("split = 'test'").drop("split"), config)
+    """The model, fitted once a session and folder; its tables are in the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _fits:
+        rows = em.checkpointed(prepared(spark, sf).select("pair_id", "e_tree", "f"))  # the corpus is read again and again
+        parts = corpus.split(rows)
+        config = em.Config(iterations=iterations)
+        train = parts.filter("split = 'train'").drop("split")
+        allowed = corpus.phrase_cutoff(corpus.cooccurrence(train, config.band), 1, 0)
+        _fits[key] = em.train(train, allowed, parts.filter("split = 'test'").drop("split"), config)
+    return _fits[key]
 
 
 @query()

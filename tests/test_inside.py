@@ -16,7 +16,7 @@ def found(spark, tmp_path_factory):
     name = lambda k, n: " ".join(chr(97 + (k + j) % 26) for j in range(n))
     rows = [(k, t, "user", name(k, n)) for k, p in enumerate(SIZES) for t, n in enumerate(p)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
-    return {SIZES[r["pair_id"] // 1000]: r["log2"] for r in registry.QUERIES["inside_probabilities"](spark, path).collect()}
+    return {SIZES[r["pair_id"] // 10**9]: r["log2"] for r in registry.QUERIES["inside_probabilities"](spark, path).collect() if r["pair_id"] % 10**9 == 0}
 
 
 LEAF = {0: 0.01, 1: 0.01, 2: 0.03, 3: 0.03}  # no insertion, or one on either side; the band is 1 to 3

@@ -1,22 +1,26 @@
 """Queries over whole texts against plain Python."""
 
 import collections
-import itertools
 import re
 
 import pytest
+import regex
 
 from parsewright.functions import lengths
-from parsewright.plans import registry
+from parsewright.operators import corpus
+from parsewright.plans import inputs, registry
 
 TEXTS = [
     (1, 0, "The cat sat on the mat, and the dog lay by the door of the old house near a river."),
     (1, 1, "Le chat est assis sur le tapis; le chien dort devant la porte de la vieille maison."),
-    (1, 2, "yes"),
+    (1, 2, "yes. No! Ça va? Ελλάδα 12 ÉTÉ"),
     (1, 3, "word " * 45 + "end"),
     (2, 0, "a b c d e f g h i j k l m n o p q r s t u"),
     (2, 1, "one two three four five six seven eight nine ten"),
     (2, 2, "12 34"),
+    (3, 0, "Alone. Here"),
+    (4, 0, None),
+    (None, 0, "Lost words."),
 ]
 
 
@@ -28,13 +32,21 @@ def sf(spark, tmp_path_factory):
 
 
 def cut(text):
-    return re.findall("[a-z]+", text.lower())
+    return regex.findall(r"\p{L}+", text or "")
 
 
 def sentences():
-    for (a, i, e), (b, _, f) in itertools.pairwise(TEXTS):
-        if a == b and cut(e) and cut(f):
-            yield a * 1000 + i, cut(e), cut(f)
+    """A turn's sentences with its successor's words, dealt evenly; the last turn goes with the first."""
+    talks = collections.defaultdict(list)
+    for conv, turn, text in TEXTS:
+        if conv and cut(text):
+            talks[conv].append((turn, text))
+    for conv, turns in talks.items():
+        for (turn, text), (_, after) in zip(turns, turns[1:] + turns[:1], strict=True):
+            e = [s for s in map(cut, re.split(r"[.!?\n]+", text.lower())) if s]
+            f = cut(after)
+            for k, s in enumerate(e):
+                yield (conv * 10000 + turn) * 100000 + k, s, f[k * len(f) // len(e) : (k + 1) * len(f) // len(e)]
 
 
 def ids(side):
@@ -57,9 +69,13 @@ def spans(n):
 
 
 def test_every_word_counts(spark, sf):
-    got = {r["word"]: r["freq"] for r in registry.QUERIES["whole_vocab_freq"](spark, sf).collect()}
+    rows = inputs.words(spark, sf).collect()
+    whole = collections.Counter(w for c, _, t in TEXTS if c for w in cut(t))
+    assert collections.Counter(w for r in rows for w in r["f_words"]) == whole
+    assert collections.Counter(w for r in rows for w in r["e_words"]) == collections.Counter(w.lower() for w in whole.elements())
+    got = {r["word"]: r["freq"] for r in registry.QUERIES["vocab_freq"](spark, sf).collect()}
     assert got == collections.Counter(w for p in sentences() for w in p[1])
-    got = {(r["w1"], r["w2"], r["w3"]): r["cnt"] for r in registry.QUERIES["whole_trigram_counts"](spark, sf).collect()}
+    got = {(r["w1"], r["w2"], r["w3"]): r["cnt"] for r in registry.QUERIES["trigram_counts"](spark, sf).collect()}
     want = collections.Counter()
     for _, e, _ in sentences():
         s = ["<s>", *e, "</s>"]
@@ -67,9 +83,9 @@ def test_every_word_counts(spark, sf):
     assert got == want
 
 
-def test_trees_hold_whole_sentences_in_few_children(spark, sf):
+def test_trees_hold_sentences_in_few_children(spark, sf):
     nodes = collections.defaultdict(list)
-    for r in registry.QUERIES["whole_tree_nodes"](spark, sf).collect():
+    for r in registry.QUERIES["tree_nodes"](spark, sf).collect():
         nodes[r["pair_id"]].append(r)
     number = ids(1)
     assert set(nodes) == {p[0] for p in sentences()}
@@ -79,14 +95,22 @@ def test_trees_hold_whole_sentences_in_few_children(spark, sf):
         assert max(r["numc"] for r in nodes[pair]) <= 4
 
 
+def test_pair_ids_have_room(spark):
+    make = lambda conv, turn: corpus.word_pairs(spark.createDataFrame([(conv, turn, "a b")], "conv_id long, turn long, text string"))
+    assert make(7, 9999).first()["pair_id"] == 79999_00000
+    for conv, turn in ((7, 10000), (2**40, 0), (1, -1)):
+        with pytest.raises(Exception, match="room"):
+            make(conv, turn).collect()
+
+
 def test_limits_see_long_pairs(spark, sf):
-    got = {r["pair_id"]: r["ok"] for r in registry.QUERIES["whole_sentence_ok"](spark, sf).collect()}
-    assert got == {p: len(e) <= 19 and len(f) <= 29 and len(f) <= lengths.DEFAULT_BAND.of(len(e))[1] for p, e, f in sentences()}
+    got = {r["pair_id"]: r["ok"] for r in registry.QUERIES["sentence_ok"](spark, sf).collect()}
+    assert got == {p: len(e) <= 19 and 0 < len(f) <= 29 and len(f) <= lengths.DEFAULT_BAND.of(len(e))[1] for p, e, f in sentences()}
     assert set(got.values()) == {False, True}
 
 
 def test_cooccurrence(spark, sf):
-    got = {(r["e"], r["f"]): r["cnt"] for r in registry.QUERIES["whole_cooccurrence"](spark, sf).collect()}
+    got = {(r["e"], r["f"]): r["cnt"] for r in registry.QUERIES["cooccurrence"](spark, sf).collect()}
     e_id, f_id = ids(1), ids(2)
     want = collections.Counter()
     for _, e, f in sentences():
