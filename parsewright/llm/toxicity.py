@@ -2,24 +2,29 @@
 
 Fit. Tokens are lower-cased words and the prefixes of words (``PREFIXES`` letters long), so that insults which a
 language inflects share a token. On the labelled training rows each token's log-odds between toxic and other
-documents is taken with an informative Dirichlet prior (the tokens' share in both, times ``prior``) and kept if its
-z-score is at least ``z_least``. A word scores as its best token; every other word costs ``drift``, so the expected
-score of ordinary text is negative, as segment statistics ask for.
+documents is taken with an informative Dirichlet prior (the token's share in both, times ``prior``), over documents, as
+a word that one toxic document repeats tells nothing. It is drawn towards zero by ``shrink`` standard deviations, so
+what few documents say counts little and nothing is cut off. A word scores as the token that says most about it, for
+or against, less ``drift``; with that the expected score of ordinary text is negative, as segment statistics ask for.
 
 Score. One linear pass finds all maximal-scoring segments (Ruzzo and Tompa). The score of a random text's best
 segment follows an extreme-value law, P(S >= x) = 1 - exp(-K n exp(-lambda x)); lambda solves E[exp(lambda s)] = 1
-over the words of the other training documents, K is set by their best segments. A segment is significant if its
-expected number in a text of that length is at most ``e_most``. A document's evidence is the log of that number for
-its best segment together with the significant segments' total; a logistic curve fitted on the training rows turns
-it into a score from 0 to 1.
-
-The fit reads at most ``max_labelled`` labelled rows (taken by a hash of their ids; all, if there are no more). That
-bound, and that of ``max_tokens`` kept tokens, do not depend on the size of the corpus; every document is scored
-over its whole text.
-
-Defined results: null and empty texts have no segment and get the score of no evidence; labels that are null count
-as no label, a doc_id with several labels is toxic if one of them says so; without labelled rows of both kinds every
-score is 0; repeated rows each give a row; an empty table gives an empty result.
+over the words of the other training documents, K is the likeliest given their best segments. A segment is significant
+if its expected number in a text of that length is at most ``e_most``. A document's evidence is the law's log-odds
+against its r best segments together (Karlin and Altschul's sum statistic), at the r that says most; a logistic curve
+turns its logarithm into a score from 0 to 1. Lambda, K and the curve are fitted on the training rows, each scored
+without its own contribution to the counts.
+
+The fit reads at most about ``max_labelled`` labelled rows (taken by a hash of their ids; all, if there are no more),
+one row for each doc_id. They are joined out of the corpus once and written. That bound does not depend on the size of
+the corpus; every document is scored over its whole text.
+
+Defined results: null and empty texts have no segment and get the score of no evidence; a very long text is scanned
+like any other, in one pass; labels that are null count as no label, a doc_id with several labels is toxic if one of
+them says so, and of several texts of a labelled doc_id the one of the least hash is learned from; equal segments
+stand in text order, and of tokens that say equally much the longer one counts; without labelled rows of both kinds
+every score is 0; repeated rows each give a row; an empty table gives an empty result; extra columns stay, but those
+named like an added one (score, n_segments, passages) are replaced by it.
 """
 
 from __future__ import annotations
@@ -40,6 +45,7 @@ from . import common
 
 WORDS = re.compile(r"[^\W_]+")
 PREFIXES = (5, 6, 7)
+BEST = 50  # segments that the sum statistic looks at; beyond, the evidence of a text is far above any doubt
 
 
 def word_tokens(word: str) -> list[str]:
@@ -51,7 +57,7 @@ class ToxicModel:
     """Scores of tokens, and the constants of the extreme-value law and of the logistic curve."""
 
     scores: dict[str, float] = field(default_factory=dict)
-    drift: float = 0.5
+    drift: float = 1.0
     lam: float = 1.0
     k: float = 0.1
     e_most: float = 0.25
@@ -59,49 +65,52 @@ class ToxicModel:
     cache: dict[str, float] = field(default_factory=dict, repr=False)
 
     def word_score(self, word: str) -> float:
-        """The best of the word's tokens, else minus the drift."""
+        """What the word's most telling token says, less the drift."""
         s = self.cache.get(word)
         if s is None:
-            known = [self.scores[t] for t in word_tokens(word) if t in self.scores]
-            s = max(known) if known else -self.drift
+            s = max((self.scores.get(t, 0.0) for t in word_tokens(word)), key=abs) - self.drift
             if len(self.cache) > 150_000:
                 self.cache.clear()
             self.cache[word] = s
         return s
 
-    def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
-        """Every significant maximal segment: (first word, end, score), in text order."""
-        get, least = self.cache.get, -self.drift
-        found = []
-        for k, w in enumerate(words):  # most words carry the drift alone
+    def found(self, words: list[str]) -> list[tuple[int, float]]:
+        """The words that differ from the drift alone: (place, score)."""
+        get, least, out = self.cache.get, -self.drift, []
+        for k, w in enumerate(words):
             s = get(w)
             if s is None:
                 s = self.word_score(w)
             if s != least:
-                found.append((k, s))
-        if not found:
-            return []
-        limit = self.significant(len(words))
-        return [x for x in maximal_segments(found, self.drift) if x[2] >= limit]
+                out.append((k, s))
+        return out
+
+    def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
+        """All maximal segments: (first word, end, score), in text order."""
+        return maximal_segments(self.found(words), self.drift)
 
     def significant(self, n: int) -> float:
         """The least score of a segment that is expected at most e_most times in n words."""
         return math.log(max(self.k * n, 1e-9) / self.e_most) / self.lam
 
-    def evidence(self, words: list[str]) -> tuple[float, float]:
-        """-log of the expected number of segments as good as the best, and the significant segments' total per log of length."""
-        segs = self.segments(words)
-        if not segs:
-            return 0.0, 0.0
-        best = max(s for _, _, s in segs)
-        e = self.lam * best - math.log(max(self.k * len(words), 1e-9))
-        p = -math.expm1(-math.exp(-e)) if e < 30 else math.exp(-e)  # extreme-value p-value of the best segment
-        return min(20.0, -math.log(max(p, 1e-12))), min(20.0, self.lam * sum(s for _, _, s in segs) / 5)
-
-    def probability(self, evidence: tuple[float, float]) -> float:
+    def evidence(self, scores: list[float], n: int) -> float:
+        """Log of one plus -log P of the best segments (scores in descending order) of n words, at the number that says most."""
+        if not scores or not n:
+            return 0.0
+        level, total, best = math.log(max(self.k * n, 1e-9)), 0.0, 0.0
+        for r, s in enumerate(scores[:BEST], 1):
+            total += self.lam * s - level
+            if r == 1:
+                p = -math.expm1(-math.exp(-total)) if total < 30 else math.exp(-min(total, 600.0))
+                best = -math.log(max(p, 1e-300))
+            elif total > r - 1:  # where the law of the sum's tail holds; each more that is looked at costs a factor of two
+                best = max(best, total + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2 * total))
+        return math.log1p(best)
+
+    def probability(self, evidence: float) -> float:
         if not self.weights:
             return 0.0
-        z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], evidence, strict=True))
+        z = self.weights[0] + self.weights[1] * evidence
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
@@ -131,7 +140,7 @@ def maximal_segments(scored: list[tuple[int, float]], drift: float) -> list[tupl
     return [(a, b, r - x) for a, b, x, r in stack]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int, train) -> DataFrame:
+def labelled(labels: DataFrame, label: str, max_labelled: int, train) -> DataFrame:
     """(doc_id, y) of the training labels, at most about max_labelled, chosen by a hash of the id."""
     rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     rows = rows.filter(train)
@@ -141,168 +150,172 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, max_labelled: int,
     return rows
 
 
-def without_copies(docs: DataFrame, chosen: dict) -> dict:
-    """Of the chosen labelled rows (bounded), one row for those that share a min-hash of their 5-word shingles and the label.
+def without_copies(sample: DataFrame) -> dict:
+    """{doc_id: y} of the sample (bounded), one row for those that share a min-hash of their 5-word shingles and the label.
 
     Copies of one text would else make its words look like a trait of the label.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(set(chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sent.value
         for batch in batches:
-            rows = [k for k, i in enumerate(batch.column("doc_id").to_pylist()) if i in held]
-            if rows:
-                kept = batch.take(pa.array(rows, pa.int64()))
+            for part in common.slices(batch):
                 sketch = []
-                for text in common.texts_of(kept):
+                for text in common.texts_of(part):
                     words = text.lower().split()
                     shingles = [" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))]
                     sketch.append([min(xxhash.xxh3_64_intdigest(x, seed) for x in shingles) - (1 << 63) for seed in (1, 2)])
-                yield pa.RecordBatch.from_arrays([kept.column("doc_id"), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "h"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "y", "h"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = sample.schema["doc_id"].dataType.simpleString()
     seen: set = set()
     out = {}
-    for r in sorted(common.map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, h array<long>").collect(), key=lambda r: r["doc_id"]):
-        keys = {(k, h, chosen[r["doc_id"]]) for k, h in enumerate(r["h"])}
+    for r in sorted(common.map_arrow(sample, run, f"doc_id {kind}, y int, h array<long>").collect(), key=lambda r: r["doc_id"]):
+        keys = {(k, h, r["y"]) for k, h in enumerate(r["h"])}
         if not keys & seen:
-            out[r["doc_id"]] = chosen[r["doc_id"]]
+            out[r["doc_id"]] = r["y"]
         seen |= keys
-    sent.unpersist()
     return out
 
 
-def count_labelled(docs: DataFrame, chosen: dict) -> DataFrame:
-    """Per token: how many words of toxic (a) and of other (b) training documents give it, and in how many documents."""
+def tokens_in(words: list[str]) -> set[str]:
+    return {t for w in set(words) for t in word_tokens(w)}
+
+
+def count_labelled(sample: DataFrame, chosen) -> DataFrame:
+    """Per token: in how many toxic (a) and other (b) training documents it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, da, db = Counter(), Counter(), Counter(), Counter()
+        a, b = Counter(), Counter()
         label = chosen.value
 
         def out() -> pa.RecordBatch:
             keys = list(a.keys() | b.keys())
-            made = pa.RecordBatch.from_pydict({"token": pa.array(keys, pa.string()), **{n: pa.array([c[k] for k in keys], pa.int64()) for n, c in (("a", a), ("b", b), ("da", da), ("db", db))}})
-            for c in (a, b, da, db):
-                c.clear()
+            made = pa.RecordBatch.from_pydict({"token": pa.array(keys, pa.string()), **{n: pa.array([c[k] for k in keys], pa.int64()) for n, c in (("a", a), ("b", b))}})
+            a.clear()
+            b.clear()
             return made
 
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            rows = [k for k, i in enumerate(ids) if i in label]
-            if not rows:
-                continue
-            kept = batch.take(pa.array(rows, pa.int64()))
-            for doc_id, text in zip(kept.column("doc_id").to_pylist(), common.texts_of(kept), strict=True):
-                tokens = Counter()
-                for word, n in Counter(WORDS.findall(text.lower())).items():
-                    for t in word_tokens(word):
-                        tokens[t] += n
-                (a if label[doc_id] else b).update(tokens)
-                (da if label[doc_id] else db).update(tokens.keys())
-            if len(a) + len(b) > 100_000:
-                yield out()
+            for part in common.slices(batch):
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), common.texts_of(part), strict=True):
+                    if doc_id in label:
+                        (a if label[doc_id] else b).update(tokens_in(WORDS.findall(text.lower())))
+                        if len(a) + len(b) > 100_000:
+                            yield out()
         if a or b:
             yield out()
 
-    parts = common.map_arrow(docs, run, "token string, a long, b long, da long, db long")
-    return parts.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("a", "b", "da", "db")])
+    return common.map_arrow(sample, run, "token string, a long, b long").groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+LEAST_PRIOR = 0.3  # documents by which the prior counts a token at least
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, max_labelled: int = 20_000, max_tokens: int = 50_000, prior: float = 500.0, z_least: float = 4.0, drift: float = 0.5, e_most: float = 0.25) -> ToxicModel:
+def log_odds(a: float, b: float, n_a: int, n_b: int, prior: float, shrink: float) -> float:
+    """Of a token in a of n_a toxic and b of n_b other documents, drawn towards zero by ``shrink`` standard deviations."""
+    if a + b <= 0:
+        return 0.0
+    alpha = max(prior * (a + b) / (n_a + n_b), LEAST_PRIOR)
+    delta = math.log((a + alpha) / (n_a + prior - a - alpha)) - math.log((b + alpha) / (n_b + prior - b - alpha))
+    return math.copysign(max(0.0, abs(delta) - shrink * math.sqrt(1 / (a + alpha) + 1 / (b + alpha))), delta)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, max_labelled: int = 20_000, prior: float = 10.0, shrink: float = 1.5, drift: float = 1.0, e_most: float = 0.25) -> ToxicModel:
     """``train`` is a condition on doc_id for the rows to learn from."""
     spark = docs.sparkSession
     docs = common.columns(docs, "doc_id", "text")
-    chosen = {r["doc_id"]: r["y"] for r in labelled(docs, labels, label, max_labelled, F.lit(True) if train is None else train).collect()}
-    chosen = without_copies(docs, chosen)
-    sent = spark.sparkContext.broadcast(chosen)
-    d_a, d_b = max(1, sum(chosen.values())), max(1, len(chosen) - sum(chosen.values()))
-    tokens = count_labelled(docs, sent)
+    chosen_rows = labelled(labels, label, max_labelled, F.lit(True) if train is None else train)
     shared = common.Shared(spark)
-    tokens = shared.keep(tokens, "tokens")
-    # Totals over whole words only; prefixes are further views of the same words.
-    total = tokens.filter(~F.col("token").endswith("*")).agg(F.sum("a"), F.sum("b"), F.count(F.lit(1))).first()
-    n_a, n_b = total[0] or 0, total[1] or 0
+    # about max_labelled rows are broadcast; of a doc_id's rows the one of the least hash stays
+    sample = docs.join(F.broadcast(chosen_rows), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = shared.keep(sample.repartition(spark.sparkContext.defaultParallelism), "sample")
+    chosen = without_copies(sample)
+    n_a = sum(chosen.values())
+    n_b = len(chosen) - n_a
     model = ToxicModel(drift=drift, e_most=e_most)
     if not n_a or not n_b:
+        shared.drop("sample")
         return model
-    alpha = F.greatest(F.lit(prior) * (F.col("a") + F.col("b")) / F.lit(n_a + n_b), F.lit(0.5))
+    sent = spark.sparkContext.broadcast(chosen)
+    alpha = F.greatest(F.lit(prior) * (F.col("a") + F.col("b")) / F.lit(n_a + n_b), F.lit(LEAST_PRIOR))
     odds = lambda c, n: F.log((F.col(c) + alpha) / (F.lit(n + prior) - F.col(c) - alpha))
-    # The z-score is taken over documents: a word that one toxic document repeats tells nothing.
-    z = (F.log((F.col("da") + 0.5) / F.lit(d_a)) - F.log((F.col("db") + 0.5) / F.lit(d_b))) / F.sqrt(1 / (F.col("da") + 0.5) + 1 / (F.col("db") + 0.5))
-    strong = tokens.filter("da >= 4").withColumn("delta", odds("a", n_a) - odds("b", n_b)).withColumn("z", z).filter(F.col("z") >= z_least)
-    strong = strong.filter(F.col("delta") > 1.0).orderBy(F.desc("z"), "token").limit(max_tokens)
-    model.scores = {r["token"]: float(r["delta"]) for r in strong.collect()}
-
-    # What the labelled rows score, for lambda, K and the curve: a row a document, as many as labelled rows at most.
-    first = spark.sparkContext.broadcast(model)
+    telling = count_labelled(sample, sent).filter(F.abs(odds("a", n_a) - odds("b", n_b)) > F.lit(shrink) * F.sqrt(1 / (F.col("a") + alpha) + 1 / (F.col("b") + alpha)))
+    counts = {r["token"]: (r["a"], r["b"]) for r in telling.collect()}  # tokens that several labelled documents share
+    model.scores = {t: log_odds(a, b, n_a, n_b, prior, shrink) for t, (a, b) in counts.items()}
+    table = spark.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label, m = sent.value, first.value
+        """Per document its best segments; and how often each score occurs in other documents (y = -1), for lambda."""
+        label, counts = sent.value, table.value
+        caches: tuple[dict[str, float], dict[str, float]] = ({}, {})
+
+        def word_score(word: str, y: int) -> float:
+            s = caches[y].get(word)
+            if s is None:
+                own = lambda t: log_odds(counts[t][0] - y, counts[t][1] - (1 - y), n_a - y, n_b - (1 - y), prior, shrink) if t in counts else 0.0
+                s = caches[y][word] = max(map(own, word_tokens(word)), key=abs) - drift
+            return s
+
+        values: Counter = Counter()
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            rows = [k for k, i in enumerate(ids) if i in label]
-            if not rows:
-                continue
-            kept = batch.take(pa.array(rows, pa.int64()))
-            y, n, found = [], [], []
-            for doc_id, text in zip(kept.column("doc_id").to_pylist(), common.texts_of(kept), strict=True):
-                words = WORDS.findall(text.lower())
-                y.append(label[doc_id])
-                n.append(len(words))
-                found.append([(k, s) for k, w in enumerate(words) if (s := m.word_score(w)) != -m.drift])
-            yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int32()), "n": pa.array(n, pa.int64()), "at": pa.array([[k for k, _ in x] for x in found], pa.list_(pa.int64())), "s": pa.array([[s for _, s in x] for x in found], pa.list_(pa.float64()))})
-
-    seen = common.map_arrow(docs, run, "y int, n long, at array<long>, s array<double>").collect()
-    calibrate(model, [(r["y"], r["n"], list(zip(r["at"], r["s"], strict=True))) for r in seen])
+            for part in common.slices(batch):
+                ys, ns, best = [], [], []
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), common.texts_of(part), strict=True):
+                    if doc_id not in label:
+                        continue
+                    y, words = label[doc_id], WORDS.findall(text.lower())
+                    found = [(k, s) for k, w in enumerate(words) if (s := word_score(w, y)) != -drift]
+                    ys.append(y)
+                    ns.append(len(words))
+                    best.append(sorted((s for _, _, s in maximal_segments(found, drift)), reverse=True)[:BEST])
+                    if not y:
+                        values.update(round(s, 3) for _, s in found)
+                yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(ns, pa.int64()), pa.array(best, pa.list_(pa.float64()))], names=["y", "n", "best"])
+                for c in caches:
+                    if len(c) > 150_000:
+                        c.clear()
+        if values:
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(values), pa.int32()), pa.array(values.values(), pa.int64()), pa.array([[s] for s in values], pa.list_(pa.float64()))], names=["y", "n", "best"])
+
+    seen = common.map_arrow(sample, run, "y int, n long, best array<double>").collect()
+    values = Counter()
+    for r in seen:
+        if r["y"] < 0:
+            values[r["best"][0]] += r["n"]
+    calibrate(model, sorted((r["y"], r["n"], list(r["best"])) for r in seen if r["y"] >= 0), values)
     sent.unpersist()
-    shared.drop("tokens")
+    table.unpersist()
+    shared.drop("sample")
     return model
 
 
-def calibrate(model: ToxicModel, rows: list[tuple[int, int, list[tuple[int, float]]]]) -> None:
-    """Set lambda and K on the other documents, then the logistic curve on all rows."""
-    values, words = Counter(), 0
-    for y, n, found in rows:
-        if not y:
-            words += n
-            values.update(round(s, 3) for _, s in found)
-    words = max(words, 1)
+def calibrate(model: ToxicModel, rows: list[tuple[int, int, list[float]]], values: Counter) -> None:
+    """Set lambda and K on the other documents, then the logistic curve on all rows (y, words, scores of the best segments)."""
+    words = max(1, sum(n for y, n, _ in rows if not y))
     plain = words - sum(values.values())
 
     def excess(lam: float) -> float:
         return (plain * math.exp(-lam * model.drift) + sum(c * math.exp(lam * s) for s, c in values.items())) / words - 1
 
-    if values:
-        low, high = 1e-6, 1.0
-        while excess(high) < 0 and high < 50:
-            high *= 2
-        if excess(low) < 0:
-            for _ in range(60):
-                mid = (low + high) / 2
-                low, high = (mid, high) if excess(mid) < 0 else (low, mid)
-            model.lam = low
-    # K from how many of the other documents' best segments there are: E = K n exp(-lambda S), fitted by their mean.
-    shares = [math.exp(model.lam * max(s for _, _, s in maximal_segments(f, model.drift))) / n for y, n, f in rows if not y and n and any(s > 0 for _, s in f)]
-    clean = sum(1 for y, n, _ in rows if not y and n)
-    model.k = min(1.0, max(1e-4, len(shares) / max(1, clean) * (sum(min(x, 10.0) for x in shares) / len(shares) if shares else 0.0)))
-
-    def evidence(n: int, found: list[tuple[int, float]]) -> tuple[float, float]:
-        segs = [x for x in maximal_segments(found, model.drift) if x[2] >= model.significant(n)] if found and n else []
-        if not segs:
-            return 0.0, 0.0
-        best = max(s for _, _, s in segs)
-        e = model.lam * best - math.log(max(model.k * n, 1e-9))
-        p = -math.expm1(-math.exp(-e)) if e < 30 else math.exp(-e)
-        return min(20.0, -math.log(max(p, 1e-12))), min(20.0, model.lam * sum(s for _, _, s in segs) / 5)
-
+    low, high = 1e-6, 1.0
+    while excess(high) < 0 and high < 50:
+        high *= 2
+    if excess(low) < 0:
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if excess(mid) < 0 else (low, mid)
+        model.lam = low
+    # the likeliest K, given the best segments of the other documents
+    clean = [(n, best[0] if best else 0.0) for y, n, best in rows if not y and n]
+    if clean:
+        model.k = len(clean) / max(1e-9, sum(n * math.exp(-model.lam * s) for n, s in clean))
     y = np.array([r[0] for r in rows], float)
-    x = np.array([(1.0, *evidence(n, f)) for _, n, f in rows], float).reshape(len(rows), 3)
+    x = np.array([(1.0, model.evidence(best, n)) for _, n, best in rows], float).reshape(len(rows), 2)
     if not 0 < y.sum() < len(y):
         model.weights = ()
         return
-    w = np.zeros(3)
-    ridge = np.diag([1e-3, 0.05, 0.05])
+    w = np.zeros(2)
+    ridge = np.diag([1e-3, 1e-3])
     for _ in range(50):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
         g = x.T @ (y - p) - ridge @ w
@@ -331,8 +344,10 @@ def score(docs: DataFrame, model: ToxicModel, passages: bool = False) -> DataFra
                 for text in part.column("text").to_pylist():
                     low = (text or "").lower()
                     words = WORDS.findall(low)
-                    segs = m.segments(words)
-                    scores.append(m.probability(m.evidence(words)))
+                    every = m.segments(words)
+                    limit = m.significant(len(words))
+                    segs = [x for x in every if x[2] >= limit]
+                    scores.append(m.probability(m.evidence(sorted((x[2] for x in every), reverse=True), len(words))))
                     counts.append(len(segs))
                     if passages:
                         spans = [x.span() for x in WORDS.finditer(low)] if segs else []
