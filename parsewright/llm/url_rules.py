@@ -1,23 +1,36 @@
 """URL filters (operator 10) [DataFrame functions only]: rules, and empirical-Bayes host reputation for the rest.
 
-Labelled page outcomes (good or bad) are counted for each host, registered domain (the last two labels of the host) and
-suffix (the last label). The share of good outcomes is shrunk level by level through beta-binomial priors: the corpus
-share is the suffix's prior mean, the suffix's posterior mean the domain's, the domain's the host's. Each level's prior
-strength is fitted by the method of moments over the units of that level, between ``weakest`` and ``strongest``. A host
-is allowed if the lower posterior bound, mean less ``z`` standard deviations of its beta posterior, reaches ``least``.
+Labelled page outcomes (good or bad) are counted for each host, registered domain and suffix. The share of good outcomes
+is shrunk level by level through beta-binomial priors: the corpus share is the suffix's prior mean, the suffix's posterior
+mean the domain's, the domain's the host's. Each level's prior strength is fitted by the method of moments over the units
+of that level, between ``weakest`` and ``strongest``. A host is allowed if its posterior says with at least
+``confidence`` that its share of good pages is ``least`` or more, that is, if the lower quantile of its beta posterior
+reaches ``least``; the beta integral is summed on a grid in logit space, in SQL functions.
 Counts are pre-aggregated before the shuffle, and every host's verdict is one row, so a host of a third of all pages
 only meets in counts; hosts with more than a thousandth of the pages are joined by a broadcast of a thousand rows at most.
 
+Outcomes. Rules say what to do with a path, not what a host is worth, and no table labels pages. So a page's outcome is
+read from the page, unless ``outcomes`` are given: bad if its host or path has one of ``BAD_WORDS`` as a word of its own,
+or if its visible text outside links ends fewer than ``SENTENCES`` sentences; else good. A page without
+html has none.
+
+A host's name is what follows a user's name and precedes a port. Its suffix is one of ``SUFFIXES`` or its last label; its
+registered domain has one label more.
+
 Rules of the form host/path: a rule fits its host and all subdomains if the url's path starts with the rule's; the
 longest fitting rule wins.
 
-Defined results: a null url, or one without ``://``, has empty host and path and no rule; a host without labelled
-outcomes takes its domain's, suffix's or the corpus's posterior; without any outcome the prior share is one half;
-repeated rows each give a row; an empty table gives an empty result.
+Defined results: a null url, or one without ``://``, has empty host and path and no rule, and the empty host is judged
+like any other; a host without outcomes is judged by the prior that its domain, suffix or the corpus gives it; without
+any outcome the prior share is one half; a posterior that reaches the confidence exactly allows, and of rules of equal
+length the greater in text order wins; very long urls and pages are read whole; repeated rows each give a row; extra
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,12 +66,43 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+#: Suffixes of two labels under which names are registered; any other suffix is the last label.
+SUFFIXES = (
+    "ac.jp", "ac.nz", "ac.uk", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.hk", "com.mx",
+    "com.sg", "com.tr", "com.tw", "com.ua", "edu.au", "go.jp", "gov.au", "gov.uk", "ne.jp", "net.au", "net.br", "net.nz", "or.jp", "org.au", "org.br",
+    "org.nz", "org.uk", "org.za",
+)
+
+#: Words of an address by which its pages count as bad.
+BAD_WORDS = ("ads", "adult", "bets", "betting", "casino", "escort", "malware", "payday", "phishing", "pills", "poker", "porn", "spam", "tracker", "viagra", "warez", "xxx")
+
+SENTENCES = 5  # that a good page's text outside links ends at least
+
+#: What is no visible text outside links; then what is markup. The same in Java's and DuckDB's expressions.
+UNSEEN = r"(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>|<head.*?</head>|<a[ >].*?</a>"
+MARKUP, END_OF_SENTENCE = r"<[^>]*>", r"[.!?]([ \t\n\r]|\z)"
+
+
+def name_of(host: Column) -> Column:
+    """The host without a user's name and a port."""
+    return F.regexp_replace(F.substring_index(host, "@", -1), r":[0-9]*$", "")
+
+
+def suffix_of(name: Column) -> Column:
+    two = F.substring_index(name, ".", -2)
+    return F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def domain_of(name: Column) -> Column:
+    two = F.substring_index(name, ".", -2)
+    return F.when(two.isin(*SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
+
+
+def outcome(host: Column, path: Column, html: Column) -> Column:
+    """1 for a good page, 0 for a bad one, null without html."""
+    text = F.regexp_replace(F.regexp_replace(html, UNSEEN, " "), MARKUP, " ")
+    bad = F.lower(F.concat(host, path)).rlike(rf"(^|[^a-z])({'|'.join(BAD_WORDS)})([^a-z]|\z)")
+    return F.when(html.isNotNull(), (~bad & (F.regexp_count(text, F.lit(END_OF_SENTENCE)) >= SENTENCES)).cast("int"))
 
 
 def strength(units: DataFrame, weakest: float, strongest: float) -> float:
@@ -75,69 +119,89 @@ def strength(units: DataFrame, weakest: float, strongest: float) -> float:
     return strongest if rho <= 1 / (strongest + 1) else max(weakest, 1 / rho - 1)
 
 
-def reputation(outcomes: DataFrame, weakest: float = 2.0, strongest: float = 1000.0) -> tuple[DataFrame, DataFrame, DataFrame, float]:
-    """From (host, good 0/1): the hosts (host, n, mean, k), the domains and the suffixes alike, and the corpus share.
+STEPS = 512  # of the grid on which a posterior is summed
+
 
-    ``mean`` and ``k`` are the posterior mean and strength (prior strength plus outcomes) of the unit.
+def probability_above(a: Column, b: Column, least: float) -> Column:
+    """P(X >= least) of a beta posterior, by midpoint sums over u = logit(X), whose density has no poles.
+
+    The grid reaches to where nothing is left on either side, and a step ends at logit(least).
     """
-    hosts = outcomes.filter(F.col("good").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
-    hosts = common.Shared(outcomes.sparkSession).keep(hosts, "hosts")
+    at = math.log(least / (1 - least))
+    top, wide = F.log(a / b), 8 * F.sqrt((a + b) / (a * b))
+    low, high = top - F.greatest(wide, 40 / a), top + F.greatest(wide, 40 / b)
+    h = (high - low) / STEPS
+    soft = lambda u: F.greatest(u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(u)))
+    log_density = lambda u: -a * soft(-u) - b * soft(u)
+    grid = F.sequence(F.floor((low - at) / h), F.ceil((high - at) / h))
+    mass = F.transform(grid, lambda j: F.struct((j >= 0).alias("above"), F.exp(log_density(at + (j + 0.5) * h) - log_density(top)).alias("p")))
+    sums = F.aggregate(mass, F.struct(F.lit(0.0).alias("all"), F.lit(0.0).alias("above")), lambda s, x: F.struct((s["all"] + x["p"]).alias("all"), (s["above"] + F.when(x["above"], x["p"]).otherwise(0.0)).alias("above")))
+    return sums["above"] / sums["all"]
+
+
+def reputation(outcomes: DataFrame, names: DataFrame, weakest: float = 2.0, strongest: float = 1000.0) -> DataFrame:
+    """For every row of ``names`` (name, ...) the posterior beta's ``a`` and ``b``, from ``outcomes`` (name, good 0/1)."""
+    hosts = outcomes.filter(F.col("good").isNotNull()).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"))
+    shared = common.Shared(outcomes.sparkSession)
+    hosts = shared.keep(hosts.withColumn("domain", domain_of(F.col("name"))).withColumn("suffix", suffix_of(F.col("name"))), "hosts")
     total = hosts.agg(F.sum("n"), F.sum("good")).first()
     share = (total[1] + 1) / (total[0] + 2) if total[0] else 0.5
 
     def level(units: DataFrame) -> DataFrame:
         s = strength(units, weakest, strongest)
-        mean = (F.col("good") + F.lit(s) * F.col("m")) / (F.col("n") + F.lit(s))
-        return units.withColumn("mean", mean).withColumn("k", F.col("n") + F.lit(s))
-
-    domains = hosts.groupBy(domain_of(F.col("host")).alias("domain")).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    suffixes = level(domains.groupBy(suffix_of(F.col("domain")).alias("suffix")).agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("m", F.lit(share)))
-    up = suffixes.select("suffix", F.col("mean").alias("m"))
-    domains = level(domains.withColumn("suffix", suffix_of(F.col("domain"))).join(up, "suffix"))
-    up = domains.select("domain", F.col("mean").alias("m"))
-    hosts = level(hosts.withColumn("domain", domain_of(F.col("host"))).join(up, "domain"))
-    return hosts.select("host", "n", "mean", "k"), domains.select("domain", "n", "mean", "k"), suffixes.select("suffix", "n", "mean", "k"), share
+        return units.withColumn("mean", (F.col("good") + F.lit(s) * F.col("m")) / (F.col("n") + F.lit(s)))
 
+    sums = [F.sum("n").alias("n"), F.sum("good").alias("good")]
+    suffixes = shared.keep(level(hosts.groupBy("suffix").agg(*sums).withColumn("m", F.lit(share))).select("suffix", "mean"), "suffixes")
+    domains = hosts.groupBy("domain", "suffix").agg(*sums).join(suffixes.withColumnRenamed("mean", "m"), "suffix")
+    domains = shared.keep(level(domains).select("domain", "mean"), "domains")
+    s = strength(hosts.join(domains.withColumnRenamed("mean", "m"), "domain"), weakest, strongest)
+    every = names.withColumn("domain", domain_of(F.col("name"))).withColumn("suffix", suffix_of(F.col("name")))
+    every = every.join(hosts.select("name", "n", "good"), "name", "left").join(domains.withColumnRenamed("mean", "_d"), "domain", "left").join(suffixes.withColumnRenamed("mean", "_s"), "suffix", "left")
+    m, n, good = F.coalesce("_d", "_s", F.lit(share)), F.coalesce("n", F.lit(0)), F.coalesce("good", F.lit(0))
+    return every.select(*names.columns, (good + F.lit(s) * m).alias("a"), (n - good + F.lit(s) * (1 - m)).alias("b"))
 
-def lower_bound(mean: Column, k: Column, z: float) -> Column:
-    """Mean less z standard deviations of a beta posterior of that mean and strength."""
-    return mean - F.lit(z) * F.sqrt(mean * (1 - mean) / (k + 1))
 
+def judge(pages: DataFrame, outcomes: DataFrame | None = None, rules=RULES, least: float = 0.5, confidence: float = 0.9) -> DataFrame:
+    """page_id, host, path, rule, verdict, and bound (how sure the host's posterior is of ``least``; null under a rule).
 
-def judge(pages: DataFrame, outcomes: DataFrame | None = None, rules=RULES, least: float = 0.5, z: float = 1.0) -> DataFrame:
-    """page_id, host, path, rule, verdict, and bound (the host's lower posterior bound; null under a rule).
-
-    ``outcomes`` (host, good): without it the pages that a rule decides are the labelled outcomes, allow as good.
+    ``outcomes`` (host, good): without it they are read from the pages' ``html``.
     """
     host, path = host_and_path(F.col("url"))
-    pages = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
-    pages = pages.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"))
+    html = F.col("html") if outcomes is None and "html" in pages.columns else F.lit(None)
+    pages = pages.select("page_id", F.col("url").cast("string").alias("url"), html.cast("string").alias("html")).select("page_id", host.alias("host"), path.alias("path"), "html").withColumn("name", name_of(F.col("host")))
     if outcomes is None:
-        outcomes = pages.filter("ruled is not null").select("host", (F.col("ruled") == "allow").cast("int").alias("good"))
-    hosts, domains, suffixes, share = reputation(outcomes)
-    seen = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))  # a row for each host
-    bound = F.coalesce(*[lower_bound(F.col(f"{t}_mean"), F.col(f"{t}_k"), z) for t in ("h", "d", "s")], F.lit(share))
-    name = lambda df, key, t: df.select(key, F.col("mean").alias(f"{t}_mean"), F.col("k").alias(f"{t}_k"))
-    judged = seen.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    judged = judged.join(name(hosts, "host", "h"), "host", "left").join(name(domains, "domain", "d"), "domain", "left").join(name(suffixes, "suffix", "s"), "suffix", "left")
-    judged = judged.select("host", "pages", bound.alias("bound"))
+        outcomes = pages.select("name", outcome(F.col("host"), F.col("path"), F.col("html")).alias("good"))
+    else:
+        outcomes = outcomes.select(name_of(F.translate(F.col("host"), UPPER, LOWER)).alias("name"), "good")
+    pages = pages.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "name", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"))
+    seen = pages.groupBy("name").agg(F.count(F.lit(1)).alias("pages"))  # a row for each host
+    judged = reputation(outcomes, seen).select("name", "pages", probability_above(F.col("a"), F.col("b"), least).alias("bound"))
     judged = common.Shared(pages.sparkSession).keep(judged, "judged")
     total = judged.agg(F.sum("pages")).first()[0] or 0
-    out = graphs.spread_join(pages, judged, ["host"], "pages", ["bound"], total)
-    verdict = F.coalesce("ruled", F.when(F.col("bound") >= least, F.lit("allow")).otherwise(F.lit("block")))
+    out = graphs.spread_join(pages, judged, ["name"], "pages", ["bound"], total)
+    verdict = F.coalesce("ruled", F.when(F.col("bound") >= confidence, F.lit("allow")).otherwise(F.lit("block")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.when(F.col("ruled").isNull(), F.col("bound")).alias("bound"))
 
 
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict for every page's url; what the rules decide is the labelled outcome for the rest."""
+    """Verdict for every page's url: the rules', else that of its host's reputation over all pages."""
     return judge(common.load(spark, sf_dir, "pages")).drop("bound")
 
 
-OP10_SQL = """
+def _list(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+#: Method of moments, as ``strength`` has it.
+_STRENGTH = """SELECT CASE WHEN coalesce(w, 0) <= 0 THEN 2.0 WHEN (s - b) / w <= 1 / 1001.0 THEN 1000.0 ELSE greatest(2.0, w / (s - b) - 1) END AS k
+       FROM (SELECT sum(n * power(good / n - m, 2)) AS s, sum(m * (1 - m)) AS b, sum((n - 1) * m * (1 - m)) AS w FROM {units} WHERE n > 1)"""
+
+OP10_SQL = rf"""
 WITH p AS (
-  SELECT page_id, url, strpos(url, '://') AS pos, substr(url, strpos(url, '://') + 3) AS rest FROM pages),
+  SELECT page_id, html, strpos(url, '://') AS pos, substr(url, strpos(url, '://') + 3) AS rest FROM pages),
 s AS (
-  SELECT page_id,
+  SELECT page_id, html,
          CASE WHEN pos > 0 THEN translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
          CASE WHEN pos > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
   FROM p),
@@ -145,32 +209,36 @@ rules(rule, rhost, rpath, verdict) AS (VALUES
   ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
   ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
 fit AS (
-  SELECT s.page_id, s.host, s.path, r.rule, r.verdict
+  SELECT s.page_id, s.host, s.path, s.html, regexp_replace(string_split(s.host, '@')[-1], ':[0-9]*$', '') AS name, r.rule, r.verdict
   FROM s, LATERAL (SELECT rule, verdict FROM rules
     WHERE (s.host = rhost OR ends_with(s.host, '.' || rhost)) AND starts_with(s.path, rpath)
     UNION ALL SELECT NULL, NULL ORDER BY length(rule) DESC NULLS LAST LIMIT 1) r),
-o AS (SELECT host, CASE WHEN verdict = 'allow' THEN 1 ELSE 0 END AS good FROM fit WHERE verdict IS NOT NULL),
-h AS (SELECT host, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS good, array_to_string(list_reverse(list_reverse(string_split(host, '.'))[1:2]), '.') AS domain FROM o GROUP BY host),
-d AS (SELECT domain, sum(n) AS n, sum(good) AS good, list_reverse(string_split(domain, '.'))[1] AS suffix FROM h GROUP BY domain),
-x AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY suffix),
+o AS (
+  SELECT name, CASE WHEN regexp_matches(lower(host || path), '(^|[^a-z])({"|".join(BAD_WORDS)})([^a-z]|\z)') THEN 0
+         WHEN len(regexp_extract_all(regexp_replace(regexp_replace(html, '{UNSEEN}', ' ', 'g'), '{MARKUP}', ' ', 'g'), '{END_OF_SENTENCE}')) >= {SENTENCES} THEN 1 ELSE 0 END AS good
+  FROM fit WHERE html IS NOT NULL),
+parts AS (SELECT DISTINCT name, string_split(name, '.') AS l FROM fit),
+units AS (
+  SELECT name, CASE WHEN two IN ({_list(SUFFIXES)}) THEN array_to_string(l[-3:], '.') ELSE two END AS domain, CASE WHEN two IN ({_list(SUFFIXES)}) THEN two ELSE l[-1] END AS suffix
+  FROM (SELECT name, l, array_to_string(l[-2:], '.') AS two FROM parts)),
+h AS (SELECT name, domain, suffix, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS good FROM o JOIN units USING (name) GROUP BY ALL),
 share AS (SELECT CASE WHEN count(*) = 0 THEN 0.5 ELSE (sum(good) + 1) / (sum(n) + 2) END AS m FROM h),
-xm AS (SELECT x.*, share.m FROM x, share),
-xk AS (SELECT CASE WHEN coalesce(w, 0) <= 0 THEN 2.0 WHEN (s - b) / w <= 1 / 1001.0 THEN 1000.0 ELSE greatest(2.0, w / (s - b) - 1) END AS k
-       FROM (SELECT sum(n * power(good / n - m, 2)) AS s, sum(m * (1 - m)) AS b, sum((n - 1) * m * (1 - m)) AS w FROM xm WHERE n > 1)),
-xp AS (SELECT suffix, (good + k * m) / (n + k) AS mean, n + k AS k FROM xm, xk),
-dm AS (SELECT d.*, xp.mean AS m FROM d JOIN xp USING (suffix)),
-dk AS (SELECT CASE WHEN coalesce(w, 0) <= 0 THEN 2.0 WHEN (s - b) / w <= 1 / 1001.0 THEN 1000.0 ELSE greatest(2.0, w / (s - b) - 1) END AS k
-       FROM (SELECT sum(n * power(good / n - m, 2)) AS s, sum(m * (1 - m)) AS b, sum((n - 1) * m * (1 - m)) AS w FROM dm WHERE n > 1)),
-dp AS (SELECT domain, (good + dk.k * m) / (n + dk.k) AS mean, n + dk.k AS k FROM dm, dk),
+xm AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(m) AS m FROM h, share GROUP BY suffix),
+xk AS ({_STRENGTH.format(units="xm")}),
+xp AS (SELECT suffix, (good + k * m) / (n + k) AS mean FROM xm, xk),
+dm AS (SELECT domain, sum(n) AS n, sum(good) AS good, any_value(xp.mean) AS m FROM h JOIN xp USING (suffix) GROUP BY domain),
+dk AS ({_STRENGTH.format(units="dm")}),
+dp AS (SELECT domain, (good + k * m) / (n + k) AS mean FROM dm, dk),
 hm AS (SELECT h.*, dp.mean AS m FROM h JOIN dp USING (domain)),
-hk AS (SELECT CASE WHEN coalesce(w, 0) <= 0 THEN 2.0 WHEN (s - b) / w <= 1 / 1001.0 THEN 1000.0 ELSE greatest(2.0, w / (s - b) - 1) END AS k
-       FROM (SELECT sum(n * power(good / n - m, 2)) AS s, sum(m * (1 - m)) AS b, sum((n - 1) * m * (1 - m)) AS w FROM hm WHERE n > 1)),
-hp AS (SELECT host, (good + hk.k * m) / (n + hk.k) AS mean, n + hk.k AS k FROM hm, hk),
-j AS (
-  SELECT fit.*, coalesce(hp.mean - sqrt(hp.mean * (1 - hp.mean) / (hp.k + 1)), dp.mean - sqrt(dp.mean * (1 - dp.mean) / (dp.k + 1)),
-                         xp.mean - sqrt(xp.mean * (1 - xp.mean) / (xp.k + 1)), share.m) AS bound
-  FROM fit CROSS JOIN share LEFT JOIN hp USING (host)
-  LEFT JOIN dp ON dp.domain = array_to_string(list_reverse(list_reverse(string_split(fit.host, '.'))[1:2]), '.')
-  LEFT JOIN xp ON xp.suffix = list_reverse(string_split(fit.host, '.'))[1])
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict FROM j
+hk AS ({_STRENGTH.format(units="hm")}),
+ab AS (
+  SELECT name, coalesce(good, 0) + k * m AS a, coalesce(n, 0) - coalesce(good, 0) + k * (1 - m) AS b
+  FROM (SELECT units.name, h.n, h.good, hk.k, coalesce(dp.mean, xp.mean, share.m) AS m
+        FROM units CROSS JOIN share CROSS JOIN hk LEFT JOIN h ON h.name = units.name LEFT JOIN dp ON dp.domain = units.domain LEFT JOIN xp ON xp.suffix = units.suffix)),
+grid AS (SELECT name, a, b, ln(a / b) AS t, ln(a / b) - greatest(8 * sqrt((a + b) / (a * b)), 40 / a) AS low, ln(a / b) + greatest(8 * sqrt((a + b) / (a * b)), 40 / b) AS high FROM ab),
+dense AS (
+  SELECT name, j >= 0 AS above, -a * (greatest(-u, 0) + ln(1 + exp(-abs(u)))) - b * (greatest(u, 0) + ln(1 + exp(-abs(u)))) + a * (greatest(-t, 0) + ln(1 + exp(-abs(t)))) + b * (greatest(t, 0) + ln(1 + exp(-abs(t)))) AS g
+  FROM (SELECT *, (j + 0.5::DOUBLE) * h AS u FROM (SELECT *, (high - low) / {STEPS} AS h, unnest(range(CAST(floor(low / ((high - low) / {STEPS})) AS BIGINT), CAST(ceil(high / ((high - low) / {STEPS})) AS BIGINT) + 1)) AS j FROM grid))),
+sure AS (SELECT name, sum(exp(g)) FILTER (above) / sum(exp(g)) AS bound FROM dense GROUP BY name)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(bound, 0) >= 0.9 THEN 'allow' ELSE 'block' END) AS verdict FROM fit LEFT JOIN sure USING (name)
 """

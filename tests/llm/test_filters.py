@@ -1,10 +1,12 @@
 """Toxicity, quality, language, decontamination and url rules on small corpora."""
 
 import collections
+import math
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from parsewright.llm import decontamination as D
 from parsewright.llm import language, quality, toxicity, url_rules
@@ -230,6 +232,37 @@ def test_urls(spark):
     assert url_rules.judge(pages.limit(0)).count() == 0
 
 
+def test_names_and_registered_domains(spark):
+    rows = [("a.co.uk:8080", "a.co.uk", "a.co.uk", "co.uk"), ("b.a.co.uk", "b.a.co.uk", "a.co.uk", "co.uk"), ("u:p@x.y.org:1", "x.y.org", "y.org", "org"), ("com", "com", "com", "com"), ("", "", "", ""), ("co.uk", "co.uk", "co.uk", "co.uk")]
+    df = spark.createDataFrame([r[:1] for r in rows], "host string").withColumn("name", url_rules.name_of(F.col("host")))
+    got = df.select("host", "name", url_rules.domain_of(F.col("name")), url_rules.suffix_of(F.col("name"))).collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
+
+
+def test_posterior_against_binomial_sums(spark):
+    """For whole numbers a and b, P(Beta(a, b) >= x) is a binomial sum."""
+    cases = [(a, b) for a in (1, 2, 7, 40, 300) for b in (1, 3, 9, 250)]
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in cases], "a double, b double")
+    for x in (0.5, 0.9):
+        want = {(a, b): sum(math.comb(a + b - 1, j) * x**j * (1 - x) ** (a + b - 1 - j) for j in range(a)) for a, b in cases}
+        for r in df.withColumn("p", url_rules.probability_above(F.col("a"), F.col("b"), x)).collect():
+            assert r["p"] == pytest.approx(want[int(r["a"]), int(r["b"])], abs=2e-4)
+
+
+def test_hosts_differ_by_their_pages(spark):
+    """Outcomes come from the pages: hosts of one suffix part by them, and a clean page of a bad host goes with it."""
+    full = "<p>" + "Words that end. " * 8 + "</p>"
+    rows = [(f"http://good{h}.org/{k}", full) for h in range(3) for k in range(20)]
+    rows += [(f"http://thin.org/{k}", "<p>Too short.</p>" + "<a href='x'>One. Two. Three. Four. Five. Six.</a>" * 3) for k in range(20)]
+    rows += [(f"http://www.cheap-pills.org/{k}", full) for k in range(3)] + [("http://good0.org/casino/1", full), ("http://new.org/", None)]
+    pages = spark.createDataFrame([(k, *r, 1) for k, r in enumerate(rows)], "page_id long, url string, html string, name int")
+    got = collections.defaultdict(set)
+    for r in url_rules.judge(pages, rules=()).collect():
+        got[r["host"]].add(r["verdict"])
+    assert got == {**{f"good{h}.org": {"allow"} for h in range(3)}, "thin.org": {"block"}, "www.cheap-pills.org": {"block"}, "new.org": got["new.org"]}
+    assert url_rules.judge(pages.limit(0), rules=()).count() == 0
+
+
 def test_reputation_shrinks(spark):
     outcomes = [("good.x.org", 1)] * 50 + [("bad.x.org", 0)] * 50 + [("new.y.org", 0)] + [("z.net", 1)] * 20
     pages = spark.createDataFrame([(1, "http://good.x.org/"), (2, "http://bad.x.org/"), (3, "http://unseen.x.org/"), (4, "http://z.net/"), (5, "http://sub.z.net/"), (6, "http://else.where/")], "page_id long, url string")
