@@ -2,22 +2,32 @@
 
 Method. A text's zstandard ratio (compressed by raw bytes) over the whole document, and over its fixed chunks, must lie
 between the limits for its length: below the lower limit it repeats itself, above the upper one it does not compress as
-language does. Short texts compress badly by nature and get wide limits. A document is rejected if the whole lies
-outside, or if the chunks outside their limits hold more than ``chunk_share`` of its bytes.
-
-Defined results: a null text counts as empty: no words, so the base rule fails; repeated rows each give a row; extra
-columns are ignored; an empty table gives an empty result.
+language does. A document is rejected if the whole lies outside, or if the chunks outside their limits hold more than
+``chunk_share`` of its bytes.
+
+The limits are the corpus' own. Lengths fall into ``CLASSES`` classes an octave; of each class the median and the median
+deviation of the log ratio are taken over all documents that pass the base rule (equal pairs of length and ratio, as
+copies have, count once), for whole documents and for chunks apart, and the limits lie ``z`` such deviations off. A class
+with fewer than ``LEAST`` texts is widened to its neighbours; a corpus with fewer in all gives no limits, and the fixed
+ones of ``Bands`` hold. Every document is measured once; the statistics are counts by class and bin, a bounded table.
+
+Defined results: a null text counts as empty: no words, so the base rule fails; a very long text is compressed whole and
+chunk by chunk; a ratio that equals a limit is inside; repeated rows each give a row; extra columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -26,9 +36,18 @@ NOT_SYMBOLS = bytes(c for c in range(256) if c not in SYMBOLS)
 SPACES = b" \t\n\r\x0b\x0c"
 
 
+CLASSES = 4  # of lengths, an octave
+LEAST = 50  # texts that a class's limits rest on
+BINS = 200  # of the log ratio, for each factor of e
+FLOOR = 0.015  # of the deviation, in log ratio
+
+
 @dataclass(frozen=True)
 class Bands:
-    """(least bytes, lower limit, upper limit) in ascending order, and how chunks count."""
+    """How texts are judged. ``limits``, (least bytes, lower, upper) in ascending order, hold where ``fitted`` has no class.
+
+    ``fitted``: for whole documents and for chunks, the limits by class of length.
+    """
 
     limits: tuple[tuple[int, float, float], ...] = (
         (0, 0.0, 99.0),
@@ -42,12 +61,49 @@ class Bands:
     chunk: int = 2048
     chunk_share: float = 0.5
     level: int = 3
+    z: float = 4.0
+    fitted: tuple[dict[int, tuple[float, float]], dict[int, tuple[float, float]]] = ({}, {})
 
-    def outside(self, ratio: float, n: int) -> bool:
-        low, high = [(a, b) for least, a, b in self.limits if n >= least][-1]
+    def outside(self, ratio: float, n: int, of_chunk: bool = False) -> bool:
+        """Whether a text of n bytes with that ratio lies outside its limits."""
+        known = self.fitted[of_chunk].get(class_of(n)) if n else None
+        low, high = known or [(a, b) for least, a, b in self.limits if n >= least][-1]
         return not low <= ratio <= high
 
 
+def class_of(n: int) -> int:
+    return int(CLASSES * math.log2(n))
+
+
+def limits_of(counts: dict[int, dict[int, int]], z: float) -> dict[int, tuple[float, float]]:
+    """By class the limits of the ratio, from {class: {bin: texts}}; none if all classes together hold too few."""
+    if sum(sum(c.values()) for c in counts.values()) < LEAST:
+        return {}
+    out = {}
+    for k in range(min(counts), max(counts) + 1):
+        wide, bins = 0, Counter(counts.get(k, {}))
+        while sum(bins.values()) < LEAST:
+            wide += 1
+            bins.update(counts.get(k - wide, {}))
+            bins.update(counts.get(k + wide, {}))
+        middle = median(bins)
+        spread = Counter()
+        for b, n in bins.items():
+            spread[abs(b - middle)] += n
+        deviation = max(1.4826 * median(spread) / BINS, FLOOR)
+        out[k] = (math.exp(middle / BINS - z * deviation), math.exp(middle / BINS + z * deviation))
+    return out
+
+
+def median(bins: Counter) -> int:
+    half, seen = (sum(bins.values()) + 1) // 2, 0
+    for b in sorted(bins):
+        seen += bins[b]
+        if seen >= half:
+            return b
+    return 0
+
+
 def repeat_words(words: list[bytes], width: int = 5) -> int:
     """Words that lie in a window of ``width`` words which occurs twice or more."""
     n = len(words) - width + 1
@@ -86,6 +142,7 @@ def dup_lines(data: bytes) -> int:
 
 
 def measure(text: str, bands: Bands, compressor: zstandard.ZstdCompressor) -> tuple:
+    """What the text shows by itself: the counts, the base rule, its bytes, its ratio and its chunks' ratios."""
     data = text.encode()
     words = data.split()
     joined = b"".join(words)
@@ -94,22 +151,17 @@ def measure(text: str, bands: Bands, compressor: zstandard.ZstdCompressor) -> tu
     n_repeat = repeat_words(words)
     base_failed = n < 10 or 100 * n_repeat > 20 * n
     ratio = len(compressor.compress(data)) / len(data) if data else 0.0
-    chunks = [data[k : k + bands.chunk] for k in range(0, len(data), bands.chunk)]
-    outside = 0
-    if len(chunks) > 1:
-        outside = sum(len(c) for c in chunks if bands.outside(len(compressor.compress(c)) / len(c), len(c)))
-    verdict = not bands.outside(ratio, len(data)) and outside <= bands.chunk_share * len(data)
-    return n, word_chars, len(data.translate(None, NOT_SYMBOLS)), dup_lines(data), n_repeat, base_failed, verdict and not base_failed, ratio, outside
+    chunks = [data[k : k + bands.chunk] for k in range(0, len(data), bands.chunk)] if len(data) > bands.chunk else []
+    return n, word_chars, len(data.translate(None, NOT_SYMBOLS)), dup_lines(data), n_repeat, base_failed, len(data), ratio, [len(compressor.compress(c)) / len(c) for c in chunks]
 
 
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, zstd_ratio double, bytes_outside long"
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+MEASURED = f"{COUNTS}, n_bytes long, zstd_ratio double, chunk_ratios array<double>"
 
 
-def judge(docs: DataFrame, bands: Bands | None = None) -> DataFrame:
-    """doc_id with the counts, the base rule, and whether the document is kept."""
-    bands = bands or Bands()
+def measured(docs: DataFrame, bands: Bands) -> DataFrame:
     docs = common.columns(docs, "doc_id", "text")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {MEASURED}"
     arrow = common.to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,5 +174,44 @@ def judge(docs: DataFrame, bands: Bands | None = None) -> DataFrame:
     return common.map_arrow(docs, run, schema)
 
 
+def fit(table: DataFrame, bands: Bands) -> Bands:
+    """The bands with the limits of a written table of measures; the driver sees counts by class and bin alone."""
+    clean = table.filter("not base_failed")
+    whole = clean.select(F.lit(0).alias("kind"), F.col("n_bytes").alias("n"), F.col("zstd_ratio").alias("r"))
+    parts = clean.select("n_bytes", F.posexplode("chunk_ratios").alias("at", "r"))
+    parts = parts.select(F.lit(1).alias("kind"), F.least(F.lit(bands.chunk), F.col("n_bytes") - F.col("at") * bands.chunk).cast("long").alias("n"), "r")
+    texts = whole.unionByName(parts).filter("n > 0").distinct()
+    cls, b = F.floor(CLASSES * F.log2("n")).cast("int"), F.round(F.log("r") * BINS).cast("int")
+    counts: tuple[dict, dict] = ({}, {})
+    for r in texts.groupBy("kind", cls.alias("cls"), b.alias("bin")).agg(F.count(F.lit(1)).alias("texts")).collect():
+        counts[r["kind"]].setdefault(r["cls"], {})[r["bin"]] = r["texts"]
+    return replace(bands, fitted=(limits_of(counts[0], bands.z), limits_of(counts[1], bands.z)))
+
+
+def judge(docs: DataFrame, bands: Bands | None = None) -> DataFrame:
+    """doc_id with the counts, the base rule, and whether the document is kept. Limits are fitted unless ``bands`` are given."""
+    table = measured(docs, bands or Bands())
+    if bands is None:
+        table = common.Shared(docs.sparkSession).keep(table, "measured")
+        bands = fit(table, Bands())
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {COUNTS}, kept boolean, zstd_ratio double, bytes_outside long"
+    names = ["doc_id", *(c.split()[0] for c in COUNTS.split(", "))]
+    arrow = common.to_arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, outside = [], []
+            for failed, n, ratio, chunks in zip(*(batch.column(c).to_pylist() for c in ("base_failed", "n_bytes", "zstd_ratio", "chunk_ratios")), strict=True):
+                lost = 0
+                for k, r in enumerate(chunks):
+                    size = min(bands.chunk, n - k * bands.chunk)
+                    lost += size if bands.outside(r, size, True) else 0
+                outside.append(lost)
+                kept.append(not failed and not bands.outside(ratio, n) and lost <= bands.chunk_share * n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept, pa.bool_()), batch.column("zstd_ratio"), pa.array(outside, pa.int64())], schema=arrow)
+
+    return common.map_arrow(table, run, schema)
+
+
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.load(spark, sf_dir, "documents"))

@@ -107,6 +107,28 @@ def test_quality_bands(spark):
     assert {r["doc_id"]: r["kept"] for r in quality.judge(docs).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_fitted_limits_catch_planted_texts(spark):
+    """Among texts of many lengths, some thousand copies and extra columns: loops and noise go, the others stay."""
+    rng = random.Random(8)
+    vocabulary = words(rng, 400, "an be con de er for ge hu in ka lo mi no or pa ra se ti un ve".split())
+    prose = lambda n: " ".join(rng.choice(vocabulary) + rng.choice(["", "", ".", ","]) for _ in range(n))
+    loop = lambda n: " ".join(f"{rng.randint(0, 9999)} the same four words" for _ in range(n // 5))
+    noise = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJ") for _ in range(7)) for _ in range(n))
+    half = lambda n: prose(n // 4) + " " + loop(2 * n)
+    kinds = [("clean", prose)] * 600 + [("loop", loop)] * 30 + [("noise", noise)] * 30 + [("half", half)] * 10
+    rows = [(kind, make(rng.randint(*((60, 1500) if kind != "half" else (1500, 3000))))) for kind, make in kinds]
+    rows += [("clean", rows[5][1])] * 1000 + [("clean", prose(60000))]
+    docs = spark.createDataFrame([(k, text, kind, "x") for k, (kind, text) in enumerate(rows)], "doc_id long, text string, kept string, bin string")
+    kept = collections.Counter()
+    for r in quality.judge(docs).collect():
+        assert not r["base_failed"]
+        kept[rows[r["doc_id"]][0]] += r["kept"]
+    total = collections.Counter(kind for kind, _ in rows)
+    assert kept["clean"] >= 0.99 * total["clean"]
+    for kind in ("loop", "noise", "half"):
+        assert kept[kind] <= 0.1 * total[kind], kind
+
+
 # Language
 
 @pytest.fixture
