@@ -5,7 +5,8 @@ A piece's length is an integer from 1 to the capacity, so the whole packing prob
 piece left. It enumerates the undominated fillings of the room beside that piece (a filling is dominated if one of
 its pieces, or two together, could be exchanged for a larger one that is there and still fits), best fit first, uses
 a filling as often as the counts allow, and prunes every branch whose waste so far already exceeds what the best
-solution found (the incumbent, first best-fit decreasing) could waste. It stops at once when an incumbent meets the
+solution found (the incumbent) could waste. The first incumbent is best-fit decreasing, run on the counts, so no result
+needs more sequences than that. It stops at once when an incumbent meets the
 lower bound. While none does, ``exhaust`` goes on through the whole tree, every undominated filling any number of times;
 it ends with the least number of sequences proved, unless its ``steps`` run out first (packing is NP-hard, so a large
 instance can outlast any time; ``steps=None`` sets no end). README has the gaps left at several sizes. The result is a short list of patterns with multiplicities; every piece then finds its place from its
@@ -15,7 +16,9 @@ Ranks are counted within (length, bucket) with the buckets' sums as offsets, so
 pieces have is dealt over all tasks.
 
 Defined results: a null text counts as empty and packs as its end mark alone; repeated rows each get their own
-places; a null doc_id stays null; an empty table gives an empty result.
+places; a null doc_id stays null; a very long text is tokenized in blocks and cut into many pieces; pieces of equal length
+are told apart by all they carry, and equal ones take either's place; extra columns are ignored, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -61,15 +64,20 @@ def fillings(counts: np.ndarray, room: int, most: int = 64, steps: int = 4000) -
     left = steps
     ascending = sizes[::-1]
 
-    def dominated(waste: int, used: dict[int, int]) -> bool:
-        for s in used:  # a larger length that is still there fits in the place of one of length s
-            k = bisect.bisect_right(ascending, s + waste) - 1
-            while k >= 0 and ascending[k] > s:
-                if counts[ascending[k]] - used.get(ascending[k], 0) > 0:
-                    return True
-                k -= 1
+    def free(low: int, high: int, used: dict[int, int]) -> bool:
+        k = bisect.bisect_right(ascending, high) - 1
+        while k >= 0 and ascending[k] >= low:
+            if counts[ascending[k]] - used.get(ascending[k], 0) > 0:
+                return True
+            k -= 1
         return False
 
+    def dominated(waste: int, used: dict[int, int]) -> bool:
+        if any(free(s + 1, s + waste, used) for s in used):  # a larger piece that is still there fits in the place of one
+            return True
+        twos = ((a, b) for a in used for b in used if a < b or (a == b and used[a] > 1))
+        return any(free(a + b, a + b + waste, used) for a, b in twos)  # or of two
+
     def go(k: int, rest: int, used: dict[int, int]) -> bool:
         nonlocal left
         left -= 1
@@ -210,15 +218,51 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
+def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Patterns (times, {length: pieces}) as best-fit decreasing packs the pieces one by one, with equal sequences taken together."""
+    open_: dict[int, list[tuple[int, dict[int, int]]]] = {}  # by room left
+    rooms: list[int] = []
+
+    def put(room: int, times: int, pattern: dict[int, int]) -> None:
+        if room not in open_:
+            open_[room] = []
+            bisect.insort(rooms, room)
+        open_[room].append((times, pattern))
+
+    for s in range(capacity, 0, -1):
+        left = int(counts[s])
+        while left:
+            k = bisect.bisect_left(rooms, s)
+            if k == len(rooms):  # new sequences
+                each = min(capacity // s, left)
+                times = left // each
+                put(capacity - each * s, times, {s: each})
+            else:
+                room = rooms[k]
+                there, pattern = open_[room].pop()
+                each = min(room // s, left)  # a sequence that took one is the tightest for the next
+                times = min(there, left // each)
+                if there > times:
+                    open_[room].append((there - times, pattern))
+                elif not open_[room]:
+                    del open_[room], rooms[k]
+                put(room - each * s, times, {**pattern, s: pattern.get(s, 0) + each})
+            left -= times * each
+    return [x for room in rooms for x in open_[room]]
+
+
 def solve(counts: np.ndarray, capacity: int, nodes: int = 12, steps: int | None = STEPS) -> list[tuple[int, dict[int, int]]]:
     """Patterns (times, {length: pieces}) that pack all counts, in the fewest sequences unless ``steps`` run out.
 
-    The first ``nodes`` alternatives to best fit are tried with a few fillings each; then the whole tree is searched.
+    Starts from best-fit decreasing. The first ``nodes`` alternatives to the best filling are tried with a few fillings
+    each; then the whole tree is searched.
     """
     counts = counts.astype(np.int64).copy()
     bound, total = lower_bound(counts, capacity), int((np.arange(capacity + 1) * counts).sum())
-    best: list[tuple[int, dict[int, int]]] = []
-    best_bins = 1 << 62
+    best = best_fit_decreasing(counts, capacity)
+    best_bins = sum(t for t, _ in best)
+    if best_bins <= bound:
+        return best
     budget = nodes
 
     def descend(counts: np.ndarray, done: list, bins: int, waste: int, limit: int) -> None:
@@ -258,8 +302,7 @@ def solve(counts: np.ndarray, capacity: int, nodes: int = 12, steps: int | None
             counts[s] -= t * k
         return counts, (k, pattern), k
 
-    descend(counts, [], 0, 0, 0)  # best fit around the largest piece: the first incumbent
-    for limit in (1, 2):
+    for limit in (0, 1, 2):  # the best filling around the largest piece each time; then other ones too
         if best_bins > bound and budget > 0:
             descend(counts, [], 0, 0, limit)
     return exhaust(counts, capacity, best, steps) if best_bins > bound else best

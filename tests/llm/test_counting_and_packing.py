@@ -1,6 +1,7 @@
 """Token counts and packing against the tokenizer itself and against exhaustive packing."""
 
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -161,3 +162,36 @@ def test_two_pieces_are_exchanged_for_one():
     found = [f for _, f in packing.undominated(counts, 10, lambda: True)]
     assert {4: 1, 3: 1} not in found  # 7 could stand for both
     assert {7: 1, 3: 1} in found
+
+
+def one_by_one(pieces, capacity):
+    """Best-fit decreasing, a piece at a time."""
+    rooms = []
+    for s in sorted(pieces, reverse=True):
+        fits = [r for r in rooms if r >= s]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - s)
+        else:
+            rooms.append(capacity - s)
+    return rooms
+
+
+@pytest.mark.parametrize(("capacity", "pieces", "low", "high"), [(10, 30, 1, 10), (100, 60, 10, 70), (100, 400, 1, 60), (1024, 300, 1, 1024), (1024, 200, 100, 700), (50, 500, 20, 30)])
+def test_never_above_best_fit_decreasing(capacity, pieces, low, high):
+    rng = random.Random(capacity + pieces)
+    for _ in range(5):
+        made = [rng.randint(low, high) for _ in range(pieces)]
+        counts = np.bincount(made, minlength=capacity + 1)
+        bfd = packing.best_fit_decreasing(counts, capacity)
+        rooms = one_by_one(made, capacity)
+        assert sorted(capacity - sum(s * n for s, n in p.items()) for t, p in bfd for _ in range(t)) == sorted(rooms)
+        for patterns in (bfd, packing.solve(counts, capacity, steps=2000)):
+            assert sum(t for t, _ in patterns) <= len(rooms)
+            assert sum(t for t, _ in patterns) >= packing.lower_bound(counts, capacity)
+            back = np.zeros(capacity + 1, int)
+            for t, p in patterns:
+                assert sum(s * n for s, n in p.items()) <= capacity
+                for s, n in p.items():
+                    back[s] += t * n
+            assert (back == counts).all()
