@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 import zlib
@@ -20,20 +21,38 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The folder that all executors see: ``spark.checkpoint.dir``, or the context's checkpoint folder; else (tests) one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_.isDefined():
+        return set_.get().rstrip("/")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="parsewright-"))
     return _own_dir[0]
 
 
-def checkpointing(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable; keeps a folder that is already set."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(spark))
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end all tables that ``Shared`` wrote within: for work whose result has been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # at exit the JVM may be gone already
+        return
 
 
 class Shared:
@@ -49,22 +68,16 @@ class Shared:
         path = f"{self.root}/{name}-{len(self.made)}"
         df.write.option("compression", "zstd").parquet(path)
         self.made.append(path)
-        atexit.register(self._remove, path)
+        if _scopes:
+            _scopes[-1].append(path)
+        atexit.register(remove, self.spark, path)
         return self.spark.read.schema(schema or df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         for path in [p for p in self.made if p.rsplit("/", 1)[1].rsplit("-", 1)[0] == name]:
-            self._remove(path)
+            remove(self.spark, path)
             self.made.remove(path)
 
-    def _remove(self, path: str) -> None:
-        try:
-            jvm, jsc = self.spark._jvm, self.spark.sparkContext._jsc
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # at exit the JVM may be gone already
-            return
-
 
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
@@ -83,12 +96,11 @@ def columns(df: DataFrame, *names: str, text: str | None = "text") -> DataFrame:
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with Arrow batches of bounded bytes.
 
-    Spark fills a batch up to 64 MB by default, which every running task then holds in the JVM and in Python. Sessions
-    that ask for more than BATCH_BYTES get BATCH_BYTES; smaller settings stay.
+    Spark fills a batch up to 64 MB by default, which every running task then holds in the JVM and in Python. A session
+    that has not set the size of batches itself gets BATCH_BYTES; as results are lazy, that stays set.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = int(str(conf.get(key)).rstrip("b"))
-    if not 0 < held <= BATCH_BYTES:
+    if key not in conf.getAll:
         conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str,
     """
     bound = max(LEAST_HOT, total // HOT_SHARE)
     hot = table.filter(F.col(count) > bound).select(*[F.col(k).alias(f"_h_{k}") for k in keys], *[F.col(v).alias(f"_hv_{v}") for v in values], F.lit(True).alias("_hot"))
-    same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) if k in () else F.col(k) == F.col(f"_h_{k}") for k in keys]
+    same = [F.col(k) == F.col(f"_h_{k}") for k in keys]  # a null key meets nothing
     on = same[0]
     for s in same[1:]:
         on = on & s
@@ -32,27 +32,27 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str,
     return out.select(*rows.columns, *[F.coalesce(f"_hv_{v}", f"_cv_{v}").alias(v) for v in values])
 
 
-def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(node, label, n) for every node that has an edge to another: label is the least node that it reaches.
+def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, label) for every node that has an edge to another: label is the least node that it reaches.
 
-    Alternates the large-star and the small-star step until nothing changes. Every round is written to the shared
-    checkpoint folder. Fails if that takes more than ``rounds``.
+    Alternates the large-star and the small-star step until nothing changes, which the method reaches from any edges.
+    Every step is written to the shared folder; what it was made from is removed then.
     """
     spark = edges.sparkSession
-    common.checkpointing(spark)
-    cur = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).distinct().checkpoint()
-    seen = None
-    for _ in range(rounds):
-        total, sign = cur.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 31)))).first()
+    shared = common.Shared(spark)
+    cur = shared.keep(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).distinct(), "edges0")
+    seen, k = None, 0
+    while True:
+        total, sign = cur.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("x", "y"))).first()
         if (total, sign) == seen or not total:
-            break
+            return cur.select(F.col("x").alias("node"), F.col("y").alias("label"))
         seen = (total, sign)
         both = cur.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(cur.select(F.col("y").alias("u"), F.col("x").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = spread_join(both.filter("v > u"), least, ["u"], "n", ["m"], 2 * total).select(F.col("v").alias("x"), F.col("m").alias("y")).distinct().checkpoint()
+        large = shared.keep(spread_join(both.filter("v > u"), least, ["u"], "n", ["m"], 2 * total).select(F.col("v").alias("x"), F.col("m").alias("y")).distinct(), f"large{k}")
         least = large.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n"))
         small = spread_join(large, least, ["x"], "n", ["m"], total).filter("y != m").select(F.col("y").alias("x"), F.col("m").alias("y"))
-        cur = small.unionByName(least.select("x", F.col("m").alias("y"))).distinct().checkpoint()
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return cur.select(F.col("x").alias("node"), F.col("y").alias("label"))
+        cur = shared.keep(small.unionByName(least.select("x", F.col("m").alias("y"))).distinct(), f"edges{k + 1}")
+        shared.drop(f"edges{k}")
+        shared.drop(f"large{k}")
+        k += 1

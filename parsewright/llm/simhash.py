@@ -11,9 +11,10 @@ links and never the pairs. Components are found by the star contraction in ``gra
 fingerprint, only meet in counts and in the join back; fingerprints of more than a thousandth of the documents
 are joined by a broadcast of at most a thousand rows.
 
-Defined results: a null text counts as empty and has fingerprint zero, which links like any other; rows that repeat a
-doc_id are one document to the components; a null doc_id takes part in links but is never a component's id (null
-where a component has no other); an empty table gives an empty result.
+Defined results: a null text counts as empty and has fingerprint zero, which links like any other; a very long text is
+hashed in blocks; a bit that exactly half of the shingles set is 0; rows that repeat a doc_id are one document to the
+components; a null doc_id takes part in links but is never a component's id (null where a component has no other); extra
+columns are ignored (``keep_one`` keeps them), whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,16 +57,17 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and its fingerprint as a signed long."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """All columns but the text, and the fingerprint as a signed long."""
+    others = [f for f in docs.schema if f.name != "text"]
+    names = [f.name for f in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch):
                 made = np.array([fingerprint(t, shingle) for t in common.texts_of(part)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(made)], names=[*names, "fp"])
 
-    return common.map_arrow(docs, run, f"doc_id {kind}, fp long")
+    return common.map_arrow(docs, run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in others), "fp long"]))
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -146,22 +148,46 @@ def near_pairs(nodes: DataFrame, radius: int, total: int, chunk: int = 1024) ->
     return block_links(keyed, radius, "long")
 
 
-def groups(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (signed long), component_id (long) for every row of docs (doc_id, text)."""
-    spark: SparkSession = docs.sparkSession
-    shared = common.Shared(spark)
-    prints = shared.keep(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), shingle), "prints")
+def components(prints: DataFrame, radius: int = 3, by_text: bool = False) -> DataFrame:
+    """Adds ``component`` to a written table of (doc_id long, fp, ...): the least doc_id reachable, or NO_ID and more without any.
+
+    ``by_text``: the least fingerprint reachable instead, so that texts alone link rows, not a doc_id that they share.
+    """
+    shared = common.Shared(prints.sparkSession)
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    nodes = shared.keep(nodes.select("fp", F.coalesce("least", F.lit(NO_ID) + F.pmod("fp", F.lit(NO_ID))).alias("node"), "n"), "nodes")
+    node = F.col("fp") if by_text else F.coalesce("least", F.lit(NO_ID) + F.pmod("fp", F.lit(NO_ID)))
+    nodes = shared.keep(nodes.select("fp", node.alias("node"), "n"), "nodes")
     total, distinct = (r := nodes.agg(F.sum("n"), F.count(F.lit(1))).first())[0] or 0, r[1]
     if not distinct:
-        return prints.select("doc_id", "fp", F.col("doc_id").alias("component_id"))
+        return prints.withColumn("component", F.col("doc_id"))
     label = graphs.connected(near_pairs(nodes, radius, distinct))
     of = nodes.join(label, "node", "left").select("fp", F.coalesce("label", "node").alias("component"), "n")
-    out = graphs.spread_join(prints, of, ["fp"], "n", ["component"], total)
+    return graphs.spread_join(prints, of, ["fp"], "n", ["component"], total)
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def groups(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
+    """doc_id, fp (signed long), component_id (long) for every row of docs (doc_id, text)."""
+    out = components(common.Shared(docs.sparkSession).keep(fingerprints(plain(docs), shingle), "prints"), radius)
     return out.select("doc_id", "fp", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
+    """Of every component one row of docs, with all its columns: the one of least doc_id (nulls last), then of least hash.
+
+    Rows of equal doc_id and text are one row. Decided on a narrow table; repeated rows meet before they are shuffled.
+    """
+    key = ["_h1", "_h2"]
+    hashed = docs.withColumns({"_h1": F.xxhash64("doc_id", "text"), "_h2": F.xxhash64(F.lit(1), "doc_id", "text")})
+    narrow = hashed.select(F.col("doc_id").cast("long").alias("doc_id"), *key, F.col("text").cast("string").alias("text"))
+    prints = components(common.Shared(docs.sparkSession).keep(fingerprints(narrow, shingle), "prints"), radius, True)
+    best = prints.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *key)).alias("m")).select("m._h1", "m._h2")
+    return hashed.dropDuplicates(key).join(best, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = groups(common.load(spark, sf_dir, "documents"))

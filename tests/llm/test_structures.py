@@ -108,10 +108,38 @@ def test_components_of_a_path_and_a_star(spark):
     assert label == {k: 100 for k in range(101, 181)} | {k: 500 for k in range(501, 900)}
 
 
-def test_components_that_do_not_settle_fail(spark):
-    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
-    with pytest.raises(RuntimeError, match="did not settle"):
-        graphs.connected(path, rounds=1)
+def test_long_paths_settle_and_leave_one_table(spark, tmp_path, monkeypatch):
+    import os
+
+    rng = random.Random(3)
+    order = rng.sample(range(1000, 1400), 400)
+    path = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
+    monkeypatch.setattr(graphs.common, "shared_dir", lambda _: str(tmp_path))
+    out = graphs.connected(path).collect()
+    assert {r["node"]: r["label"] for r in out} == dict.fromkeys(range(1001, 1400), 1000)
+    assert len([d for _, dirs, _ in os.walk(tmp_path) for d in dirs if d.startswith(("edges", "large"))]) == 1
+
+
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(4)
+    text = " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(300))
+    rows = [(7, text, "p"), (7, text, "q"), (3, text + " ", "r"), (None, text, "s"), (None, "alone in the corpus here", "t"), (9, "alone in the corpus here", "u"), (9, "another text of that id", "v"), (None, None, "w"), (None, None, "x")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, name string, fp int, component int").withColumn("_h", F.lit(1))
+    kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in simhash.keep_one(docs).collect())
+    assert kept == [(-1, ""), (3, text + " "), (9, "alone in the corpus here"), (9, "another text of that id")]
+    assert simhash.keep_one(docs).columns == docs.columns
+
+
+def test_arrow_batches_keep_the_sessions_own_size(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.getAll.get(key)
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    try:
+        spark.conf.set(key, "64m")
+        assert simhash.groups(docs).count() == 1
+        assert spark.conf.get(key) == "64m"
+    finally:
+        spark.conf.unset(key) if held is None else spark.conf.set(key, held)
 
 
 # Conversations
@@ -258,8 +286,9 @@ def test_oracles(spark, tmp_path, name):
     spark.createDataFrame(conv, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     hosts = ["a.example.com", "www.example.com", "b.net", "c.org", "d.c.org", "e.com", "f.e.com"]
     rng = random.Random(1)
-    urls = [(k, f"http://{rng.choice(hosts)}/{rng.choice(['en', 'es', 'fr'])}/{k}") for k in range(300)]
-    spark.createDataFrame(urls, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    html = lambda: rng.choice([None, "", "<p>One. Two.</p>", "<script>a. b. c. d. e.</script><!-- x. y. --><P>" + "End. " * 6, "<a href=x>A. B. C. D. E.</a>F." * 2])
+    urls = [(k, f"http://{rng.choice(hosts)}{rng.choice(['', ':80'])}/{rng.choice(['en', 'es', 'fr', 'casino', 'pills'])}/{k}", html()) for k in range(300)] + [(301, None, "x"), (302, "http://a.co.uk", "y")]
+    spark.createDataFrame(urls, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     con = duckdb.connect()
     for t in ("conversations", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
