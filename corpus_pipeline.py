@@ -2,19 +2,20 @@
 
 Five stages, each of which works on all that the one before kept. All but the last return the columns of the documents.
 
-Defined results: a stage keeps null texts unless its rule rejects them (language ID does: they are ``und``); rows that
-repeat a doc_id count as copies in the near-duplicate stage; rows without a doc_id belong to no group there, and of
-those with equal texts one stays; empty tables pass through; extra columns are kept.
+Defined results: a stage keeps null texts unless its rule rejects them (language ID does: they are ``und``); in the
+near-duplicate stage texts alone decide, so rows that repeat a doc_id or have none go with their texts, and of rows equal
+in doc_id and text one stays; very long texts are read whole; empty tables pass through; extra columns are kept, whatever
+their names. A stage's input and what it wrote for itself are removed once its result is written.
 """
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from parsewright.llm import common, decontamination, language, packing, pretokens, simhash, toxicity
 
@@ -40,14 +41,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: of each group the document with the least doc_id stays."""
-
-    def step(d: DataFrame) -> DataFrame:
-        kept = simhash.groups(d.select("doc_id", "text")).filter("doc_id = component_id").select("doc_id").distinct()
-        first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        named = d.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-        return named.select(*d.columns).unionByName(d.filter("doc_id is null").dropDuplicates(["text"]))
-
-    return _guarded(docs, step)
+    return _guarded(docs, simhash.keep_one)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,11 +68,16 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read as the next one's input."""
-    docs = common.load(spark, sf_dir, "documents")
+    docs, before = common.load(spark, sf_dir, "documents"), None
     root = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    atexit.register(common.remove, spark, root)  # of which the result is read until then
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
         path = f"{root}/{k}"
-        out.write.parquet(path)
+        with common.scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            common.remove(spark, before)
+        before = path
     return docs
