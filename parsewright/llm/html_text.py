@@ -10,8 +10,10 @@ The trees are fitted on pages made here, whose main text is known (``sample_page
 layouts of articles among menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 
 Defined results: a null or empty page, or one without main text, gives the empty text; broken markup is read as
-browsers do for unclosed paragraphs, list items and cells; references are decoded; white space in a block becomes one
-space; ``br`` counts as white space; repeated rows each give a row; extra columns are ignored.
+browsers do for unclosed paragraphs, list items, cells and stray quotes; references are decoded; white space in a block
+becomes one space; ``br`` counts as white space; a very long or very deep page is read whole, in time in proportion to its
+length; equal sums of a subtree decide against it; repeated rows each give a row; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import functools
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,16 +32,23 @@ from pyspark.sql import functions as F
 
 from . import boosting, common
 
-TOKENS = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+#: As browsers do, a tag ends at the first > outside a quoted value, and a quote opens a value only right after =.
+TOKENS = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:"[^"]*"|'[^']*')?)*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[a-z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp svg math select object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+RAW = frozenset("script style textarea title template iframe select".split())
+INLINE = frozenset((
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img "
+    # pictures and formulas stand in the text around them
+    "noscript object svg g defs path rect circle line polygon text tspan math semantics annotation mrow mi mo mn mtext msup msub msubsup mfrac msqrt mroot mover munder").split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul body".split())
-SELF_CLOSING = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table", "tbody", "thead", "tfoot"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
+#: (elements that a new one of their kind closes, where the search for them ends)
+SELF_CLOSING = ((("li",), ("ul", "ol", "menu")), (("dt", "dd"), ("dl",)), (("tr", "td", "th"), ("table", "tbody", "thead", "tfoot")), (("td", "th"), ("tr", "table")), (("option",), ("select",)))
+CLOSES_LIKE = {"li": 0, "dt": 1, "dd": 1, "tr": 2, "td": 3, "th": 3, "option": 4}
+SCOPES = frozenset("table td th button object".split())  # within which a p before them stays open
 
 #: Kinds of tags and of attribute words, each a feature.
 TAG_KINDS = [set(k.split()) for k in (
@@ -98,6 +108,9 @@ def parse(page: str) -> Tree:
     tree = Tree()
     stack = [tree.add("html", -1)]
     names = ["html"]
+    open_ = Counter(names)
+    # for each open element the place of the nearest p that a block closes, and of what each kind's search meets first
+    near_p, near = [-1], [(-1,) * len(SELF_CLOSING)]
     run: list[str] = []
     linked, inline, in_link = 0, 0, 0
 
@@ -110,10 +123,19 @@ def parse(page: str) -> Tree:
             run.clear()
         linked = inline = 0
 
+    def push(tag: str, words: frozenset[str]) -> None:
+        k = len(names)
+        stack.append(tree.add(tag, stack[-1], words))
+        names.append(tag)
+        open_[tag] += 1
+        near_p.append(-1 if tag in SCOPES else k if tag == "p" else near_p[-1])
+        near.append(tuple(k if tag in same or tag in limits else up for (same, limits), up in zip(SELF_CLOSING, near[-1], strict=True)))
+
     def close(k: int) -> None:
         flush()
-        del stack[k:]
-        del names[k:]
+        open_.subtract(names[k:])
+        for x in (stack, names, near_p, near):
+            del x[k:]
 
     at, n = 0, len(page)
     for_lower = None
@@ -151,8 +173,11 @@ def parse(page: str) -> Tree:
             inline += not ending
             continue
         if ending:
-            if tag in names[1:]:
-                close(len(names) - 1 - names[::-1].index(tag))
+            if open_[tag] > (tag == "html"):
+                k = len(names) - 1
+                while names[k] != tag:
+                    k -= 1
+                close(k)
             else:
                 flush()  # a stray end tag still ends a block
             in_link = 0
@@ -164,25 +189,20 @@ def parse(page: str) -> Tree:
             if tag == "head":
                 pass
             continue
-        if tag in CLOSES_P and "p" in names:
-            k = len(names) - 1 - names[::-1].index("p")
-            if not {"table", "td", "th", "button", "object"} & set(names[k:]):
+        if tag in CLOSES_P and near_p[-1] > 0:
+            close(near_p[-1])
+        kind = CLOSES_LIKE.get(tag)
+        if kind is not None:
+            same = SELF_CLOSING[kind][0]
+            while (k := near[-1][kind]) > 0 and names[k] in same:
                 close(k)
-        if tag in SELF_CLOSING:
-            same, limits = SELF_CLOSING[tag]
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] in same.split():
-                    close(k)
-                    if tag != "tr":
-                        break
-                elif names[k] in limits:
+                if tag != "tr":
                     break
         if tag in VOID:
             continue
         if m[3].endswith("/") and tag not in CLOSES_P:
             continue
-        stack.append(tree.add(tag, stack[-1], attribute_words(m[3]) if m[3] else frozenset()))
-        names.append(tag)
+        push(tag, attribute_words(m[3]) if m[3] else frozenset())
     flush()
     return tree
 

@@ -276,6 +276,66 @@ def test_extraction_of_a_page(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_decoding_against_all_closed_sets():
+    """Of all sets of nodes closed under taking parents (with the root) the one of the largest total."""
+    rng = random.Random(6)
+    for _ in range(200):
+        n = rng.randint(2, 9)
+        tree = html_text.Tree()
+        for k in range(n):
+            tree.add("#text", rng.randrange(k) if k else -1, text=str(k))
+        margin = np.array([rng.choice([-2.5, -1, -0.3, 0.4, 1, 3]) + rng.random() / 100 for _ in range(n)])
+        sets = [{0, *(k + 1 for k in range(n - 1) if bits >> k & 1)} for bits in range(1 << (n - 1))]
+        best = max((s for s in sets if all(k == 0 or tree.parent[k] in s for k in s)), key=lambda s: sum(margin[k] for k in s))
+        assert html_text.decode(tree, margin) == [str(k) for k in sorted(best) if k]
+
+
+def leaves(page):
+    return [t for t in html_text.parse(page).text if t]
+
+
+def test_markup_as_browsers_read_it():
+    assert leaves('<p class=a">Second<p title=\'x > y\' id="q>r">Third<p a="un>closed') == ["Second", "Third", "closed"]
+    assert leaves("<p>x <math><mi>a</mi><mo>=</mo><mn>1</mn></math> y <svg><text>in</text></svg><noscript>z</noscript></p>") == ["x a=1 y inz"]
+    assert leaves("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>e<table><tr><td>1<td>2<tr><td>3</table>") == ["a", "b", "c", "d", "e", "1", "2", "3"]
+    assert leaves("<p>a<table><tr><td><p>b<p>c</table>d") == ["a", "b", "c", "d"]
+    assert leaves("<p>a &lt;b&gt; &#233;&nbsp;c<script>if (a<b) x='</p>'</script><style>p{}</style> d") == ["a <b> é c d"]
+    assert leaves("a < b <3 </> <p") == ["a < b <3 </>"]
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        page = "<div>" * n + "<li>x</li><p>y" * n
+        began = time.perf_counter()
+        tree = html_text.parse(page)
+        html_text.decode(tree, np.ones(len(tree.tag)))
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(100_000) < 25 * max(seconds(10_000), 0.02)
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001"])
+def test_extraction_of_the_tables_pages(folder):
+    """Blocks of the article, read by a plain pattern that fits these pages alone, against what is extracted."""
+    import os
+
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    rows = duckdb.sql(f"SELECT html FROM '{folder}/pages.parquet' WHERE html IS NOT NULL").fetchall()
+    right = wrong = missed = 0
+    for (page,) in rows:
+        body = re.search(r"(?s)<article>(.*?)</article>", page)
+        want = collections.Counter(leaves(re.sub(r'(?s)<(div|aside|section|ul|nav|form)[^>]*>.*?</\1>', "", body[1])) if body else [])
+        got = collections.Counter(t for t in page_text(page).split("\n") if t)
+        right, wrong, missed = right + (got & want).total(), wrong + (got - want).total(), missed + (want - got).total()
+    assert right > 100
+    assert right / (right + missed) >= 0.98
+    assert right / (right + wrong) >= 0.98
+
+
 # Registered SQL
 
 @pytest.mark.parametrize("name", ["op6_prefix_tree", "op10_url_reputation"])
