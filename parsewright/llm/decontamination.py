@@ -1,21 +1,24 @@
 """Benchmark decontamination (operator 5): rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased runs of letters, digits and underscores. A seed is an n-gram of a test item. A first pass over
-all documents counts in how many each seed occurs. An alignment that reaches the least score keeps at least
-``need`` of an item's seeds (each edit breaks at most n of them, and costs at least what the scores below say), so an
-item's ``need - 1`` most frequent seeds can be left out of the search without losing any match: every match still has a
-rarer seed, and passages that half the corpus shares start no work. An item so short that its edits could break all
-its seeds of ``n`` words has shorter seeds, of two words or one, so that every match keeps one at least. The second pass joins each document's
-words to the rare seeds, takes the stretch around the seeds of an item where at least ``need`` seeds lie, and aligns it: +2 for
-equal words, -1 for a changed word, -2 for one left out or put in. A pair is a match if the best local score is at
-least ``least`` of the score of the whole item.
+Words are lower-cased runs of letters, digits and underscores; Han characters and kana are words of their own. A seed is
+an n-gram of a test item. A match is a document in which the item scores at least ``least`` of its full score, or one of
+its passages of ``PASSAGE`` words at least ``PASSAGE_LEAST`` of that passage's, by local alignment: +2 for equal words, -1
+for a changed word, -2 for one left out or put in.
+
+A first pass over all documents counts in how many each seed occurs. A match keeps at least ``need`` of an item's seeds
+(each edit breaks at most n of them, and costs at least what the scores say), so an item's ``need - 1`` most frequent
+seeds can be left out of the search without losing any match: every match still has a rarer seed, and passages that half
+the corpus shares start no work. An item so short that its edits could break all its seeds of ``n`` words has shorter
+seeds, of two words or one, so that every match keeps one at least. The second pass joins each document's words to the
+rare seeds, takes the stretch around the seeds of an item where at least ``need`` seeds lie, and aligns it.
 
 The test set is stated and read in blocks of bounded bytes; each block's seeds travel to the tasks, every block sees
 all documents. Documents are never shuffled.
 
-Defined results: null and empty texts and items match nothing; an item of fewer words than a seed has one seed, the
-whole of it; items or documents that repeat each give their own pairs; a null doc_id stays null; empty tables give an
-empty result.
+Defined results: null and empty texts and items match nothing; a very long text or item is read whole; an item of fewer
+words than a seed has one seed, the whole of it; of stretches that align equally well the first counts; items or documents
+that repeat each give their own pairs; a null doc_id stays null; extra columns are ignored (``clean`` keeps them), whatever
+their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -32,8 +35,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORDS = re.compile(r"\w+")
+WORDS = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[^\W\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
 MATCH, CHANGE, GAP = 2, -1, -2
+PASSAGE, PASSAGE_LEAST = 13, 0.8
 
 
 def kept_seeds(m: int, width: int, least: float) -> int:
@@ -78,7 +82,10 @@ class Block:
                 if s == len(b.places):
                     b.places.append([])
                 b.places[s].append((k, at))
-            b.need.append(max(1, kept_seeds(len(ids), width, least)))
+            need = kept_seeds(len(ids), width, least)
+            if len(ids) > PASSAGE:
+                need = min(need, kept_seeds(PASSAGE, width, PASSAGE_LEAST))
+            b.need.append(max(1, need))
         return b
 
     def set_rare(self, counts: dict[int, int]) -> None:
@@ -103,19 +110,24 @@ class Block:
     def finder(self):
         """A function from texts to (word numbers of all texts, first word of each, hits (word position, seed))."""
         get = self.words.get
-        base = len(self.words) + 1
-        tables = []  # by width: sorted keys of the seeds and their numbers
-        by_width: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        factor = np.uint64(0x9E3779B97F4A7C15)
+        tables = []  # by width: sorted keys of the seeds, their words and their numbers
+        by_width: dict[int, list[tuple[tuple, int]]] = defaultdict(list)
         for words, s in self.seeds.items():
-            key = 0
-            for w in words:
-                key = (key * base + w) & ((1 << 62) - 1)
-            by_width[len(words)].append((key, s))
+            by_width[len(words)].append((words, s))
+
+        def keys_of(ids: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+            key = ids[at]
+            for k in range(1, width):  # wraps around; equal keys are compared word by word
+                key = (key ^ (key >> np.uint64(29))) * factor + ids[at + k]
+            return key
+
         for width, pairs in by_width.items():
-            pairs.sort()
-            tables.append((width, np.array([k for k, _ in pairs], np.int64), np.array([s for _, s in pairs], np.int64)))
-        if base**self.n >= 1 << 62:
-            raise ValueError("a block has too many distinct words for its seeds; use smaller blocks")
+            words = np.array([w for w, _ in pairs], np.uint64).reshape(len(pairs), width)
+            keys = keys_of(words.ravel(), np.arange(len(pairs)) * width, width)
+            order = np.argsort(keys, kind="stable")
+            most = int(np.unique(keys, return_counts=True)[1].max())  # seeds that share a key: one, but for chance
+            tables.append((width, keys[order], words[order], np.array([s for _, s in pairs], np.int64)[order], most))
 
         def find(texts: list[str]):
             numbers: list[int] = []
@@ -125,9 +137,9 @@ class Block:
                 numbers.extend([get(w, 0) for w in WORDS.findall(t.lower())])
                 numbers.extend(pad)  # no seed crosses texts
                 starts.append(len(numbers))
-            ids = np.array(numbers, np.int64)
+            ids = np.array(numbers, np.uint64)
             at_all, seed_all = [], []
-            for width, keys, seeds in tables:
+            for width, keys, words, seeds, most in tables:
                 if len(ids) < width:
                     continue
                 m = len(ids) - width + 1
@@ -135,13 +147,15 @@ class Block:
                 for k in range(1, width):
                     full &= ids[k : k + m] > 0
                 at = np.flatnonzero(full)
-                key = ids[at]
-                for k in range(1, width):
-                    key = key * base + ids[at + k]
-                where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                ok = keys[where] == key
-                at_all.append(at[ok])
-                seed_all.append(seeds[where[ok]])
+                key = keys_of(ids, at, width)
+                first = np.searchsorted(keys, key)
+                for j in range(most):
+                    where = np.minimum(first + j, len(keys) - 1)
+                    ok = np.flatnonzero((keys[where] == key) & (first + j < len(keys)))
+                    same = (ids[at[ok][:, None] + np.arange(width)] == words[where[ok]]).all(1)
+                    at_all.append(at[ok][same])
+                    seed_all.append(seeds[where[ok]][same])
+            ids = ids.astype(np.int64)
             if not at_all:
                 return ids, starts, np.zeros(0, np.int64), np.zeros(0, np.int64)
             at, seed = np.concatenate(at_all), np.concatenate(seed_all)
@@ -151,6 +165,21 @@ class Block:
         return find
 
 
+def best_passage(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Best local score of any PASSAGE consecutive words of item ``a`` in stretch ``b``, and that passage's first word."""
+    windows = np.lib.stride_tricks.sliding_window_view(a, PASSAGE)
+    col = np.arange(len(b) + 1) * GAP
+    h = np.zeros((len(windows), len(b) + 1), np.int64)
+    best = np.zeros(len(windows), np.int64)
+    for k in range(PASSAGE):
+        new = np.zeros_like(h)
+        new[:, 1:] = np.maximum(h[:, :-1] + np.where(windows[:, k : k + 1] == b[None, :], MATCH, CHANGE), np.maximum(h[:, 1:] + GAP, 0))
+        h = np.maximum(new, np.maximum.accumulate(new - col, axis=1) + col)  # gaps in the item: the best cell to the left, less GAP a step
+        best = np.maximum(best, h.max(1))
+    at = int(best.argmax())
+    return int(best[at]), at
+
+
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Best local score of item ``a`` in stretch ``b``, and the stretch's first word and end in that alignment."""
     n = len(b)
@@ -184,7 +213,7 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 
 def matches_in(block: Block, ids: np.ndarray, at: np.ndarray, seed: np.ndarray) -> list[tuple[int, float, int, int]]:
-    """(item index, share of the full score, first word, end) of every item that one text holds."""
+    """(item index, share of the full score, first word, end) of every item that one text holds, whole or in a passage."""
     by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
     rare: set[int] = set()
     for p, s in zip(at.tolist(), seed.tolist(), strict=True):
@@ -198,13 +227,15 @@ def matches_in(block: Block, ids: np.ndarray, at: np.ndarray, seed: np.ndarray)
         m = len(words)
         if len(hits) < block.need[k]:
             continue
-        best = (0.0, 0, 0)
+        best, passage = (0.0, 0, 0), False
         for low, high in stretches(sorted(hits), m, block.need[k]):
             a, b = max(0, low), min(len(ids), high)
             score, first, end = smith_waterman(words, ids[a:b])
             if score / (MATCH * m) > best[0]:
                 best = (score / (MATCH * m), a + first, a + end)
-        if best[0] >= block.least:
+            if score < block.least * MATCH * m and m > PASSAGE and score >= PASSAGE_LEAST * MATCH * PASSAGE and not passage:
+                passage = best_passage(words, ids[a:b])[0] >= PASSAGE_LEAST * MATCH * PASSAGE
+        if best[0] >= block.least or passage:
             out.append((k, *best))
     return out
 

@@ -169,6 +169,41 @@ def brute_score(a, b):
     return max(map(max, h))
 
 
+def brute_match(item, text):
+    if not item:
+        return False
+    passages = [item[k : k + 13] for k in range(len(item) - 12)] if len(item) > 13 else []
+    return brute_score(item, text) >= 0.6 * 2 * len(item) - 1e-9 or any(brute_score(x, text) >= 0.8 * 26 for x in passages)
+
+
+def test_passage_score():
+    import numpy as np
+
+    rng = random.Random(16)
+    for _ in range(100):
+        a, b = [rng.randint(1, 4) for _ in range(rng.randint(13, 20))], [rng.randint(1, 4) for _ in range(rng.randint(1, 25))]
+        score, at = D.best_passage(np.array(a), np.array(b))
+        assert score == max(brute_score(a[k : k + 13], b) for k in range(len(a) - 12)) == brute_score(a[at : at + 13], b)
+
+
+def test_half_an_item_is_found(spark):
+    rng = random.Random(12)
+    item = words(rng, 40)
+    edited = item[10:30]
+    edited[9] = "changed"
+    docs = [(1, " ".join(words(rng, 30) + item[:20] + words(rng, 30))), (2, " ".join(words(rng, 30) + item[25:35] + words(rng, 30))), (3, " ".join(edited)), (4, "這是一個測試句子" + "很長的句子" * 3)]
+    items = [(1, " ".join(item)), (2, "前面這是一個測試句子後面")]
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (3, 1), (4, 2)}
+
+
+def test_a_block_of_many_words():
+    item = " ".join(f"w{k}" for k in range(1_700_000))
+    block = D.Block.of([(1, item)], 3, 0.6)
+    _, starts, at, seed = block.finder()(["x w5 w6 w7 y w9 w10", "w1699997 w1699998 w1699999"])
+    assert [(block.places[s][0][1], p) for p, s in zip(at.tolist(), seed.tolist(), strict=True)] == [(5, 1), (1699997, starts[1])]
+
+
 def test_alignment_score():
     import numpy as np
 
@@ -189,7 +224,10 @@ def test_decontamination_finds_every_match(spark, most_bytes):
         text = words(rng, rng.randint(0, 60))
         if k % 2:
             item = rng.choice(items[:25])[1].split()
-            for _ in range(rng.randint(0, len(item) // 3)):
+            if len(item) > 13 and k % 4 == 1:
+                at, n = rng.randint(0, len(item) - 10), rng.randint(9, 18)
+                item = item[at : at + n]
+            for _ in range(rng.randint(0, len(item) // (3 if k % 4 == 3 else 10))):
                 at = rng.randrange(len(item))
                 how = rng.randint(0, 2)
                 item[at : at + (how != 1)] = [[rng.choice(["new", "word"])], ["put"], []][how]
@@ -200,11 +238,11 @@ def test_decontamination_finds_every_match(spark, most_bytes):
     docs += [(500, "say One, Two!"), (None, items_text), *ODD]
     got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), most_bytes=most_bytes).collect()}
     cut = lambda t: re.findall(r"\w+", (t or "").lower())
-    want = {(i, j) for i, t in docs for j, x in items if cut(x) and brute_score(cut(x), cut(t)[:400]) >= 0.6 * 2 * len(cut(x)) - 1e-9}
+    want = {(i, j) for i, t in docs for j, x in items if brute_match(cut(x), cut(t)[:400])}
     assert got == want
     assert (500, 32) in got
     kept = D.clean(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), most_bytes=most_bytes).collect()
-    clean = [(i, t) for i, t in docs if not any(cut(x) and brute_score(cut(x), cut(t)[:400]) >= 0.6 * 2 * len(cut(x)) - 1e-9 for _, x in items)]
+    clean = [(i, t) for i, t in docs if not any(brute_match(cut(x), cut(t)[:400]) for _, x in items)]
     assert collections.Counter((r["doc_id"], r["text"]) for r in kept) == collections.Counter(clean)
 
 
