@@ -11,28 +11,31 @@ them, and taking those backslashes away gives back the text. Head, body and end
 
 A node's key is a running hash of the turns down to it. The tree's depth-first order comes from sorting conversations
 by their paths: a node stands where the first conversation that holds it stands. Turns of a conversation stream
-through one task in order and are never gathered; nodes of very common first turns meet in pre-aggregated groups, and
-the join back to them spreads hot keys.
+through one task in order and are never gathered; nodes of very common first turns meet in pre-aggregated groups.
+Ranks, places and intervals are worked out on narrow tables; tokens, as packed ids, move once to be told apart, once to
+the conversations that read them back and once into their order, and are never broadcast.
 
 Defined results: null texts and roles count as empty; turns are ordered by (turn, role, text), nulls first, so ties
-and repeated rows have one order and each row is a turn; a null conv_id is a conversation of its own; an empty table
-gives empty results; extra columns are ignored.
+and repeated rows have one order and each row is a turn; a null conv_id is a conversation of its own; a very long text is
+one body like any other; an empty table gives empty results; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import common, graphs, pretokens
+from . import common, graphs, packing, pretokens
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 
@@ -47,15 +50,33 @@ def unescape(text: str) -> str:
 
 @functools.lru_cache(2)
 def codec(path: str):
-    """(encode text -> ids, decode ids -> text) without special tokens, whatever strings the text has."""
+    """(encode text -> packed ids, decode packed ids -> text) without special tokens, whatever strings the text has.
+
+    Packed ids are little-endian unsigned 32-bit numbers. Decoding joins the tokens' bytes, as byte-level BPE does.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return (lambda s: t.encode(s, add_special_tokens=False).ids if s else []), (lambda ids: t.decode(ids, skip_special_tokens=False) if len(ids) else "")
+    back = {c: b for b, c in packing.byte_letters().items()}
+    vocabulary = t.get_vocab()
+    pieces = [b""] * (max(vocabulary.values()) + 1)
+    for word, k in vocabulary.items():
+        pieces[k] = bytes(back[c] for c in word) if all(c in back for c in word) else word.encode()
+    for k, token in t.get_added_tokens_decoder().items():
+        pieces[k] = token.content.encode()
+
+    def encode(text: str) -> bytes:
+        return packing.little(t.encode(text, add_special_tokens=False).ids) if text else b""
+
+    def decode(ids: bytes) -> str:
+        return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode()
+
+    return encode, decode
 
 
-ROWS = "conv_id long, depth int, node binary, parent binary, tokens array<int>, body_start int, body_end int, loss boolean, position long, path binary"
+ROWS = "conv_id long, depth int, node binary, parent binary, tokens binary, n_tokens long, body_start int, body_end int, loss boolean, position long, path binary"
 
 
 def turn_nodes(conversations: DataFrame, path: str) -> DataFrame:
@@ -67,6 +88,7 @@ def turn_nodes(conversations: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, _ = codec(path)
         head_end, end = encode(TEXT), encode(END)
+        head_of = functools.lru_cache(1000)(lambda role: encode(TURN + escape(role)) + head_end)
         conv, depth, key, position, keys = object(), 0, b"", 0, b""
         last: list | None = None  # held back until it is known whether the conversation goes on
         for batch in batches:
@@ -75,7 +97,7 @@ def turn_nodes(conversations: DataFrame, path: str) -> DataFrame:
                 for c, role, text in zip(*(part.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
                     if last is not None:
                         if c != conv:
-                            last[9] = keys
+                            last[-1] = keys
                         out.append(last)
                     if c != conv or last is None:
                         conv, depth, key, position, keys = c, 0, b"", 0, b""
@@ -86,16 +108,17 @@ def turn_nodes(conversations: DataFrame, path: str) -> DataFrame:
                     h.update(text.encode())
                     key = h.digest()
                     keys += key[:8]
-                    head = encode(TURN + escape(role)) + head_end
+                    head = head_of(role)
                     body = encode(escape(text))
                     tokens = head + body + end
-                    last = [c, depth, key, parent, tokens, len(head), len(head) + len(body), role == "assistant", position, None]
-                    position += len(tokens)
+                    n = len(tokens) // 4
+                    last = [c, depth, key, parent, tokens, n, len(head) // 4, (len(head) + len(body)) // 4, role == "assistant", position, None]
+                    position += n
                     depth += 1
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
         if last is not None:
-            last[9] = keys
+            last[-1] = keys
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(last, arrow, strict=True)], schema=arrow)
 
     return common.map_arrow(rows, run, ROWS)
@@ -113,11 +136,12 @@ def running(df: DataFrame, order: list[str], value: str | None, out: str, shared
     return dealt.join(F.broadcast(before), "_p").withColumn(out, (local + F.col("_b")).cast("long")).drop("_p", "_b")
 
 
-def prefix_tree(conversations: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, members).
+def prefix_tree(conversations: DataFrame, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, members, tokens).
 
-    nodes: node, parent, depth, tokens, body_start, body_end, loss, position, at (place in the stream), uses (turns that
-    share it), rank and depth of its owner; members: conv_id, rank, depth, node.
+    nodes: node, parent, depth, n_tokens, body_start, body_end, loss, position, at (place in the stream), uses (turns that
+    share it), owner (the rank of its first conversation); members: conv_id, rank, depth, node; tokens: node, tokens (packed
+    ids), a row for each turn.
     """
     shared = common.Shared(conversations.sparkSession)
     rows = shared.keep(turn_nodes(conversations, path), "rows")
@@ -125,10 +149,11 @@ def prefix_tree(conversations: DataFrame, path: str) -> tuple[DataFrame, DataFra
     convs = shared.keep(convs.select("conv_id", "rank", "n"), "convs")
     total = convs.agg(F.sum("n")).first()[0] or 0
     key = F.coalesce("conv_id", F.lit(-(1 << 62)))
-    ranked = graphs.spread_join(rows.select(key.alias("c"), *[x for x in rows.columns if x != "path"]), convs.select(key.alias("c"), "rank", "n"), ["c"], "n", ["rank"], total)
-    nodes = ranked.groupBy("node").agg(F.min("rank").alias("owner"), F.count(F.lit(1)).alias("uses"), *[F.first(x).alias(x) for x in ("parent", "depth", "tokens", "body_start", "body_end", "loss", "position")])
-    nodes = running(nodes.withColumn("n_tokens", F.size("tokens").cast("long")), ["owner", "depth"], "n_tokens", "at", shared)
-    return shared.keep(nodes, "nodes"), shared.keep(ranked.select("conv_id", "rank", "depth", "node"), "members")
+    narrow = [x for x in rows.columns if x not in ("path", "tokens")]
+    ranked = graphs.spread_join(rows.select(key.alias("c"), *narrow), convs.select(key.alias("c"), "rank", "n"), ["c"], "n", ["rank"], total)
+    nodes = ranked.groupBy("node").agg(F.min("rank").alias("owner"), F.count(F.lit(1)).alias("uses"), *[F.first(x).alias(x) for x in ("parent", "depth", "n_tokens", "body_start", "body_end", "loss", "position")])
+    nodes = running(nodes, ["owner", "depth"], "n_tokens", "at", shared)
+    return shared.keep(nodes, "nodes"), shared.keep(ranked.select("conv_id", "rank", "depth", "node"), "members"), rows.select("node", "tokens")
 
 
 def along(nodes: DataFrame, members: DataFrame, columns: list[str]) -> DataFrame:
@@ -138,33 +163,33 @@ def along(nodes: DataFrame, members: DataFrame, columns: list[str]) -> DataFrame
     return joined.repartition("rank").sortWithinPartitions("rank", "depth")
 
 
-STREAM = "node binary, parent binary, depth int, at long, n_tokens long, position long, tokens array<int>, loss_start int, loss_end int, attends array<struct<first:long,end:long>>"
+PLACED = "node binary, parent binary, depth int, at long, n_tokens long, position long, loss_start int, loss_end int, attends array<struct<first:long,end:long>>"
 
 
-def emit(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """The stream: every node once, with its position ids' start and its ancestors' intervals (joined where they touch)."""
-    wanted = ["parent", "owner", "at", "n_tokens", "position", "tokens", "body_start", "body_end", "loss"]
-    arrow = common.to_arrow(STREAM)
+def emit(nodes: DataFrame, members: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The stream: every node once, with its tokens, its position ids' start and its ancestors' intervals (joined where they touch)."""
+    wanted = ["parent", "owner", "at", "n_tokens", "position", "body_start", "body_end", "loss"]
+    arrow = common.to_arrow(PLACED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, spans = None, []
         for batch in batches:
-            for part in common.slices(batch):
-                out = []
-                for r in part.to_pylist():
-                    if r["rank"] != rank:
-                        rank, spans = r["rank"], []
-                    if r["owner"] == rank:
-                        start, end = (r["body_start"], r["body_end"]) if r["loss"] else (0, 0)
-                        out.append((r["node"], r["parent"], r["depth"], r["at"], r["n_tokens"], r["position"], r["tokens"], start, end, [{"first": a, "end": b} for a, b in spans]))
-                    if spans and spans[-1][1] == r["at"]:
-                        spans[-1] = (spans[-1][0], r["at"] + r["n_tokens"])
-                    else:
-                        spans.append((r["at"], r["at"] + r["n_tokens"]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-
-    return common.map_arrow(along(nodes, members, wanted), run, STREAM)
+            out = []
+            for r in batch.to_pylist():
+                if r["rank"] != rank:
+                    rank, spans = r["rank"], []
+                if r["owner"] == rank:
+                    start, end = (r["body_start"], r["body_end"]) if r["loss"] else (0, 0)
+                    out.append((r["node"], r["parent"], r["depth"], r["at"], r["n_tokens"], r["position"], start, end, [{"first": a, "end": b} for a, b in spans]))
+                if spans and spans[-1][1] == r["at"]:
+                    spans[-1] = (spans[-1][0], r["at"] + r["n_tokens"])
+                else:
+                    spans.append((r["at"], r["at"] + r["n_tokens"]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    placed = common.map_arrow(along(nodes, members, wanted), run, PLACED)
+    return placed.join(tokens.dropDuplicates(["node"]), "node")
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long"
@@ -177,8 +202,9 @@ def under_intervals(stream: DataFrame, members: DataFrame) -> DataFrame:
     """(conv_id, rank, position, tokens, loss_start, loss_end, wanted): all of the stream to which a conversation's last node may attend, and itself.
 
     Found by places alone: its intervals are cut at blocks, and each block has the nodes that start in it. ``wanted`` is
-    how many tokens the intervals have.
+    how many tokens the intervals have. Tokens join last, by place.
     """
+    shared = common.Shared(stream.sparkSession)
     last = members.groupBy("rank").agg(F.max(F.struct("depth", "node", "conv_id")).alias("m")).select("rank", "m.node", "m.conv_id")
     ends = stream.join(last.groupBy("node").agg(F.count(F.lit(1)).alias("uses")), "node")
     total = members.count()
@@ -187,19 +213,20 @@ def under_intervals(stream: DataFrame, members: DataFrame) -> DataFrame:
     found = graphs.spread_join(last, ends, ["node"], "uses", ["spans"], total)
     wanted = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     cut = found.select("conv_id", "rank", wanted.alias("wanted"), F.inline("spans"))
-    cut = cut.select("*", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))).alias("block"))
-    cut = common.Shared(stream.sparkSession).keep(cut, "cut")
-    node = F.struct("at", "position", "tokens", "loss_start", "loss_end")
+    cut = shared.keep(cut.select("*", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))).alias("block")), "cut")
+    node = F.struct("at", "position", "loss_start", "loss_end")
     blocks = stream.withColumn("block", F.floor(F.col("at") / BLOCK)).groupBy("block").agg(F.collect_list(node).alias("held"))
     uses = cut.groupBy("block").agg(F.count(F.lit(1)).alias("uses"))
     met = graphs.spread_join(cut, blocks.join(uses, "block"), ["block"], "uses", ["held"], cut.count())
     inside = F.filter("held", lambda x: (x["at"] >= F.col("first")) & (x["at"] < F.col("end")))
-    return met.select("conv_id", "rank", "wanted", F.inline(inside))
+    met = shared.keep(met.select("conv_id", "rank", "wanted", F.inline(inside)), "met")
+    uses = met.groupBy("at").agg(F.count(F.lit(1)).alias("uses"))
+    return graphs.salted_join(met, stream.select("at", "tokens").join(uses, "at"), "at", "uses", ["tokens"], met.count())
 
 
-def read_back(nodes: DataFrame, members: DataFrame, path: str) -> DataFrame:
+def read_back(nodes: DataFrame, members: DataFrame, tokens: DataFrame, path: str) -> DataFrame:
     """Per conversation, from the emitted stream: digests of the turns and of all text under the loss mask."""
-    return rebuilt(common.Shared(nodes.sparkSession).keep(emit(nodes, members), "stream"), members, path)
+    return rebuilt(common.Shared(nodes.sparkSession).keep(emit(nodes, members, tokens), "stream"), members, path)
 
 
 def rebuilt(stream: DataFrame, members: DataFrame, path: str) -> DataFrame:
@@ -220,26 +247,27 @@ def rebuilt(stream: DataFrame, members: DataFrame, path: str) -> DataFrame:
                 raise ValueError(f"the intervals of conversation {c} have {wanted} tokens, its nodes {tokens}")
             return c, n, turns.hexdigest(), loss_n, loss.hexdigest(), chars, tokens
 
+        names = ("rank", "conv_id", "wanted", "position", "tokens", "loss_start", "loss_end")
         for batch in batches:
             for part in common.slices(batch):
                 out = []
-                for r in part.to_pylist():
-                    if r["rank"] != rank:
+                for r, conv, want, position, ids, start, end in zip(*(part.column(n).to_pylist() for n in names), strict=True):
+                    if r != rank:
                         if state is not None:
                             out.append(done())
-                        rank, state, wanted = r["rank"], [r["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0], r["wanted"]
-                    ids = r["tokens"]
-                    if r["position"] != state[6]:
-                        raise ValueError(f"position {r['position']} after {state[6]} tokens of conversation {state[0]}")
+                        rank, state, wanted = r, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0], want
+                    if position != state[6]:
+                        raise ValueError(f"position {position} after {state[6]} tokens of conversation {state[0]}")
                     text = decode(ids)
                     role, body = map(unescape, parse(text).groups())
                     state[1] += 1
                     state[2].update(f"{role}\n{body}\n".encode())
-                    under = unescape(decode(ids[r["loss_start"] : r["loss_end"]]))
-                    state[3] += len(under)
-                    state[4].update(under.encode())
+                    if end > start:
+                        under = unescape(decode(ids[4 * start : 4 * end]))
+                        state[3] += len(under)
+                        state[4].update(under.encode())
                     state[5] += len(text)
-                    state[6] += len(ids)
+                    state[6] += len(ids) // 4
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
         if state is not None:
@@ -257,8 +285,7 @@ def op6_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
     path = pretokens.default_path("byte_bpe_50k.json")
-    nodes, members = prefix_tree(rows.unionByName(extra), path)
-    return read_back(nodes, members, path).drop("n_tokens")
+    return read_back(*prefix_tree(rows.unionByName(extra), path), path).drop("n_tokens")
 
 
 OP6_SQL = r"""

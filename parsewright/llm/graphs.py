@@ -32,6 +32,21 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str,
     return out.select(*rows.columns, *[F.coalesce(f"_hv_{v}", f"_cv_{v}").alias(v) for v in values])
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: str, count: str, values: list[str], total: int) -> DataFrame:
+    """Inner join of ``rows`` to ``table``, which has each key once, wide ``values`` and, in ``count``, the rows that have it.
+
+    As in ``spread_join`` there are at most HOT_SHARE hot keys. Only they and their numbers of lanes are broadcast: a hot
+    key's row of ``table`` is repeated once a lane, and the rows that look for it are dealt over its lanes.
+    """
+    bound = max(LEAST_HOT, total // HOT_SHARE)
+    lanes = F.least(F.ceil(F.col(count) / bound), F.lit(HOT_SHARE)).cast("int")
+    hot = table.filter(F.col(count) > bound).select(F.col(key).alias("_h"), lanes.alias("_lanes"))
+    left = rows.join(F.broadcast(hot), F.col(key) == F.col("_h"), "left")
+    left = left.select(*rows.columns, F.coalesce(F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.col("_lanes")), F.lit(0)).cast("int").alias("_lane"))
+    right = table.select(key, *values, F.explode(F.sequence(F.lit(0), F.when(F.col(count) > bound, lanes).otherwise(1) - 1)).alias("_lane"))
+    return left.join(right, [key, "_lane"]).select(*rows.columns, *values)
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for every node that has an edge to another: label is the least node that it reaches.
 

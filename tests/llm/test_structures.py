@@ -102,6 +102,14 @@ def test_hot_keys_join(spark):
     assert out.filter("v IS NULL OR v <> k * 2").count() == 0
 
 
+def test_salted_join(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "LEAST_HOT", 50)
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 1 ELSE id END AS k", "id")
+    table = rows.groupBy("k").count().selectExpr("k", "count AS n", "k * 2 AS v")
+    out = graphs.salted_join(rows, table, "k", "n", ["v"], 3000)
+    assert sorted(map(tuple, out.collect())) == sorted((1 if i % 3 == 0 else i, i, 2 * (1 if i % 3 == 0 else i)) for i in range(3000))
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100, 180)] + [(500, k) for k in range(501, 900)] + [(5, 5)]
     label = {r["node"]: r["label"] for r in graphs.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -165,11 +173,11 @@ def test_escape():
 
 
 def test_read_back(tree):
-    path, nodes, members = tree
+    path, *made = tree
     by = collections.defaultdict(list)
     for c, turn, role, text in TURNS:
         by[c].append((turn if turn is not None else -1, role or "", text or ""))
-    rows = {r["conv_id"]: r for r in chat.read_back(nodes, members, path).collect()}
+    rows = {r["conv_id"]: r for r in chat.read_back(*made, path).collect()}
     assert set(rows) == set(by)
     for c, turns in by.items():
         turns.sort()
@@ -182,8 +190,8 @@ def test_read_back(tree):
 
 
 def test_stream(tree):
-    _, nodes, members = tree
-    rows = sorted(chat.emit(nodes, members).collect(), key=lambda r: r["at"])
+    _, nodes, members, tokens = tree
+    rows = sorted(chat.emit(nodes, members, tokens).collect(), key=lambda r: r["at"])
     at = {r["node"]: r for r in rows}
     assert len(rows) == len(at) == nodes.count()
     end = 0
@@ -221,24 +229,24 @@ def unattended(stream):
 
 @pytest.mark.parametrize("wrong", [shifted, shortened, unattended])
 def test_read_back_sees_a_wrong_stream(tree, monkeypatch, wrong):
-    path, nodes, members = tree
+    path, *made = tree
     emit = chat.emit
     monkeypatch.setattr(chat, "emit", lambda *a: wrong(emit(*a)))
     with pytest.raises(Exception, match="of conversation"):
-        chat.read_back(nodes, members, path).collect()
+        chat.read_back(*made, path).collect()
 
 
 def test_read_back_uses_the_loss_spans(tree, monkeypatch):
-    path, nodes, members = tree
+    path, *made = tree
     emit = chat.emit
     monkeypatch.setattr(chat, "emit", lambda *a: emit(*a).withColumn("loss_end", F.col("loss_start")))
-    assert {r["loss_chars"] for r in chat.read_back(nodes, members, path).collect()} == {0}
+    assert {r["loss_chars"] for r in chat.read_back(*made, path).collect()} == {0}
 
 
 def test_no_conversations(spark):
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
-    nodes, members = chat.prefix_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), path)
-    assert chat.read_back(nodes, members, path).count() == 0
+    made = chat.prefix_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), path)
+    assert chat.read_back(*made, path).count() == 0
 
 
 # Pages
