@@ -50,30 +50,37 @@ def unescape(text: str) -> str:
 
 @functools.lru_cache(2)
 def codec(path: str):
-    """(encode text -> packed ids, decode packed ids -> text) without special tokens, whatever strings the text has.
+    """(encode text -> packed ids, decode packed ids -> text, bytes an id) without special tokens, whatever strings the text has.
 
-    Packed ids are little-endian unsigned 32-bit numbers. Decoding joins the tokens' bytes, as byte-level BPE does.
+    Packed ids are little-endian unsigned numbers, of 16 bits if all ids fit. Encoding keeps the ids of pre-tokens at hand,
+    where no special string can be left in an escaped text; decoding joins the tokens' bytes, as byte-level BPE does.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
+    vocabulary, specials = t.get_vocab(), t.get_added_tokens_decoder()
+    most = max([*vocabulary.values(), *specials])
+    kind, width = ("H", 2) if most < 1 << 16 else ("I", 4)
+    cut, cache = pretokens.cutter(path), packing.Ids(path, kind)
+    told_apart = all(re.search(r"<[^\\]|\[[^\\]", x.content) for x in specials.values())
     back = {c: b for b, c in packing.byte_letters().items()}
-    vocabulary = t.get_vocab()
-    pieces = [b""] * (max(vocabulary.values()) + 1)
+    pieces = [b""] * (most + 1)
     for word, k in vocabulary.items():
         pieces[k] = bytes(back[c] for c in word) if all(c in back for c in word) else word.encode()
-    for k, token in t.get_added_tokens_decoder().items():
+    for k, token in specials.items():
         pieces[k] = token.content.encode()
 
     def encode(text: str) -> bytes:
-        return packing.little(t.encode(text, add_special_tokens=False).ids) if text else b""
+        if told_apart and text not in (TEXT, END) and not text.startswith(TURN):
+            return b"".join(b"".join(map(cache.__getitem__, cut(x))) for x in pretokens.text_blocks(text)) if text else b""
+        return packing.little(t.encode(text, add_special_tokens=False).ids, kind) if text else b""
 
     def decode(ids: bytes) -> str:
-        return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode()
+        return b"".join(map(pieces.__getitem__, np.frombuffer(ids, f"<u{width}").tolist())).decode()
 
-    return encode, decode
+    return encode, decode, width
 
 
 ROWS = "conv_id long, depth int, node binary, parent binary, tokens binary, n_tokens long, body_start int, body_end int, loss boolean, position long, path binary"
@@ -86,7 +93,7 @@ def turn_nodes(conversations: DataFrame, path: str) -> DataFrame:
     arrow = common.to_arrow(ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, _ = codec(path)
+        encode, _, width = codec(path)
         head_end, end = encode(TEXT), encode(END)
         head_of = functools.lru_cache(1000)(lambda role: encode(TURN + escape(role)) + head_end)
         conv, depth, key, position, keys = object(), 0, b"", 0, b""
@@ -111,8 +118,8 @@ def turn_nodes(conversations: DataFrame, path: str) -> DataFrame:
                     head = head_of(role)
                     body = encode(escape(text))
                     tokens = head + body + end
-                    n = len(tokens) // 4
-                    last = [c, depth, key, parent, tokens, n, len(head) // 4, (len(head) + len(body)) // 4, role == "assistant", position, None]
+                    n = len(tokens) // width
+                    last = [c, depth, key, parent, tokens, n, len(head) // width, (len(head) + len(body)) // width, role == "assistant", position, None]
                     position += n
                     depth += 1
                 if out:
@@ -238,7 +245,7 @@ def rebuilt(stream: DataFrame, members: DataFrame, path: str) -> DataFrame:
     parse = re.compile(re.escape(TURN) + "(.*?)" + re.escape(TEXT) + "(.*)" + re.escape(END), re.S).fullmatch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, decode = codec(path)
+        _, decode, width = codec(path)
         rank, state, wanted = None, None, 0
 
         def done() -> tuple:
@@ -263,11 +270,11 @@ def rebuilt(stream: DataFrame, members: DataFrame, path: str) -> DataFrame:
                     state[1] += 1
                     state[2].update(f"{role}\n{body}\n".encode())
                     if end > start:
-                        under = unescape(decode(ids[4 * start : 4 * end]))
+                        under = unescape(decode(ids[width * start : width * end]))
                         state[3] += len(under)
                         state[4].update(under.encode())
                     state[5] += len(text)
-                    state[6] += len(ids) // 4
+                    state[6] += len(ids) // width
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
         if state is not None:

@@ -335,39 +335,42 @@ def place(lengths: np.ndarray, ranks: np.ndarray, table: dict[int, np.ndarray])
     return sequence, offset
 
 
-def little(ids: list[int]) -> bytes:
-    """Ids as little-endian unsigned 32-bit numbers."""
-    a = array("I", ids)
+def little(ids: list[int], kind: str = "I") -> bytes:
+    """Ids as little-endian unsigned numbers of 32 bits, or of 16 (kind H)."""
+    a = array(kind, ids)
     if sys.byteorder == "big":
         a.byteswap()
     return a.tobytes()
 
 
+class Ids(dict):
+    """Ids of a pre-token as bytes, by the library's BPE model itself: its merges need no second look at the text."""
+
+    def __init__(self, path: str, kind: str = "I"):
+        super().__init__()
+        tokenizer = pretokens.load_tokenizer(path)
+        self.model, self.of_byte, self.kind = tokenizer.model, byte_letters(), kind
+        self.specials = {t.content: k for k, t in tokenizer.get_added_tokens_decoder().items()}
+
+    def __missing__(self, word: str) -> bytes:
+        if word in self.specials:
+            found = [self.specials[word]]
+        else:
+            found = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.of_byte))]
+        ids = little(found, self.kind)
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32. Ids are made per distinct pre-token of a task and joined as bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     arrow = common.to_arrow(f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, tokenizer = pretokens.cutter(path), pretokens.load_tokenizer(path)
-        model, of_byte = tokenizer.model, byte_letters()
-        specials = {t.content: k for k, t in tokenizer.get_added_tokens_decoder().items()}
-
-        class Ids(dict):
-            """Ids of a pre-token as bytes, by the library's BPE model itself: its merges need no second look at the text."""
-
-            def __missing__(self, word: str) -> bytes:
-                if word in specials:
-                    found = [specials[word]]
-                else:
-                    found = [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(of_byte))]
-                ids = little(found)
-                if len(self) >= CACHE:
-                    self.clear()
-                self[word] = ids
-                return ids
-
-        cache = Ids()
+        cut, cache = pretokens.cutter(path), Ids(path)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:

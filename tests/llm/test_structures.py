@@ -172,6 +172,19 @@ def test_escape():
         assert not any(s in e for s in ("<|", "[I", "</", "<s"))
 
 
+def test_codec_against_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    t = tokenizers.Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    encode, decode, width = chat.codec(path)
+    assert width == 2
+    for text in ["", chat.TEXT, chat.END, chat.TURN + "user", *map(chat.escape, ["<|endoftext|> a <|x|>", "it's  12½ o'clock\n\t x", "中文 字", "é" * 300, "\u1e9e ꟎"])]:
+        ids = encode(text)
+        assert np.frombuffer(ids, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert decode(ids) == text
+
+
 def test_read_back(tree):
     path, *made = tree
     by = collections.defaultdict(list)
