@@ -29,6 +29,7 @@ def word_pairs(conversations: DataFrame) -> DataFrame:
     cut = lambda c: F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
     sentences = F.filter(F.transform(F.split(F.lower("text"), SENTENCE_END), cut), lambda w: F.size(w) > 0)
     turns = conversations.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "text", sentences.alias("e"), cut(F.col("text")).alias("f")).filter("size(e) > 0")
+    turns = turns.repartition("conv_id")  # what the window needs, also where one file is one partition
     at = W.partitionBy("conv_id").orderBy("turn", "text")
     after = F.coalesce(F.lead("f").over(at), F.first("f").over(at.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     rows = turns.withColumn("f", after).select("conv_id", "turn", "f", F.size("e").alias("n"), F.posexplode("e").alias("k", "e_words"))

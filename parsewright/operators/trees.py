@@ -18,62 +18,54 @@ def node_array(tree: Column) -> Column:
 
 
 def _nodes(tokens: Column) -> Column:
-    # Level of every token: open parentheses so far; then only labels stay, with whether they follow an opening one.
-    start = F.struct(F.lit(0).alias("open"), F.lit("").alias("before"), F.array().cast("array<struct<label:string,level:int,leaf:boolean>>").alias("found"))
+    # One pass over the tokens. ``path``: the open nodes with their children so far; ``found``: nodes in preorder; ``closed``:
+    # what is known of an inner node at its end. As inner nodes are numbered by preorder too, sorting puts each at its rank.
+    start = F.struct(
+        F.array().cast("array<struct<node:int,kids:int>>").alias("path"), F.lit("").alias("before"), F.lit(0).alias("leaves"),
+        F.array().cast("array<struct<label:string,level:int,leaf:boolean,parent:int,child_idx:int,epos:int>>").alias("found"),
+        F.array().cast("array<struct<node:int,last:int,leaves:int,kids:int>>").alias("closed"),
+    )
 
     def step(acc: Column, token: Column) -> Column:
-        leaf = acc["before"] != "("
-        level = acc["open"] + F.when(leaf, 1).otherwise(0)
-        found = F.concat(acc["found"], F.array(F.struct(token.alias("label"), level.alias("level"), leaf.alias("leaf"))))
+        opens, closes, leaf = token == "(", token == ")", acc["before"] != "("
+        path, found = acc["path"], acc["found"]
+        depth = F.size(path)
+        top, above = F.get(path, depth - 1), F.slice(path, F.lit(1), F.greatest(depth - 1, F.lit(0)))
+        bumped = F.when(depth > 0, F.concat(above, F.array(F.struct(top["node"].alias("node"), (top["kids"] + 1).alias("kids"))))).otherwise(path)
+        inner = F.concat(bumped, F.array(F.struct(F.size(found).alias("node"), F.lit(0).alias("kids"))))
+        node = F.struct(token.alias("label"), (depth + 1).alias("level"), leaf.alias("leaf"), F.coalesce(top["node"], F.lit(-1)).alias("parent"), F.coalesce(top["kids"], F.lit(0)).alias("child_idx"), acc["leaves"].alias("epos"))
+        end = F.struct(top["node"].alias("node"), F.size(found).alias("last"), acc["leaves"].alias("leaves"), top["kids"].alias("kids"))
         return F.struct(
-            (acc["open"] + F.when(token == "(", 1).when(token == ")", -1).otherwise(0)).alias("open"),
+            F.when(opens, path).when(closes, above).when(leaf, bumped).otherwise(inner).alias("path"),
             token.alias("before"),
-            F.when(token.isin("(", ")"), acc["found"]).otherwise(found).alias("found"),
+            (acc["leaves"] + F.when(opens | closes | ~leaf, 0).otherwise(1)).alias("leaves"),
+            F.when(opens | closes, found).otherwise(F.concat(found, F.array(node))).alias("found"),
+            F.when(closes, F.concat(acc["closed"], F.array(end))).otherwise(acc["closed"]).alias("closed"),
         )
 
-    labels = F.aggregate(tokens, start, step, lambda acc: acc["found"])
-
-    def with_parents(found: Column) -> Column:
-        # the open node of each level, as a map from level to index, gives every label its parent in one pass
-        begin = F.struct(F.array().cast("array<int>").alias("path"), F.array().cast("array<int>").alias("parents"))
-
-        def climb(acc: Column, n: Column) -> Column:
-            up = F.slice(acc["path"], F.lit(1), n["level"] - 1)
-            parent = F.coalesce(F.when(F.size(up) > 0, F.element_at(up, -1)), F.lit(-1))
-            return F.struct(F.concat(up, F.array(F.size(acc["parents"]))).alias("path"), F.concat(acc["parents"], F.array(parent)).alias("parents"))
-
-        return F.aggregate(found, begin, climb, lambda acc: acc["parents"])
-
-    # ``let`` by transform over one-element arrays: each intermediate is computed once a row.
-    def finish(found: Column, parents: Column) -> Column:
-        leaves = F.transform(found, lambda n: n["leaf"].cast("int"))
-        n_nodes = F.size(found)
-
+    # ``let`` by transform over a one-element array: the pass is made once a row.
+    def finish(found: Column, closed: Column) -> Column:
         def node(n: Column, k: Column) -> Column:
-            after = F.filter(F.sequence(F.lit(0), n_nodes - 1), lambda j: (j > k) & (F.get(found, j)["level"] <= n["level"]))
-            last = F.coalesce(F.get(after, F.lit(0)), n_nodes)
-            ahead = F.aggregate(F.slice(leaves, F.lit(1), k), F.lit(0), lambda a, x: a + x)
-            inside = F.aggregate(F.slice(leaves, k + 1, last - k), F.lit(0), lambda a, x: a + x)
-            parent = F.get(parents, k)
+            end = F.get(closed, k - n["epos"])  # of an inner node: before it are k - epos others
             return F.struct(
                 k.alias("node_id"),
-                parent.alias("parent_id"),
-                F.size(F.filter(F.slice(parents, F.lit(1), k), lambda p: p == parent)).alias("child_idx"),
+                n["parent"].alias("parent_id"),
+                n["child_idx"].alias("child_idx"),
                 n["label"].alias("label"),
                 F.element_at(F.split(n["label"], "/"), -1).cast("int").alias("symbol"),
                 F.when(n["label"].contains("/"), F.get(F.split(n["label"], "/"), F.lit(0)).cast("int")).alias("head"),
-                F.size(F.filter(parents, lambda p: p == k)).alias("numc"),
-                ahead.alias("epos"),
-                inside.alias("elen"),
+                F.when(n["leaf"], 0).otherwise(end["kids"]).alias("numc"),
+                n["epos"].alias("epos"),
+                F.when(n["leaf"], 1).otherwise(end["leaves"] - n["epos"]).alias("elen"),
                 n["leaf"].alias("is_leaf"),
                 n["level"].alias("level"),
-                last.alias("last"),
+                F.when(n["leaf"], k + 1).otherwise(end["last"]).alias("last"),
             )
 
         return F.transform(found, node)
 
-    pair = F.transform(F.array(labels), lambda found: F.struct(found.alias("found"), with_parents(found).alias("parents")))
-    return F.get(F.transform(pair, lambda x: finish(x["found"], x["parents"])), F.lit(0))
+    read = F.aggregate(tokens, start, step, lambda acc: F.struct(acc["found"].alias("found"), F.sort_array(acc["closed"]).alias("closed")))
+    return F.get(F.transform(F.array(read), lambda x: finish(x["found"], x["closed"])), F.lit(0))
 
 
 def with_nodes(df: DataFrame, tree: str = "e_tree", out: str = "nodes") -> DataFrame:

@@ -271,7 +271,7 @@ def n_uniform(spark, sf):
 
 @query("SELECT cooc.e, cooc.f, CASE WHEN NOT contains(cooc.e, ' ') AND NOT contains(cooc.f, ' ') AND cut.e IS NOT NULL THEN round(1.0::DOUBLE / n, 9) ELSE 0 END AS prob FROM cooc LEFT JOIN (SELECT e, f, 1 + count(*) OVER (PARTITION BY e) AS n FROM cut) cut ON cut.e = cooc.e AND cut.f = cooc.f")
 def t_lookup_single_words(spark, sf):
-    counts = _cooc(spark, sf)
+    counts = em.checkpointed(_cooc(spark, sf))  # read twice
     return params.t_lookup(counts.select("e", "f"), params.t_uniform(corpus.phrase_cutoff(counts)), single_words=True).withColumn("prob", F.round("prob", 9))
 
 
@@ -292,8 +292,8 @@ def t_init_uniform(spark, sf):
 @query("""SELECT cooc.e, cooc.f, CASE WHEN (contains(cooc.e, ' ') OR contains(cooc.f, ' ')) AND cut.e IS NULL THEN 0.0::DOUBLE
           ELSE round(power(0.1::DOUBLE, 1 + len(string_split(cooc.f, ' '))), 9) END AS prob FROM cooc LEFT JOIN cut ON cut.e = cooc.e AND cut.f = cooc.f""")
 def t_lookup_equal_prob(spark, sf):
-    keys = _cooc(spark, sf).select("e", "f")
-    out = params.t_lookup_equal(keys, corpus.phrase_cutoff(_cooc(spark, sf)), cutoff=True, fertility=True)
+    cooc = em.checkpointed(_cooc(spark, sf))  # read twice
+    out = params.t_lookup_equal(cooc.select("e", "f"), corpus.phrase_cutoff(cooc), cutoff=True, fertility=True)
     return out.withColumn("prob", F.round("prob", 9))
 
 
@@ -302,13 +302,13 @@ def t_normalize(spark, sf):
     return params.normalize(_cooc(spark, sf), ["e"]).withColumn("prob", F.round("prob", 9))
 
 
-def _fert(spark, sf) -> DataFrame:
-    counts = _cooc(spark, sf).groupBy("e", params.words_in(F.col("f")).alias("n")).agg(F.sum("cnt").cast("double").alias("cnt"))
+def _fert(cooc: DataFrame) -> DataFrame:
+    counts = cooc.groupBy("e", params.words_in(F.col("f")).alias("n")).agg(F.sum("cnt").cast("double").alias("cnt"))
     return params.normalize(counts, ["e"])
 
 
-def _t_words(spark, sf) -> DataFrame:
-    counts = _cooc(spark, sf).select("e", F.explode(F.split("f", " ")).alias("f"), "cnt").groupBy("e", "f").agg(F.sum("cnt").cast("double").alias("cnt"))
+def _t_words(cooc: DataFrame) -> DataFrame:
+    counts = cooc.select("e", F.explode(F.split("f", " ")).alias("f"), "cnt").groupBy("e", "f").agg(F.sum("cnt").cast("double").alias("cnt"))
     return params.normalize(counts, ["e"])
 
 
@@ -318,7 +318,7 @@ T_WORDS = "tw AS (SELECT e, w, cnt / sum(cnt) OVER (PARTITION BY e) AS prob FROM
 
 @query(f", {FERT} SELECT e, n, round(prob, 9) AS prob FROM fert")
 def fertility_normalize(spark, sf):
-    return _fert(spark, sf).withColumn("prob", F.round("prob", 9))
+    return _fert(_cooc(spark, sf)).withColumn("prob", F.round("prob", 9))
 
 
 @query(f""", {FERT}, {T_WORDS},
@@ -326,8 +326,8 @@ x AS (SELECT e, f, unnest(string_split(f, ' ')) AS w, len(string_split(f, ' '))
 p AS (SELECT e, f, any_value(n) AS n, product(tw.prob) AS p FROM x JOIN tw USING (e, w) GROUP BY e, f)
 SELECT p.e, p.f, round(p.p * fert.prob, 9) AS prob FROM p JOIN fert ON fert.e = p.e AND fert.n = p.n""")
 def fertility_prob(spark, sf):
-    keys = _cooc(spark, sf).select("e", "f")
-    return params.fertility_prob(keys, _t_words(spark, sf), _fert(spark, sf), ["e", "f"]).withColumn("prob", F.round("prob", 9))
+    cooc = em.checkpointed(_cooc(spark, sf))  # read three times
+    return params.fertility_prob(cooc.select("e", "f"), _t_words(cooc), _fert(cooc), ["e", "f"]).withColumn("prob", F.round("prob", 9))
 
 
 @query("SELECT e, round(sum(cnt) FILTER (cnt > 1) / sum(cnt), 9) AS prob FROM cooc WHERE contains(e, ' ') GROUP BY e HAVING sum(cnt) FILTER (cnt > 1) IS NOT NULL UNION ALL SELECT e, 0.0::DOUBLE FROM cooc WHERE contains(e, ' ') GROUP BY e HAVING sum(cnt) FILTER (cnt > 1) IS NULL")
