@@ -8,12 +8,13 @@ The score is the softmax of the negative distances, and a text is flagged as amb
 are closer than ``ambiguous``. Up to seven languages the code is exhaustive (all 2^(L-1) - 1 ways to part the
 languages), beyond that a random code with the best least distance of several draws.
 
-The classifiers are fitted on at most ``max_fit`` labelled rows, taken by a hash of their ids in equal shares of the
+The classifiers are fitted on about ``max_fit`` labelled rows at most, taken by a hash of their ids and texts in equal shares of the
 languages; their n-grams are counted over whole texts. That bound is a parameter and does not follow the corpus.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and not ambiguous; without labelled rows
-every text is ``und``; rows with a null lang are not learned from; repeated rows each give a row; an empty table
-gives an empty result.
+every text is ``und``; rows with a null lang are not learned from; a very long text is counted in blocks; of codewords
+equally near the first language in text order wins; repeated rows each give a row; extra columns stay, but those named
+like an added one (lang_pred, score, ambiguous) are replaced by it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,20 +47,35 @@ def folded() -> np.ndarray:
     return table
 
 
+BLOCK = 1 << 18  # characters of a text that are looked at together
+
+
 def gram_counts(text: str) -> np.ndarray | None:
-    """Hashed counts of 1- to 3-grams, square-rooted and scaled to length one; None without a letter."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = folded()[points]
-    if not c.any():
-        return None
-    keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] != 0) | (c[:-1] != 0)  # runs of separators count as one
-    c = np.concatenate((np.zeros(1, np.uint32), c[keep], np.zeros(1, np.uint32)))
-    one = c * np.uint32(0x9E3779B1)
-    two = (one[:-1] ^ (c[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
-    three = (two[:-1] ^ (c[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)
+    """Hashed counts of 1- to 3-grams, square-rooted and scaled to length one; None without a letter. In blocks, the last
+    two characters of one being the context of the next."""
+    counts, table, letters = np.zeros(DIM, np.int64), folded(), False
     shift = np.uint32(20)
-    counts = np.bincount(one >> shift, minlength=DIM) + np.bincount(two >> shift, minlength=DIM) + np.bincount(three >> shift, minlength=DIM)
+
+    def add(c: np.ndarray, old: int) -> None:
+        """Count the grams that end after the first ``old`` characters of c."""
+        one = c * np.uint32(0x9E3779B1)
+        two = (one[:-1] ^ (c[1:] * np.uint32(0x85EBCA77))) * np.uint32(0xC2B2AE3D)
+        three = (two[:-1] ^ (c[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)
+        for n, grams in enumerate((one, two, three)):
+            counts[:] += np.bincount(grams[max(old - n, 0) :] >> shift, minlength=DIM)
+
+    held = np.zeros(1, np.uint32)
+    add(held, 0)
+    for at in range(0, len(text), BLOCK):
+        c = table[np.frombuffer(text[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        letters = letters or bool(c.any())
+        before = np.concatenate((held[-1:] if at else np.ones(1, np.uint32), c[:-1]))
+        c = c[(c != 0) | (before != 0)]  # runs of separators count as one
+        add(np.concatenate((held, c)), len(held))
+        held = np.concatenate((held, c))[-2:]
+    if not letters:
+        return None
+    add(np.concatenate((held, np.zeros(1, np.uint32))), len(held))
     x = np.sqrt(counts.astype(np.float32))
     return x / np.linalg.norm(x)
 
@@ -123,7 +139,8 @@ def fit(docs: DataFrame, train: Column | None = None, label: str = "lang", max_f
     share = F.lit(0)
     for name, n in sizes.items():
         share = F.when(F.col("lang") == name, F.lit(min(1 << 20, int(each / n * (1 << 20)) + 1))).otherwise(share)
-    picked = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 20)) < share).select("text", "lang")
+    # by id and text, and each text once: rows that share an id, or copies, can't be picked all together
+    picked = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(11)), F.lit(1 << 20)) < share).select("text", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -159,6 +159,20 @@ def test_codes_part_all_languages():
         assert all(distance[i, j] >= max(1, n // 4) for i in range(n) for j in range(i))
 
 
+def test_grams_in_blocks(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(10)
+    for n in (1, 2, 3, 9, 200):
+        for _ in range(20):
+            text = "".join(rng.choice("aB é.  1ß中") for _ in range(n))
+            made = []
+            for size in (1, 2, 3, 7, 1 << 18):
+                monkeypatch.setattr(language, "BLOCK", size)
+                made.append(language.gram_counts(text))
+            assert all((x is None) == (made[0] is None) and (x is None or np.allclose(x, made[0])) for x in made)
+
+
 # Decontamination
 
 def brute_score(a, b):
