@@ -7,8 +7,7 @@ travel to the tasks as a table of bounded size, and a document sums these at onc
 through a shuffled join on the pre-token: none of those keys is in many documents, so no task gets a hot key.
 
 Defined results: a null text counts as the empty text (0 bytes, 0 tokens); repeated rows each give a row; a null
-doc_id stays null; a very long text is cut in blocks; of pre-tokens that equally many documents hold the first in text order
-travel; an empty table gives an empty result; further columns of the input are ignored, whatever their names.
+doc_id stays null; a very long text is cut in blocks; pre-tokens that equally many documents hold go the same way; an empty table gives an empty result; further columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
