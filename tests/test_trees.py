@@ -6,7 +6,7 @@ from parsewright.operators import trees
 from parsewright.operators import transforms as X
 
 PUNCT = (("PUNC.", "PUNC"), ("PUNC,", "PUNC"), ("PUNC:", "PUNC"))
-PARSED = "(TOP~loves~1~1 (S~loves~2~2 (NPB~Mary~1~1 Mary/NNP ) (VP~loves~3~1 loves/VBZ (NP-A~apples~2~1 (NPB~apples~1~1 apples/NNS ) (PRN~-LRB-~3~1 -LRB-/-LRB- (NPB~bananas~1~1 bananas/NNS ) -RRB-/-RRB- ) ) (ADVP~too~1~1 too/RB ./PUNC. ) ) ) ) "
+PARSED = "(TOP~slept~1~1 (S~slept~2~2 (NPB~dog~2~2 the/DT dog/NN ) (VP~slept~2~1 slept/VBD (PP~on~2~1 on/IN (NPB~mat~2~2 a/DT mat/NN ./PUNC. ) ) ) ) ) "
 
 
 def edited(text, *steps, **options):
@@ -28,9 +28,9 @@ def test_max_children_of_a_leaf(spark):
 
 
 def test_sample_tree():
-    want = "(loves/TOP (loves/S (Mary/NPB Mary/NNP) (loves/VP loves/VBZ (apples/NP-A (apples/NPB apples/NNS) (-LRB-/PRN -LRB-/-LRB- (bananas/NPB bananas/NNS) -RRB-/-RRB-)) (too/ADVP too/RB))))"
+    want = "(slept/TOP (slept/S (dog/NPB the/DT dog/NN) (slept/VP slept/VBD (on/PP on/IN (mat/NPB a/DT mat/NN)))))"
     assert edited(PARSED, "conv", "upqpunc", "rmpunc", table=PUNCT) == want
-    assert X.max_children(X.Edits(("conv", "upqpunc", "rmpunc"), PUNCT).apply(X.read(PARSED))) == 3
+    assert X.max_children(X.Edits(("conv", "upqpunc", "rmpunc"), PUNCT).apply(X.read(PARSED))) == 2
 
 
 def test_flatten_and_up():
