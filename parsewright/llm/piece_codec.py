@@ -34,7 +34,7 @@ from . import common, pretokens
 
 SPACE = "▁"
 #: Bounds of what a worker keeps at hand.
-WORDS, PAIRS, SHORT = 800_000, 400_000, 48
+WORDS, PAIRS, SHORT = 500_000, 300_000, 48
 BLOCK, JOINED = 1 << 18, 1 << 15
 
 
@@ -57,12 +57,9 @@ class Codec:
             raise ValueError(f"{path} has user-defined or unused pieces")
         self.score = {p.piece: p.score for p in spec.pieces if p.type == kinds.NORMAL}
         ids = {p.piece: k for k, p in enumerate(spec.pieces)}
+        self.numbers = {p: ids[p] for p in self.score}
         self.bytes = [ids.get(f"<0x{b:02X}>", spec.trainer_spec.unk_id) for b in range(256)]
         self.begin, self.end = spec.trainer_spec.bos_id, spec.trainer_spec.eos_id
-        # A piece that merging doesn't give for its own characters is never in an encoding.
-        self.ids = {p: ids[p] for p in self.score if len(p) == 1 or self.merged(p) == [p]}
-        self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), None) for p in self.ids}
-        self.automaton = _automaton(self.ids)
         self.pairs = _Pairs(self.merged)
         self.words: dict[str, bytes] = {}
         inner = any(SPACE in p.lstrip(SPACE) for p in self.score)
@@ -79,6 +76,25 @@ class Codec:
         self.is_byte = [p.type == kinds.BYTE for p in spec.pieces]
         self.spaced = [p.type == kinds.NORMAL and p.piece[:1] == SPACE for p in spec.pieces]
 
+    @functools.cached_property
+    def ids(self) -> dict[str, int]:
+        """Pieces that can be in an encoding: one that merging doesn't give for its own characters never is."""
+        return {p: k for p, k in self.numbers.items() if len(p) == 1 or self.merged(p) == [p]}
+
+    @functools.cached_property
+    def shorter(self) -> dict[str, str | None]:
+        return {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), None) for p in self.ids}
+
+    @functools.cached_property
+    def automaton(self):
+        import ahocorasick
+
+        made = ahocorasick.Automaton()
+        for p in self.ids:
+            made.add_word(p[::-1], p)
+        made.make_automaton()
+        return made
+
     def merged(self, text: str) -> list[str]:
         """Pieces by merging: the pair of the best score first, the leftmost of equals. For short texts."""
         parts, score = list(text), self.score.get
@@ -227,16 +243,6 @@ def _class(characters: Iterator[str]) -> str:
     return re.escape("".join(characters)) or "\\ud800"
 
 
-def _automaton(pieces: dict[str, int]):
-    import ahocorasick
-
-    made = ahocorasick.Automaton()
-    for p in pieces:
-        made.add_word(p[::-1], p)
-    made.make_automaton()
-    return made
-
-
 @functools.lru_cache(2)
 def codec(path: str) -> Codec:
     return Codec(path)
