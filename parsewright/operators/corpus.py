@@ -155,7 +155,7 @@ def btx(pairs: DataFrame, edits, most: int, tree: str = "tree") -> DataFrame:
     from . import transforms
 
     root = F.regexp_extract(tree, r"^\s*[(\[]?([^\s()\[\]]+)", 1)
-    edited = pairs.withColumn("_edited", transforms.edit(F.col(tree), edits)).withColumn("_most", F.coalesce(F.array_max(transforms.child_counts(F.col(tree), edits)), F.lit(0)))
+    edited = pairs.withColumn("_edited", transforms.edit(F.col(tree), edits)).withColumn("_most", transforms.max_children(F.col(tree), edits))
     kept = edited.filter(F.col("_edited").isNotNull() & (F.col("_most") <= most) & ~root.rlike(rf"(^|~){TOO_LONG_HEAD}(~|/|$)"))
     shown = F.when(F.col("_edited").startswith("("), F.col("_edited")).otherwise(F.concat(F.lit("("), F.col("_edited"), F.lit(")")))
     return kept.withColumn(tree, shown).drop("_edited", "_most")

@@ -1,354 +1,412 @@
-"""Edits of parse trees with string labels, as one Arrow UDF: text in, text out.
-
-Trees are read without recursion limits into small objects; each edit is a pure function of one tree.
+"""Edits of parse trees with string labels, as expressions on arrays of nodes.
+
+A tree is the array of its nodes in preorder, each with its level (1 for the root); levels alone say what is below what: a
+node is inner if the next one is deeper, and as many nodes end after a node as the level falls. So label edits are
+plain transforms, removals are filters, and a splice removes a node and lifts what is below it. What an edit asks of
+a node's children is worked out in one pass that keeps the open nodes: a node meets its parent when it ends, so chains of
+heads are closed from the bottom up. All of it runs inside the row, without Python and without a shuffle; only ids of
+words and symbols come from joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parsewright.functions.arrays import let, put, scan
+from parsewright.functions.text import ascii_lower
+
 #: Forms of be, and the words and symbols of auxiliaries.
-BE = {"be", "is", "are", "been", "am", "was", "were"}
-BE_SYMBOLS = {"VP", "VP-A", "VB"}
-AUXILIARIES = {"must", "may", "will", "can", "should", "have", "would", "does", "do", "shall", "could", "might", "did", "has", "had"}
-AUX_SYMBOLS = {"VP", "MD", "VB"}
-VERB_PHRASES = {"VP-A", "VB"}
+BE = ("be", "is", "are", "been", "am", "was", "were")
+BE_SYMBOLS = ("VP", "VP-A", "VB")
+AUXILIARIES = ("must", "may", "will", "can", "should", "have", "would", "does", "do", "shall", "could", "might", "did", "has", "had")
+AUX_SYMBOLS = ("VP", "MD", "VB")
+VERB_PHRASES = ("VP-A", "VB")
 ALL = ("rmpunc", "flat", "pas", "aux", "rmhead")  # the preset's edits, in order
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-@dataclass
-class Tree:
-    """``label`` is what prints; head and symbol are what the edits look at."""
-
-    label: str
-    symbol: str = ""
-    head: str = ""
-    children: list[Tree] = field(default_factory=list)
-
-    def name(self) -> None:
-        self.label = f"{self.head}/{self.symbol}"
-
-    def walk(self) -> Iterable[Tree]:
-        """Preorder."""
-        stack = [self]
-        while stack:
-            t = stack.pop()
-            yield t
-            stack.extend(reversed(t.children))
-
-    def bottom_up(self) -> list[Tree]:
-        return list(self.walk())[::-1]
-
-
-def read(text: str) -> Tree | None:
-    """Read one s-expression; parentheses are round or square as the first character says; a backslash takes the next as it is."""
-    text = text.strip()
-    if not text:
-        return None
-    left, right = ("[", "]") if text[0] == "[" else ("(", ")")
-    tokens: list[tuple[bool, str]] = []  # (is a label, text)
-    k, label, started = 0, [], False
-    while k <= len(text):
-        c = text[k] if k < len(text) else " "
-        if c == "\\" and k + 1 < len(text):
-            label.append(text[k + 1])
-            started, k = True, k + 2
-            continue
-        if c.isspace() or c in (left, right):
-            if started:
-                tokens.append((True, "".join(label)))
-                label, started = [], False
-            if c in (left, right):
-                tokens.append((False, "(" if c == left else ")"))
-        else:
-            label.append(c)
-            started = True
-        k += 1
-    root: Tree | None = None
-    stack: list[Tree] = []
-    opening = False
-    for is_label, t in tokens:
-        if not is_label and t == "(":
-            opening = True
-        elif is_label:
-            node = Tree(t)
-            if stack:
-                stack[-1].children.append(node)
-            elif root is None:
-                root = node
-            else:
-                raise ValueError("more than one tree")
-            if opening:
-                stack.append(node)
-                opening = False
-        else:
-            if not stack:
-                raise ValueError("unbalanced tree")
-            stack.pop()
-    if root is None or stack:
-        raise ValueError("unbalanced tree")
-    for t in root.walk():
-        split_label(t)
-    return root
-
-
-def split_label(t: Tree) -> None:
-    """Inner labels ``SYM~head~n~m``; leaves ``head/SYM``, cut at the last slash."""
-    if t.children:
-        parts = t.label.split("~")
-        if len(parts) >= 4:
-            t.symbol, t.head = parts[0], "~".join(parts[1:-2])
-        else:  # also reads what these edits print
-            t.head, _, t.symbol = t.label.rpartition("/")
-    elif "/" in t.label:
-        t.head, _, t.symbol = t.label.rpartition("/")
-    else:
-        t.head, t.symbol = t.label, "???"
-
-
-def write(tree: Tree, left: str = "(", right: str = ")") -> str:
+NODE = "struct<level:int,head:string,symbol:string,label:string>"
+
+
+# Text to nodes and back
+
+_NODE_TOKEN = {"(": r"(?s)([(]?)\s*((?:\\.|[^()\s\\]|\\$)+)\s*([)\s]*)", "[": r"(?s)([\[]?)\s*((?:\\.|[^\[\]\s\\]|\\$)+)\s*([\]\s]*)"}
+
+
+def read(tree: Column) -> Column:
+    """The nodes of one s-expression; null where the text is null, empty or not one tree.
+
+    Parentheses are round or square as the first character says; a backslash takes the next character as it is. Inner
+    labels are ``SYM~head~n~m`` or, as these edits print them, ``head/SYM``; leaves are ``head/SYM``, cut at the last slash.
+    """
+    square = F.ltrim(tree).startswith("[")
+    token = F.when(square, F.lit(_NODE_TOKEN["["])).otherwise(F.lit(_NODE_TOKEN["("]))
+    group = lambda k: F.regexp_extract_all(tree, token, F.lit(k))
+    parts = F.arrays_zip(group(1).alias("opens"), group(2).alias("label"), group(3).alias("closes"))
+    closes = lambda x: F.length(F.regexp_replace(x["closes"], r"\s", ""))
+    moves = F.transform(parts, lambda x: F.struct(F.length(x["opens"]).alias("up"), closes(x).alias("down"), F.regexp_replace(x["label"], r"(?s)\\(.)", "$1").alias("label")))
+    start = F.struct(F.lit(0).alias("level"), F.lit(1).alias("next"))
+    levels = scan(moves, start, lambda s, x: F.struct(s["next"].alias("level"), (s["next"] + x["up"] - x["down"]).alias("next")), lambda s, x: F.struct(s["level"].alias("level"), s["next"].alias("next"), x["label"].alias("label")), "struct<level:int,next:int,label:string>")
+
+    def nodes(n: Column) -> Column:
+        whole = (F.size(n) > 0) & (F.element_at(n, -1)["next"] == 1) & F.forall(F.slice(n, F.lit(2), F.size(n)), lambda x: x["level"] > 1)
+        return F.when(whole & (F.trim(F.regexp_replace(tree, token, F.lit(""))) == ""), F.transform(n, lambda x, k: _named(x, F.coalesce(F.get(n, k + 1)["level"], F.lit(0)) > x["level"])))
+
+    return let(levels, lambda n: F.when(F.size(n) > 0, nodes(n)))
+
+
+def _named(x: Column, inner: Column) -> Column:
+    label = x["label"]
+    four, slash = r"(?s)^([^~]*)~(.*)~[^~]*~[^~]*$", r"(?s)^(.*)/([^/]*)$"
+    rule = inner & label.rlike(four)
+    cut = label.rlike(slash)
+    head = F.when(rule, F.regexp_extract(label, four, 2)).when(cut, F.regexp_extract(label, slash, 1)).otherwise(F.when(inner, "").otherwise(label))
+    symbol = F.when(rule, F.regexp_extract(label, four, 1)).when(cut, F.regexp_extract(label, slash, 2)).otherwise(F.when(inner, label).otherwise("???"))
+    return F.struct(x["level"].alias("level"), head.alias("head"), symbol.alias("symbol"), label.alias("label")).cast(NODE)
+
+
+def write(nodes: Column) -> Column:
     """Back to text; parentheses and backslashes in labels are escaped."""
-    out: list[str] = []
-    stack: list[Tree | str] = [tree]
-    while stack:
-        t = stack.pop()
-        if isinstance(t, str):
-            out.append(t)
-            continue
-        label = "".join("\\" + c if c in (left, right, "\\") else c for c in t.label)
-        if not t.children:
-            out.append(label)
-            continue
-        out.append(left + label)
-        stack.append(right)
-        for c in reversed(t.children):
-            stack += [c, " "]
-    return "".join(out)
-
-
-def convert(tree: Tree, table: dict[str, str]) -> None:
-    """Map symbols; what has no or an empty target stays."""
-    for t in tree.walk():
-        to = table.get(t.symbol)
-        if to:
-            t.symbol = to
-            t.label = f"{t.head}/{to}" if t.head else to
-
-
-def flatten(tree: Tree, up: bool = False) -> None:
-    """Splice children that share their parent's head; ``up`` takes the child's symbol."""
-    for t in tree.bottom_up():
-        old, t.children = t.children, []
-        for c in old:
-            if not t.head or c.head != t.head:
-                t.children.append(c)
-                continue
-            if up:
-                t.symbol = c.symbol
-            if c.children:
-                t.children += c.children
-            elif len(old) == 1:
-                t.symbol = c.symbol  # the node becomes that leaf
-            else:
-                t.children.append(c)
-        if t.head:
-            t.name()
-
-
-def propagate(tree: Tree, up: bool = False) -> None:
-    """As flatten, without splicing."""
-    for t in tree.bottom_up():
-        if t.head:
-            for c in t.children:
-                if c.head == t.head and up:
-                    t.symbol = c.symbol
-            t.name()
-
-
-def merge_verbs(tree: Tree, words: set[str], symbols: set[str]) -> None:
-    """Under such a word's verb phrase, splice verb-phrase children and take over their head and symbol."""
-    for t in tree.bottom_up():
-        if not t.children or not t.head or t.symbol not in symbols or t.head.translate(LOWER) not in words:
-            continue
-        old, t.children = t.children, []
-        changed = False
-        for c in old:
-            if c.symbol in VERB_PHRASES:
-                t.head, t.symbol, changed = c.head, c.symbol, True
-                t.children += c.children or [c]
-            else:
-                t.children.append(c)
-        if changed:
-            t.name()
-
-
-def raise_marks(tree: Tree) -> None:
-    """A sentence-final ! or ? moves from the right edge to the end of the root, as PUNCX. Runs after convert, before strip."""
-    t = tree
-    while t.children:
-        last = t.children[-1]
-        if last.children:
-            t = last
-            continue
-        if last.symbol == "PUNC" and last.head in ("!", "?"):
-            t.children.pop()  # may leave a node without children
-            last.symbol = "PUNCX"
-            last.name()
-            tree.children.append(last)
-        return
-
-
-def strip_punctuation(tree: Tree) -> None:
-    """At every node the last child goes if it is PUNC and not the only one; one a node."""
-    stack = [tree]
-    while stack:
-        t = stack.pop()
-        if len(t.children) > 1 and t.children[-1].symbol == "PUNC":
-            t.children.pop()
-        stack += t.children
-
-
-def drop_heads(tree: Tree) -> None:
-    for t in tree.walk():
-        if t.children:
-            t.label = t.symbol
-
-
-def lower_heads(tree: Tree) -> None:
-    for t in tree.walk():
-        if t.head:
-            t.head = t.head.translate(LOWER)
-            t.name()
-
-
-def number_words(tree: Tree, vocab: dict[str, int], max_id: int | None = None) -> None:
-    """Heads become ids; unknown ones the id of UNK, 0 without one."""
-    for t in tree.walk():
-        if t.head:
-            got = vocab.get(t.head)
-            t.head = str(vocab.get("UNK", 0) if got is None or (max_id is not None and got > max_id) else got)
-            t.name()
-
-
-def number_symbols(tree: Tree, table: dict[str, int]) -> None:
-    for t in tree.walk():
-        t.symbol = str(table.get(t.symbol, table.get("UNK", 0)))
-        t.name()
-
-
-def expand_leaves(tree: Tree) -> None:
-    """A leaf ``head/SYM`` becomes ``(SYM head)``."""
-    for t in list(tree.walk()):
-        if not t.children:
-            t.children = [Tree(t.head)]
-            t.label = t.symbol
+
+    def text(n: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            label = F.regexp_replace(x["label"], r"([()\\])", r"\\$1")
+            return F.concat(F.when(_inner(n, x, k), "(").otherwise(""), label, F.repeat(F.lit(")"), _ends(n, x, k)))
+
+        return F.array_join(F.transform(n, one), " ")
+
+    return let(nodes, text)
+
+
+def _next(n: Column, k: Column, end: int) -> Column:
+    return F.coalesce(F.get(n, k + 1)["level"], F.lit(end))
+
+
+def _inner(n: Column, x: Column, k: Column) -> Column:
+    return _next(n, k, 0) > x["level"]
+
+
+def _ends(n: Column, x: Column, k: Column) -> Column:
+    """Inner nodes that end after node k."""
+    return F.greatest(x["level"] - _next(n, k, 1), F.lit(0))
+
+
+# What nodes know of their children
+
+def _events(n: Column) -> Column:
+    """Nodes and, with ``ends``, ends of inner nodes, in the order of the text."""
+
+    def of(x: Column, k: Column) -> Column:
+        node = lambda ends: F.struct(k.alias("id"), x["head"].alias("head"), x["symbol"].alias("symbol"), x["label"].alias("label"), _inner(n, x, k).alias("inner"), F.lit(ends).alias("ends"))
+        return F.concat(F.array(node(False)), F.array_repeat(node(True), F.when(_inner(n, x, k), 0).otherwise(_ends(n, x, k))))
+
+    return F.flatten(F.transform(n, of))
+
+
+def closed(n: Column, kind: str, entry: Callable[[Column], Column], merge: Callable[[Column, Column], Column], close: Callable[[Column], Column], seen: Callable[[Column, Column], Column]) -> Column:
+    """An entry of type ``kind`` (``id`` first) for every node, in preorder.
+
+    ``entry`` makes it from a node; each node is merged into its parent when it ends, with ``close`` of an inner one;
+    ``seen`` is what is kept of it, given its parent's entry (null for the root) and its own.
+    """
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("path"), F.lit(None).cast(kind).alias("done"))
+
+    def step(s: Column, e: Column) -> Column:
+        path = s["path"]
+        top = lambda p: F.get(p, F.size(p) - 1)
+        cut = lambda p: F.slice(p, F.lit(1), F.size(p) - 1)
+        opened = F.struct(F.concat(path, F.array(entry(e).cast(kind))).alias("path"), F.lit(None).cast(kind).alias("done"))
+
+        def meet(both: Column) -> Column:
+            rest, done = both["rest"], both["done"]
+            merged = F.when(F.size(rest) > 0, F.concat(cut(rest), F.array(merge(top(rest), done).cast(kind)))).otherwise(rest)
+            return F.struct(merged.alias("path"), seen(top(rest), done).cast(kind).alias("done"))
+
+        ended = F.struct(F.when(e["ends"], cut(path)).otherwise(path).alias("rest"), F.when(e["ends"], close(top(path)).cast(kind)).otherwise(entry(e).cast(kind)).alias("done"))
+        return F.when(e["inner"] & ~e["ends"], opened).otherwise(let(ended, meet))
+
+    return F.array_sort(F.filter(scan(_events(n), start, step, lambda s, e: s["done"], kind), lambda x: x.isNotNull()))
+
+
+ENTRY = "struct<id:int,head:string,symbol:string,below:string,kids:int,mark:boolean,leaf:boolean,gone:boolean>"
+
+
+def _entry(e: Column) -> Column:
+    no = F.lit(False)
+    return F.struct(e["id"].alias("id"), e["head"].alias("head"), e["symbol"].alias("symbol"), e["symbol"].alias("below"), F.lit(0).alias("kids"), no.alias("mark"), (~e["inner"]).alias("leaf"), no.alias("gone"))
+
+
+_FIELDS = [f.split(":")[0] for f in ENTRY[7:-1].split(",")]
+
+
+def _same_head(up: Column, done: Column) -> Column:
+    return (up["head"] != "") & (up["head"] == done["head"])
+
+
+def _head_chains(n: Column, up: bool, splice: bool) -> Column:
+    """Entries of flattening: a node whose only child is a leaf of the same head becomes that leaf."""
+
+    def merge(over: Column, done: Column) -> Column:
+        same = _same_head(over, done)
+        symbol = F.when(same & F.lit(up), done["symbol"]).otherwise(over["symbol"])
+        return put(over, _FIELDS, symbol=symbol, below=done["symbol"], kids=over["kids"] + 1, mark=same & done["leaf"])
+
+    def close(x: Column) -> Column:
+        shrinks = F.lit(splice) & (x["kids"] == 1) & x["mark"]
+        return put(x, _FIELDS, symbol=F.when(shrinks, x["below"]).otherwise(x["symbol"]), leaf=shrinks)
+
+    return closed(n, ENTRY, _entry, merge, close, lambda over, done: put(done, _FIELDS, gone=F.coalesce(F.lit(splice) & _same_head(over, done) & ~done["leaf"], F.lit(False))))
 
 
-def listing(tree: Tree, right: bool = False, heads: bool = False, width: int = 30) -> list[str]:
-    """A line for each inner node: its symbol and its children's, padded, with head detail if asked."""
-    out = []
+def _verb_chains(n: Column, words: tuple[str, ...], symbols: tuple[str, ...]) -> Column:
+    """Entries of merged verbs: under such a word's verb phrase the last verb phrase gives head and symbol (``mark``)."""
+    leads = lambda e: e["inner"] & ascii_lower(e["head"]).isin(*words) & e["symbol"].isin(*symbols)
+    entry = lambda e: put(_entry(e), _FIELDS, below=F.when(leads(e), "leads").otherwise(""))
+    takes = lambda over, done: (over["below"] == "leads") & done["symbol"].isin(*VERB_PHRASES)
 
-    def full(t: Tree) -> str:
-        return f"{t.head}/{t.symbol}" if t.head else f"{t.children[0].label}/{t.symbol}"
+    def merge(over: Column, done: Column) -> Column:
+        t = takes(over, done)
+        return put(over, _FIELDS, head=F.when(t, done["head"]).otherwise(over["head"]), symbol=F.when(t, done["symbol"]).otherwise(over["symbol"]), mark=over["mark"] | t)
 
-    for t in tree.walk():
-        if not t.head or not t.children:
-            continue
-        side = lambda names, own: " ".join(names) + f" => {own}" if right else f"{own} <= {' '.join(names)} "
-        line = side([c.symbol for c in t.children], t.symbol)
-        if heads:
-            line = line.ljust(width) + side([full(c) for c in t.children], full(t))
-        out.append(line)
-    return out
+    return closed(n, ENTRY, entry, merge, lambda x: x, lambda over, done: put(done, _FIELDS, gone=F.coalesce(takes(over, done) & ~done["leaf"], F.lit(False))))
 
 
-def max_children(tree: Tree) -> int:
-    """A lone leaf counts 0 here."""
-    return max(len(t.children) for t in tree.walk())
+def _spliced(n: Column, entries: Column, relabel: Callable[[Column, Column], Column]) -> Column:
+    """Nodes with the entries' heads and symbols, without the gone ones and what hung on a node that became a leaf."""
+
+    def body(e: Column) -> Column:
+        became = lambda k: F.coalesce(F.get(e, k)["leaf"] & (_next(n, k, 0) > F.get(n, k)["level"]), F.lit(False))
+        rows = F.transform(n, lambda x, k: F.struct(x["level"].alias("level"), F.get(e, k)["head"].alias("head"), F.get(e, k)["symbol"].alias("symbol"), F.when(relabel(x, F.get(e, k)), F.concat_ws("/", F.get(e, k)["head"], F.get(e, k)["symbol"])).otherwise(x["label"]).alias("label"), (F.get(e, k)["gone"] | became(k - 1)).alias("out")))
+        return F.transform(F.filter(_lifted(rows), lambda x: ~x["out"]), _node)
+
+    return let(entries, body)
+
+
+def _node(x: Column) -> Column:
+    return F.struct(*[x[f].alias(f) for f in ("level", "head", "symbol", "label")]).cast(NODE)
+
+
+def _lifted(rows: Column) -> Column:
+    """Levels less the nodes above that go (``out``); the state counts these along the path to the node."""
+    kind = "struct<level:int,head:string,symbol:string,label:string,out:boolean>"
+    above = lambda s, x: F.coalesce(F.get(s, x["level"] - 2), F.lit(0))
+    step = lambda s, x: F.concat(F.slice(s, F.lit(1), x["level"] - 1), F.array(above(s, x) + x["out"].cast("int")))
+    out = lambda s, x: F.struct((x["level"] - above(s, x)).alias("level"), *[x[f].alias(f) for f in ("head", "symbol", "label", "out")]).cast(kind)
+    return scan(rows, F.array().cast("array<int>"), step, out, kind)
+
+
+# The edits
+
+def _relabel(x: Column, **new: Column) -> Column:
+    """The node with new head or symbol, and the label that says so."""
+    head, symbol = new.get("head", x["head"]), new.get("symbol", x["symbol"])
+    return F.struct(x["level"].alias("level"), head.alias("head"), symbol.alias("symbol"), F.concat_ws("/", head, symbol).alias("label")).cast(NODE)
+
+
+def set_labels(n: Column) -> Column:
+    return F.transform(n, lambda x: _relabel(x))
+
+
+def convert(n: Column, table: tuple[tuple[str, str], ...]) -> Column:
+    """Map symbols by a conversion table, of which the first match wins; what has no or an empty target stays."""
+    first = {s: t for s, t in reversed(table)}
+    pairs = F.create_map(*[F.lit(v) for kv in first.items() for v in kv])
+    to = lambda x: F.element_at(pairs, x["symbol"])
+    named = lambda x: F.struct(x["level"].alias("level"), x["head"].alias("head"), to(x).alias("symbol"), F.when(x["head"] != "", F.concat_ws("/", x["head"], to(x))).otherwise(to(x)).alias("label")).cast(NODE)
+    return F.transform(n, lambda x: F.when(F.coalesce(to(x), F.lit("")) != "", named(x)).otherwise(x))
+
+
+def flatten(n: Column, up: bool = False) -> Column:
+    """Splice inner children that share their parent's head; with ``up`` the parent takes the last such child's symbol."""
+    return _spliced(n, _head_chains(n, up, True), lambda x, e: e["head"] != "")
+
+
+def propagate(n: Column, up: bool = False) -> Column:
+    """The symbols of ``flatten`` without its splices."""
+    return _spliced(n, _head_chains(n, up, False), lambda x, e: e["head"] != "")
+
+
+def merge_verbs(n: Column, words: tuple[str, ...], symbols: tuple[str, ...]) -> Column:
+    """Under such a word's verb phrase, splice inner verb phrases and take over the last one's head and symbol."""
+    return _spliced(n, _verb_chains(n, words, symbols), lambda x, e: e["mark"])
+
+
+def raise_marks(n: Column) -> Column:
+    """A closing ! or ? becomes the root's last child, as PUNCX: the last node in preorder ends the right edge of the tree."""
+    last = F.element_at(n, -1)
+    marks = (F.size(n) > 1) & (last["symbol"] == "PUNC") & last["head"].isin("!", "?")
+    raised = F.struct(F.lit(2).alias("level"), last["head"].alias("head"), F.lit("PUNCX").alias("symbol"), F.concat(last["head"], F.lit("/PUNCX")).alias("label")).cast(NODE)
+    return F.when(marks, F.concat(F.slice(n, F.lit(1), F.size(n) - 1), F.array(raised))).otherwise(n)
+
+
+def strip_punctuation(n: Column) -> Column:
+    """At every node the last child goes, with what is below it, if it is PUNC and not the only one.
+
+    From right to left, the state says on which levels a node has followed since their parent's end: without one, it is the last.
+    """
+    pad = lambda s, x: F.array_repeat(F.lit(False), F.greatest(x["level"] - 1 - F.size(s), F.lit(0)))
+    step = lambda s, x: F.concat(F.slice(s, F.lit(1), x["level"] - 1), pad(s, x), F.array(F.lit(True)))
+    start = F.struct(F.array().cast("array<boolean>").alias("held"), F.lit(True).alias("last"))
+    going = lambda s, x: F.struct(step(s["held"], x).alias("held"), (~F.coalesce(F.get(s["held"], x["level"] - 1), F.lit(False))).alias("last"))
+    last = F.reverse(scan(F.reverse(n), start, going, lambda s, x: s["last"], "boolean"))
+
+    def drop(both: Column) -> Column:
+        lone = lambda x, k: F.coalesce(F.get(n, k - 1)["level"], F.lit(0)) < x["level"]
+        rows = F.transform(n, lambda x, k: F.struct(x.alias("node"), (F.get(both, k) & ~lone(x, k) & (x["symbol"] == "PUNC")).alias("goes")))
+        kind = "struct<node:" + NODE + ",out:boolean>"
+        under = lambda s, x: F.when(x["node"]["level"] > s, s).when(x["goes"], x["node"]["level"]).otherwise(F.lit(1 << 30))
+        kept = scan(rows, F.lit(1 << 30), under, lambda s, x: F.struct(x["node"].alias("node"), (s <= x["node"]["level"]).alias("out")), kind)
+        return F.transform(F.filter(kept, lambda x: ~x["out"]), lambda x: x["node"])
+
+    return let(last, drop)
+
+
+def drop_heads(n: Column) -> Column:
+    return F.transform(n, lambda x, k: F.when(_inner(n, x, k), F.struct(x["level"].alias("level"), x["head"].alias("head"), x["symbol"].alias("symbol"), x["symbol"].alias("label")).cast(NODE)).otherwise(x))
+
+
+def lower_heads(n: Column) -> Column:
+    return F.transform(n, lambda x: F.when(x["head"] != "", _relabel(x, head=ascii_lower(x["head"]))).otherwise(x))
+
+
+def expand_leaves(n: Column) -> Column:
+    """A leaf ``head/SYM`` becomes ``(SYM head)``."""
+    one = lambda x, by, label: F.struct((x["level"] + by).alias("level"), x["head"].alias("head"), x["symbol"].alias("symbol"), label.alias("label")).cast(NODE)
+    return F.flatten(F.transform(n, lambda x, k: F.when(_inner(n, x, k), F.array(x)).otherwise(F.array(one(x, 0, x["symbol"]), one(x, 1, x["head"])))))
 
 
 @dataclass(frozen=True)
 class Edits:
-    """What to do to a tree, in order."""
+    """What to do to a tree, in order. ``vocab`` and ``convsym`` ask tables, so they are for ``edited`` only."""
 
     steps: tuple[str, ...]
     table: tuple[tuple[str, str], ...] = ()  # symbol conversion, first match wins
     up: bool = False
-    words: tuple[tuple[str, int], ...] = ()
-    symbols: tuple[tuple[str, int], ...] = ()
     max_id: int | None = None
 
-    def apply(self, tree: Tree) -> Tree:
-        table = dict(reversed(self.table))
-        for t in tree.walk():
-            t.name()
-        if table:
-            convert(tree, table)  # once at the start and again as a step
-        steps: dict[str, Callable[[], None]] = {
-            "conv": lambda: convert(tree, table),
-            "flat": lambda: flatten(tree, self.up),
-            "noflat": lambda: propagate(tree, self.up),
-            "pas": lambda: merge_verbs(tree, BE, BE_SYMBOLS),
-            "aux": lambda: merge_verbs(tree, AUXILIARIES, AUX_SYMBOLS),
-            "upqpunc": lambda: raise_marks(tree),
-            "rmpunc": lambda: strip_punctuation(tree),
-            "rmhead": lambda: drop_heads(tree),
-            "lower": lambda: lower_heads(tree),
-            "vocab": lambda: number_words(tree, dict(self.words), self.max_id),
-            "convsym": lambda: number_symbols(tree, dict(self.symbols)),
-            "lf": lambda: expand_leaves(tree),
+    def apply(self, nodes: Column) -> Column:
+        """The edited nodes of nodes as ``read``."""
+        out = self.begin(nodes)
+        for step in self.flat_steps():
+            out = self.step(out, step)
+        return let(out, expand_leaves) if "lf" in self.steps else out
+
+    def begin(self, nodes: Column) -> Column:
+        out = let(nodes, set_labels)
+        return let(out, lambda n: convert(n, self.table)) if self.table else out  # once at the start and again as a step
+
+    def flat_steps(self) -> list[str]:
+        return [s for step in self.steps for s in (ALL if step == "all" else (step,)) if s != "lf"]  # lf is always last
+
+    def step(self, nodes: Column, step: str) -> Column:
+        edits: dict[str, Callable[[Column], Column]] = {
+            "conv": lambda n: convert(n, self.table) if self.table else n,
+            "flat": lambda n: flatten(n, self.up),
+            "noflat": lambda n: propagate(n, self.up),
+            "pas": lambda n: merge_verbs(n, BE, BE_SYMBOLS),
+            "aux": lambda n: merge_verbs(n, AUXILIARIES, AUX_SYMBOLS),
+            "upqpunc": raise_marks,
+            "rmpunc": strip_punctuation,
+            "rmhead": drop_heads,
+            "lower": lower_heads,
         }
-        expand = False
-        for step in self.steps:
-            for one in ALL if step == "all" else (step,):
-                if one == "lf":
-                    expand = True
-                else:
-                    steps[one]()
-        if expand:
-            expand_leaves(tree)  # always last
-        return tree
+        if step not in edits:
+            raise ValueError(f"{step} needs tables: use edited()" if step in ("vocab", "convsym") else f"no edit {step}")
+        return let(nodes, edits[step])
 
 
 def edit(tree: Column, edits: Edits) -> Column:
     """The edited tree as text; null where the input is null, empty or not a tree."""
+    return write(edits.apply(read(tree)))
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text):
-            try:
-                tree = read(text) if text else None
-                return write(edits.apply(tree)) if tree is not None else None
-            except ValueError:
-                return None
 
-        return texts.map(one, na_action="ignore")
+def both(tree: Column, edits: Edits) -> Column:
+    """Two lines: the tree as it was read, and the edited one. Leaves of both are expanded if they are at all."""
 
-    return run(tree)
+    def lines(n: Column) -> Column:
+        return F.array(write(expand_leaves(n) if "lf" in edits.steps else n), write(edits.apply(n)))
 
+    return let(read(tree), lambda n: F.when(n.isNotNull(), lines(n)))
+
+
+def numbered(df: DataFrame, key: str, nodes: str, table: DataFrame, field: str, max_id: int | None = None) -> DataFrame:
+    """Heads (where there are any) or symbols of the nodes as ids of ``table`` (word, id), by a join on the word.
+
+    Unknown ones, and ids above ``max_id``, become the id of UNK, 0 without one.
+    """
+    known = table.select(F.col("word").alias("_w"), F.col("id").cast("long").alias("_id"))
+    if max_id is not None:
+        known = known.filter(F.col("_id") <= max_id)
+    unk = known.agg(F.coalesce(F.max(F.when(F.col("_w") == "UNK", F.col("_id"))), F.lit(0)).alias("_unk"))  # one row
+    asked = df.select(F.col(key).alias("_key"), F.posexplode(F.transform(nodes, lambda x: x[field])).alias("_at", "_w"))
+    ids = asked.join(known, "_w", "left").crossJoin(F.broadcast(unk)).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_id", "_unk").cast("string").alias("_id")))).alias("_ids"))
+    of = lambda x, k: _relabel(x, **{field: F.get(F.col("_ids"), k)["_id"]})
+    named = (lambda x, k: F.when(x["head"] != "", of(x, k)).otherwise(x)) if field == "head" else of
+    return df.join(ids, df[key] == F.col("_key"), "left").withColumn(nodes, F.transform(nodes, named)).drop("_key", "_ids")
+
+
+def edited(df: DataFrame, key: str, tree: str, edits: Edits, vocab: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
+    """``df`` with its trees edited; ``vocab`` and ``symbols`` (word, id) serve the steps ``vocab`` and ``convsym``."""
+    out = df.withColumn(tree, edits.begin(read(F.col(tree))))
+    for step in edits.flat_steps():
+        if step in ("vocab", "convsym"):
+            table = vocab if step == "vocab" else symbols
+            out = numbered(out, key, tree, table, "head" if step == "vocab" else "symbol", edits.max_id)
+        else:
+            out = out.withColumn(tree, edits.step(F.col(tree), step))
+    return out.withColumn(tree, write(expand_leaves(F.col(tree)) if "lf" in edits.steps else F.col(tree)))
 
-def rule_lines(tree: Column, edits: Edits, right: bool = False, heads: bool = False) -> Column:
-    """The listing of the edited tree, as an array of lines."""
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: listing(edits.apply(t), right, heads) if x and (t := read(x)) is not None else [], na_action="ignore")
+# Lists and counts
 
-    return run(tree)
+LINES = "struct<id:int,head:string,symbol:string,full:string,first:string,leaf:boolean,kids:array<struct<symbol:string,full:string>>>"
+
+
+def rule_lines(tree: Column, edits: Edits, right: bool = False, heads: bool = False, width: int = 30) -> Column:
+    """A line for each inner node with a head: its symbol and its children's, padded, with head detail if asked."""
+    names = [f.split(":")[0] for f in LINES[7:].split(",")[:6]] + ["kids"]
+    none = F.array().cast("array<struct<symbol:string,full:string>>")
+    entry = lambda e: F.struct(e["id"].alias("id"), e["head"].alias("head"), e["symbol"].alias("symbol"), F.concat_ws("/", F.when(e["head"] != "", e["head"]).otherwise(e["label"]), e["symbol"]).alias("full"), F.lit(None).cast("string").alias("first"), (~e["inner"]).alias("leaf"), none.alias("kids")).cast(LINES)
+    merge = lambda up, done: put(up, names, first=F.coalesce(up["first"], done["full"]), kids=F.concat(up["kids"], F.array(F.struct(done["symbol"].alias("symbol"), done["full"].alias("full")))))
+    close = lambda x: put(x, names, full=F.when(x["head"] != "", x["full"]).otherwise(F.concat_ws("/", x["first"], x["symbol"])))
+
+    def side(kids: Column, own: Column) -> Column:
+        return F.concat(kids, F.lit(" => "), own) if right else F.concat(own, F.lit(" <= "), kids, F.lit(" "))
+
+    def line(x: Column) -> Column:
+        of = lambda f: F.array_join(F.transform(x["kids"], lambda c: c[f]), " ")
+        plain = side(of("symbol"), x["symbol"])
+        return F.concat(F.when(F.length(plain) < width, F.rpad(plain, width, " ")).otherwise(plain), side(of("full"), x["full"])) if heads else plain
+
+    def body(n: Column) -> Column:
+        entries = closed(n, LINES, entry, merge, close, lambda up, done: done)
+        return F.transform(F.filter(entries, lambda x: ~x["leaf"] & (x["head"] != "")), line)
+
+    return let(edits.apply(read(tree)), lambda n: F.when(n.isNotNull(), body(n)).otherwise(F.array().cast("array<string>")))
 
 
 def child_counts(tree: Column, edits: Edits) -> Column:
     """Children of each inner node of the edited tree, in preorder."""
+    merge = lambda up, done: put(up, _FIELDS, kids=up["kids"] + 1)
+
+    def body(n: Column) -> Column:
+        return F.transform(F.filter(closed(n, ENTRY, _entry, merge, lambda x: x, lambda up, done: done), lambda x: ~x["leaf"]), lambda x: x["kids"])
+
+    return let(edits.apply(read(tree)), lambda n: F.when(n.isNotNull(), body(n)).otherwise(F.array().cast("array<int>")))
+
+
+def max_children(tree: Column, edits: Edits) -> Column:
+    """Most children of a node of the edited tree; a lone leaf counts 0 here."""
+    return F.coalesce(F.array_max(child_counts(tree, edits)), F.lit(0))
+
+
+def pick(df: DataFrame, tree: str, edits: Edits, exactly: int | None = None, at_most: int | None = None) -> DataFrame:
+    """Rows whose edited tree has exactly, or at most, so many children at a node."""
+    most = max_children(F.col(tree), edits)
+    return df.filter(F.col(tree).isNotNull() & (most == exactly if exactly is not None else most <= at_most))
 
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: [len(t.children) for t in edits.apply(read(x)).walk() if t.children] if x else [], na_action="ignore")
 
-    return run(tree)
+def with_steps(edits: Edits, *steps: str) -> Edits:
+    return replace(edits, steps=(*edits.steps, *steps))

@@ -517,6 +517,110 @@ def tree_passive_aux(spark, sf):
     return words(spark, sf).select("pair_id", transforms.edit(tree, transforms.Edits(("pas", "aux"))).alias("tree"))
 
 
+# Parsed sentences: a subject, a verb, its phrase and a mark. The verb (in capitals, as no word is) is a form of be or an auxiliary.
+
+VERB, MARK = "CASE len(e_words) % 2 WHEN 1 THEN 'WAS' ELSE 'WILL' END", "['?', '!', '.'][1 + len(e_words[1]) % 3]"
+PARSED = f"""n1 AS (SELECT pair_id, e_words, len(e_words) AS n, e_words[1] AS w, e_words[-1] AS z, {VERB} AS v, {MARK} AS m,
+  array_to_string(list_concat(list_transform(e_words[2:len(e_words) - 1], lambda x: x || '/NN'), [e_words[-1] || '/VBN']), ' ') AS rest FROM wp)"""
+
+
+def _parsed(spark, sf) -> DataFrame:
+    """(TOP~V~1~1 (S~V~1~1 (NPB~w~1~1 w/NN) (VP~V~1~1 V/VBD (VP-A~z~1~1 ... z/VBN)) ?/PUNC.)), without VP-A for one word."""
+    w, n = F.col("e_words"), F.size("e_words")
+    verb = F.when(n % 2 == 1, "WAS").otherwise("WILL")
+    mark = F.get(F.array(F.lit("?"), F.lit("!"), F.lit(".")), F.length(F.get(w, F.lit(0))) % 3)
+    inner = lambda symbol, head: F.concat(F.lit(f"({symbol}~"), head, F.lit("~1~1 "))
+    rest = F.array_join(F.concat(F.transform(F.slice(w, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda x: F.concat(x, F.lit("/NN"))), F.array(F.concat(F.element_at(w, -1), F.lit("/VBN")))), " ")
+    phrase = F.when(n > 1, F.concat(F.lit(" "), inner("VP-A", F.element_at(w, -1)), rest, F.lit(")"))).otherwise("")
+    first = F.get(w, F.lit(0))
+    tree = F.concat(inner("TOP", verb), inner("S", verb), inner("NPB", first), first, F.lit("/NN) "), inner("VP", verb), verb, F.lit("/VBD"), phrase, F.lit(") "), mark, F.lit("/PUNC.))"))
+    return words(spark, sf).select("pair_id", tree.alias("tree"))
+
+
+def _edited(spark, sf, *steps: str, **options) -> DataFrame:
+    return _parsed(spark, sf).select("pair_id", transforms.edit(F.col("tree"), transforms.Edits(steps, PUNCT, **options)).alias("tree"))
+
+
+PHRASE = "CASE n WHEN 1 THEN '' {two}ELSE ' (' || z || '/{symbol} ' || rest || ')' END"
+FLAT = "SELECT pair_id, '(' || v || '/{top} ' || w || '/NN ' || v || '/VBD' || {phrase} || ' ' || m || '/PUNC)' AS tree FROM n1"
+TWO = "WHEN 2 THEN ' ' || z || '/VBN' "
+
+
+@query(f", {PARSED} " + FLAT.format(top="TOP", phrase=PHRASE.format(two=TWO, symbol="VP-A")))
+def tree_flatten_chains(spark, sf):
+    return _edited(spark, sf, "conv", "flat")
+
+
+@query(f", {PARSED} " + FLAT.format(top="VBD", phrase=PHRASE.format(two=TWO, symbol="VBN")))
+def tree_flatten_up(spark, sf):
+    return _edited(spark, sf, "conv", "flat", up=True)
+
+
+@query(f", {PARSED} SELECT pair_id, '(' || v || '/VBD (' || v || '/VBD (' || w || '/NN ' || w || '/NN) (' || v || '/VBD ' || v || '/VBD' || {PHRASE.format(two='', symbol='VBN')} || ') ' || m || '/PUNC))' AS tree FROM n1")
+def tree_propagate_up(spark, sf):
+    return _edited(spark, sf, "conv", "noflat", up=True)
+
+
+WHOLE = "SELECT pair_id, '(' || v || '/TOP (' || v || '/S (' || w || '/NPB ' || w || '/NN) ' || {vp} || {inside} || ')' || {outside} || ')' AS tree FROM n1"
+KEPT_VP = f"'(' || v || '/VP ' || v || '/VBD' || {PHRASE.format(two='', symbol='VP-A')} || ')'"
+MERGED_VP = "CASE WHEN n > 1 AND v = '{verb}' THEN '(' || z || '/VP-A ' || v || '/VBD ' || rest || ')' ELSE " + KEPT_VP + " END"
+MARK_INSIDE = "' ' || m || '/PUNC'"
+
+
+@query(f", {PARSED} " + WHOLE.format(vp=MERGED_VP.format(verb="WAS"), inside=MARK_INSIDE, outside="''"))
+def tree_passive(spark, sf):
+    return _edited(spark, sf, "conv", "pas")
+
+
+@query(f", {PARSED} " + WHOLE.format(vp=MERGED_VP.format(verb="WILL"), inside=MARK_INSIDE, outside="''"))
+def tree_auxiliary(spark, sf):
+    return _edited(spark, sf, "conv", "aux")
+
+
+@query(f", {PARSED} " + WHOLE.format(vp=KEPT_VP, inside="CASE m WHEN '.' THEN ' ./PUNC' ELSE '' END", outside="CASE m WHEN '.' THEN '' ELSE ' ' || m || '/PUNCX' END"))
+def tree_raise_marks(spark, sf):
+    return _edited(spark, sf, "conv", "upqpunc")
+
+
+@query(f", {PARSED} SELECT pair_id, '(TOP ' || w || '/NN ' || v || '/VBD' || CASE n WHEN 1 THEN '' {TWO}ELSE ' (VP-A ' || rest || ')' END || ')' AS tree FROM n1")
+def tree_preset(spark, sf):
+    return _edited(spark, sf, "conv", "all")
+
+
+@query(f""", {PARSED}, i AS (SELECT pair_id, j, CAST(CASE WHEN id > 500 THEN 1 ELSE id END AS VARCHAR) AS id, n FROM tok),
+r AS (SELECT pair_id, string_agg(id || CASE WHEN j + 1 = n THEN '/6' ELSE '/5' END, ' ' ORDER BY j) FILTER (j > 0) AS rest, max(id) FILTER (j = 0) AS w, max(id) FILTER (j + 1 = n) AS z FROM i GROUP BY pair_id)
+SELECT pair_id, '(1/2 (1/3 (' || r.w || '/1 ' || r.w || '/5) (1/4 1/1' || CASE n WHEN 1 THEN '' ELSE ' (' || r.z || '/1 ' || r.rest || ')' END || ') 1/1))' AS tree FROM n1 JOIN r USING (pair_id)""")
+def tree_ids(spark, sf):
+    """Heads as word ids up to 500 and symbols as ids, by joins with both tables."""
+    ids = vocab.vocabulary(words(spark, sf), "e_words").select("word", "id").unionByName(spark.createDataFrame([("UNK", vocab.UNK)], "word string, id int"))
+    symbols = spark.createDataFrame([("UNK", 1), ("TOP", 2), ("S", 3), ("VP", 4), ("NN", 5), ("VBN", 6)], "word string, id int")
+    return transforms.edited(_parsed(spark, sf), "pair_id", "tree", transforms.Edits(("conv", "vocab", "convsym"), PUNCT, max_id=500), ids, symbols)
+
+
+@query(f""", {PARSED}, o AS (SELECT pair_id, '(TOP~' || v || '~1~1 (S~' || v || '~1~1 (NPB~' || w || '~1~1 ' || w || '/NN) (VP~' || v || '~1~1 ' || v || '/VBD' || CASE n WHEN 1 THEN '' ELSE ' (VP-A~' || z || '~1~1 ' || rest || ')' END || ') ' || m || '/PUNC.))' AS line FROM n1)
+SELECT pair_id, 0 AS n, line FROM o UNION ALL SELECT pair_id, 1, tree FROM ({WHOLE.format(vp=KEPT_VP, inside="''", outside="''")})""")
+def tree_original_edited(spark, sf):
+    lines = transforms.both(F.col("tree"), transforms.Edits(("conv", "rmpunc"), PUNCT))
+    return _parsed(spark, sf).select("pair_id", F.posexplode(lines).alias("n", "line"))
+
+
+@query(f", {PARSED} " + WHOLE.format(vp=KEPT_VP, inside=MARK_INSIDE, outside="''") + " WHERE n <= 4")
+def tree_children_equal(spark, sf):
+    """Edited trees with three children at some node and never more."""
+    edits = transforms.Edits(("conv",), PUNCT)
+    return transforms.pick(_parsed(spark, sf), "tree", edits, exactly=3).select("pair_id", transforms.edit(F.col("tree"), edits).alias("tree"))
+
+
+@query(f""", {PARSED}, l AS (SELECT pair_id, unnest(list_concat(
+  [{{'k': 'S', 'own': 'TOP', 'kids': v || '/S', 'full': v || '/TOP'}}, {{'k': 'NPB VP PUNC', 'own': 'S', 'kids': w || '/NPB ' || v || '/VP ' || m || '/PUNC', 'full': v || '/S'}}, {{'k': 'NN', 'own': 'NPB', 'kids': w || '/NN', 'full': w || '/NPB'}}],
+  CASE n WHEN 1 THEN [{{'k': 'VBD', 'own': 'VP', 'kids': v || '/VBD', 'full': v || '/VP'}}]
+  ELSE [{{'k': 'VBD VP-A', 'own': 'VP', 'kids': v || '/VBD ' || z || '/VP-A', 'full': v || '/VP'}}, {{'k': repeat('NN ', n - 2) || 'VBN', 'own': 'VP-A', 'kids': rest, 'full': z || '/VP-A'}}] END)) AS x FROM n1)
+SELECT pair_id, (CASE WHEN length(s) < 30 THEN rpad(s, 30, ' ') ELSE s END) || x.kids || ' => ' || x.full AS line FROM (SELECT *, x.k || ' => ' || x.own AS s FROM l)""")
+def tree_rule_list_heads(spark, sf):
+    lines = transforms.rule_lines(F.col("tree"), transforms.Edits(("conv",), PUNCT), right=True, heads=True)
+    return _parsed(spark, sf).select("pair_id", F.explode(lines).alias("line"))
+
+
 # Training: iterative, so without SQL.
 
 _fits: dict[tuple[str, str], em.Fit] = {}

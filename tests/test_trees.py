@@ -1,5 +1,8 @@
 """Node rows and tree edits."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from parsewright.operators import trees
@@ -9,8 +12,17 @@ PUNCT = (("PUNC.", "PUNC"), ("PUNC,", "PUNC"), ("PUNC:", "PUNC"))
 PARSED = "(TOP~slept~1~1 (S~slept~2~2 (NPB~dog~2~2 the/DT dog/NN ) (VP~slept~2~1 slept/VBD (PP~on~2~1 on/IN (NPB~mat~2~2 a/DT mat/NN ./PUNC. ) ) ) ) ) "
 
 
-def edited(text, *steps, **options):
-    return X.write(X.Edits(steps, **options).apply(X.read(text)))
+@pytest.fixture
+def edited(spark):
+    def run(text, *steps, **options):
+        return spark.createDataFrame([(text,)], "t string").select(X.edit(F.col("t"), X.Edits(steps, **options))).first()[0]
+
+    return run
+
+
+@pytest.fixture
+def value(spark):
+    return lambda text, f: spark.createDataFrame([(text,)], "t string").select(f(F.col("t"))).first()[0]
 
 
 def test_nodes(spark):
@@ -27,13 +39,13 @@ def test_max_children_of_a_leaf(spark):
     assert (row["m0"], row["m1"]) == (0, 1)
 
 
-def test_sample_tree():
+def test_sample_tree(edited, value):
     want = "(slept/TOP (slept/S (dog/NPB the/DT dog/NN) (slept/VP slept/VBD (on/PP on/IN (mat/NPB a/DT mat/NN)))))"
     assert edited(PARSED, "conv", "upqpunc", "rmpunc", table=PUNCT) == want
-    assert X.max_children(X.Edits(("conv", "upqpunc", "rmpunc"), PUNCT).apply(X.read(PARSED))) == 2
+    assert value(PARSED, lambda t: X.max_children(t, X.Edits(("conv", "upqpunc", "rmpunc"), PUNCT))) == 2
 
 
-def test_flatten_and_up():
+def test_flatten_and_up(edited):
     t = "(S~a~1~1 (VP~a~1~1 a/VB b/NN) c/NN)"
     assert edited(t, "flat") == "(a/S a/VB b/NN c/NN)"
     assert edited(t, "flat", up=True) == "(a/VB a/VB b/NN c/NN)"
@@ -41,40 +53,113 @@ def test_flatten_and_up():
     assert edited("(S~a~1~1 (NPB~a~1~1 a/NN))", "flat") == "a/NN"
 
 
-def test_passive_and_auxiliary():
+def test_passive_and_auxiliary(edited):
     assert edited("(VP~was~1~1 was/VBD (VP-A~seen~1~1 seen/VBN x/NN))", "pas") == "(seen/VP-A was/VBD seen/VBN x/NN)"
     assert edited("(VP~will~1~1 will/MD (VP-A~go~1~1 go/VB))", "aux") == "(go/VP-A will/MD go/VB)"
     assert edited("(NP~was~1~1 was/VBD (VP-A~seen~1~1 seen/VBN))", "pas") == "(was/NP was/VBD (seen/VP-A seen/VBN))"
 
 
-def test_marks():
+def test_marks(edited):
     assert edited("(TOP~a~1~1 (S~a~1~1 a/VB ?/PUNC.))", "conv", "upqpunc", table=PUNCT) == "(a/TOP (a/S a/VB) ?/PUNCX)"
     assert edited("(TOP~a~1~1 (S~?~1~1 ?/PUNC.))", "conv", "upqpunc", table=PUNCT) == "(a/TOP ?/S ?/PUNCX)"
     assert edited("(TOP~a~1~1 a/VB ./PUNC. ./PUNC.)", "conv", "rmpunc", table=PUNCT) == "(a/TOP a/VB ./PUNC)"
 
 
-def test_ids_and_leaves():
+def test_ids_and_leaves(spark, edited):
     t = "(S~Ab~1~1 Ab/VB x/NN)"
-    assert edited(t, "lower", "vocab", "convsym", words=(("ab", 5), ("UNK", 1)), symbols=(("S", 2), ("VB", 3))) == "(5/2 5/3 1/0)"
+    df = spark.createDataFrame([(1, t), (2, None), (3, "x/NN")], "k int, t string")
+    ids = lambda rows: spark.createDataFrame(rows, "word string, id int")
+    run = lambda edits, words, symbols=None: {r.k: r.t for r in X.edited(df, "k", "t", edits, words, symbols).collect()}
+    assert run(X.Edits(("lower", "vocab", "convsym")), ids([("ab", 5), ("UNK", 1)]), ids([("S", 2), ("VB", 3)])) == {1: "(5/2 5/3 1/0)", 2: None, 3: "1/0"}
+    assert run(X.Edits(("vocab",), max_id=4), ids([("Ab", 5)]))[1] == "(0/S 0/VB 0/NN)"
     assert edited(t, "rmhead", "lf") == "(S (VB Ab) (NN x))"
-    assert edited(t, "vocab", words=(("Ab", 5),), max_id=4) == "(0/S 0/VB 0/NN)"
+    assert [r[0] for r in df.select(X.both(F.col("t"), X.Edits(("rmhead", "lf")))).collect()] == [["(S~Ab~1~1 (VB Ab) (NN x))", "(S (VB Ab) (NN x))"], None, ["(NN x)"] * 2]
 
 
-def test_conversion_runs_twice():
+def test_conversion_runs_twice(edited):
     assert edited("a/A", "conv", table=(("A", "B"), ("B", "C"))) == "a/C"
 
 
-def test_escapes_round_trip():
-    t = X.read(r"(S~a~1~1 \(/\( b\\/NN)")
-    assert [c.head for c in t.children] == ["(", "b\\"]
-    assert X.read(X.write(t)).children[0].label == "(/("
-
-
-def test_listing():
-    t = X.Edits(()).apply(X.read("(S~a~1~1 a/VB (NP~b~1~1 b/NN))"))
-    assert X.listing(t) == ["S <= VB NP ", "NP <= NN "]
-    assert X.listing(t, right=True) == ["VB NP => S", "NN => NP"]
-    assert X.listing(t, heads=True)[0] == "S <= VB NP ".ljust(30) + "a/S <= a/VB b/NP "
+def test_escapes_round_trip(value):
+    t = r"(S~a~1~1 \(/\( b\\/NN)"
+    assert [c.head for c in value(t, X.read)] == ["a", "(", "b\\"]
+    assert value(t, lambda c: X.write(X.read(c))) == t
+    assert value("[S~a~1~1 a/VB (/X ]", lambda c: X.write(X.read(c))) == r"(S~a~1~1 a/VB \(/X)"
+
+
+def test_listing(value):
+    t = "(S~a~1~1 a/VB (NP~b~1~1 b/NN))"
+    lines = lambda **o: value(t, lambda c: X.rule_lines(c, X.Edits(()), **o))
+    assert lines() == ["S <= VB NP ", "NP <= NN "]
+    assert lines(right=True) == ["VB NP => S", "NN => NP"]
+    assert lines(heads=True)[0] == "S <= VB NP ".ljust(30) + "a/S <= a/VB b/NP "
+
+
+def test_picks_by_children(spark):
+    df = spark.createDataFrame([(1, "(S~a~1~1 a/VB b/NN)"), (2, "a/VB"), (3, "(S~a~1~1 a/VB b/NN c/NN)"), (4, None)], "k int, t string")
+    picked = lambda **o: [r.k for r in X.pick(df, "t", X.Edits(()), **o).collect()]
+    assert picked(exactly=2) == [1] and picked(at_most=2) == [1, 2] and picked(exactly=0) == [2]
+
+
+class Plain:
+    """Trees as nested lists [head, symbol, children], for a plain version of the splices by their definitions."""
+
+    @staticmethod
+    def show(t):
+        h, s, c = t
+        return f"{h}/{s}" if not c else f"({h}/{s} {' '.join(map(Plain.show, c))})"
+
+    @staticmethod
+    def source(t):
+        h, s, c = t
+        return f"{h}/{s}" if not c else f"({s}~{h}~1~1 {' '.join(map(Plain.source, c))})"
+
+    @staticmethod
+    def flat(t, up, splice):
+        h, s, c = t
+        new = [Plain.flat(x, up, splice) for x in c]
+        same = [x for x in new if x[0] == h]
+        if splice and len(new) == 1 and same and not same[0][2]:
+            return [h, same[0][1], []]
+        out = [y for x in new for y in (x[2] if splice and x[0] == h and x[2] else [x])]
+        return [h, same[-1][1] if up and same else s, out]
+
+    @staticmethod
+    def verbs(t, words, symbols):
+        h, s, c = t
+        new = [Plain.verbs(x, words, symbols) for x in c]
+        if not c or h not in words or s not in symbols:
+            return [h, s, new]
+        took = [x for x in new if x[1] in X.VERB_PHRASES]
+        head, symbol = took[-1][:2] if took else (h, s)
+        return [head, symbol, [y for x in new for y in (x[2] if x in took and x[2] else [x])]]
+
+    @staticmethod
+    def strip(t):
+        h, s, c = t
+        c = c[:-1] if len(c) > 1 and c[-1][1] == "PUNC" else c
+        return [h, s, [Plain.strip(x) for x in c]]
+
+
+def test_edits_of_random_trees(spark):
+    rnd = random.Random(2)
+
+    def tree(depth):
+        head, symbol = rnd.choice(["was", "is", "will", "have", "go", "x"]), rnd.choice(["VP", "VP-A", "VB", "MD", "NP", "PUNC"])
+        return [head, symbol, [tree(depth - 1) for _ in range(rnd.choice([1, 1, 2, 3]))] if depth and rnd.random() < 0.8 else []]
+
+    made = [tree(rnd.randint(0, 7)) for _ in range(150)]
+    df = spark.createDataFrame([(k, Plain.source(t)) for k, t in enumerate(made)], "k int, t string")
+    plain = {
+        "flat": (X.Edits(("flat",)), lambda t: Plain.flat(t, False, True)), "flat up": (X.Edits(("flat",), up=True), lambda t: Plain.flat(t, True, True)),
+        "noflat": (X.Edits(("noflat",), up=True), lambda t: Plain.flat(t, True, False)), "pas": (X.Edits(("pas",)), lambda t: Plain.verbs(t, X.BE, X.BE_SYMBOLS)),
+        "aux": (X.Edits(("aux",)), lambda t: Plain.verbs(t, X.AUXILIARIES, X.AUX_SYMBOLS)), "rmpunc": (X.Edits(("rmpunc",)), Plain.strip),
+        "flat pas aux": (X.Edits(("flat", "pas", "aux")), lambda t: Plain.verbs(Plain.verbs(Plain.flat(t, False, True), X.BE, X.BE_SYMBOLS), X.AUXILIARIES, X.AUX_SYMBOLS)),
+    }
+    got = df.select("k", *[X.edit(F.col("t"), e).alias(n) for n, (e, _) in plain.items()]).collect()
+    for r in got:
+        for name, (_, f) in plain.items():
+            assert r[name] == Plain.show(f(made[r.k])), (name, Plain.source(made[r.k]))
 
 
 def test_bad_trees_are_null(spark):
