@@ -7,9 +7,12 @@ language does. A document is rejected if the whole lies outside, or if the chunk
 
 The limits are the corpus' own. Lengths fall into ``CLASSES`` classes an octave; of each class the median and the median
 deviation of the log ratio are taken over all documents that pass the base rule (equal pairs of length and ratio, as
-copies have, count once), for whole documents and for chunks apart, and the limits lie ``z`` such deviations off. A class
-with fewer than ``LEAST`` texts is widened to its neighbours; a corpus with fewer in all gives no limits, and the fixed
-ones of ``Bands`` hold. Every document is measured once; the statistics are counts by class and bin, a bounded table.
+copies have, count once), for whole documents and for chunks apart (of each document the middle full chunk and the rest,
+so that a long text counts no more than others), and the limits lie ``z`` such deviations off. A class
+with fewer than ``LEAST`` texts takes in its neighbours, as far as there are any, with their ratios moved by what the
+difference in length explains (``expected``); and median and deviation are drawn towards that curve and ``SPREAD`` by the
+weight of a few texts, so small corpora are judged like large ones. Every document is measured once; the statistics are
+counts by class and bin, a bounded table.
 
 Defined results: a null text counts as empty: no words, so the base rule fails; a very long text is compressed whole and
 chunk by chunk; a ratio that equals a limit is inside; repeated rows each give a row; extra columns are ignored, whatever
@@ -37,27 +40,16 @@ SPACES = b" \t\n\r\x0b\x0c"
 
 
 CLASSES = 4  # of lengths, an octave
-LEAST = 50  # texts that a class's limits rest on
+LEAST = 50  # texts that a class's limits rest on, where there are so many
 BINS = 200  # of the log ratio, for each factor of e
 FLOOR = 0.015  # of the deviation, in log ratio
+SPREAD, OF_MEDIAN, OF_SPREAD = 0.08, 10, 10  # a usual deviation, and by how many texts the prior counts for each
 
 
 @dataclass(frozen=True)
 class Bands:
-    """How texts are judged. ``limits``, (least bytes, lower, upper) in ascending order, hold where ``fitted`` has no class.
-
-    ``fitted``: for whole documents and for chunks, the limits by class of length.
-    """
-
-    limits: tuple[tuple[int, float, float], ...] = (
-        (0, 0.0, 99.0),
-        (100, 0.33, 1.12),
-        (300, 0.27, 0.90),
-        (1000, 0.24, 0.80),
-        (3000, 0.22, 0.75),
-        (10000, 0.20, 0.70),
-        (100000, 0.15, 0.70),
-    )
+    """How texts are judged. ``fitted``: for whole documents and for chunks, the limits by class of length; without, none."""
+
     chunk: int = 2048
     chunk_share: float = 0.5
     level: int = 3
@@ -66,8 +58,7 @@ class Bands:
 
     def outside(self, ratio: float, n: int, of_chunk: bool = False) -> bool:
         """Whether a text of n bytes with that ratio lies outside its limits."""
-        known = self.fitted[of_chunk].get(class_of(n)) if n else None
-        low, high = known or [(a, b) for least, a, b in self.limits if n >= least][-1]
+        low, high = (self.fitted[of_chunk].get(class_of(n)) if n else None) or (0.0, math.inf)
         return not low <= ratio <= high
 
 
@@ -75,22 +66,29 @@ def class_of(n: int) -> int:
     return int(CLASSES * math.log2(n))
 
 
+def expected(k: int) -> int:
+    """The bin of the log ratio that texts of a class's length usually have: short ones compress less."""
+    n = 2 ** ((k + 0.5) / CLASSES)
+    return round(BINS * math.log(0.40 + 5.5 * n**-0.53))
+
+
 def limits_of(counts: dict[int, dict[int, int]], z: float) -> dict[int, tuple[float, float]]:
-    """By class the limits of the ratio, from {class: {bin: texts}}; none if all classes together hold too few."""
-    if sum(sum(c.values()) for c in counts.values()) < LEAST:
-        return {}
+    """By class the limits of the ratio, from {class: {bin: texts}}."""
     out = {}
-    for k in range(min(counts), max(counts) + 1):
-        wide, bins = 0, Counter(counts.get(k, {}))
-        while sum(bins.values()) < LEAST:
+    for k in counts:
+        wide, bins = 0, Counter(counts[k])
+        while sum(bins.values()) < LEAST and wide < max(counts) - min(counts):
             wide += 1
-            bins.update(counts.get(k - wide, {}))
-            bins.update(counts.get(k + wide, {}))
-        middle = median(bins)
+            for near in (k - wide, k + wide):
+                for b, n in counts.get(near, {}).items():
+                    bins[b - expected(near) + expected(k)] += n
+        texts, middle = sum(bins.values()), median(bins)
         spread = Counter()
         for b, n in bins.items():
             spread[abs(b - middle)] += n
         deviation = max(1.4826 * median(spread) / BINS, FLOOR)
+        deviation = math.exp((texts * math.log(deviation) + OF_SPREAD * math.log(SPREAD)) / (texts + OF_SPREAD))
+        middle = (texts * middle + OF_MEDIAN * expected(k)) / (texts + OF_MEDIAN)
         out[k] = (math.exp(middle / BINS - z * deviation), math.exp(middle / BINS + z * deviation))
     return out
 
@@ -177,10 +175,12 @@ def measured(docs: DataFrame, bands: Bands) -> DataFrame:
 def fit(table: DataFrame, bands: Bands) -> Bands:
     """The bands with the limits of a written table of measures; the driver sees counts by class and bin alone."""
     clean = table.filter("not base_failed")
-    whole = clean.select(F.lit(0).alias("kind"), F.col("n_bytes").alias("n"), F.col("zstd_ratio").alias("r"))
-    parts = clean.select("n_bytes", F.posexplode("chunk_ratios").alias("at", "r"))
-    parts = parts.select(F.lit(1).alias("kind"), F.least(F.lit(bands.chunk), F.col("n_bytes") - F.col("at") * bands.chunk).cast("long").alias("n"), "r")
-    texts = whole.unionByName(parts).filter("n > 0").distinct()
+    rows = clean.select("n_bytes", "zstd_ratio", "chunk_ratios").dropDuplicates(["n_bytes", "zstd_ratio"])
+    full = F.floor(F.col("n_bytes") / bands.chunk).cast("int")
+    part = lambda kind, n, r: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"), r.alias("r"))
+    chunk = part(1, F.lit(bands.chunk), F.get("chunk_ratios", F.floor(full / 2).cast("int")))
+    rest = part(1, F.col("n_bytes") - full * bands.chunk, F.get("chunk_ratios", full))
+    texts = rows.select(F.inline(F.array(part(0, F.col("n_bytes"), F.col("zstd_ratio")), chunk, rest))).filter("n > 0 AND r IS NOT NULL")
     cls, b = F.floor(CLASSES * F.log2("n")).cast("int"), F.round(F.log("r") * BINS).cast("int")
     counts: tuple[dict, dict] = ({}, {})
     for r in texts.groupBy("kind", cls.alias("cls"), b.alias("bin")).agg(F.count(F.lit(1)).alias("texts")).collect():

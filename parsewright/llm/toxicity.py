@@ -45,7 +45,6 @@ from . import common
 
 WORDS = re.compile(r"[^\W_]+")
 PREFIXES = (5, 6, 7)
-BEST = 50  # segments that the sum statistic looks at; beyond, the evidence of a text is far above any doubt
 
 
 def word_tokens(word: str) -> list[str]:
@@ -94,11 +93,11 @@ class ToxicModel:
         return math.log(max(self.k * n, 1e-9) / self.e_most) / self.lam
 
     def evidence(self, scores: list[float], n: int) -> float:
-        """Log of one plus -log P of the best segments (scores in descending order) of n words, at the number that says most."""
+        """Log of one plus -log P of the best segments (all scores, in descending order) of n words, at the number that says most."""
         if not scores or not n:
             return 0.0
         level, total, best = math.log(max(self.k * n, 1e-9)), 0.0, 0.0
-        for r, s in enumerate(scores[:BEST], 1):
+        for r, s in enumerate(scores, 1):
             total += self.lam * s - level
             if r == 1:
                 p = -math.expm1(-math.exp(-total)) if total < 30 else math.exp(-min(total, 600.0))
@@ -244,8 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, ma
     model.scores = {t: log_odds(a, b, n_a, n_b, prior, shrink) for t, (a, b) in counts.items()}
     table = spark.sparkContext.broadcast(counts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per document its best segments; and how often each score occurs in other documents (y = -1), for lambda."""
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple[int, float]]]]:
+        """(y, words, the words that differ from the drift) of each document, its own share of the counts left out."""
         label, counts = sent.value, table.value
         caches: tuple[dict[str, float], dict[str, float]] = ({}, {})
 
@@ -256,46 +255,51 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, ma
                 s = caches[y][word] = max(map(own, word_tokens(word)), key=abs) - drift
             return s
 
-        values: Counter = Counter()
         for batch in batches:
             for part in common.slices(batch):
-                ys, ns, best = [], [], []
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), common.texts_of(part), strict=True):
-                    if doc_id not in label:
-                        continue
-                    y, words = label[doc_id], WORDS.findall(text.lower())
-                    found = [(k, s) for k, w in enumerate(words) if (s := word_score(w, y)) != -drift]
-                    ys.append(y)
-                    ns.append(len(words))
-                    best.append(sorted((s for _, _, s in maximal_segments(found, drift)), reverse=True)[:BEST])
-                    if not y:
-                        values.update(round(s, 3) for _, s in found)
-                yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(ns, pa.int64()), pa.array(best, pa.list_(pa.float64()))], names=["y", "n", "best"])
+                    if doc_id in label:
+                        y, words = label[doc_id], WORDS.findall(text.lower())
+                        yield y, len(words), [(k, s) for k, w in enumerate(words) if (s := word_score(w, y)) != -drift]
                 for c in caches:
                     if len(c) > 150_000:
                         c.clear()
-        if values:
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(values), pa.int32()), pa.array(values.values(), pa.int64()), pa.array([[s] for s in values], pa.list_(pa.float64()))], names=["y", "n", "best"])
-
-    seen = common.map_arrow(sample, run, "y int, n long, best array<double>").collect()
-    values = Counter()
-    for r in seen:
-        if r["y"] < 0:
-            values[r["best"][0]] += r["n"]
-    calibrate(model, sorted((r["y"], r["n"], list(r["best"])) for r in seen if r["y"] >= 0), values)
+
+    def law(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of other documents words and best segment; and how often each score occurs in them (n = -1), for lambda."""
+        values: Counter = Counter()
+        rows: list[tuple[int, float, int]] = []
+        for y, n, found in scored(batches):
+            if not y:
+                values.update(round(s, 3) for _, s in found)
+                rows.append((n, max((s for _, _, s in maximal_segments(found, drift)), default=0.0), 1))
+        rows += [(-1, s, c) for s, c in values.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["n", "s", "c"])
+
+    seen = common.map_arrow(sample, law, "n long, s double, c long").groupBy("n", "s").agg(F.sum("c").alias("c")).collect()
+    fit_law(model, sorted((r["n"], r["s"], r["c"]) for r in seen if r["n"] >= 0), {r["s"]: r["c"] for r in seen if r["n"] < 0})
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per document what all its segments say."""
+        rows = [(y, model.evidence(sorted((s for _, _, s in maximal_segments(found, drift)), reverse=True), n)) for y, n, found in scored(batches)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int32(), pa.float64()), strict=True)], names=["y", "x"])
+
+    model.weights = logistic(sorted((r["y"], r["x"]) for r in common.map_arrow(sample, evidence, "y int, x double").collect()))  # a row for each labelled one
     sent.unpersist()
     table.unpersist()
     shared.drop("sample")
     return model
 
 
-def calibrate(model: ToxicModel, rows: list[tuple[int, int, list[float]]], values: Counter) -> None:
-    """Set lambda and K on the other documents, then the logistic curve on all rows (y, words, scores of the best segments)."""
-    words = max(1, sum(n for y, n, _ in rows if not y))
+def fit_law(model: ToxicModel, clean: list[tuple[int, float, int]], values: dict[float, int]) -> None:
+    """Set lambda and K of the extreme-value law from other documents: (words, best segment, how many), and {score: words}."""
+    words = max(1, sum(n * c for n, _, c in clean))
     plain = words - sum(values.values())
 
     def excess(lam: float) -> float:
-        return (plain * math.exp(-lam * model.drift) + sum(c * math.exp(lam * s) for s, c in values.items())) / words - 1
+        return (plain * math.exp(-lam * model.drift) + sum(values[s] * math.exp(lam * s) for s in sorted(values))) / words - 1
 
     low, high = 1e-6, 1.0
     while excess(high) < 0 and high < 50:
@@ -305,15 +309,18 @@ def calibrate(model: ToxicModel, rows: list[tuple[int, int, list[float]]], value
             mid = (low + high) / 2
             low, high = (mid, high) if excess(mid) < 0 else (low, mid)
         model.lam = low
-    # the likeliest K, given the best segments of the other documents
-    clean = [(n, best[0] if best else 0.0) for y, n, best in rows if not y and n]
-    if clean:
-        model.k = len(clean) / max(1e-9, sum(n * math.exp(-model.lam * s) for n, s in clean))
+    # the likeliest K, given the best segments
+    counted = sum(c for n, _, c in clean if n)
+    if counted:
+        model.k = counted / max(1e-9, sum(n * c * math.exp(-model.lam * s) for n, s, c in clean))
+
+
+def logistic(rows: list[tuple[int, float]]) -> tuple[float, ...]:
+    """Weights of 1 and x by which y is likeliest; none if all y are the same."""
     y = np.array([r[0] for r in rows], float)
-    x = np.array([(1.0, model.evidence(best, n)) for _, n, best in rows], float).reshape(len(rows), 2)
+    x = np.array([(1.0, r[1]) for r in rows], float).reshape(len(rows), 2)
     if not 0 < y.sum() < len(y):
-        model.weights = ()
-        return
+        return ()
     w = np.zeros(2)
     ridge = np.diag([1e-3, 1e-3])
     for _ in range(50):  # Newton steps
@@ -324,11 +331,14 @@ def calibrate(model: ToxicModel, rows: list[tuple[int, int, list[float]]], value
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    model.weights = tuple(float(v) for v in w)
+    return tuple(float(v) for v in w)
 
 
 def score(docs: DataFrame, model: ToxicModel, passages: bool = False) -> DataFrame:
-    """Adds score (0 to 1), n_segments, and with ``passages`` the significant segments' texts, to all columns of docs."""
+    """Adds score (0 to 1), n_segments, and with ``passages`` the significant segments' texts, to all columns of docs.
+
+    Columns of docs that have one of these three names are replaced.
+    """
     table = docs.sparkSession.sparkContext.broadcast(model)
     fields = "score double, n_segments int" + ", passages array<string>" * passages
     names = [c for c in docs.columns if c not in ("score", "n_segments", "passages")]

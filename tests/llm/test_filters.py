@@ -344,3 +344,29 @@ def test_reputation_shrinks(spark):
     assert [rows[k]["verdict"] for k in (1, 2, 4, 5)] == ["allow", "block", "allow", "allow"]
     assert rows[1]["bound"] > rows[3]["bound"] > rows[2]["bound"]
     assert rows[4]["bound"] < 1  # one half and fewer outcomes pull harder
+
+
+def test_verdict_does_not_depend_on_the_number_of_others(spark):
+    """The same loop and the same prose among 10, 100 and 1,000 other texts."""
+    rng = random.Random(12)
+    vocabulary = words(rng, 300)
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n)) + "."
+    loop = " ".join(f"{rng.randint(0, 999)} of one and the same" for _ in range(160))
+    plain = prose(300)
+    for others in (10, 100, 1000):
+        rows = [(-1, loop), (-2, plain), *((k, prose(rng.randint(60, 900))) for k in range(others))]
+        kept = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert not kept[-1] and kept[-2], others
+
+
+def test_every_segment_of_a_text_counts():
+    """Two hundred telling passages say more than fifty; none is left out."""
+    model = toxicity.ToxicModel(scores={"vile": 9.0}, drift=1.0, lam=1.0, k=0.1)
+    text = lambda n: ["vile", *["calm"] * 9] * n
+    counts = [50, 100, 200]
+    evidence = []
+    for n in counts:
+        segments = model.segments(text(n))
+        assert len(segments) == n
+        evidence.append(model.evidence([s for _, _, s in segments], 2000))
+    assert evidence[0] < evidence[1] < evidence[2]
