@@ -10,9 +10,10 @@ Counts are pre-aggregated before the shuffle, and every host's verdict is one ro
 only meets in counts; hosts with more than a thousandth of the pages are joined by a broadcast of a thousand rows at most.
 
 Outcomes. Rules say what to do with a path, not what a host is worth, and no table labels pages. So a page's outcome is
-read from the page, unless ``outcomes`` are given: bad if its host or path has one of ``BAD_WORDS`` as a word of its own,
-or if its visible text outside links ends fewer than ``SENTENCES`` sentences; else good. A page without
-html has none.
+learned from labelled documents, unless ``outcomes`` are given: each word or mark has log-odds of good against bad documents
+(good: of quality and not toxic), drawn towards zero by ``shrink`` standard deviations, and a page is good if those of the
+distinct words and marks of its visible text outside links don't sum up below zero. At most about ``max_labelled`` documents
+are learned from, and a word counts if a thousandth of them has it, three at least. A page without html has no outcome.
 
 A host's name is what follows a user's name and precedes a port. Its suffix is one of ``SUFFIXES`` or its last label; its
 registered domain has one label more.
@@ -22,7 +23,7 @@ longest fitting rule wins.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no rule, and the empty host is judged
 like any other; a host without outcomes is judged by the prior that its domain, suffix or the corpus gives it; without
-any outcome the prior share is one half; a posterior that reaches the confidence exactly allows, and of rules of equal
+any outcome the prior share is one half; a page without telling words is good, as is any if nothing was learned; a posterior that reaches the confidence exactly allows, and of rules of equal
 length the greater in text order wins; very long urls and pages are read whole; repeated rows each give a row; extra
 columns are ignored, whatever their names; an empty table gives an empty result.
 """
@@ -73,14 +74,9 @@ SUFFIXES = (
     "org.nz", "org.uk", "org.za",
 )
 
-#: Words of an address by which its pages count as bad.
-BAD_WORDS = ("ads", "adult", "bets", "betting", "casino", "escort", "malware", "payday", "phishing", "pills", "poker", "porn", "spam", "tracker", "viagra", "warez", "xxx")
-
-SENTENCES = 5  # that a good page's text outside links ends at least
-
 #: What is no visible text outside links; then what is markup. The same in Java's and DuckDB's expressions.
 UNSEEN = r"(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>|<head.*?</head>|<a[ >].*?</a>"
-MARKUP, END_OF_SENTENCE = r"<[^>]*>", r"[.!?]([ \t\n\r]|\z)"
+MARKUP, TOKEN = r"<[^>]*>", r"\p{L}+|[^\p{L}\p{N}\x00-\x20]"
 
 
 def name_of(host: Column) -> Column:
@@ -98,11 +94,48 @@ def domain_of(name: Column) -> Column:
     return F.when(two.isin(*SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
 
 
-def outcome(host: Column, path: Column, html: Column) -> Column:
-    """1 for a good page, 0 for a bad one, null without html."""
-    text = F.regexp_replace(F.regexp_replace(html, UNSEEN, " "), MARKUP, " ")
-    bad = F.lower(F.concat(host, path)).rlike(rf"(^|[^a-z])({'|'.join(BAD_WORDS)})([^a-z]|\z)")
-    return F.when(html.isNotNull(), (~bad & (F.regexp_count(text, F.lit(END_OF_SENTENCE)) >= SENTENCES)).cast("int"))
+def tokens(text: Column) -> Column:
+    """The distinct words, A-Z lower-cased, and marks of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TOKEN), F.lit(0)))
+
+
+def visible(html: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(html, UNSEEN, " "), MARKUP, " ")
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, shrink: float = 1.5) -> DataFrame:
+    """(token, weight): log-odds of the tokens that tell good documents from bad ones."""
+    of = lambda c, missing: F.coalesce(F.col(c).cast("int"), F.lit(missing))
+    known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min(of("quality", 1)) * (1 - F.max(of("toxic", 0)))).alias("good"))
+    n = known.count()
+    if n > max_labelled:
+        known = known.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(10)), F.lit(1 << 20)) < int(max_labelled / n * (1 << 20)))
+    shared = common.Shared(docs.sparkSession)
+    seen = common.columns(docs, "doc_id", "text").join(F.broadcast(known), "doc_id")  # about max_labelled rows
+    seen = shared.keep(seen.filter("text IS NOT NULL").select("good", tokens(F.col("text")).alias("t")), "labelled")
+    good, bad = seen.agg(F.coalesce(F.sum("good"), F.lit(0)), F.count(F.lit(1)) - F.coalesce(F.sum("good"), F.lit(0))).first()
+    g, b = F.col("g") + 0.5, F.col("b") + 0.5
+    delta = F.log(g / F.lit(good + 1.0)) - F.log(b / F.lit(bad + 1.0))
+    sure = F.abs(delta) - F.lit(shrink) * F.sqrt(1 / g + 1 / b)
+    counts = seen.select("good", F.explode("t").alias("token")).groupBy("token").agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b"))
+    telling = counts.filter((F.col("g") + F.col("b") >= max(3.0, (good + bad) / 1000)) & (sure > 0))
+    return shared.keep(telling.select("token", F.when(delta > 0, sure).otherwise(-sure).alias("weight")), "telling")
+
+
+def outcomes_of(pages: DataFrame, telling: DataFrame) -> DataFrame:
+    """(name, good) of every page (name, html) with html; the weights of a page are summed where its tokens are."""
+    rows = pages.filter("html IS NOT NULL").select("name", F.monotonically_increasing_id().alias("row"), tokens(visible(F.col("html"))).alias("t"))
+    rows = rows.select("name", "row", F.explode_outer("t").alias("token"))  # numbered before, as a number belongs to a page
+    return rows.join(telling, "token", "left").groupBy("row", "name").agg((F.coalesce(F.sum("weight"), F.lit(0.0)) >= 0).cast("int").alias("good")).select("name", "good")
+
+
+def agreement(docs: DataFrame, labels: DataFrame, held: Column) -> DataFrame:
+    """(good, called_good, n) of the documents under the condition ``held`` on doc_id, of which nothing was learned."""
+    telling = learn(docs, labels.filter(~held))
+    true = labels.filter(held).select("doc_id", (F.col("quality") * (1 - F.col("toxic"))).alias("true"))
+    rows = common.columns(docs, "doc_id", "text").join(F.broadcast(true), "doc_id")  # held-out labels; for reports
+    called = outcomes_of(rows.select(F.struct("doc_id", "true").alias("name"), F.col("text").alias("html")), telling)
+    return called.groupBy(F.col("name.true").alias("good"), F.col("good").alias("called_good")).count()
 
 
 def strength(units: DataFrame, weakest: float, strongest: float) -> float:
@@ -162,18 +195,20 @@ def reputation(outcomes: DataFrame, names: DataFrame, weakest: float = 2.0, stro
     return every.select(*names.columns, (good + F.lit(s) * m).alias("a"), (n - good + F.lit(s) * (1 - m)).alias("b"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame | None = None, rules=RULES, least: float = 0.5, confidence: float = 0.9) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame | None = None, rules=RULES, least: float = 0.5, confidence: float = 0.9, telling: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, and bound (how sure the host's posterior is of ``least``; null under a rule).
 
-    ``outcomes`` (host, good): without it they are read from the pages' ``html``.
+    ``outcomes`` (host, good) are given, or read from the pages' ``html`` by ``telling`` (as ``learn`` makes it), or there are none.
     """
     host, path = host_and_path(F.col("url"))
-    html = F.col("html") if outcomes is None and "html" in pages.columns else F.lit(None)
+    html = F.col("html") if telling is not None and "html" in pages.columns else F.lit(None)
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), html.cast("string").alias("html")).select("page_id", host.alias("host"), path.alias("path"), "html").withColumn("name", name_of(F.col("host")))
-    if outcomes is None:
-        outcomes = pages.select("name", outcome(F.col("host"), F.col("path"), F.col("html")).alias("good"))
-    else:
+    if outcomes is not None:
         outcomes = outcomes.select(name_of(F.translate(F.col("host"), UPPER, LOWER)).alias("name"), "good")
+    elif telling is not None:
+        outcomes = outcomes_of(pages, telling)
+    else:
+        outcomes = pages.select("name", F.lit(None).cast("int").alias("good"))
     pages = pages.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "name", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"))
     seen = pages.groupBy("name").agg(F.count(F.lit(1)).alias("pages"))  # a row for each host
     judged = reputation(outcomes, seen).select("name", "pages", probability_above(F.col("a"), F.col("b"), least).alias("bound"))
@@ -186,13 +221,18 @@ def judge(pages: DataFrame, outcomes: DataFrame | None = None, rules=RULES, leas
 
 def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for every page's url: the rules', else that of its host's reputation over all pages."""
-    return judge(common.load(spark, sf_dir, "pages")).drop("bound")
+    telling = learn(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "labels"))
+    return judge(common.load(spark, sf_dir, "pages"), telling=telling).drop("bound")
 
 
 def _list(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
+def _tokens(text: str) -> str:
+    return f"list_distinct(regexp_extract_all(translate({text}, '{UPPER}', '{LOWER}'), '{TOKEN}'))"
+
+
 #: Method of moments, as ``strength`` has it.
 _STRENGTH = """SELECT CASE WHEN coalesce(w, 0) <= 0 THEN 2.0 WHEN (s - b) / w <= 1 / 1001.0 THEN 1000.0 ELSE greatest(2.0, w / (s - b) - 1) END AS k
        FROM (SELECT sum(n * power(good / n - m, 2)) AS s, sum(m * (1 - m)) AS b, sum((n - 1) * m * (1 - m)) AS w FROM {units} WHERE n > 1)"""
@@ -213,15 +253,22 @@ fit AS (
   FROM s, LATERAL (SELECT rule, verdict FROM rules
     WHERE (s.host = rhost OR ends_with(s.host, '.' || rhost)) AND starts_with(s.path, rpath)
     UNION ALL SELECT NULL, NULL ORDER BY length(rule) DESC NULLS LAST LIMIT 1) r),
-o AS (
-  SELECT name, CASE WHEN regexp_matches(lower(host || path), '(^|[^a-z])({"|".join(BAD_WORDS)})([^a-z]|\z)') THEN 0
-         WHEN len(regexp_extract_all(regexp_replace(regexp_replace(html, '{UNSEEN}', ' ', 'g'), '{MARKUP}', ' ', 'g'), '{END_OF_SENTENCE}')) >= {SENTENCES} THEN 1 ELSE 0 END AS good
-  FROM fit WHERE html IS NOT NULL),
+known AS (SELECT doc_id, min(coalesce(quality, 1)) * (1 - max(coalesce(toxic, 0))) AS good FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+seen AS (SELECT good, {_tokens("text")} AS t FROM documents JOIN known USING (doc_id) WHERE text IS NOT NULL),
+sizes AS (SELECT coalesce(sum(good), 0)::DOUBLE AS good, count(*) - coalesce(sum(good), 0)::DOUBLE AS bad FROM seen),
+counts AS (SELECT token, sum(good) + 0.5::DOUBLE AS g, sum(1 - good) + 0.5::DOUBLE AS b FROM (SELECT good, unnest(t) AS token FROM seen) GROUP BY token),
+odds AS (SELECT token, g, b, good, bad, ln(g / (good + 1)) - ln(b / (bad + 1)) AS delta FROM counts, sizes),
+telling AS (SELECT token, sign(delta) * (abs(delta) - 1.5::DOUBLE * sqrt(1 / g + 1 / b)) AS weight FROM odds
+            WHERE g + b - 1 >= greatest(3, (good + bad) / 1000) AND abs(delta) > 1.5::DOUBLE * sqrt(1 / g + 1 / b)),
+words AS (SELECT row, name, unnest({_tokens(f"regexp_replace(regexp_replace(html, '{UNSEEN}', ' ', 'g'), '{MARKUP}', ' ', 'g')")}) AS token
+          FROM (SELECT *, row_number() OVER () AS row FROM fit WHERE html IS NOT NULL)),
+bad AS (SELECT row, name FROM words JOIN telling USING (token) GROUP BY row, name HAVING sum(weight) < 0),
+o AS (SELECT name, 1 AS good FROM fit WHERE html IS NOT NULL UNION ALL SELECT name, -1 FROM bad),
 parts AS (SELECT DISTINCT name, string_split(name, '.') AS l FROM fit),
 units AS (
   SELECT name, CASE WHEN two IN ({_list(SUFFIXES)}) THEN array_to_string(l[-3:], '.') ELSE two END AS domain, CASE WHEN two IN ({_list(SUFFIXES)}) THEN two ELSE l[-1] END AS suffix
   FROM (SELECT name, l, array_to_string(l[-2:], '.') AS two FROM parts)),
-h AS (SELECT name, domain, suffix, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS good FROM o JOIN units USING (name) GROUP BY ALL),
+h AS (SELECT name, domain, suffix, (count(*) FILTER (good = 1))::DOUBLE AS n, sum(good)::DOUBLE AS good FROM o JOIN units USING (name) GROUP BY ALL),
 share AS (SELECT CASE WHEN count(*) = 0 THEN 0.5 ELSE (sum(good) + 1) / (sum(n) + 2) END AS m FROM h),
 xm AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(m) AS m FROM h, share GROUP BY suffix),
 xk AS ({_STRENGTH.format(units="xm")}),

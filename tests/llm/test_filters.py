@@ -324,17 +324,28 @@ def test_posterior_against_binomial_sums(spark):
 
 
 def test_hosts_differ_by_their_pages(spark):
-    """Outcomes come from the pages: hosts of one suffix part by them, and a clean page of a bad host goes with it."""
-    full = "<p>" + "Words that end. " * 8 + "</p>"
-    rows = [(f"http://good{h}.org/{k}", full) for h in range(3) for k in range(20)]
-    rows += [(f"http://thin.org/{k}", "<p>Too short.</p>" + "<a href='x'>One. Two. Three. Four. Five. Six.</a>" * 3) for k in range(20)]
-    rows += [(f"http://www.cheap-pills.org/{k}", full) for k in range(3)] + [("http://good0.org/casino/1", full), ("http://new.org/", None)]
+    """What tells good documents from bad ones is learned: hosts of one suffix part by their pages' text, not by their names."""
+    rng = random.Random(5)
+    vocabulary = words(rng, 60)
+    prose = lambda: " ".join(rng.choice(vocabulary) for _ in range(40)) + "."
+    vile = lambda: prose() + " Filth, rubbish and $$$ | trash!"
+    docs = [(k, prose() if k % 3 else vile()) for k in range(300)] + [(None, "x"), (301, None)]
+    labels = [(k, int(k % 3 > 0 or k % 2), int(k % 3 == 0 and k % 2), "z") for k in range(300)] + [(301, 1, 0, "z"), (None, 0, 0, "z"), (5, None, None, "z")]
+    docs = spark.createDataFrame([(*d, "y") for d in docs], "doc_id long, text string, token string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int, weight string")
+    telling = url_rules.learn(docs, labels)
+    assert {r.token for r in telling.collect() if r.weight < -1} == {"filth", "rubbish", "and", "trash", "$", "|", ",", "!"}
+    rows = [(f"http://cheap-pills{h}.org/{k}", f"<p>{prose()}</p>") for h in range(3) for k in range(20)]
+    rows += [(f"http://plain.org/{k}", f"<p>{vile()}</p>") for k in range(20)] + [("http://plain.org/x", f"<p>{prose()}</p>"), ("http://new.org/", None), ("http://cheap-pills0.org/l", f"<a href='x'>{vile()}</a>")]
     pages = spark.createDataFrame([(k, *r, 1) for k, r in enumerate(rows)], "page_id long, url string, html string, name int")
     got = collections.defaultdict(set)
-    for r in url_rules.judge(pages, rules=()).collect():
+    for r in url_rules.judge(pages, rules=(), telling=telling).collect():
         got[r["host"]].add(r["verdict"])
-    assert got == {**{f"good{h}.org": {"allow"} for h in range(3)}, "thin.org": {"block"}, "www.cheap-pills.org": {"block"}, "new.org": got["new.org"]}
-    assert url_rules.judge(pages.limit(0), rules=()).count() == 0
+    assert got == {**{f"cheap-pills{h}.org": {"allow"} for h in range(3)}, "plain.org": {"block"}, "new.org": got["new.org"]}
+    assert url_rules.judge(pages.limit(0), rules=(), telling=telling).count() == 0
+    assert url_rules.learn(docs, labels.limit(0)).count() == url_rules.learn(docs.limit(0), labels).count() == 0
+    held = {(r.good, r.called_good): r["count"] for r in url_rules.agreement(docs, labels.filter("quality is not null"), F.col("doc_id") % 5 == 0).collect()}
+    assert set(held) == {(0, 0), (1, 1)}
 
 
 def test_reputation_shrinks(spark):
