@@ -7,7 +7,9 @@ each node the log-odds that it holds main text. Decoding takes the set of nodes
 under taking parents: no node is kept below a dropped one, and none is dropped that holds a kept one's text.
 
 The trees are fitted on pages made here, whose main text is known (``sample_pages`` of them, a documented bound): many
-layouts of articles among menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+layouts of articles among menus, headers, footers, sidebars, notices, adverts, forms and reader comments. In half of
+them neither the article's place nor what its tag or links give away has a helpful name: articles right in the body, in
+sections, cells and boxes of any class.
 
 Defined results: a null or empty page, or one without main text, gives the empty text; broken markup is read as
 browsers do for unclosed paragraphs, list items, cells and stray quotes; references are decoded; white space in a block
@@ -64,7 +66,7 @@ WORD_KINDS = [set(k.split()) for k in (
     "comment comments reply replies respondent disqus discussion respond feedback review reviews reader",
     "cookie cookies consent notice alert gdpr modal popup overlay dialog toast privacy message warning banner",
     "form login signup subscribe newsletter search register contact share social follow facebook twitter")]
-WIDTH = 2 * len(TAG_KINDS) + 2 * len(WORD_KINDS) + 20
+WIDTH = 2 * len(TAG_KINDS) + 2 * len(WORD_KINDS) + 22
 
 
 class Tree:
@@ -117,7 +119,7 @@ def parse(page: str) -> Tree:
     def flush() -> None:
         nonlocal linked, inline
         if run:
-            text = SPACE.sub(" ", entities.unescape("".join(run))).strip()
+            text = SPACE.sub(" ", "".join(run)).strip()
             if text:
                 tree.add("#text", stack[-1], text=text, linked=linked, inline=inline)
             run.clear()
@@ -142,11 +144,11 @@ def parse(page: str) -> Tree:
     while at < n:
         m = TOKENS.search(page, at)
         if m is None:
-            run.append(page[at:])
+            run.append(entities.unescape(page[at:]))  # a reference never goes on behind a tag
             linked += in_link and n - at
             break
         if m.start() > at:
-            run.append(page[at : m.start()])
+            run.append(entities.unescape(page[at : m.start()]))
             linked += (m.start() - at) if in_link else 0
         at = m.end()
         if m[2] is None:
@@ -250,7 +252,9 @@ def features(tree: Tree) -> np.ndarray:
         sibling_chars[parent[k]] = max(sibling_chars[parent[k]], chars[k])
     for j, v in enumerate((
         np.log1p(chars), chars / total, linked / c, nodes / c * 100, sentences / c * 100, np.log1p(paragraphs), np.log1p(longest), chars / np.maximum(blocks, 1), depth, order, children[up], order / np.maximum(children[up], 1),
-        chars / np.maximum(chars[up], 1), chars / np.maximum(sibling_chars[up], 1), linked[up] / np.maximum(chars[up], 1), np.log1p(chars[up]), inline / c * 100, np.arange(n) / n, children)):
+        chars / np.maximum(chars[up], 1), chars / np.maximum(sibling_chars[up], 1), linked[up] / np.maximum(chars[up], 1), np.log1p(chars[up]), inline / c * 100, np.arange(n) / n, children,
+        # whether the page has elements that say they hold the article, by tag and by attribute
+        np.full(n, x[:, 0].any()), np.full(n, x[:, 2 * tags].any()))):
         x[:, o + j] = v
     hidden = x[:, -1].copy()
     for k in range(1, n):
@@ -290,8 +294,16 @@ def made_page(rng: random.Random) -> tuple[str, set[str]]:
     def link() -> str:
         return f'<a href="/{rng.randint(0, 999)}">{words(1, 3)}</a>'
 
+    plain = rng.random() < 0.5  # the article's place has no helpful name, nor have boxes that their tag or their links give away
+
+    def anyhow() -> str:
+        """An attribute that says nothing, or none."""
+        return rng.choice(["", f' class="{words(1, 1).lower()}{rng.choice(["", "", str(rng.randint(1, 99))])}"', f' id="{rng.choice("abcdefghkqwxyz")}{rng.randint(1, 99)}"', f' class="{words(1, 2).lower()}"'])
+
     def box(tags: str, names: str, inner: str) -> str:
         tag, name = rng.choice(tags.split()), rng.choice(names.split())
+        if plain and (tag in ("nav", "header", "footer", "aside") or (inner.count("<a ") > 1 and ". " not in inner and rng.random() < 0.5)):
+            return f"<{tag}{anyhow()}>{inner}</{tag}>"
         how = rng.randint(0, 3)
         at = "" if tag not in ("div", "section", "p", "ul") and how == 0 else f' {rng.choice(["class", "class", "id"])}="{name}{rng.choice(["", "", "-" + str(rng.randint(1, 99)), " box", "-wrapper"])}"'
         return f"<{tag}{at}>{inner}</{tag}>"
@@ -356,10 +368,35 @@ def made_page(rng: random.Random) -> tuple[str, set[str]]:
         inner = "".join(rng.choice([lambda: f"<h4>{words(1, 3)}</h4>{links(2, 6)}", lambda: f"<p>{prose(1, 2)}</p>", advert, form, lambda: words(3, 9, "."), lambda: f"<ul>{''.join(f'<li>{words(2, 7)}</li>' for _ in range(3))}</ul>"])() for _ in range(rng.randint(1, 4)))
         return box("aside aside div div", "sidebar side rail widget-area related secondary", inner)
 
+    def placed(blocks: list[str]) -> str:
+        """The blocks where nothing but the text says that it is the article."""
+        inner, how = "".join(blocks), rng.randint(0, 6)
+        if how == 0:
+            return inner  # right in the body
+        if how == 1:
+            return f"<div{anyhow()}>{inner}</div>"
+        if how == 2:  # sections
+            cut = rng.randint(1, 4)
+            inner = "".join(f"<section{anyhow()}>{''.join(blocks[k : k + cut])}</section>" for k in range(0, len(blocks), cut))
+            return inner if rng.random() < 0.4 else f"<div{anyhow()}>{inner}</div>"
+        if how == 3:  # a table as layout
+            side = f"<td{anyhow()}>{links(3, 8)}</td>" * (rng.random() < 0.7)
+            return f"<table{anyhow()}><tr>{side}<td{anyhow()}>{inner}</td></tr></table>"
+        if how == 4:
+            for _ in range(rng.randint(2, 4)):
+                inner = f"<div{anyhow()}>{inner}</div>"
+            return inner
+        if how == 5:  # boxes instead of paragraphs
+            return f"<div{anyhow()}>" + "".join(re.sub(r"<(/?)p>", lambda m: f"<{m[1]}div>", x) if x.endswith("</p>") else f"<div{anyhow()}>{x}</div>" for x in blocks) + "</div>"
+        return f"<{(tag := rng.choice(['article', 'main', 'center', 'span']))}{anyhow()}>{inner}</{tag}>"
+
     title = keep(words(2, 9)) if rng.random() < 0.85 else ""
-    inner = f"<h1>{title}</h1>" * bool(title) + "".join(block() for _ in range(rng.choice([1, 2, 3, 5, 8, 12, 20])))
+    blocks = [f"<h1>{title}</h1>"] * bool(title) + [block() for _ in range(rng.choice([1, 2, 3, 5, 8, 12, 20]))]
+    inner = "".join(blocks)
     wrap = rng.randint(0, 5)
-    if wrap <= 2:
+    if plain:
+        article = placed(blocks)
+    elif wrap <= 2:
         article = f"<article>{inner}</article>"
     elif wrap == 3:
         article = box("div section main", "content article-body post entry-content story main-content text", inner)
@@ -367,7 +404,7 @@ def made_page(rng: random.Random) -> tuple[str, set[str]]:
         article = f"<main>{inner}</main>"
     else:
         article = box("div", "content post article story", f"<div>{inner}</div>")
-    if rng.random() < 0.3:  # furniture within the article's own box
+    if not plain and rng.random() < 0.3:  # furniture within the article's own box
         tail = "".join(rng.choice([advert, form, comments, lambda: box("div", "share social related tags", links(2, 4))])() for _ in range(rng.randint(1, 2)))
         article = article[: article.rindex("</")] + tail + article[article.rindex("</") :]
     before = [x for p, x in (
@@ -376,14 +413,16 @@ def made_page(rng: random.Random) -> tuple[str, set[str]]:
     after = [x for p, x in ((0.35, sidebar()), (0.4, comments()), (0.35, advert()), (0.25, form()), (0.2, notice()), (0.2, box("div section", "related more recommended", f"<h3>{words(1, 3)}</h3>{links(2, 5)}")),
         (0.9, box("footer footer footer div", "footer site-footer bottom copyright", rng.choice([f"&copy; {words(1, 3)} &middot; {prose(1, 3)}", f"<p>{prose(1, 2)}</p>", words(2, 12, "."), links(2, 6)])))) if rng.random() < p]
     rng.shuffle(before)
+    if plain and rng.random() < 0.25:
+        before, after = [], after[-1:]
     middle = "".join(before) + article + "".join(after)
     if rng.random() < 0.4:
-        middle = f'<div class="{rng.choice(["page", "wrapper", "container", "layout", "site"])}">{middle}</div>'
+        middle = f'<div class="{rng.choice(["page", "wrapper", "container", "layout", "site", "k7", "x"])}">{middle}</div>'
     return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{}}</style></head><body>{middle}</body></html>", main
 
 
 @functools.lru_cache(2)
-def model(sample_pages: int = 700, seed: int = 5) -> boosting.Boosted:
+def model(sample_pages: int = 900, seed: int = 5) -> boosting.Boosted:
     """Trees fitted on ``sample_pages`` made pages; a node's label is whether main text lies in it."""
     rng = random.Random(seed)
     xs, ys = [], []
@@ -395,7 +434,7 @@ def model(sample_pages: int = 700, seed: int = 5) -> boosting.Boosted:
             y[tree.parent[k]] |= y[k]
         xs.append(features(tree))
         ys.append(y)
-    return boosting.fit(np.concatenate(xs), np.concatenate(ys).astype(float))
+    return boosting.fit(np.concatenate(xs), np.concatenate(ys).astype(float), trees=90, depth=5)
 
 
 def extract(pages: DataFrame, trees: boosting.Boosted | None = None) -> DataFrame:
