@@ -12,7 +12,7 @@ only meets in counts; hosts with more than a thousandth of the pages are joined
 Outcomes. Rules say what to do with a path, not what a host is worth, and no table labels pages. So a page's outcome is
 learned from labelled documents, unless ``outcomes`` are given: each word or mark has log-odds of good against bad documents
 (good: of quality and not toxic), drawn towards zero by ``shrink`` standard deviations, and a page is good if those of the
-distinct words and marks of its visible text outside links don't sum up below zero. At most about ``max_labelled`` documents
+distinct words and marks of its visible text outside links and those of all documents don't sum up below zero. At most about ``max_labelled`` documents
 are learned from, and a word counts if a thousandth of them has it, three at least. A page without html has no outcome.
 
 A host's name is what follows a user's name and precedes a port. Its suffix is one of ``SUFFIXES`` or its last label; its
@@ -23,7 +23,7 @@ longest fitting rule wins.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no rule, and the empty host is judged
 like any other; a host without outcomes is judged by the prior that its domain, suffix or the corpus gives it; without
-any outcome the prior share is one half; a page without telling words is good, as is any if nothing was learned; a posterior that reaches the confidence exactly allows, and of rules of equal
+any outcome the prior share is one half; a page without telling words is as most documents are, and good if nothing was learned; a posterior that reaches the confidence exactly allows, and of rules of equal
 length the greater in text order wins; very long urls and pages are read whole; repeated rows each give a row; extra
 columns are ignored, whatever their names; an empty table gives an empty result.
 """
@@ -94,6 +94,9 @@ def domain_of(name: Column) -> Column:
     return F.when(two.isin(*SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
 
 
+SHRINK = 2.5  # standard deviations
+
+
 def tokens(text: Column) -> Column:
     """The distinct words, A-Z lower-cased, and marks of a text."""
     return F.array_distinct(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TOKEN), F.lit(0)))
@@ -103,8 +106,8 @@ def visible(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, UNSEEN, " "), MARKUP, " ")
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, shrink: float = 1.5) -> DataFrame:
-    """(token, weight): log-odds of the tokens that tell good documents from bad ones."""
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, shrink: float = SHRINK) -> DataFrame:
+    """(token, weight): log-odds of the tokens that tell good documents from bad ones, and under the empty token of all documents."""
     of = lambda c, missing: F.coalesce(F.col(c).cast("int"), F.lit(missing))
     known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min(of("quality", 1)) * (1 - F.max(of("toxic", 0)))).alias("good"))
     n = known.count()
@@ -119,13 +122,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, shrink
     sure = F.abs(delta) - F.lit(shrink) * F.sqrt(1 / g + 1 / b)
     counts = seen.select("good", F.explode("t").alias("token")).groupBy("token").agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b"))
     telling = counts.filter((F.col("g") + F.col("b") >= max(3.0, (good + bad) / 1000)) & (sure > 0))
-    return shared.keep(telling.select("token", F.when(delta > 0, sure).otherwise(-sure).alias("weight")), "telling")
+    prior = docs.sparkSession.range(1).select(F.lit("").alias("token"), F.log(F.lit((good + 1.0) / (bad + 1.0))).alias("weight"))
+    return shared.keep(telling.select("token", F.when(delta > 0, sure).otherwise(-sure).alias("weight")).unionByName(prior), "telling")
 
 
 def outcomes_of(pages: DataFrame, telling: DataFrame) -> DataFrame:
     """(name, good) of every page (name, html) with html; the weights of a page are summed where its tokens are."""
-    rows = pages.filter("html IS NOT NULL").select("name", F.monotonically_increasing_id().alias("row"), tokens(visible(F.col("html"))).alias("t"))
-    rows = rows.select("name", "row", F.explode_outer("t").alias("token"))  # numbered before, as a number belongs to a page
+    rows = pages.filter("html IS NOT NULL").select("name", F.monotonically_increasing_id().alias("row"), F.concat(F.array(F.lit("")), tokens(visible(F.col("html")))).alias("t"))
+    rows = rows.select("name", "row", F.explode("t").alias("token"))  # numbered before, as a number belongs to a page
     return rows.join(telling, "token", "left").groupBy("row", "name").agg((F.coalesce(F.sum("weight"), F.lit(0.0)) >= 0).cast("int").alias("good")).select("name", "good")
 
 
@@ -258,17 +262,17 @@ seen AS (SELECT good, {_tokens("text")} AS t FROM documents JOIN known USING (do
 sizes AS (SELECT coalesce(sum(good), 0)::DOUBLE AS good, count(*) - coalesce(sum(good), 0)::DOUBLE AS bad FROM seen),
 counts AS (SELECT token, sum(good) + 0.5::DOUBLE AS g, sum(1 - good) + 0.5::DOUBLE AS b FROM (SELECT good, unnest(t) AS token FROM seen) GROUP BY token),
 odds AS (SELECT token, g, b, good, bad, ln(g / (good + 1)) - ln(b / (bad + 1)) AS delta FROM counts, sizes),
-telling AS (SELECT token, sign(delta) * (abs(delta) - 1.5::DOUBLE * sqrt(1 / g + 1 / b)) AS weight FROM odds
-            WHERE g + b - 1 >= greatest(3, (good + bad) / 1000) AND abs(delta) > 1.5::DOUBLE * sqrt(1 / g + 1 / b)),
-words AS (SELECT row, name, unnest({_tokens(f"regexp_replace(regexp_replace(html, '{UNSEEN}', ' ', 'g'), '{MARKUP}', ' ', 'g')")}) AS token
-          FROM (SELECT *, row_number() OVER () AS row FROM fit WHERE html IS NOT NULL)),
-bad AS (SELECT row, name FROM words JOIN telling USING (token) GROUP BY row, name HAVING sum(weight) < 0),
-o AS (SELECT name, 1 AS good FROM fit WHERE html IS NOT NULL UNION ALL SELECT name, -1 FROM bad),
+telling AS (SELECT token, sign(delta) * (abs(delta) - {SHRINK}::DOUBLE * sqrt(1 / g + 1 / b)) AS weight FROM odds
+            WHERE g + b - 1 >= greatest(3, (good + bad) / 1000) AND abs(delta) > {SHRINK}::DOUBLE * sqrt(1 / g + 1 / b)),
+rows AS (SELECT *, row_number() OVER () AS row FROM fit WHERE html IS NOT NULL),
+words AS (SELECT row, unnest({_tokens(f"regexp_replace(regexp_replace(html, '{UNSEEN}', ' ', 'g'), '{MARKUP}', ' ', 'g')")}) AS token FROM rows),
+sums AS (SELECT row, sum(weight) AS s FROM words JOIN telling USING (token) GROUP BY row),
+o AS (SELECT name, CASE WHEN coalesce(s, 0) + ln((good + 1) / (bad + 1)) >= 0 THEN 1 ELSE 0 END AS good FROM rows LEFT JOIN sums USING (row), sizes),
 parts AS (SELECT DISTINCT name, string_split(name, '.') AS l FROM fit),
 units AS (
   SELECT name, CASE WHEN two IN ({_list(SUFFIXES)}) THEN array_to_string(l[-3:], '.') ELSE two END AS domain, CASE WHEN two IN ({_list(SUFFIXES)}) THEN two ELSE l[-1] END AS suffix
   FROM (SELECT name, l, array_to_string(l[-2:], '.') AS two FROM parts)),
-h AS (SELECT name, domain, suffix, (count(*) FILTER (good = 1))::DOUBLE AS n, sum(good)::DOUBLE AS good FROM o JOIN units USING (name) GROUP BY ALL),
+h AS (SELECT name, domain, suffix, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS good FROM o JOIN units USING (name) GROUP BY ALL),
 share AS (SELECT CASE WHEN count(*) = 0 THEN 0.5 ELSE (sum(good) + 1) / (sum(n) + 2) END AS m FROM h),
 xm AS (SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(m) AS m FROM h, share GROUP BY suffix),
 xk AS ({_STRENGTH.format(units="xm")}),
