@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Results of a running fold gather in blocks of so many, so that appending one copies few.
-BLOCK = 64
+#: Items of a running fold that are worked on together.
+CHUNK = 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often it is named."""
+    """``body`` of a value that is worked out once, however often it is named. Its result is copied: keep that small in a loop."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
@@ -22,15 +22,23 @@ def put(x: Column, fields: list[str], **new: Column) -> Column:
 
 
 def scan(items: Column, start: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
-    """``out(state, item)`` for every item, with the state after ``step(state, item)``; ``kind`` is the type of a result."""
-    none = F.array().cast(f"array<{kind}>")
-    first = F.struct(start.alias("state"), none.alias("block"), F.array().cast(f"array<array<{kind}>>").alias("blocks"))
-
-    def add(acc: Column, state: Column, block: Column) -> Column:
-        full = F.size(block) >= BLOCK
-        return F.struct(state.alias("state"), F.when(full, none).otherwise(block).alias("block"), F.when(full, F.concat(acc["blocks"], F.array(block))).otherwise(acc["blocks"]).alias("blocks"))
-
-    def one(acc: Column, item: Column) -> Column:
-        return let(step(acc["state"], item), lambda s: let(F.concat(acc["block"], F.array(out(s, item).cast(kind))), lambda b: add(acc, s, b)))
-
-    return F.aggregate(items, first, one, lambda acc: F.flatten(F.concat(acc["blocks"], F.array(acc["block"]))))
+    """``out(state, item)`` for every item, with the state after ``step(state, item)``; ``kind`` is the type of a result.
+
+    Spark copies what a fold carries at each of its steps, so none may carry all results. The items are cut into chunks: a
+    fold over chunks finds the state at the start of each, and each chunk's own fold carries the results of that chunk.
+    """
+
+    def within(chunk: Column, state: Column) -> Column:
+        # A result is made one item later, from the state that then stands as a value; the first, of the start, is dropped.
+        first = F.struct(F.struct(state.alias("state"), F.get(chunk, F.lit(-1)).alias("item")).alias("cur"), F.array().cast(f"array<{kind}>").alias("made"))
+        more = lambda acc: F.concat(acc["made"], F.array(out(acc["cur"]["state"], acc["cur"]["item"]).cast(kind)))
+        one = lambda acc, item: F.struct(F.struct(step(acc["cur"]["state"], item).alias("state"), item.alias("item")).alias("cur"), more(acc).alias("made"))
+        return F.aggregate(chunk, first, one, lambda acc: F.slice(more(acc), F.lit(2), F.size(chunk)))
+
+    def fold(chunks: Column) -> Column:
+        before = F.slice(chunks, F.lit(1), F.greatest(F.size(chunks) - 1, F.lit(0)))
+        states = F.aggregate(before, F.array(start), lambda seen, chunk: F.concat(seen, F.array(F.aggregate(chunk, F.element_at(seen, -1), step))))
+        return F.flatten(F.zip_with(chunks, states, lambda chunk, state: within(chunk, state)))
+
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / CHUNK).cast("int") - 1, F.lit(0))), lambda k: F.slice(x, k * CHUNK + 1, F.lit(CHUNK)))
+    return let(let(items, lambda x: F.when(x.isNotNull(), cut(x))), fold)

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .ranking import last_known
 
 #: The Penn Treebank tokenization as ordered (pattern, replacement) pairs; $ refers to groups.
 PTB_RULES: tuple[tuple[str, str], ...] = (
@@ -89,17 +90,16 @@ def parser_lines(lines: DataFrame, text: str = "line") -> DataFrame:
     return lines.filter(F.col(text).rlike(r"^PROB|^.TOP"))
 
 
-def parse_filter(lines: DataFrame, order: str = "n", text: str = "line", within: str | None = None) -> DataFrame:
+def parse_filter(lines: DataFrame, *order: str, text: str = "line") -> DataFrame:
     """Trees whose last score line before them is not the failed score; marks of unparsed sentences go as well.
 
-    ``within`` (a file or sentence block) keeps the running state in parallel; without it the state spans the input.
+    A score is in force over all following lines in the order (``n`` by default), however far the next one is.
     """
     line = F.col(text)
     state = F.when(line == "PROB 0 0 0", F.lit(False)).when(line.startswith("PROB"), F.lit(True))
-    at = W.partitionBy(*([within] if within else [F.lit(0)])).orderBy(order)
-    ok = F.coalesce(F.last(state, ignorenulls=True).over(at), F.lit(True))
+    known = last_known(lines, state, *(order or ("n",)), out="_ok")
     keep = ~line.startswith("PROB") & ~line.contains("SentenceTooLong") & ~line.contains("SentenceNotParsed")
-    return lines.withColumn("_ok", ok).filter(F.col("_ok") & keep).drop("_ok")
+    return known.filter(F.coalesce("_ok", F.lit(True)) & keep).drop("_ok")
 
 
 def lm_text(line: Column) -> Column:

@@ -77,7 +77,7 @@ def corpus_filter(pairs: DataFrame, max_children: int = 4, max_id: int = vocab.M
 def split(pairs: DataFrame, ratio: float = 0.01, key: str = "pair_id") -> DataFrame:
     """Adds split: every (1/ratio)-th pair by key, counted from 0, is ``test``, the others ``train``."""
     every = round(1 / ratio)
-    ranked = global_rank(pairs, [("block", F.floor(F.col(key) / 65536), False)], [F.col(key)], "_rank")
+    ranked = global_rank(pairs, F.asc(key), out="_rank")
     return ranked.withColumn("split", F.when((F.col("_rank") - 1) % every == 0, "test").otherwise("train")).drop("_rank")
 
 

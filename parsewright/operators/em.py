@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parsewright.functions.lengths import CHINESE_BAND, DEFAULT_BAND, Band, sentence_ok
+from parsewright.functions.tables import kept
 
 from . import corpus, params, trees
 from .chart import Chart, Node, Viterbi, orders
@@ -437,16 +438,8 @@ class Fit:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder; where none is set (tests), keep the plan's cache instead."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if not at:
-            import tempfile
-
-            at = tempfile.mkdtemp(prefix="parsewright-em-")
-        spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint()
+    """Cut lineage by a table in the shared folder, whose size joins can go by."""
+    return kept(df)
 
 
 def train(pairs: DataFrame, allowed: DataFrame | None = None, test: DataFrame | None = None, config: Config = Config(), start: Model | None = None, final_test: bool = False) -> Fit:

@@ -318,7 +318,10 @@ class Edits:
 
 
 def edit(tree: Column, edits: Edits) -> Column:
-    """The edited tree as text; null where the input is null, empty or not a tree."""
+    """The edited tree as text; null where the input is null, empty or not a tree.
+
+    One expression, so for one or two splices: for more, ``edited`` makes a column of each step, which Spark analyzes apart.
+    """
     return write(edits.apply(read(tree)))
 
 
@@ -349,7 +352,8 @@ def numbered(df: DataFrame, key: str, nodes: str, table: DataFrame, field: str,
 
 def edited(df: DataFrame, key: str, tree: str, edits: Edits, vocab: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
     """``df`` with its trees edited; ``vocab`` and ``symbols`` (word, id) serve the steps ``vocab`` and ``convsym``."""
-    out = df.withColumn(tree, edits.begin(read(F.col(tree))))
+    out = df.withColumn(tree, read(F.col(tree)))
+    out = out.withColumn(tree, edits.begin(F.col(tree)))
     for step in edits.flat_steps():
         if step in ("vocab", "convsym"):
             table = vocab if step == "vocab" else symbols

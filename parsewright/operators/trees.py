@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parsewright.functions.arrays import let, scan
+
 NODE = "struct<node_id:int,parent_id:int,child_idx:int,label:string,symbol:int,head:int,numc:int,epos:int,elen:int,is_leaf:boolean,level:int,last:int>"
 
 
@@ -17,33 +19,35 @@ def node_array(tree: Column) -> Column:
     return F.when(F.length(F.trim(tree)) > 0, _nodes(tokens))
 
 
+MADE = "struct<kind:int,label:string,level:int,leaf:boolean,parent:int,child_idx:int,epos:int,last:int,leaves:int,kids:int>"
+
+
 def _nodes(tokens: Column) -> Column:
-    # One pass over the tokens. ``path``: the open nodes with their children so far; ``found``: nodes in preorder; ``closed``:
-    # what is known of an inner node at its end. As inner nodes are numbered by preorder too, sorting puts each at its rank.
-    start = F.struct(
-        F.array().cast("array<struct<node:int,kids:int>>").alias("path"), F.lit("").alias("before"), F.lit(0).alias("leaves"),
-        F.array().cast("array<struct<label:string,level:int,leaf:boolean,parent:int,child_idx:int,epos:int>>").alias("found"),
-        F.array().cast("array<struct<node:int,last:int,leaves:int,kids:int>>").alias("closed"),
-    )
+    # One pass over the tokens. ``path``: the open nodes with their children so far. Each token makes a node (kind 1) or
+    # what is known of an inner node at its end (kind 2, ``parent`` is the node); results gather in blocks, so time
+    # grows with the tokens. As inner nodes are numbered by preorder too, sorting their ends puts each at its rank.
+    start = F.struct(F.array().cast("array<struct<node:int,kids:int>>").alias("path"), F.lit("").alias("before"), F.lit(0).alias("leaves"), F.lit(0).alias("n"), F.lit(None).cast(MADE).alias("made"))
 
     def step(acc: Column, token: Column) -> Column:
         opens, closes, leaf = token == "(", token == ")", acc["before"] != "("
-        path, found = acc["path"], acc["found"]
+        path = acc["path"]
         depth = F.size(path)
         top, above = F.get(path, depth - 1), F.slice(path, F.lit(1), F.greatest(depth - 1, F.lit(0)))
         bumped = F.when(depth > 0, F.concat(above, F.array(F.struct(top["node"].alias("node"), (top["kids"] + 1).alias("kids"))))).otherwise(path)
-        inner = F.concat(bumped, F.array(F.struct(F.size(found).alias("node"), F.lit(0).alias("kids"))))
-        node = F.struct(token.alias("label"), (depth + 1).alias("level"), leaf.alias("leaf"), F.coalesce(top["node"], F.lit(-1)).alias("parent"), F.coalesce(top["kids"], F.lit(0)).alias("child_idx"), acc["leaves"].alias("epos"))
-        end = F.struct(top["node"].alias("node"), F.size(found).alias("last"), acc["leaves"].alias("leaves"), top["kids"].alias("kids"))
+        inner = F.concat(bumped, F.array(F.struct(acc["n"].alias("node"), F.lit(0).alias("kids"))))
+        names = ("kind", "label", "level", "leaf", "parent", "child_idx", "epos", "last", "leaves", "kids")
+        row = lambda *v: F.struct(*[x.alias(n) for x, n in zip(v, names, strict=True)]).cast(MADE)
+        no = F.lit(None)
+        node = row(F.lit(1), token, depth + 1, leaf, F.coalesce(top["node"], F.lit(-1)), F.coalesce(top["kids"], F.lit(0)), acc["leaves"], no, no, no)
+        end = row(F.lit(2), no, no, no, top["node"], no, no, acc["n"], acc["leaves"], top["kids"])
         return F.struct(
             F.when(opens, path).when(closes, above).when(leaf, bumped).otherwise(inner).alias("path"),
             token.alias("before"),
             (acc["leaves"] + F.when(opens | closes | ~leaf, 0).otherwise(1)).alias("leaves"),
-            F.when(opens | closes, found).otherwise(F.concat(found, F.array(node))).alias("found"),
-            F.when(closes, F.concat(acc["closed"], F.array(end))).otherwise(acc["closed"]).alias("closed"),
+            (acc["n"] + F.when(opens | closes, 0).otherwise(1)).alias("n"),
+            F.when(opens, F.lit(None).cast(MADE)).when(closes, end).otherwise(node).alias("made"),
         )
 
-    # ``let`` by transform over a one-element array: the pass is made once a row.
     def finish(found: Column, closed: Column) -> Column:
         def node(n: Column, k: Column) -> Column:
             end = F.get(closed, k - n["epos"])  # of an inner node: before it are k - epos others
@@ -64,8 +68,10 @@ def _nodes(tokens: Column) -> Column:
 
         return F.transform(found, node)
 
-    read = F.aggregate(tokens, start, step, lambda acc: F.struct(acc["found"].alias("found"), F.sort_array(acc["closed"]).alias("closed")))
-    return F.get(F.transform(F.array(read), lambda x: finish(x["found"], x["closed"])), F.lit(0))
+    made = scan(tokens, start, step, lambda s, t: s["made"], MADE)
+    ends = lambda m: F.array_sort(F.transform(F.filter(m, lambda x: x["kind"] == 2), lambda x: F.struct(x["parent"].alias("node"), x["last"].alias("last"), x["leaves"].alias("leaves"), x["kids"].alias("kids"))))
+    both = let(made, lambda m: F.struct(F.filter(m, lambda x: x["kind"] == 1).alias("found"), ends(m).alias("closed")))
+    return let(both, lambda x: finish(x["found"], x["closed"]))
 
 
 def with_nodes(df: DataFrame, tree: str = "e_tree", out: str = "nodes") -> DataFrame:
@@ -85,9 +91,14 @@ def words_of(nodes_col: Column) -> Column:
 
 def rules(df: DataFrame, nodes_col: str = "nodes") -> DataFrame:
     """A row for each inner node: the key columns, node_id and its rule ``parent child child ...`` as text."""
-    n = F.col(nodes_col)
-    inner = F.filter(n, lambda x: ~x["is_leaf"])
-    made = F.transform(inner, lambda x: F.struct(x["node_id"].alias("node_id"), x["numc"].alias("numc"), F.concat_ws(" ", x["symbol"].cast("string"), F.array_join(F.transform(F.filter(n, lambda c: c["parent_id"] == x["node_id"]), lambda c: c["symbol"].cast("string")), " ")).alias("rule")))
+    # Sorted by (parent, place), a node's children stand together, after those of all inner nodes before it.
+    def of(n: Column) -> Column:
+        below = F.array_sort(F.transform(F.filter(n, lambda x: x["parent_id"] >= 0), lambda x: F.struct(x["parent_id"], x["child_idx"], x["symbol"].cast("string").alias("symbol"))))
+        inner = scan(F.filter(n, lambda x: ~x["is_leaf"]), F.struct(F.lit(0).alias("at"), F.lit(0).alias("next")), lambda s, x: F.struct(s["next"].alias("at"), (s["next"] + x["numc"]).alias("next")), lambda s, x: F.struct(x["node_id"].alias("node_id"), x["numc"].alias("numc"), x["symbol"].alias("symbol"), s["at"].alias("at")), "struct<node_id:int,numc:int,symbol:int,at:int>")
+        text = lambda b, x: F.array_join(F.transform(F.slice(b, x["at"] + 1, x["numc"]), lambda c: c["symbol"]), " ")
+        return let(below, lambda b: F.transform(inner, lambda x: F.struct(x["node_id"].alias("node_id"), x["numc"].alias("numc"), F.concat_ws(" ", x["symbol"].cast("string"), text(b, x)).alias("rule"))))
+
+    made = let(F.col(nodes_col), of)
     return df.select(*[c for c in df.columns if c != nodes_col], F.inline(made))
 
 
@@ -106,13 +117,12 @@ def replace_heads(nodes_col: Column, tree: Column, max_id: int, unk: int = 1) ->
 def to_text(nodes_col: Column) -> Column:
     """An array of node structs (as ``node_array`` makes it) back to its s-expression.
 
-    A node opens at its place in preorder; as many parentheses close after a node as inner nodes end with it.
+    A node opens at its place in preorder; as many parentheses close after a leaf as the level falls to the next node.
     """
     n = F.col(nodes_col) if isinstance(nodes_col, str) else nodes_col
 
-    def one(x: Column) -> Column:
-        open_ = F.when(x["is_leaf"], F.lit("")).otherwise(F.lit("("))
-        ends = F.size(F.filter(n, lambda y: ~y["is_leaf"] & (y["last"] == x["node_id"] + 1)))
-        return F.concat(open_, x["label"], F.repeat(F.lit(")"), ends))
+    def one(x: Column, k: Column) -> Column:
+        ends = F.when(x["is_leaf"], F.greatest(x["level"] - F.coalesce(F.get(n, k + 1)["level"], F.lit(1)), F.lit(0))).otherwise(0)
+        return F.concat(F.when(x["is_leaf"], F.lit("")).otherwise(F.lit("(")), x["label"], F.repeat(F.lit(")"), ends))
 
     return F.array_join(F.transform(n, one), " ")

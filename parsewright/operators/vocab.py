@@ -19,7 +19,7 @@ def word_counts(df: DataFrame, words: str) -> DataFrame:
 
 def vocabulary(df: DataFrame, words: str, first: int = UNK + 1) -> DataFrame:
     """(id, word, freq): ids from ``first`` by descending frequency, ties by word."""
-    ranked = global_rank(word_counts(df, words), [("freq", F.col("freq"), True), ("start", F.substring("word", 1, 3), False)], [F.col("word")])
+    ranked = global_rank(word_counts(df, words), F.desc("freq"), F.asc("word"))
     return ranked.select((F.col("rank") + (first - 1)).cast("int").alias("id"), "word", "freq")
 
 
@@ -48,7 +48,7 @@ def integerize(df: DataFrame, key: str, words: str, vocab: DataFrame, out: str,
 def symbol_table(symbols: DataFrame, column: str = "symbol") -> DataFrame:
     """(id, sym, freq): ranks from 1 by descending frequency, ties by symbol."""
     counts = symbols.groupBy(F.col(column).alias("sym")).agg(F.count(F.lit(1)).alias("freq"))
-    ranked = global_rank(counts, [("freq", F.col("freq"), True), ("start", F.substring("sym", 1, 2), False)], [F.col("sym")])
+    ranked = global_rank(counts, F.desc("freq"), F.asc("sym"))
     return ranked.select(F.col("rank").cast("int").alias("id"), "sym", "freq")
 
 

@@ -68,13 +68,22 @@ def length_gate(spark, sf):
     return words(spark, sf).select("pair_id", text.length_gate(line).alias("line"))
 
 
-@query("SELECT pair_id, '(TOP ' || e_tree || ')' AS line FROM pairs WHERE len(e) <= 20 AND len(f) > 0")
+PARSER = """SELECT pair_id, '(TOP ' || e_tree || ')' AS line FROM (
+  SELECT pair_id, e_tree, len(e) AS n, last_value(CASE WHEN len(f) = 0 THEN false WHEN len(e) % 3 > 0 THEN true END IGNORE NULLS) OVER (ORDER BY pair_id) AS ok FROM pairs)
+WHERE n <= 20 AND coalesce(ok, true)"""
+
+
+@query(PARSER)
 def parse_filter(spark, sf):
-    """Output of a parser that gives up on sentences over 20 words and scores those without a foreign word as failed."""
+    """Output of a parser that gives up on sentences over 20 words and scores those without a foreign word as failed.
+
+    Where the number of words is a multiple of three it has no score line, so the score before stays in force, from
+    pair to pair and file to file.
+    """
     tree = F.when(F.size("e") > 20, F.lit("(TOP SentenceNotParsed)")).otherwise(F.concat(F.lit("(TOP "), F.col("e_tree"), F.lit(")")))
-    score = F.when(F.size("f") == 0, F.lit("PROB 0 0 0")).otherwise(F.lit("PROB 12 -3.5 0"))
+    score = F.when(F.size("f") == 0, F.lit("PROB 0 0 0")).when(F.size("e") % 3 > 0, F.lit("PROB 12 -3.5 0")).otherwise(F.lit("TIME 1"))
     lines = pairs(spark, sf).select("pair_id", F.posexplode(F.array(score, tree, F.lit("TIME 0"))).alias("n", "line"))
-    return text.parse_filter(text.parser_lines(lines), within="pair_id").select("pair_id", "line")
+    return text.parse_filter(text.parser_lines(lines), "pair_id", "n").select("pair_id", "line")
 
 
 @query("SELECT pair_id, '<s> ' || upper(replace(array_to_string(e_words, ' '), 'ß', 'ss')) || ' </s>' AS line FROM wp")
@@ -324,10 +333,10 @@ def fertility_normalize(spark, sf):
 @query(f""", {FERT}, {T_WORDS},
 x AS (SELECT e, f, unnest(string_split(f, ' ')) AS w, len(string_split(f, ' ')) AS n FROM cooc),
 p AS (SELECT e, f, any_value(n) AS n, product(tw.prob) AS p FROM x JOIN tw USING (e, w) GROUP BY e, f)
-SELECT p.e, p.f, round(p.p * fert.prob, 9) AS prob FROM p JOIN fert ON fert.e = p.e AND fert.n = p.n""")
+SELECT p.e, p.f, round(p.p * fert.prob + 1e-12, 9) AS prob FROM p JOIN fert ON fert.e = p.e AND fert.n = p.n""")
 def fertility_prob(spark, sf):
     cooc = em.checkpointed(_cooc(spark, sf))  # read three times
-    return params.fertility_prob(cooc.select("e", "f"), _t_words(cooc), _fert(cooc), ["e", "f"]).withColumn("prob", F.round("prob", 9))
+    return params.fertility_prob(cooc.select("e", "f"), _t_words(cooc), _fert(cooc), ["e", "f"]).withColumn("prob", F.round(F.col("prob") + 1e-12, 9))  # exact halves round up, whatever the order of factors
 
 
 @query("SELECT e, round(sum(cnt) FILTER (cnt > 1) / sum(cnt), 9) AS prob FROM cooc WHERE contains(e, ' ') GROUP BY e HAVING sum(cnt) FILTER (cnt > 1) IS NOT NULL UNION ALL SELECT e, 0.0::DOUBLE FROM cooc WHERE contains(e, ' ') GROUP BY e HAVING sum(cnt) FILTER (cnt > 1) IS NULL")
@@ -514,7 +523,7 @@ def tree_passive_aux(spark, sf):
     rest = F.concat_ws(" ", F.transform(F.slice("e_words", F.lit(2), F.size("e_words")), lambda x: F.concat(x, F.lit("/NN"))))
     inner = F.concat(F.lit("(VB~seen~1~1 "), F.when(F.size("e_words") > 1, F.concat(rest, F.lit(" "))).otherwise(""), F.lit("seen/VBN)"))
     tree = F.concat(F.lit("(VP~was~1~1 (NPB~he~1~1 he/NN) "), inner, F.lit(")"))
-    return words(spark, sf).select("pair_id", transforms.edit(tree, transforms.Edits(("pas", "aux"))).alias("tree"))
+    return transforms.edited(words(spark, sf).select("pair_id", tree.alias("tree")), "pair_id", "tree", transforms.Edits(("pas", "aux")))
 
 
 # Parsed sentences: a subject, a verb, its phrase and a mark. The verb (in capitals, as no word is) is a form of be or an auxiliary.
@@ -538,7 +547,7 @@ def _parsed(spark, sf) -> DataFrame:
 
 
 def _edited(spark, sf, *steps: str, **options) -> DataFrame:
-    return _parsed(spark, sf).select("pair_id", transforms.edit(F.col("tree"), transforms.Edits(steps, PUNCT, **options)).alias("tree"))
+    return transforms.edited(_parsed(spark, sf), "pair_id", "tree", transforms.Edits(steps, PUNCT, **options))
 
 
 PHRASE = "CASE n WHEN 1 THEN '' {two}ELSE ' (' || z || '/{symbol} ' || rest || ')' END"
@@ -626,7 +635,7 @@ def tree_rule_list_heads(spark, sf):
 _fits: dict[tuple[str, str], em.Fit] = {}
 
 
-def _fit(spark, sf, iterations: int = 2) -> em.Fit:
+def _fit(spark, sf, iterations: int = 3) -> em.Fit:
     """The model, fitted once a session and folder; its tables are in the checkpoint folder."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _fits:
@@ -634,7 +643,7 @@ def _fit(spark, sf, iterations: int = 2) -> em.Fit:
         parts = corpus.split(rows)
         config = em.Config(iterations=iterations)
         train = parts.filter("split = 'train'").drop("split")
-        allowed = corpus.phrase_cutoff(corpus.cooccurrence(train, config.band), 1, 0)
+        allowed = corpus.phrase_cutoff(corpus.cooccurrence(train, config.band), 1, 4)
         _fits[key] = em.train(train, allowed, parts.filter("split = 'test'").drop("split"), config)
     return _fits[key]
 
@@ -650,8 +659,9 @@ def em_t_table(spark, sf):
 
 
 def _sample(spark, sf) -> tuple[DataFrame, em.Model]:
-    rows = prepared(spark, sf).select("pair_id", "e_tree", "f")
-    return corpus.align_sample(rows), _fit(spark, sf).model
+    """The first pairs of the train part, and the model."""
+    train = corpus.split(prepared(spark, sf).select("pair_id", "e_tree", "f")).filter("split = 'train'").drop("split")
+    return corpus.align_sample(train), _fit(spark, sf).model
 
 
 @query()
