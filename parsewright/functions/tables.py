@@ -32,10 +32,16 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def place(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, removed at the end."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back, with its schema given so that an empty table reads as well; removed at the end."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    path = place(spark, "kept")
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

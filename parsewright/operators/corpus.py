@@ -165,7 +165,4 @@ def concat_files(spark, paths: list[str]) -> DataFrame:
     """(file, n, line) of several text files as one corpus."""
     from parsewright.sources.formats import numbered_lines
 
-    out = numbered_lines(spark, paths[0])
-    for path in paths[1:]:
-        out = out.unionByName(numbered_lines(spark, path))
-    return out
+    return numbered_lines(spark, paths)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parsewright.functions import lengths, text
+from parsewright.functions import lengths, ranking, tables, text
 from parsewright.operators import corpus, em, params, reports, transforms, trees, vocab
 from parsewright.sources import formats
 
@@ -446,6 +446,85 @@ def perplexity(spark, sf):
     return out.select("pairs", F.col("zero").cast("int").alias("zero"), "e_words", F.round("log2", 4).alias("log2"), F.round("perplexity", 4).alias("perplexity"))
 
 
+# Formats: each written as text to the shared folder and read back.
+
+@query("SELECT row_number() OVER (ORDER BY pair_id) AS record, e_tree, array_to_string(f, ' ') AS f FROM pairs")
+def source_bxi(spark, sf):
+    """Numbers follow the order of the written corpus, over files and byte ranges."""
+    path = tables.place(spark, "bxi")
+    formats.write_bxi(pairs(spark, sf), path)
+    rows = ranking.global_rank(formats.read_bxi(spark, path), "file", "n", out="record")
+    return rows.select("record", "e_tree", F.array_join(F.col("f").cast("array<string>"), " ").alias("f"))
+
+
+@query("SELECT * FROM cut")
+def source_cutoffs(spark, sf):
+    path = tables.place(spark, "cutoffs")
+    formats.write_cutoffs(corpus.phrase_cutoff(_cooc(spark, sf)), path)
+    return formats.read_cutoffs(spark, path)
+
+
+@query("SELECT * FROM ve")
+def source_vocabulary(spark, sf):
+    path = tables.place(spark, "vocabulary")
+    formats.write_listed(vocab.vocabulary(words(spark, sf), "e_words"), path, "id", "word", "freq")
+    return formats.read_vocabulary(spark, path)
+
+
+@query(f""", {FERT}, lam AS (SELECT e, sum(cnt) FILTER (cnt > 1) / sum(cnt) AS prob FROM cooc WHERE contains(e, ' ') GROUP BY e)
+SELECT 't' AS kind, e, f, NULL::INT AS n, round(cnt / sum(cnt) OVER (PARTITION BY e), 9) AS prob FROM cooc
+UNION ALL SELECT 'fert', e, NULL, n, round(coalesce(prob, 0), 9) FROM (SELECT e, CAST(unnest(range(0, max(n) + 1)) AS INT) AS n FROM fert GROUP BY e) LEFT JOIN fert USING (e, n)
+UNION ALL SELECT 'lambda1', e, NULL, NULL, round(prob, 9) FROM lam WHERE prob > 0""")
+def source_ttable(spark, sf):
+    cooc = em.checkpointed(_cooc(spark, sf))  # read three times
+    counts = cooc.filter(F.col("e").contains(" ")).groupBy("e").agg(F.sum(F.when(F.col("cnt") > 1, F.col("cnt")).otherwise(0)).cast("double").alias("cnt"), F.sum(F.when(F.col("cnt") <= 1, F.col("cnt")).otherwise(0)).cast("double").alias("ncnt"))
+    path = tables.place(spark, "ttable")
+    formats.write_ttable(params.normalize(cooc, ["e"]), _fert(cooc), params.lambda1_update(None, counts), path)
+    return formats.read_ttable(spark, path).withColumn("prob", F.round("prob", 9))
+
+
+@query("""SELECT 'r' AS kind, rule, CAST(perm AS INT) AS i, NULL::INT AS ins, NULL::VARCHAR AS word, round(1 / [1, 2, 6, 24][numc]::DOUBLE, 9) AS prob FROM (SELECT DISTINCT rule, numc FROM rules), LATERAL (SELECT unnest(range(0, [1, 2, 6, 24][numc])) AS perm)
+UNION ALL SELECT 'n', rule, 0, ins, '0', round(cnt / sum(cnt) OVER (PARTITION BY rule), 9) FROM (SELECT rule, CAST(node_id % 3 AS INT) AS ins, count(*)::DOUBLE AS cnt FROM rules GROUP BY ALL)
+UNION ALL SELECT 'insword', NULL, NULL, NULL, CAST(id AS VARCHAR), round(freq / sum(freq) OVER (), 9) FROM vf""")
+def source_rntable(spark, sf):
+    rule = em.checkpointed(_rules(spark, sf))  # read twice
+    size = F.element_at(F.array(F.lit(1), F.lit(2), F.lit(6), F.lit(24)), F.col("numc"))
+    perms = rule.select("rule", "numc").distinct().select("rule", F.explode(F.sequence(F.lit(0), size - 1)).alias("perm"), F.lit(1.0).alias("cnt"))
+    sides = rule.groupBy(F.concat("rule", F.lit("|0")).alias("ctx"), (F.col("node_id") % 3).alias("ins")).agg(F.count(F.lit(1)).cast("double").alias("cnt"))
+    freq = vocab.vocabulary(words(spark, sf), "f_words").select(F.col("id").cast("string").alias("word"), F.col("freq").alias("cnt"), F.lit(0).alias("all"))
+    path = tables.place(spark, "rntable")
+    formats.write_rntable(params.normalize(perms, ["rule"]), params.normalize(sides, ["ctx"]), params.normalize(freq, ["all"]), path)
+    return formats.read_rntable(spark, path).withColumn("prob", F.round("prob", 9))
+
+
+# Expected counts at equal probabilities. All orders of a node weigh the same there, and every derivation orders each inner
+# node once, inserts beside each node at most once, translates each leaf once and makes every foreign word once.
+
+def _first_counts(spark, sf) -> DataFrame:
+    """Events of the first E-step over all pairs that fit."""
+    rows, keys = em.prepare(pairs(spark, sf), EQUAL)
+    model = em.Model(EQUAL)
+    return em.events(em.gathered(rows, keys, model), model, 0.0)
+
+
+@query(INSIDE + """SELECT rule, CAST(perm AS INT) AS perm, round(cnt / [1, 2, 6, 24][numc]::DOUBLE, 6) AS cnt FROM (SELECT rule, numc, count(*) AS cnt FROM rules JOIN probs USING (pair_id) GROUP BY ALL),
+          LATERAL (SELECT unnest(range(0, [1, 2, 6, 24][numc])) AS perm)""")
+def expected_order_counts(spark, sf):
+    found = _first_counts(spark, sf).filter("kind = 'r'")
+    return found.groupBy(F.col("a").alias("rule"), F.col("i").alias("perm")).agg(F.round(F.sum("cnt"), 6).alias("cnt"))
+
+
+@query(INSIDE + """SELECT pair_id, round(count(*) FILTER (NOT is_leaf), 6)::DOUBLE AS orders, round(count(*), 6)::DOUBLE AS insertions, round(any_value(n_e), 6)::DOUBLE AS translations, round(any_value(n_f), 6)::DOUBLE AS foreign_words
+FROM nodes JOIN probs USING (pair_id) JOIN (SELECT pair_id, len(f) AS n_f FROM pairs) USING (pair_id) GROUP BY pair_id""")
+def expected_count_totals(spark, sf):
+    """Expected counts of each pair: orders, insertions (none, right or left), translations, foreign words made by either."""
+    kind, cnt, n = F.col("kind"), F.col("cnt"), F.size(F.split("b", " "))
+    total = lambda c: F.round(F.sum(c), 6)
+    made = F.when((kind == "n") & (F.col("i") > 0), cnt).when((kind == "t") & (F.col("b") != params.NULL), cnt * n).otherwise(0.0)
+    of = lambda k: F.when(kind == k, cnt).otherwise(0.0)
+    return _first_counts(spark, sf).filter("kind <> 'prob'").groupBy("pair_id").agg(total(of("r")).alias("orders"), total(of("n")).alias("insertions"), total(of("t")).alias("translations"), total(made).alias("foreign_words"))
+
+
 # Reports
 
 @query("SELECT e, f, cnt AS n FROM cooc WHERE cnt > 1")

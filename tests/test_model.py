@@ -99,34 +99,92 @@ def test_split_and_rank(spark):
 
 
 def test_formats_round_trip(spark, pairs, tmp_path):
-    formats.register(spark)
     formats.write_bxi(pairs, str(tmp_path / "bxi"))
-    back = spark.read.format("bxi").load(str(tmp_path / "bxi"))
+    back = formats.read_bxi(spark, str(tmp_path / "bxi"))
     assert sorted((r["e_tree"], tuple(r["f"])) for r in back.collect()) == sorted((t, tuple(f)) for _, t, f in PAIRS)
     lines = formats.numbered_lines(spark, str(tmp_path / "bxi"))
     assert formats.bxi_from_lines(lines.filter(F.col("line") != "").union(lines.filter("line = ''").limit(0)), file="file").columns == ["file", "record", "e_tree", "f"]
     allowed = corpus.phrase_cutoff(corpus.cooccurrence(pairs), 0, 0)
     formats.write_cutoffs(allowed, str(tmp_path / "cut"))
-    assert {tuple(r) for r in spark.read.format("cutoffs").load(str(tmp_path / "cut")).collect()} == {tuple(r) for r in allowed.collect()}
+    assert {tuple(r) for r in formats.read_cutoffs(spark, str(tmp_path / "cut")).collect()} == {tuple(r) for r in allowed.collect()}
     t = spark.createDataFrame([("1", "2", 0.25), ("1", "3", 0.75), ("1", "4", 0.0)], "e string, f string, prob double")
     fert = spark.createDataFrame([("1", 0, 0.5), ("1", 2, 0.5), ("1", 3, 0.0)], "e string, n int, prob double")
     lam = spark.createDataFrame([("1", 0.125)], "e string, prob double")
     formats.write_ttable(t, fert, lam, str(tmp_path / "t"))
-    rows = {(r["kind"], r["f"], r["n"]): r["prob"] for r in spark.read.format("ttable").load(str(tmp_path / "t")).collect()}
+    rows = {(r["kind"], r["f"], r["n"]): r["prob"] for r in formats.read_ttable(spark, str(tmp_path / "t")).collect()}
     assert rows == {("t", "2", None): 0.25, ("t", "3", None): 0.75, ("fert", None, 0): 0.5, ("fert", None, 1): 0.0, ("fert", None, 2): 0.5, ("lambda1", None, None): 0.125}
     r = spark.createDataFrame([("2 3 4", 0, 0.5), ("2 3 4", 1, 0.5)], "rule string, perm int, prob double")
     n = spark.createDataFrame([("2 3 4|0", 0, 0.75), ("2 3 4|1", 2, 0.25)], "ctx string, ins int, prob double")
     words = spark.createDataFrame([("7", 1.0)], "word string, prob double")
     formats.write_rntable(r, n, words, str(tmp_path / "rn"))
-    got = {(x["kind"], x["rule"], x["i"], x["ins"], x["word"], x["prob"]) for x in spark.read.format("rntable").load(str(tmp_path / "rn")).collect()}
+    got = {(x["kind"], x["rule"], x["i"], x["ins"], x["word"], x["prob"]) for x in formats.read_rntable(spark, str(tmp_path / "rn")).collect()}
     assert got == {("r", "2 3 4", 0, None, None, 0.5), ("r", "2 3 4", 1, None, None, 0.5), ("n", "2 3 4", 0, 0, "0", 0.75), ("n", "2 3 4", 1, 2, "0", 0.25), ("insword", None, None, None, "7", 1.0)}
 
 
 def test_bad_record(spark, tmp_path):
-    formats.register(spark)
     (tmp_path / "x").write_text("1/2\n3\nnot blank\n")
     with pytest.raises(Exception, match="blank"):
-        spark.read.format("bxi").load(str(tmp_path / "x")).collect()
+        formats.read_bxi(spark, str(tmp_path / "x")).collect()
+
+
+def test_byte_ranges(spark, tmp_path):
+    """Many small ranges, one range and one partition give the same records and numbers."""
+    trees = [(k, f"(2 {k}/4 11/5)", [] if k % 3 == 0 else [k, 20]) for k in range(200)]
+    formats.write_bxi(spark.createDataFrame(trees, "pair_id long, e_tree string, f array<int>").coalesce(1), str(tmp_path / "bxi"))
+    t = spark.range(500).selectExpr("cast(id % 7 as string) e", "cast(id as string) f", "id / 1000 prob")
+    formats.write_ttable(t, None, None, str(tmp_path / "t"))
+    got = []
+    for size in ("64m", "97", "50", "33"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            read = formats.read_bxi(spark, str(tmp_path / "bxi"))
+            pieces = formats.records(spark, str(tmp_path / "bxi")).select("_block").distinct().count()
+            names = sorted({r["file"] for r in read.collect()})
+            rows = [(names.index(r["file"]), r["n"], r["e_tree"], tuple(r["f"])) for r in read.collect()]
+            lines = [(names.index(r["file"]), r["n"], r["line"]) for r in formats.numbered_lines(spark, str(tmp_path / "bxi")).collect()]
+            got.append((sorted(rows), sorted(lines), sorted(map(tuple, formats.read_ttable(spark, str(tmp_path / "t")).select("e", "f", "prob").collect()))))
+            assert (pieces > 20) == (size != "64m")
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got[0] == got[1] == got[2] == got[3]
+    assert [(e, f) for _, _, e, f in got[0][0]] == [(e, tuple(f)) for _, e, f in trees]
+    assert [n for k, n, _ in got[0][1] if k == 0] == list(range(sum(k == 0 for k, _, _ in got[0][1])))
+    assert len(got[0][2]) == 499  # a probability of 0 is not written
+
+
+def test_spaces_on_third_lines(spark, tmp_path):
+    (tmp_path / "x").write_text("1/2\n3\n  \n4/2\n\n\n5/2\n6\n")
+    assert sorted((r["n"], r["e_tree"], r["f"]) for r in formats.read_bxi(spark, str(tmp_path / "x")).collect()) == [(0, "1/2", [3]), (1, "4/2", []), (2, "5/2", [6])]
+
+
+def test_listed_tables(spark, tmp_path):
+    table = spark.createDataFrame([(2, "the", 9), (3, "a", 4)], "id int, word string, freq long")
+    formats.write_listed(table, str(tmp_path / "v"), "id", "word", "freq")
+    assert sorted(map(tuple, formats.read_vocabulary(spark, str(tmp_path / "v")).collect())) == [(2, "the", 9), (3, "a", 4)]
+    assert formats.read_symbols(spark, str(tmp_path / "v")).columns == ["id", "sym", "freq"]
+    (tmp_path / "c").write_text("# note\nNP-A NP\nX\n\nNP-A NN\n")
+    rows = formats.read_conversions(spark, str(tmp_path / "c"))
+    assert sorted((r["n"], r["source"], r["target"]) for r in rows.collect()) == [(1, "NP-A", "NP"), (2, "X", ""), (4, "NP-A", "NN")]
+    symbols = spark.createDataFrame([("NP-A",), ("X",)], "s string")
+    assert sorted(r["s"] for r in vocab.convert(symbols, "s", rows, order="n").collect()) == ["NP", "X"]
+
+
+def test_writers_gather_no_lines(spark, tmp_path):
+    """A record's lines are sorted rows: with a word of very many phrases no row holds them all."""
+    table = spark.range(3000).selectExpr("'1' e", "cast(id as string) f")
+    formats.write_cutoffs(table, str(tmp_path / "c"))
+    lines = spark.read.text(str(tmp_path / "c"))
+    assert lines.count() == 3001 and lines.agg(F.max(F.length("value"))).first()[0] < 10
+    assert formats.read_cutoffs(spark, str(tmp_path / "c")).exceptAll(table).count() == 0
+
+
+def test_concatenated_files(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / name).write_text(f"{name}1\n{name}2\n")
+    rows = corpus.concat_files(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    assert sorted((r["n"], r["line"]) for r in rows.collect()) == [(0, "a1"), (0, "b1"), (1, "a2"), (1, "b2")]
 
 
 def test_frozen_tables_stay(spark, pairs):
@@ -137,11 +195,10 @@ def test_frozen_tables_stay(spark, pairs):
 
 
 def test_model_from_dumps(spark, pairs, tmp_path):
-    formats.register(spark)
     model = em.train(pairs, config=plain(iterations=2)).model
     formats.write_ttable(model.t, None, None, str(tmp_path / "t"))
     formats.write_rntable(model.r, model.n, model.insword, str(tmp_path / "rn"))
-    back = em.from_dumps(plain(), spark.read.format("ttable").load(str(tmp_path / "t")), spark.read.format("rntable").load(str(tmp_path / "rn")))
+    back = em.from_dumps(plain(), formats.read_ttable(spark, str(tmp_path / "t")), formats.read_rntable(spark, str(tmp_path / "rn")))
     key = lambda m: sorted(map(tuple, reports.alignment(pairs, m).collect()))
     assert key(back) == key(model)
 
