@@ -96,7 +96,7 @@ def turn_nodes(conversations: DataFrame, path: str) -> DataFrame:
         encode, _, width = codec(path)
         head_end, end = encode(TEXT), encode(END)
         head_of = functools.lru_cache(1000)(lambda role: encode(TURN + escape(role)) + head_end)
-        conv, depth, key, position, keys = object(), 0, b"", 0, b""
+        conv, depth, key, position, keys = object(), 0, b"", 0, bytearray()
         last: list | None = None  # held back until it is known whether the conversation goes on
         for batch in batches:
             for part in common.slices(batch):
@@ -104,10 +104,10 @@ def turn_nodes(conversations: DataFrame, path: str) -> DataFrame:
                 for c, role, text in zip(*(part.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
                     if last is not None:
                         if c != conv:
-                            last[-1] = keys
+                            last[-1] = bytes(keys)
                         out.append(last)
                     if c != conv or last is None:
-                        conv, depth, key, position, keys = c, 0, b"", 0, b""
+                        conv, depth, key, position, keys = c, 0, b"", 0, bytearray()
                     parent = key
                     h = xxhash.xxh3_128(key)
                     h.update(b"%d:" % len(role.encode()))
@@ -125,7 +125,7 @@ def turn_nodes(conversations: DataFrame, path: str) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
         if last is not None:
-            last[-1] = keys
+            last[-1] = bytes(keys)
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(last, arrow, strict=True)], schema=arrow)
 
     return common.map_arrow(rows, run, ROWS)
