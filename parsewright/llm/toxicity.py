@@ -207,7 +207,7 @@ def count_labelled(sample: DataFrame, chosen) -> DataFrame:
     return common.map_arrow(sample, run, "token string, a long, b long").groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-LEAST_PRIOR = 0.3  # documents by which the prior counts a token at least
+LEAST_PRIOR = 0.3  # documents by which the prior counts a token, or its absence, at least
 
 
 def log_odds(a: float, b: float, n_a: int, n_b: int, prior: float, shrink: float) -> float:
@@ -215,7 +215,8 @@ def log_odds(a: float, b: float, n_a: int, n_b: int, prior: float, shrink: float
     if a + b <= 0:
         return 0.0
     alpha = max(prior * (a + b) / (n_a + n_b), LEAST_PRIOR)
-    delta = math.log((a + alpha) / (n_a + prior - a - alpha)) - math.log((b + alpha) / (n_b + prior - b - alpha))
+    without = lambda c, n: max(n + prior - c - alpha, LEAST_PRIOR)
+    delta = math.log((a + alpha) / without(a, n_a)) - math.log((b + alpha) / without(b, n_b))
     return math.copysign(max(0.0, abs(delta) - shrink * math.sqrt(1 / (a + alpha) + 1 / (b + alpha))), delta)
 
 
@@ -237,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train=None, ma
         return model
     sent = spark.sparkContext.broadcast(chosen)
     alpha = F.greatest(F.lit(prior) * (F.col("a") + F.col("b")) / F.lit(n_a + n_b), F.lit(LEAST_PRIOR))
-    odds = lambda c, n: F.log((F.col(c) + alpha) / (F.lit(n + prior) - F.col(c) - alpha))
+    odds = lambda c, n: F.log((F.col(c) + alpha) / F.greatest(F.lit(n + prior) - F.col(c) - alpha, F.lit(LEAST_PRIOR)))
     telling = count_labelled(sample, sent).filter(F.abs(odds("a", n_a) - odds("b", n_b)) > F.lit(shrink) * F.sqrt(1 / (F.col("a") + alpha) + 1 / (F.col("b") + alpha)))
     counts = {r["token"]: (r["a"], r["b"]) for r in telling.collect()}  # tokens that several labelled documents share
     model.scores = {t: log_odds(a, b, n_a, n_b, prior, shrink) for t, (a, b) in counts.items()}
