@@ -391,7 +391,7 @@ def update(model: Model, sums: DataFrame) -> Model:
         n = params.normalize(ins.groupBy("ctx", "ins").agg(F.sum("cnt").alias("cnt")), ["ctx"])
         words = ins.filter("ins > 0").groupBy("word").agg(F.sum("cnt").alias("cnt"))
         total = words.agg(F.sum("cnt").alias("_total"))
-        insword = words.join(F.broadcast(total), F.col("_total") > 0).select("word", (F.col("cnt") / F.col("_total")).alias("prob"))  # one row
+        insword = words.crossJoin(F.broadcast(total)).select("word", (F.col("cnt") / F.col("_total")).alias("prob"))  # one row
     else:
         n, insword = params.normalize(ins, ["ctx"]), None
     made = Model(c, model.allowed, t, fert, l1, r, n, insword, False)

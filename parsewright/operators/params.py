@@ -10,7 +10,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 EQUAL = 0.1  # fixed value: every probability of the equal-probability start
 MAX_PERMS = 24  # fixed value: orders of four children; uniform reorder tables spread over all of them
@@ -119,10 +118,6 @@ def fert_dump(fert: DataFrame) -> DataFrame:
     return fert.join(top, "e").filter("n <= _top").drop("_top")
 
 
-def ratio_window(counts: DataFrame, by: list[str], value: str = "cnt") -> Column:
-    return F.col(value) / F.sum(value).over(W.partitionBy(*by))
-
-
 def t_lookup(keys: DataFrame, table: DataFrame | None, single_words: bool = False) -> DataFrame:
     """Adds the stored prob, 0 where there is none. ``single_words``: only one E word with at most one F word has one.
 
@@ -148,4 +143,4 @@ def r_lookup(keys: DataFrame, r: DataFrame | None) -> DataFrame:
 def insword_uniform(vocab_f: DataFrame) -> DataFrame:
     """(word, prob): equal shares over the ids of a vocabulary."""
     total = F.broadcast(vocab_f.agg(F.count(F.lit(1)).alias("_n")))  # one row
-    return vocab_f.join(total, F.col("_n") > 0).select(F.col("id").cast("string").alias("word"), (F.lit(1.0) / F.col("_n")).alias("prob"))
+    return vocab_f.crossJoin(total).select(F.col("id").cast("string").alias("word"), (F.lit(1.0) / F.col("_n")).alias("prob"))

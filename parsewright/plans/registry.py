@@ -382,7 +382,7 @@ def n_shared_prob(spark, sf):
     sides = params.normalize(ins.groupBy("ctx", "ins").agg(F.sum("cnt").alias("cnt")), ["ctx"])
     counts = ins.filter("ins > 0").groupBy("word").agg(F.sum("cnt").alias("cnt"))
     total = F.broadcast(counts.agg(F.sum("cnt").alias("total")))  # one row
-    insword = counts.join(total, F.col("total") >= F.col("cnt")).select("word", (F.col("cnt") / F.col("total")).alias("prob"))
+    insword = counts.crossJoin(total).select("word", (F.col("cnt") / F.col("total")).alias("prob"))
     return params.n_lookup_shared(ins.select("ctx", "ins", "word"), sides, insword).withColumn("prob", F.round("prob", 9))
 
 
