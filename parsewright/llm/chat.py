@@ -16,7 +16,7 @@ Ranks, places and intervals are worked out on narrow tables; tokens, as packed i
 the conversations that read them back and once into their order, and are never broadcast.
 
 Defined results: null texts and roles count as empty; turns are ordered by (turn, role, text), nulls first, so ties
-and repeated rows have one order and each row is a turn; a null conv_id is a conversation of its own; a very long text is
+and repeated rows have one order and each row is a turn; rows without a conv_id are one conversation; a very long text is
 one body like any other; an empty table gives empty results; extra columns are ignored, whatever their names.
 """
 
