@@ -168,3 +168,22 @@ def test_edits_of_random_trees(spark):
 def test_bad_trees_are_null(spark):
     df = spark.createDataFrame([("(a b",), (None,), ("",), ("a/B",)], "t string")
     assert [r[0] for r in df.select(X.edit(F.col("t"), X.Edits(()))).collect()] == [None, None, None, "a/B"]
+
+
+def test_reading_grows_with_the_tokens(spark):
+    """A fold over arrays of structs took milliseconds a tree: 20,000 trees of 20 words, read and edited, would take minutes."""
+    import time
+
+    words = " ".join(f"{k}/5" for k in range(2, 22))
+    df = spark.range(20_000).select(F.col("id").alias("pair_id"), F.lit(f"(2 (3 {words}) 9/4)").alias("e_tree"))
+    tree = F.lit(f"(TOP~a~1~1 (VP~a~1~1 {words} ?/PUNC.))")
+    began = time.perf_counter()
+    assert trees.nodes(df).count() == 20_000 * 23 and trees.rules(trees.with_nodes(df).select("pair_id", "nodes")).count() == 40_000
+    assert X.edited(df.withColumn("t", F.concat(tree, F.lit(""))), "pair_id", "t", X.Edits(("conv", "all"), PUNCT)).filter("t LIKE '(TOP 2/5%'").count() == 20_000
+    assert time.perf_counter() - began < 60
+
+
+def test_a_tree_is_read_once(spark):
+    df = spark.createDataFrame([(1, "(2 10/4 11/5)")], "pair_id int, e_tree string")
+    plan = trees.nodes(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "filter" not in plan.lower()
