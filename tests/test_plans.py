@@ -54,3 +54,24 @@ def test_ranks_have_no_global_sort(spark):
 
 def test_filters_reach_the_scan(pairs):
     assert "PushedFilters: [IsNotNull(pair_id), GreaterThan(pair_id,10)]" in plan(trees.nodes(pairs.filter("pair_id > 10")))
+
+
+def test_stretches_of_phrases_are_not_shuffled(pairs):
+    """Phrases of several words reach their task with whole sentences and are cut and counted there."""
+    text = plan(corpus.phrase_counts(pairs))
+    before = text[: text.index("REPARTITION_BY_COL")].splitlines()[:-1]
+    branch = before[max(k for k, line in enumerate(before) if "Scan" in line) + 1 :]
+    assert any("Generate" in line for line in branch) and not any("Exchange" in line for line in branch)
+    assert corpus.phrase_counts(pairs).exceptAll(corpus.cooccurrence(pairs)).isEmpty() and corpus.cooccurrence(pairs).exceptAll(corpus.phrase_counts(pairs)).isEmpty()
+
+
+def test_factors_of_phrases_are_not_rows(spark):
+    from parsewright.operators import params
+
+    keys = spark.createDataFrame([("1 2", "5 6 5"), ("1 2", "5 7"), ("1 2", "0"), ("1 3", "5"), ("4", "5 6"), ("4", "0")], "e string, f string")
+    t = spark.createDataFrame([("1 2", "5", 0.5), ("1 2", "6", 0.25), ("4", "5", 0.5), ("4", "6", 0.5)], "e string, f string, prob double")
+    fert = spark.createDataFrame([("1 2", 3, 0.5), ("1 2", 2, 0.5), ("1 2", 0, 0.125), ("1 3", 1, 1.0), ("4", 2, 0.5), ("4", 0, 0.25)], "e string, n int, prob double")
+    out = params.fertility_prob(keys, t, fert, ["e", "f"])
+    assert {(r.e, r.f): r.prob for r in out.collect()} == {("1 2", "5 6 5"): 0.03125, ("1 2", "5 7"): 0.0, ("1 2", "0"): 0.125, ("1 3", "5"): 0.0, ("4", "5 6"): 0.125, ("4", "0"): 0.25}
+    exploded = [line for line in plan(params.fertility_prob(keys.filter("e = '1 2'"), t, fert, ["e", "f"])).splitlines() if "aggregate(split(f" in line]
+    assert exploded  # multiplied in the row
