@@ -75,3 +75,20 @@ def test_factors_of_phrases_are_not_rows(spark):
     assert {(r.e, r.f): r.prob for r in out.collect()} == {("1 2", "5 6 5"): 0.03125, ("1 2", "5 7"): 0.0, ("1 2", "0"): 0.125, ("1 3", "5"): 0.0, ("4", "5 6"): 0.125, ("4", "0"): 0.25}
     exploded = [line for line in plan(params.fertility_prob(keys.filter("e = '1 2'"), t, fert, ["e", "f"])).splitlines() if "aggregate(split(f" in line]
     assert exploded  # multiplied in the row
+
+
+def test_parameters_meet_their_pairs_in_one_group(spark, pairs):
+    """No table of phrases or words is sent to the driver and broadcast, and a pair's tables take one join."""
+    from parsewright.operators import em
+
+    config = em.Config()
+    made = lambda kind, *row: spark.createDataFrame([row], kind)
+    t, fert, words = made("e string, f string, prob double", "10", "20", 1.0), made("e string, n int, prob double", "10", 1, 1.0), made("word string, prob double", "20", 1.0)
+    l1, r, n = made("e string, prob double", "10 11", 0.5), made("rule string, perm int, prob double", "9999 4 5", 0, 1.0), made("ctx string, ins int, prob double", "3 4|0", 0, 1.0)
+    rows, keys = em.prepare(pairs, config)
+    out = em.gathered(rows, keys, em.Model(config, t=t, fert=fert, lambda1=l1, r=r, n=n, insword=words, equal=False))
+    joins = [line for line in plan(out).splitlines() if "Join" in line]
+    assert not [x for x in joins if "Broadcast" in x and re.search(r"Join \[(e|f|word)#", x)]
+    assert len([x for x in joins if re.search(r"Join \[pair_id#", x)]) == 1
+    got = out.first()
+    assert [x.f for x in got.tw] == ["20"] and got.fert[0].prob == 1.0 and got.l1[0].l1 == 0.5 and got.r == {"9999 4 5": [1.0]} and got.n == {"3 4|0": [1.0, 0.0, 0.0]} and got.words == {"20": 1.0} and got.t is None
