@@ -40,3 +40,29 @@ def test_every_fitting_pair_is_there(found):
     """19 E and 29 F words at most, and the band of the whole sentence: no id or prefix decides."""
     assert set(found) == {(e, f) for e, f in SIZES if e <= 19 and f <= 29 and f <= int(1.4 * e + 2.001)}
     assert all(math.isfinite(p) for p in found.values())
+
+
+def test_a_shape_takes_one_chart(monkeypatch):
+    """Pairs of one shape and length share their chart, also over tasks of a worker."""
+    import pandas as pd
+
+    from parsewright.operators import em
+
+    made = []
+    build = em.build
+    monkeypatch.setattr(em, "build", lambda *a: made.append(1) or build(*a))
+    monkeypatch.setattr(em, "_shapes", {})
+    nodes = {"node_id": [0, 1, 2], "parent_id": [-1, 0, 0], "child_idx": [0, 0, 1], "symbol": [2, 4, 5], "head": [0, 7, 8], "numc": [2, 0, 0], "epos": [0, 0, 1], "elen": [2, 1, 1], "is_leaf": [False, True, True]}
+    lone = {"node_id": [0], "parent_id": [-1], "child_idx": [0], "symbol": [4], "head": [7], "numc": [0], "epos": [0], "elen": [1], "is_leaf": [True]}
+    none = {f"{c}__{x}": None for c in ("t", "tw", "fert", "l1") for x in em.GATHERED[c]}
+
+    def row(k, shape, n):
+        import numpy as np
+
+        return {"pair_id": k, "f": [20] * n, "n_e": 2 if shape is nodes else 1, "r": None, "n": None, "words": None} | {f"nodes__{x}": np.array(v) for x, v in shape.items()} | none
+
+    frame = pd.DataFrame([row(k, nodes, m) for k, m in enumerate((1, 2, 3, 2, 2))] + [row(9, lone, 2)])
+    out = pd.concat([*em.shape_events(iter([frame]), registry.EQUAL, 0.0), *em.shape_events(iter([frame]), registry.EQUAL, 0.0)])
+    assert len(made) == 4
+    want = [build(em.Row(x), registry.EQUAL, True, True, 0.0)[0].total for x in frame.itertuples(index=False)]
+    assert out["cnt"].tolist() == want * 2 and want[-1] == pytest.approx(LEAF[2]) and len(set(want)) == 4
