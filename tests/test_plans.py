@@ -92,3 +92,28 @@ def test_parameters_meet_their_pairs_in_one_group(spark, pairs):
     assert len([x for x in joins if re.search(r"Join \[pair_id#", x)]) == 1
     got = out.first()
     assert [x.f for x in got.tw] == ["20"] and got.fert[0].prob == 1.0 and got.l1[0].l1 == 0.5 and got.r == {"9999 4 5": [1.0]} and got.n == {"3 4|0": [1.0, 0.0, 0.0]} and got.words == {"20": 1.0} and got.t is None
+
+
+@pytest.fixture(scope="module")
+def talk(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("talk"))
+    spark.createDataFrame([(c, t, "user", "one two three. four five six seven") for c in range(3) for t in range(2)], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["n_shared_prob", "n_full_normalize", "r_lookup", "t_normalize", "fertility_normalize"])
+def test_trees_are_read_once(spark, talk, name):
+    """What is read more than once has been written: its sums and joins don't read the trees again."""
+    from parsewright.plans import registry
+
+    assert "ArrowEvalPython" not in plan(registry.QUERIES[name](spark, talk))
+
+
+def test_rules_are_kept_as_counts(spark, talk, monkeypatch):
+    from parsewright.operators import em
+    from parsewright.plans import registry
+
+    kept = []
+    monkeypatch.setattr(em, "checkpointed", lambda df, write=em.checkpointed: kept.append(write(df)) or kept[-1])
+    registry.QUERIES["source_rntable"](spark, talk)
+    assert kept[0].count() < registry.QUERIES["tree_rules"](spark, talk).count() == kept[0].agg(F.sum("cnt")).first()[0]
