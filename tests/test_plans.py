@@ -109,6 +109,26 @@ def test_trees_are_read_once(spark, talk, name):
     assert "ArrowEvalPython" not in plan(registry.QUERIES[name](spark, talk))
 
 
+def test_counts_do_not_meet_themselves(spark, talk):
+    """The phrase table is a part of the counts: their rows carry along whether they are in it, and come from a table of spans."""
+    from parsewright.plans import registry
+
+    text = plan(registry.QUERIES["t_lookup_equal_prob"](spark, talk))
+    assert "Join" not in text and "ArrowEvalPython" not in text
+
+
+def test_ids_of_both_sides(spark):
+    """As side by side by ``integerize``, without a join on the key."""
+    df = spark.createDataFrame([(1, ["a", "b", "a"], ["x"]), (2, ["b", "?"], []), (3, [], ["y", "x"]), (4, [], None)], "k int, e array<string>, f array<string>")
+    table = lambda rows: spark.createDataFrame(rows, "id int, word string, freq long")
+    e, f = table([(2, "a", 2), (3, "b", 2)]), table([(2, "x", 2), (3, "y", 1)])
+    out = vocab.integerize_sides(df, "k", {"e": ("e", e), "f": ("f", f)})
+    assert sorted(map(tuple, out.collect())) == [(1, [2, 3, 2], [2]), (2, [3, 1], []), (3, [], [3, 2]), (4, [], [])]
+    by_two = vocab.integerize(vocab.integerize(df, "k", "e", e, "e2"), "k", "f", f, "f2").select("k", "e2", "f2")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, by_two.collect()))
+    assert not re.search(r"Join \[k#", plan(out))
+
+
 def test_rules_are_kept_as_counts(spark, talk, monkeypatch):
     from parsewright.operators import em
     from parsewright.plans import registry
