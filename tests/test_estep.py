@@ -137,3 +137,38 @@ def test_blocks_hold_alike_pairs(spark):
         blocks[r.block].append((r.n_e, len(r.f)))
     assert len(made) == 600 and max(map(len, blocks.values())) <= em.BLOCK
     assert sum(len(set(x)) for x in blocks.values()) <= len(blocks) + 5
+
+
+FREE = PLAIN.with_options(shared_words=True)
+
+
+@pytest.mark.parametrize(("config", "equal"), [(FREE, True), (FREE, False), (DEFAULT, False)])
+def test_sums_of_a_shape_are_those_of_its_pairs(monkeypatch, config, equal):
+    """Orders and totals without rows of counts; where nothing is looked up, from one chart a shape and length."""
+    batch = made(config, equal, 200)
+    if equal:
+        batch = pa.RecordBatch.from_pylist([{k: None if k.startswith("t__") else v for k, v in x.items()} for x in batch.to_pylist(maps_as_pydicts="strict")], schema=SCHEMA)
+    want, totals = defaultdict(float), {}
+    for k in range(len(batch)):
+        one = by_pair(batch.slice(k, 1), config, equal, equal, 0.0)
+        for (kind, a, _, i, _), cnt in one.items():
+            if kind == "r":
+                want[a, i] += cnt
+        of = lambda *kinds: sum(v for x, v in one.items() if x[0] in kinds)  # noqa: E731, B023
+        sides = sum(v for x, v in one.items() if x[0] == "n" and x[3] > 0)
+        words = sum(v * x[3] for x, v in one.items() if x[0] == "fert") + sum(v * len(x[2].split()) for x, v in one.items() if x[0] == "t" and x[2] != params.NULL and not config.fertility)
+        if of("prob") > 0:
+            totals[k] = of("r"), of("n"), of("fert" if config.fertility else "t"), sides + words
+    sizes = []
+    charts = estep.Charts
+    monkeypatch.setattr(estep, "Charts", lambda *a: sizes.append(a[3].shape[1]) or charts(*a))
+    monkeypatch.setattr(estep, "_shapes", {})
+    options = TABLES, config, equal, equal, 0.0
+    got = defaultdict(float)
+    for out in (*estep.order_counts(iter([batch]), *options),):
+        for rule, perm, cnt in zip(*[x.to_pylist() for x in out.columns], strict=True):
+            got[rule, perm] += cnt
+    assert not equal or set(sizes) == {1} and len(sizes) < 200
+    found = {x["pair_id"]: tuple(x.values())[1:] for out in estep.count_totals(iter([batch, batch.slice(0, 0)]), *options) for x in out.to_pylist()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    assert found.keys() == totals.keys() and all(found[k] == pytest.approx(totals[k], rel=1e-9, abs=1e-12) for k in totals)
